@@ -67,12 +67,12 @@ def arrow_texts(batch: pa.RecordBatch | pa.Table, text: str = "text") -> list[by
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a block of texts: spans, text numbers and hashes."""
 
-    def __init__(self, texts: list[bytes], lower: bool = True):
+    def __init__(self, texts: list[bytes], lower: bool = True, space: np.ndarray = _SPACE):
         raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         self.raw, self.buf = raw, (_LOWER[raw] if lower else raw)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.doc_start = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])) if len(texts) else np.zeros(0, np.int64)
-        word = ~_SPACE[raw]
+        word = ~space[raw]
         edge = np.flatnonzero(word[1:] != word[:-1]) + 1
         if len(word) and word[0]:
             edge = np.concatenate(([0], edge))
