@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import part_count, real_id, slim
-from .textvec import BLOCK, U, arrow_texts, blocks, mix
+from .textvec import U, arrow_texts, blocks, mix
 
 #: Bytes of a minimiser's gram.
 GRAM = 16
@@ -38,7 +38,7 @@ CUT = 16
 SORT = 150_000
 CHUNKS, GRAMS, SPANS = 0, 1, 2
 _CHUNK = np.dtype([("c1", U), ("c2", U), ("doc", np.int64)])
-_GRAM = np.dtype([("m", U), ("lo", np.uint32), ("hi", np.uint32)])
+_GRAM = np.dtype([("m", U), ("tag", np.uint32)])
 _RECORD = np.dtype([("m", U), ("rid", np.int32), ("size", np.int32), ("low", np.int64), ("high", np.int64)])
 _SPAN = np.dtype([("rid", np.int32), ("at", np.int32), ("size", np.int32), ("doc", np.int64)])
 
@@ -53,7 +53,8 @@ class _Part:
         self.length = length
         starts, sizes, grams, doc, last = [], [], [], [], []
         self.base = np.concatenate(([0], np.cumsum([len(t) for t in self.texts]))).astype(np.int64)
-        self.data = np.frombuffer(b"".join(self.texts), np.uint8)
+        joined = b"".join(self.texts)
+        self.data, self.view = np.frombuffer(joined, np.uint8), memoryview(joined)
         k = 0
         for numbers, some in blocks(list(range(len(self.texts))), self.texts):
             s, n, m, d = self._segments(self.base[numbers[0]], self.base[numbers[-1] + 1], numbers)
@@ -76,10 +77,9 @@ class _Part:
         self.chunk_start = self.start[self.chunk_first]
         self.chunk_end = self.start[ends - 1] + self.size[ends - 1] + length - 1 if n else at[:0]
         self.chunk_doc = self.ids[self.doc[self.chunk_first]]
-        view = memoryview(self.data.tobytes())
+        view = self.view
         digest = hashlib.blake2b
         self.chunk_hash = np.frombuffer(b"".join(digest(view[a:b], digest_size=16).digest() for a, b in zip(self.chunk_start.tolist(), self.chunk_end.tolist(), strict=True)), np.dtype([("c1", U), ("c2", U)]))
-        self.view = view
 
     def _segments(self, lo: int, hi: int, numbers: list[int]):
         length, width = self.length, self.length - GRAM + 1
@@ -137,9 +137,12 @@ class _Part:
         order = np.argsort(self.gram, kind="stable")
         m, tag = self.gram[order], tag[order]
         head = np.flatnonzero(np.concatenate((np.ones(min(len(m), 1), bool), m[1:] != m[:-1])))
-        out = np.empty(len(head), _GRAM)
-        if len(head):
-            out["m"], out["lo"], out["hi"] = m[head], np.minimum.reduceat(tag, head), np.maximum.reduceat(tag, head)
+        if not len(head):
+            return np.empty(0, _GRAM)
+        lo, hi = np.minimum.reduceat(tag, head), np.maximum.reduceat(tag, head)
+        two = lo != hi
+        out = np.empty(len(head) + int(two.sum()), _GRAM)
+        out["m"], out["tag"] = np.concatenate((m[head], m[head][two])), np.concatenate((lo, hi[two]))
         return out
 
     def settled(self, back: np.ndarray) -> np.ndarray:
@@ -229,7 +232,7 @@ def _compare(table: pa.Table) -> pa.Table:
         head = np.ones(len(x), bool)
         head[1:] = x["m"][1:] != x["m"][:-1]
         at = np.flatnonzero(head)
-        differs = np.minimum.reduceat(x["lo"], at) != np.maximum.reduceat(x["hi"], at)
+        differs = np.minimum.reduceat(x["tag"], at) != np.maximum.reduceat(x["tag"], at)
         shared = differs[np.cumsum(head) - 1]
         rows += [(p, GRAMS, y.tobytes()) for p, _, y in _deal(own[shared].astype(U), x["m"][shared], 1 << 31)]
     return _rows(rows, ("part", "kind", "data"))
@@ -341,6 +344,21 @@ def maximal_repeats(rec: np.ndarray, text: np.ndarray, length: int) -> Iterator[
         yield who[gain], offset[suffix[gain]], size[which[gain]], doc[which[gain]]
 
 
+def _united(who: np.ndarray, at: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Overlapping occurrences in one record that owe to one document, as one stretch of bytes."""
+    order = np.lexsort((at, doc, who))
+    who, at, size, doc = who[order], at[order], size[order], doc[order]
+    if not len(who):
+        return who, at, size, doc
+    new = np.concatenate(([True], (who[1:] != who[:-1]) | (doc[1:] != doc[:-1])))
+    lift = np.cumsum(new) * np.int64(1 << 32)
+    reach = np.maximum.accumulate(at + size + lift)
+    new[1:] |= (at + lift)[1:] > reach[:-1]
+    head = np.flatnonzero(new)
+    last = np.append(head[1:], len(who)) - 1
+    return who[head], at[head], (reach[last] - lift[last]) - at[head], doc[head]
+
+
 def _suffixes(length: int):
     def run(table: pa.Table) -> pa.Table:
         rec, own = _gathered(table, 0, _RECORD)
@@ -363,6 +381,7 @@ def _suffixes(length: int):
             sizes = rec["size"][some].astype(np.int64)
             index = np.repeat(begin[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
             for who, at, size, doc in maximal_repeats(rec[some], text[index], length):
+                who, at, size, doc = _united(who, at, size, doc)
                 span = np.empty(len(who), _SPAN)
                 span["rid"], span["at"], span["size"], span["doc"] = rec["rid"][some][who], at, size, doc
                 rows += [(p, SPANS, x.tobytes()) for p, _, x in _deal(own[some][who].astype(U), span, 1 << 31)]
@@ -399,14 +418,15 @@ def _remove(length: int):
             where = start[which[later]] + x["at"][later]
             np.add.at(edge, where, 1)
             np.add.at(edge, where + x["size"][later], -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        begins = gone.copy()
-        begins[1:] &= ~gone[:-1]
-        begins[part.base[:-1][part.base[:-1] < len(gone)]] = gone[part.base[:-1][part.base[:-1] < len(gone)]]
-        total, runs = np.concatenate(([0], np.cumsum(gone))), np.concatenate(([0], np.cumsum(begins)))
-        kept = [part.texts[k] if total[a] == total[b] else part.data[a:b][~gone[a:b]].tobytes() for k, (a, b) in enumerate(zip(part.base[:-1].tolist(), part.base[1:].tolist(), strict=True))]
-        base = part.base
-        return pa.table([pa.array(part.ids), pa.array(np.diff(base)), pa.array(np.diff(total[base]).astype(np.int64)), pa.array(np.diff(runs[base]).astype(np.int64)), pa.array(kept, pa.binary())], schema=schema)
+        np.cumsum(edge, out=edge)
+        n_removed, n_spans, kept = [], [], []
+        for k, (a, b) in enumerate(zip(part.base[:-1].tolist(), part.base[1:].tolist(), strict=True)):
+            gone = edge[a:b] > 0
+            n = int(gone.sum())
+            n_removed.append(n)
+            n_spans.append(int((gone[1:] & ~gone[:-1]).sum()) + int(gone[0]) if n else 0)
+            kept.append(part.data[a:b][~gone].tobytes() if n else part.texts[k])
+        return pa.table([pa.array(part.ids), pa.array(np.diff(part.base)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], schema=schema)
 
     return run
 
@@ -420,11 +440,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> D
     is empty; a text shorter than ``length`` is kept whole; rows with one id
     do not count as repeats of each other; a null id counts as the smallest.
     """
-    parts = part_count(docs.sparkSession)
+    parts = 2 * part_count(docs.sparkSession)
     dealt = slim(docs).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).repartition(parts, "part")
     entries = dealt.groupBy("part").applyInArrow(_emit(length, parts), "bucket int, part int, kind int, data binary")
     answers = entries.groupBy("bucket").applyInArrow(_compare, "part int, kind int, data binary")
-    records = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_records(length, 4 * parts), "bucket int, part int, kind int, data binary")
+    records = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_records(length, 2 * parts), "bucket int, part int, kind int, data binary")
     spans = records.groupBy("bucket").applyInArrow(_suffixes(length), "part int, kind int, data binary")
     out = dealt.groupBy("part").cogroup(answers.unionByName(spans).groupBy("part")).applyInArrow(_remove(length), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     kept = F.sha2("kept", 256).alias("kept_sha256") if digest else F.col("kept")
