@@ -27,7 +27,7 @@ GROUPS, WIDTH = 8, 2
 #: Share of equal minhashes from which two colliding documents belong to one family.
 FAMILY = 0.5
 #: Documents of a family that one task compares with as many others.
-FAMILY_BLOCK = 1500
+FAMILY_BLOCK = 1000
 _SIG = "id long, n_shingles long, h1 long, h2 long, sig binary"
 
 
@@ -73,8 +73,9 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([x.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
 
-def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a left and a right set with ``den * |intersection| >= num * |union|``, found by matrix products."""
+def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each set the smallest one it is connected with, by pairs of a left and a right set with
+    ``den * |intersection| >= num * |union|``.  All pairs are decided, by matrix products; none is put out."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), size)
@@ -98,12 +99,16 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int
         x[where_l[o[in_l]], t[in_l]] = 1
         y[where_r[o[in_r]], t[in_r]] = 1
         both += x @ y.T
-    common = both.astype(np.int64)
-    union = size[left][:, None] + size[right][None, :] - common
-    i, j = np.nonzero(den * common >= num * union)
-    i, j = left[i], right[j]
-    keep = i != j
-    yield i[keep], j[keep]
+    # Sizes are far below 2**24, so the products are whole numbers.
+    link = (den + num) * both.astype(np.int64) >= num * (size[left][:, None] + size[right][None, :])
+    label = np.arange(len(sets), dtype=np.int32)
+    far = np.int32(len(sets))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, left, np.where(link, label[right][None, :], far).min(axis=1, initial=far))
+        np.minimum.at(label, right, np.where(link, label[left][:, None], far).min(axis=0, initial=far))
+        if (label == before).all():
+            return label
 
 
 def _confirm(width: int, num: int, den: int):
@@ -128,10 +133,10 @@ def _confirm(width: int, num: int, den: int):
                 continue
             mine = np.array(some)
             left, right = np.flatnonzero(own[mine] == lo[mine]), np.flatnonzero(own[mine] == hi[mine])
-            for i, j in _links([sets[k] for k in some], left, right, num, den):
-                a, b = graph.forest(ids[mine[i]], ids[mine[j]])
-                out_a.append(a)
-                out_b.append(b)
+            label = _linked([sets[k] for k in some], left, right, num, den)
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            out_a.append(ids[mine[moved]])
+            out_b.append(ids[mine[label[moved]]])
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
 

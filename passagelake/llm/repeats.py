@@ -440,11 +440,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> D
     is empty; a text shorter than ``length`` is kept whole; rows with one id
     do not count as repeats of each other; a null id counts as the smallest.
     """
-    parts = 2 * part_count(docs.sparkSession)
+    buckets = part_count(docs.sparkSession)
+    parts = 2 * buckets
     dealt = slim(docs).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).repartition(parts, "part")
-    entries = dealt.groupBy("part").applyInArrow(_emit(length, parts), "bucket int, part int, kind int, data binary")
+    entries = dealt.groupBy("part").applyInArrow(_emit(length, buckets), "bucket int, part int, kind int, data binary")
     answers = entries.groupBy("bucket").applyInArrow(_compare, "part int, kind int, data binary")
-    records = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_records(length, 2 * parts), "bucket int, part int, kind int, data binary")
+    records = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_records(length, 2 * buckets), "bucket int, part int, kind int, data binary")
     spans = records.groupBy("bucket").applyInArrow(_suffixes(length), "part int, kind int, data binary")
     out = dealt.groupBy("part").cogroup(answers.unionByName(spans).groupBy("part")).applyInArrow(_remove(length), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     kept = F.sha2("kept", 256).alias("kept_sha256") if digest else F.col("kept")

@@ -42,8 +42,16 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows that a Python task is handed at once, so that a batch of texts takes a few MB.
+BATCH_ROWS = 2000
+
+
 def slim(docs: DataFrame, *extra: str) -> DataFrame:
-    """``(id, text)``: ids as long, a null id as the smallest long, a null text as the empty one."""
+    """``(id, text)``: ids as long, a null id as the smallest long, a null text as the empty one.
+
+    Bounds the session's Arrow batches, which otherwise hold 10,000 whole texts.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return docs.select(
         F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("id"),
         F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"),
