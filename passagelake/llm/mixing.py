@@ -104,7 +104,7 @@ def _slots_to_rows(scratch: Scratch, rows: DataFrame, sources: DataFrame, total:
     want = want.withColumn("rounds", F.when(F.col("source_size") > 0, F.floor(F.col("aim") / F.col("source_size"))).otherwise(0))
     want = want.withColumn("rest", F.col("aim") - F.col("rounds") * F.col("source_size"))
     want = want.withColumn("need", F.col("rounds") * F.col("blocks") + F.ceil(F.col("rest") / block))
-    want = want.selectExpr("*", "sum(target) over (order by number) / sum(target) over () as upto", "(sum(target) over (order by number) - target) / sum(target) over () as since")
+    want = want.selectExpr("*", "sum(target) over (order by number) / nullif(sum(target) over (), 0) as upto", "(sum(target) over (order by number) - target) / nullif(sum(target) over (), 0) as since")
     want = scratch.keep(want, "want")
 
     # The schedule: golden-ratio points through the cumulative shares, ranked within their source.
