@@ -10,7 +10,8 @@ of suffixes with a common prefix of at least ``length`` bytes that cannot be
 extended to the left by one common byte is a maximal repeat, and is put out
 with all its occurrences and the smallest document that holds it.
 
-Documents are dealt to parts by a hash of their id.  A task sees a whole part
+Documents are dealt to parts by a hash of their id; the number of parts and
+buckets follows the bytes of the texts, not the session's settings.  A task sees a whole part
 and passes on each chunk, minimiser or segment once, so content that a third of
 all documents share reaches its bucket once for each part.
 """
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import part_count, real_id, slim
+from .scratch import parts_by_size, real_id, slim
 from .textvec import U, arrow_texts, blocks, mix
 
 #: Bytes of a minimiser's gram.
@@ -36,6 +37,8 @@ RUN, CHUNK = 35, 64
 CUT = 16
 #: Suffixes that are sorted together.
 SORT = 150_000
+#: Text bytes of a part, which one task holds at a time.
+PART_BYTES = 8 << 20
 CHUNKS, GRAMS, SPANS = 0, 1, 2
 _CHUNK = np.dtype([("c1", U), ("c2", U), ("doc", np.int64)])
 _GRAM = np.dtype([("m", U), ("tag", np.uint32)])
@@ -431,7 +434,7 @@ def _remove(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts in a document of a smaller id.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes left; with
@@ -440,12 +443,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> D
     is empty; a text shorter than ``length`` is kept whole; rows with one id
     do not count as repeats of each other; a null id counts as the smallest.
     """
-    buckets = part_count(docs.sparkSession)
-    parts = 2 * buckets
-    dealt = slim(docs).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).repartition(parts, "part")
+    texts = slim(docs)
+    parts = parts_by_size(texts, part_bytes)
+    buckets = -(-parts // 2)
+    dealt = texts.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).repartition(parts, "part")
     entries = dealt.groupBy("part").applyInArrow(_emit(length, buckets), "bucket int, part int, kind int, data binary")
     answers = entries.groupBy("bucket").applyInArrow(_compare, "part int, kind int, data binary")
-    records = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_records(length, 2 * buckets), "bucket int, part int, kind int, data binary")
+    records = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_records(length, parts), "bucket int, part int, kind int, data binary")
     spans = records.groupBy("bucket").applyInArrow(_suffixes(length), "part int, kind int, data binary")
     out = dealt.groupBy("part").cogroup(answers.unionByName(spans).groupBy("part")).applyInArrow(_remove(length), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     kept = F.sha2("kept", 256).alias("kept_sha256") if digest else F.col("kept")

@@ -67,3 +67,9 @@ def real_id(name: str = "id"):
 def part_count(spark: SparkSession) -> int:
     """Pieces that a table is dealt out to: the session's shuffle partitions, which scale with the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def parts_by_size(texts: DataFrame, part_bytes: int) -> int:
+    """Pieces of about ``part_bytes`` that the texts of ``(id, text)`` make up: one number, counted over all rows."""
+    total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(1, -(-total // part_bytes))

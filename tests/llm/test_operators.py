@@ -64,7 +64,8 @@ def test_repeats(docs, empty, rows):
                 gone[k : k + 50] = b"\1" * 50
         kept = bytes(c for c, g in zip(b, gone) if not g)
         want[r[0], len(b), sum(gone), len(bytes(gone).replace(b"\0", b" ").split()), hashlib.sha256(kept).hexdigest()] += 1
-    assert Counter(map(tuple, repeats.remove_repeats(docs, digest=True).collect())) == want
+    for part_bytes in (repeats.PART_BYTES, 3000):  # one part, and several that exchange chunks and segments
+        assert Counter(map(tuple, repeats.remove_repeats(docs, digest=True, part_bytes=part_bytes).collect())) == want
     assert repeats.remove_repeats(empty).count() == 0
 
 
