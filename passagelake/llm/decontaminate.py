@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import NULL_ID, real_id, slim
+from .scratch import NULL_ID, real_id, slim, tidy
 from .textvec import U, Words, arrow_texts, blocks, mix, seeds
 from .toxicity import _BREAK
 
@@ -176,7 +176,7 @@ def _search(docs: DataFrame, items: Items) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[f for f, _ in fields])
 
-    return docs.mapInArrow(run, _OUT)
+    return docs.mapInArrow(tidy(run), _OUT)
 
 
 def _item_blocks(benchmark: DataFrame) -> Iterator[Items]:
@@ -223,4 +223,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         keep[numbers[x[0]]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema) if held else docs
+    return docs.mapInArrow(tidy(run), docs.schema) if held else docs

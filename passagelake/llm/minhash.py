@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import graph
 from .collide import colliding
-from .scratch import Scratch, part_count, real_id, slim
+from .scratch import Scratch, part_count, real_id, slim, tidy
 from .textvec import U, Words, arrow_texts, blocks, minhashes, mix, set_hash, shingles
 
 #: Minhash groups of a collection, and minhashes of a group: a pair of similarity s misses both
@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     """
     spark = docs.sparkSession
     scratch, parts = Scratch(spark, "minhash"), part_count(spark)
-    sigs = scratch.keep(slim(docs).mapInArrow(_signatures(width), _SIG), "sigs")
+    sigs = scratch.keep(slim(docs).mapInArrow(tidy(_signatures(width)), _SIG), "sigs")
     # Documents with one shingle set are one vertex, the smallest id stands for them.
     classes = sigs.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("id", "sig")).alias("s"))
     reps = scratch.keep(classes.select(F.col("s.id").alias("id"), "h1", "h2", F.col("s.sig").alias("sig")), "reps")
@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     pairs = scratch.keep(colliding(reps.select("id", "sig"), _table_keys, parts), "pairs")
     sig = reps.select("id", "sig")
     near = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    family = graph.components(near.select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"), scratch, "family")
+    family = graph.components(near.select("a", "b", "sa", "sb").mapInArrow(tidy(_alike), "a long, b long"), scratch, "family")
 
     # Families of any size: members are dealt to blocks by hash, and a task compares two blocks.
     members = family.union(family.select(F.col("component").alias("id"), "component").distinct())

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, part_count, slim
+from .scratch import Scratch, part_count, slim, tidy
 from .textvec import U, mix
 from .tokens import VOCABULARY, Coder, code_points, lots, pretoken_starts
 
@@ -92,9 +92,13 @@ def _pieces(length: int, key: int, total: int):
 
 
 _RECORD = "slot long, sequence long, shard long, n_tokens int, record binary"
+_DIGEST = "slot long, sequence long, shard long, n_tokens int, sha256 string"
 
 
-def _assemble(length: int, per_shard: int):
+def _assemble(length: int, per_shard: int, digest: bool):
+    names = [c.split()[0] for c in (_DIGEST if digest else _RECORD).split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string() if digest else pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, index, got = None, None, []
         rows: list[tuple] = []
@@ -102,11 +106,11 @@ def _assemble(length: int, per_shard: int):
         def record():
             data = b"".join(got)
             n = len(data) // 2
-            rows.append((slot, index, slot // per_shard, n, data + np.full(length - n, END, np.uint16).tobytes()))
+            data += np.full(length - n, END, np.uint16).tobytes()
+            rows.append((slot, index, slot // per_shard, n, hashlib.sha256(data).hexdigest() if digest else data))
 
         def batch_of():
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _RECORD.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
             for s, i, t in zip(batch.column("slot").to_pylist(), batch.column("index").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
@@ -126,18 +130,19 @@ def _assemble(length: int, per_shard: int):
     return run
 
 
-def training_order(docs: DataFrame, key: int = 1, length: int = SEQUENCE, vocabulary: str = VOCABULARY, per_shard: int | None = None) -> DataFrame:
+def training_order(docs: DataFrame, key: int = 1, length: int = SEQUENCE, vocabulary: str = VOCABULARY, per_shard: int | None = None, digest: bool = False) -> DataFrame:
     """``slot, sequence, shard, n_tokens, record``: every sequence of the corpus, in order of slots within each partition.
 
     A partition holds one shard of ``per_shard`` slots (by default as many shards
     as the session has shuffle partitions).  ``record`` is ``2 * length`` bytes of
     little-endian uint16; the last sequence is filled with end marks, which
-    ``n_tokens`` does not count.  Sequences are numbered in the order the input is
+    ``n_tokens`` does not count; with ``digest`` a column ``sha256`` of it takes its
+    place, made as records are assembled.  Sequences are numbered in the order the input is
     read.  A null or empty text is one end mark; an empty table has no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "order")
-    tokens = scratch.keep(slim(docs).select("text").mapInArrow(_encode(vocabulary), "part int, at long, n long, tokens binary"), "tokens")
+    tokens = scratch.keep(slim(docs).select("text").mapInArrow(tidy(_encode(vocabulary)), "part int, at long, n long, tokens binary"), "tokens")
     sums = tokens.groupBy("part").agg(F.sum("n").alias("n"))
     total = sums.agg(F.sum("n")).first()[0] or 0
     n = max(1, -(-total // length))
@@ -145,10 +150,10 @@ def training_order(docs: DataFrame, key: int = 1, length: int = SEQUENCE, vocabu
     # One row for each task that read the input, whatever the size of its rows.
     base = sums.selectExpr("part", "sum(n) over (order by part) - n as base")
     placed = tokens.join(F.broadcast(base), "part").select((F.col("base") + F.col("at")).alias("at"), "tokens")
-    pieces = placed.mapInArrow(_pieces(length, key, total), "index long, slot long, at int, tokens binary")
+    pieces = placed.mapInArrow(tidy(_pieces(length, key, total)), "index long, slot long, at int, tokens binary")
     shards = -(-n // per_shard)
     dealt = pieces.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int")).repartitionById(shards, "shard").sortWithinPartitions("slot", "at")
-    return dealt.select("slot", "index", "tokens").mapInArrow(_assemble(length, per_shard), _RECORD)
+    return dealt.select("slot", "index", "tokens").mapInArrow(tidy(_assemble(length, per_shard, digest)), _DIGEST if digest else _RECORD)
 
 
 def write_shards(records: DataFrame, path: str) -> int:
@@ -169,11 +174,5 @@ def read_shard(spark, file: str, stride: int, first: int = 0):
 
 
 def order_digest(docs: DataFrame, **options) -> DataFrame:
-    """One row per sequence: ``slot, sequence, shard, offset`` (records before it in its shard)``, n_tokens, sha256``."""
-    records = training_order(docs, **options)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            yield pa.RecordBatch.from_arrays([*x.columns[:4], pa.array([hashlib.sha256(r).hexdigest() for r in x.column("record").to_pylist()])], names=["slot", "sequence", "shard", "n_tokens", "sha256"])
-
-    return records.mapInArrow(digest, "slot long, sequence long, shard long, n_tokens int, sha256 string")
+    """One row per sequence: ``slot, sequence, shard, n_tokens, sha256`` of its record."""
+    return training_order(docs, digest=True, **options)

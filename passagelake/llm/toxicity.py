@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import real_id, slim
+from .scratch import give_back, real_id, slim, tidy
 from .textvec import U, Words, arrow_texts, blocks, mix
 
 WINDOW, STRIDE = 32, 24
@@ -323,7 +323,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
     # Bounded: at most the sampled rows, by their limit.
     got = slim(docs).join(F.broadcast(few), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
     got.sort(key=lambda r: r["id"])
-    return train([r["text"].encode() for r in got], np.array([r["toxic"] for r in got], np.int64))
+    model = train([r["text"].encode() for r in got], np.array([r["toxic"] for r in got], np.int64))
+    del got
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
@@ -338,7 +341,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
             texts = [t or b"" for t in arrow_texts(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(held.value, texts))], names=[*batch.schema.names, "score"])
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(tidy(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
