@@ -241,12 +241,14 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 3) -> dict[str, np
             lots.append((t, np.array(numbers), f))
             for j, k in enumerate(numbers):
                 own = np.unique(t.of[t.text_first[j] : t.text_first[j + 1]])
-                words.append((np.unique(t.word[own]), int(labels[k]), f))
-                grams.append((np.unique(t.gram[t.grams_of(own)]), int(labels[k]), f))
+                words.append((np.unique(t.word[own]).astype(np.int32), int(labels[k]), f))
+                grams.append((np.unique(t.gram[t.grams_of(own)]).astype(np.int32), int(labels[k]), f))
     for name, seen in (("word_odds", words), ("gram_odds", grams)):
         m[name] = _odds([(s, y) for s, y, _ in seen])
         for f in (0, 1):
             m[f"{name}{f}"] = _odds([(s, y) for s, y, g in seen if g != f])
+        seen.clear()  # the sets of all texts outweigh the model many times
+    give_back()
     weight = np.array([CLEAN_WEIGHT / (labels == 0).sum(), 1 / (labels == 1).sum()]) * len(labels) / (1 + CLEAN_WEIGHT)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in m.items() if "odds" not in k}
     step = 0
