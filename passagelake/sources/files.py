@@ -77,8 +77,8 @@ def read_files(spark: SparkSession, root: str, patterns: Sequence[str] = (), exc
     """``id, source, title, text, encoding, suffix, size, truncated`` of the text files below ``root``.
 
     Binary files are left out.  ``limit`` keeps the first files by path.  Names
-    are judged before contents are read; unreadable files are skipped, and so are
-    empty ones, which Spark does not list.
+    are judged before contents are read; unreadable files are skipped.  Spark does
+    not list empty files and names that begin with a dot or an underscore.
     """
     listed = list_files(spark, root, patterns, exclude).where("verdict = 'take'").select("path", "name")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root)

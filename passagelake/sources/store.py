@@ -1,9 +1,9 @@
 """A passage store of Parquet snapshots: writers add a version, readers hold the one they opened.
 
 A version is a folder ``v<n>`` with the tables ``documents`` and ``chunks``.  It
-counts once its ``_PUBLISHED`` file is there, which a rename within the store
-puts in place last: a writer that dies leaves an unpublished folder behind, and
-of two writers of one version the second one fails.
+counts once a rename within the store has put it in place, whole: a writer that
+dies leaves only a ``_made-*`` folder behind.  Meant for one writer at a time: a
+version that is there is refused, but two renames at one moment are not told apart.
 """
 
 from __future__ import annotations

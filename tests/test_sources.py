@@ -17,7 +17,7 @@ def folder(tmp_path):
         "sub/wide.txt": "two bytes each".encode("utf-16"),
         "sub/pic.png": b"\x89PNG\r\n\x1a\n\0\0\0",
         "sub/empty.txt": b"",
-        ".env": b"KEY=1",
+        "secrets.txt": b"KEY=1",
         "node_modules/x.txt": b"left out",
     }
     for name, data in put.items():
@@ -34,7 +34,7 @@ def test_read_files(spark, folder):
     assert {r["title"] for r in files.read_files(spark, folder, ["*.txt"]).collect()} == {"B.TXT", "gbk.txt", "wide.txt"}
     assert files.read_files(spark, folder, limit=2).count() == 2
     verdicts = [{r["name"]: r["verdict"] for r in files.list_files(spark, folder, **kw).collect()} for kw in ({}, {"exclude": ()})]
-    assert [v["x.txt"] for v in verdicts] == ["excluded", "take"] and [v[".env"] for v in verdicts] == ["sensitive"] * 2
+    assert [v["x.txt"] for v in verdicts] == ["excluded", "take"] and [v["secrets.txt"] for v in verdicts] == ["sensitive"] * 2
 
 
 def test_store(spark, tmp_path):
