@@ -45,8 +45,8 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows that a Python task is handed at once, so that a batch of texts takes a few MB.
-BATCH_ROWS = 2000
+#: Rows and bytes that a Python task is handed at once.  A longer single text makes a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def slim(docs: DataFrame, *extra: str) -> DataFrame:
@@ -54,7 +54,9 @@ def slim(docs: DataFrame, *extra: str) -> DataFrame:
 
     Bounds the session's Arrow batches, which otherwise hold 10,000 whole texts.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return docs.select(
         F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("id"),
         F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"),
