@@ -40,16 +40,18 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str, most_rounds: int = 60, contracted: bool = False) -> DataFrame:
     """``(id, component)`` for every vertex that is not the smallest of its component.
 
     Alternates large-star and small-star steps, with one written table a round;
-    edges that share a task are contracted first.  ``edges`` has long columns
+    edges that share a task are contracted first, unless a Python task gives them
+    ``contracted`` and needs no second one beside it.  ``edges`` has long columns
     ``a`` and ``b`` without nulls; loops and repeats are allowed.  A hub is met
     only in aggregations and in joins whose other side is unique, which Spark
     splits when skewed.
     """
-    e = scratch.keep(edges.where("a <> b").mapInArrow(_contract, _EDGE), f"{name}-0")
+    e = edges.where("a <> b")
+    e = scratch.keep(e if contracted else e.mapInArrow(_contract, _EDGE), f"{name}-0")
     seen = None
     for k in range(1, most_rounds):
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -70,7 +70,8 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in batches:
         s, t = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint32).reshape(-1, n) for c in ("sa", "sb"))
         keep = (s == t).sum(axis=1) >= FAMILY * n
-        yield pa.RecordBatch.from_arrays([x.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+        a, b = graph.forest(*(x.column(c).to_numpy()[keep] for c in ("a", "b")))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -138,7 +139,8 @@ def _confirm(width: int, num: int, den: int):
             out_a.append(ids[mine[moved]])
             out_b.append(ids[mine[label[moved]]])
         none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+        a, b = graph.forest(np.concatenate([none, *out_a]), np.concatenate([none, *out_b]))
+        return pa.table({"a": a, "b": b})
 
     return run
 
@@ -164,7 +166,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     pairs = scratch.keep(colliding(reps.select("id", "sig"), _table_keys, parts), "pairs")
     sig = reps.select("id", "sig")
     near = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    family = graph.components(near.select("a", "b", "sa", "sb").mapInArrow(tidy(_alike), "a long, b long"), scratch, "family")
+    family = graph.components(near.select("a", "b", "sa", "sb").mapInArrow(tidy(_alike), "a long, b long"), scratch, "family", contracted=True)
 
     # Families of any size: members are dealt to blocks by hash, and a task compares two blocks.
     members = family.union(family.select(F.col("component").alias("id"), "component").distinct())
@@ -177,7 +179,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     texts = members.join(slim(docs), "id")
     texts = texts.withColumn("task", F.pmod(F.xxhash64("family", "lo", "hi"), F.lit(8 * parts)))
     links = texts.groupBy("task").applyInArrow(_confirm(width, num, den), "a long, b long")
-    found = graph.components(links, scratch, "linked")
+    found = graph.components(links, scratch, "linked", contracted=True)
 
     rep = classes.select("h1", "h2", "n_shingles", F.col("s.id").alias("rep"))
     label = rep.join(found, rep["rep"] == found["id"], "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
