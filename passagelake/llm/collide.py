@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .scratch import tidy, tidy_group
 from .textvec import U, mix
 
 #: Entries that a task gathers before it sorts and deals them out.
@@ -92,4 +93,4 @@ def colliding(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[tupl
         a, b = _unique_edges(np.concatenate((a, joined(xs, EDGES, np.int64))), np.concatenate((b, joined(ys, EDGES, np.int64))))
         return pa.table({"a": a, "b": b})
 
-    return rows.mapInArrow(deal, _ROW).groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    return rows.mapInArrow(tidy(deal), _ROW).groupBy("bucket").applyInArrow(tidy_group(meet), "a long, b long").distinct()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, tidy
 
 _EDGE = "a long, b long"
 
@@ -51,7 +51,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str, most_rounds: int =
     splits when skewed.
     """
     e = edges.where("a <> b")
-    e = scratch.keep(e if contracted else e.mapInArrow(_contract, _EDGE), f"{name}-0")
+    e = scratch.keep(e if contracted else e.mapInArrow(tidy(_contract), _EDGE), f"{name}-0")
     seen = None
     for k in range(1, most_rounds):
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -61,7 +61,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str, most_rounds: int =
         mins = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(mins, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
         out = small.union(mins.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        e = scratch.keep(out.mapInArrow(_contract, _EDGE).distinct(), f"{name}-{k}")
+        e = scratch.keep(out.mapInArrow(tidy(_contract), _EDGE).distinct(), f"{name}-{k}")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if k > 1:
             scratch.drop(f"{name}-{k - 2}")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import graph
 from .collide import colliding
-from .scratch import Scratch, part_count, real_id, slim, tidy
+from .scratch import Scratch, part_count, real_id, slim, tidy, tidy_group
 from .textvec import U, Words, arrow_texts, blocks, minhashes, mix, set_hash, shingles
 
 #: Minhash groups of a collection, and minhashes of a group: a pair of similarity s misses both
@@ -88,7 +88,7 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: in
     often = np.bincount(term) > 1
     keep = often[term]
     owner, term = owner[keep], (np.cumsum(often) - 1)[term[keep]]
-    n_terms, step = int(often.sum()), 4096
+    n_terms, step = int(often.sum()), 1024
     both = np.zeros((len(left), len(right)), np.float32)
     where_l, where_r = np.full(len(sets), -1), np.full(len(sets), -1)
     where_l[left], where_r[right] = np.arange(len(left)), np.arange(len(right))
@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     members = members.join(reps.select("id", "h1", "h2"), "id")
     texts = members.join(slim(docs), "id")
     texts = texts.withColumn("task", F.pmod(F.xxhash64("family", "lo", "hi"), F.lit(8 * parts)))
-    links = texts.groupBy("task").applyInArrow(_confirm(width, num, den), "a long, b long")
+    links = texts.groupBy("task").applyInArrow(tidy_group(_confirm(width, num, den)), "a long, b long")
     found = graph.components(links, scratch, "linked", contracted=True)
 
     rep = classes.select("h1", "h2", "n_shingles", F.col("s.id").alias("rep"))
