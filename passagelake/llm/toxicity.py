@@ -33,7 +33,7 @@ CLEAN_WEIGHT = 2.0
 #: Embeddings learn at this part of the rate, less by the square for samples under SLOW_ROWS: faster ones learn rare words by heart.
 SLOW, SLOW_ROWS = 0.1, 2500
 #: Windows that one step of the network reads together.
-TOGETHER = 8192
+TOGETHER = 1024
 
 _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -45,6 +45,7 @@ class Tokens:
     def __init__(self, texts: list[bytes]):
         w = Words(texts, space=_BREAK)
         h, first, self.of = np.unique(w.hashes(), return_index=True, return_inverse=True) if len(w.start) else (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.of = self.of.astype(np.int32)
         self.text_first = w.first
         self.word = (h >> U(64 - BITS)).astype(np.int64)
         size = (w.end - w.start)[first]
@@ -65,7 +66,7 @@ class Tokens:
             owner.append(own)
         grams, owner = np.concatenate(grams), np.concatenate(owner)
         order = np.argsort(owner, kind="stable")
-        self.gram, self.gram_of = grams[order], owner[order]
+        self.gram, self.gram_of = grams[order].astype(np.int32), owner[order].astype(np.int32)
         self.gram_first = np.searchsorted(self.gram_of, np.arange(len(size)))
         self.gram_count = np.bincount(self.gram_of, minlength=len(size))
 
@@ -248,12 +249,14 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 3) -> dict[str, np
         for f in (0, 1):
             m[f"{name}{f}"] = _odds([(s, y) for s, y, g in seen if g != f])
         seen.clear()  # the sets of all texts outweigh the model many times
+    n_texts = len(texts)
+    del texts
     give_back()
     weight = np.array([CLEAN_WEIGHT / (labels == 0).sum(), 1 / (labels == 1).sum()]) * len(labels) / (1 + CLEAN_WEIGHT)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in m.items() if "odds" not in k}
     step = 0
-    slow = SLOW * min(1.0, len(texts) / SLOW_ROWS) ** 2
-    epochs = max(EPOCHS, -(-STEPS * BATCH // len(texts)))  # a small sample is read more often
+    slow = SLOW * min(1.0, n_texts / SLOW_ROWS) ** 2
+    epochs = max(EPOCHS, -(-STEPS * BATCH // n_texts))  # a small sample is read more often
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs) + 0.001
         for t, numbers, f in lots:
@@ -325,9 +328,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
     # Bounded: at most the sampled rows, by their limit.
     got = slim(docs).join(F.broadcast(few), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
     got.sort(key=lambda r: r["id"])
-    model = train([r["text"].encode() for r in got], np.array([r["toxic"] for r in got], np.int64))
+    known = np.array([r["toxic"] for r in got], np.int64)
+    handed = [[r["text"].encode() for r in got]]
     del got
     give_back()
+    model = train(handed.pop(), known)  # which frees the texts once it has their tokens
+    give_back()
     return model
 
 
