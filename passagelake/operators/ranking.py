@@ -27,12 +27,17 @@ def document_terms(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def inverse_frequencies(terms: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """``term, df, idf``: ln((N - df + .5) / (df + .5)); not above zero: epsilon times the vocabulary's mean, or epsilon."""
-    n = terms.agg(F.count("*").alias("n"))
-    df = terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(n).withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row
+    # Each document also counts under the empty term, which no text holds: N comes from the same
+    # aggregation, whose exchange all three uses share, so the texts are read once.
+    marked = terms.select(F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term")).where("term is not null")
+    df = marked.groupBy("term").agg(F.count("*").alias("df"))
+    n = df.agg(F.max(F.when(F.col("term") == "", F.col("df"))).alias("n"))
+    value = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    raw = df.crossJoin(n).withColumn("raw", F.when(F.col("term") != "", value))  # one row
     mean = raw.agg((F.lit(epsilon) * F.avg("raw")).alias("floor"))
     floor = F.when(F.col("floor") > 0, F.col("floor")).otherwise(F.lit(epsilon))
-    return raw.crossJoin(mean).select("term", "df", F.when(F.col("raw") > 0, F.col("raw")).otherwise(floor).alias("idf"))
+    idf = F.when(F.col("raw") > 0, F.col("raw")).otherwise(floor)
+    return raw.crossJoin(mean).where("raw is not null").select("term", "df", idf.alias("idf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
