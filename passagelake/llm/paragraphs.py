@@ -2,8 +2,8 @@
 
 Paragraphs are runs of sentences that end where the content says so (a hash of a
 sentence's last words) or at a line's end, so a passage is cut alike wherever it stands.
-Equal paragraphs are one vertex.  Bands propose pairs; their full five-word shingle sets decide;
-of each component of linked paragraphs one stays.
+Equal paragraphs are one vertex.  Bands propose families; the full five-word shingle sets of all
+pairs of a family decide; of each component of linked paragraphs one stays.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from . import graph
 from .collide import colliding
+from .families import linked_within
+from .minhash import _linked
 from .scratch import Scratch, part_count, real_id, slim
 from .textvec import U, Words, arrow_texts, blocks, minhashes, mix, seeds
 
@@ -134,15 +136,8 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    num, den = SIMILAR
-    for x in batches:
-        keep = []
-        for s, t in zip(x.column("sa").to_pylist(), x.column("sb").to_pylist(), strict=True):
-            s, t = np.frombuffer(s, U), np.frombuffer(t, U)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            keep.append(den * both >= num * (len(s) + len(t) - both))
-        yield pa.RecordBatch.from_arrays([x.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+def _similar(data: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return _linked([np.frombuffer(x, U) for x in data], left, right, *SIMILAR)
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
@@ -168,9 +163,10 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     spoken = ends.join(classes, "key").select("one.id", F.struct("one.number", "key").alias("w")).groupBy("id").agg(F.collect_list("w").alias("wanted"))
     sets = slimmed.join(spoken, "id").select("text", "wanted").mapInArrow(_shingle_sets, "key long, shingles binary").dropDuplicates(["key"])
     sets = scratch.keep(sets, "sets")
-    near = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
-    links = near.select("a", "b", "sa", "sb").mapInArrow(_verified, "a long, b long")
-    found = graph.components(links, scratch, "linked")
+    # A band's rows meet their leader only, so whatever meets is one family, and all pairs of a family are decided.
+    family = graph.components(pairs, scratch, "family")
+    links = linked_within(family, sets.select(F.col("key").alias("id"), F.col("shingles").alias("data")), _similar, parts)
+    found = graph.components(links, scratch, "linked", contracted=True)
 
     linked = found.union(found.select(F.col("component").alias("id"), "component").distinct()).select(F.col("id").alias("key"), "component")
     # Keys of one document only that are linked with no other cannot be in a row of the result.

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import regex
 
-from passagelake.llm import decontaminate, editwalk, graph, lines, minhash, mixing, order, paragraphs, repeats, tokens, toxicity
+from passagelake.llm import decontaminate, editwalk, families, graph, lines, minhash, mixing, order, paragraphs, repeats, tokens, toxicity
 from passagelake.llm.scratch import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sig binary, id int, part string"
@@ -279,6 +279,29 @@ def test_paragraphs(docs, empty, spark):
     assert paragraphs.repeated_paragraphs(empty).count() == 0
 
 
+def test_paragraph_variants_are_compared_with_each_other(spark, monkeypatch):
+    monkeypatch.setattr(families, "FAMILY_BLOCK", 16)
+    rng = random.Random(4)
+    rows, sets = [], {}
+    for f in range(12):
+        base = [f"f{f}w{k}" for k in range(60)]
+        for v in range(12):
+            t = list(base)
+            for _ in range(v and 1 + v % 2):
+                t[rng.randrange(60)] = f"n{rng.randrange(10**9)}"
+            i = f * 100 + v
+            rows.append((i, " ".join(t), "en", "s", 0, b"", 1, ""))
+            sets[i] = {tuple(t[k : k + 5]) for k in range(56)}
+    near = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    up = {i: i for i in sets}
+    for _ in range(12):
+        for a, b in near:
+            up[a] = up[b] = min(up[a], up[b])
+    want = {i: up[i] for i in up if list(up.values()).count(up[i]) > 1}
+    got = {r.doc_id: r.kept_doc_id for r in paragraphs.repeated_paragraphs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
