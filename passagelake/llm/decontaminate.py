@@ -1,8 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Texts become templates: numbers, units after numbers, and names (capitalised words
-inside a sentence) are replaced by typed placeholders.  Windows of ``WIDTH``
-template words of all documents are looked up among the windows of the benchmark.  An
+that are no common opening of a sentence) are replaced by typed placeholders.  Windows of ``WIDTH``
+template words, and of plain words, of all documents are looked up among those of the benchmark.  An
 item is found in a text if at least ``SHARE`` of its windows are; the values in
 its placeholders then must map one to one onto the text's, so that a question asked
 again with other numbers or names is caught and a chance likeness is not.
@@ -27,7 +27,26 @@ from .toxicity import _BREAK
 WIDTH, LITERAL, SHARE = 5, 3, 0.8
 #: Benchmark windows that are sent to all tasks at once; a larger benchmark is searched for in several passes.
 WINDOWS = 1_000_000
-_UNITS = "km m cm mm kg g mg l ml s ms h min kmh mph mi ft in lb oz eur usd gb mb kb w kw v hz percent years year days day hours hour minutes minute".split()
+#: Units, those of one measure together: spelled otherwise a unit is still the same value.
+_UNITS = [
+    x.split() for x in (
+        "km kilometer kilometers kilometre kilometres|m meter meters metre metres|cm centimeter centimeters centimetre centimetres|mm millimeter millimeters|mi mile miles|ft foot feet|in inch inches|yd yard yards|"
+        "kg kilogram kilograms kilo kilos|g gram grams|mg milligram milligrams|lb lbs pound pounds|oz ounce ounces|ton tons tonne tonnes|l liter liters litre litres|ml milliliter milliliters|gallon gallons|cup cups|"
+        "s sec second seconds|ms|min mins minute minutes|h hr hrs hour hours|day days|week weeks|month months|year years|decade decades|century centuries|"
+        "kmh kph|mph|usd dollar dollars|eur euro euros|gbp|cent cents|yen|percent pct|degree degrees|celsius|fahrenheit|k|w watt watts|kw|kwh|v volt volts|a amp amps|ohm ohms|hz|khz|mhz|ghz|"
+        "j joule joules|kj|n newton newtons|pa|kpa|cal kcal calorie calories|mol|byte bytes|bit bits|kb|mb|gb|tb|acre acres|ha hectare hectares"
+    ).split("|")
+]
+#: Words that open sentences and are no names.
+_OPENERS = (
+    "a an the this that these those there here it its he she they we you i his her their our my your and but or nor so yet if then else when while where what which who whom whose why how "
+    "in on at of for to from by with without within into onto over under between among through during before after since until till about above below near as like than because although though unless whether "
+    "each every all any both some many much more most few fewer less several no none not one two three four five six seven eight nine ten half first second third last next another other others such same "
+    "is are was were be been do does did has have had can could will would shall should may might must let suppose assume given consider find compute calculate determine solve evaluate simplify estimate "
+    "write show prove explain describe express convert choose select give name state list use using also now once only just however therefore thus hence meanwhile later earlier finally today yesterday tomorrow "
+    "question answer problem example note please yes"
+).split()
+_UPPER = np.array([chr(c).isupper() for c in range(1 << 16)])
 _NUM, _UNIT, _NAME = (U(x) for x in (0x1111111111111111, 0x2222222222222222, 0x3333333333333333))
 _FILTER = 22
 
@@ -39,76 +58,142 @@ def _flags(buf: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class Template:
-    """Template words of a block of texts: hash, kind (0 literal, 1 number, 2 unit, 3 name) and plain hash of each."""
+    """Template words of a block of texts: hash, kind (0 literal, 1 number, 2 unit, 3 name) and plain hash of each.
+
+    A number holds its separators (1,250 or 2.5), an attached unit is a word of its own,
+    names that follow each other are one.  ``value`` is the plain hash, one for all spellings of a unit; ``parts`` counts words.
+    """
 
     def __init__(self, texts: list[bytes]):
         w = Words(texts, space=_BREAK)
-        self.first, self.plain = w.first, w.hashes()
-        raw, n = w.raw, len(w.start)
-        size = w.end - w.start
-        number = _flags((raw >= 48) & (raw < 58), w.start, w.end) == size
+        raw = w.raw
+        digit = (raw >= 48) & (raw < 58)
+        _detach(w, digit)
+        start, end, plain, n = w.start, w.end, w.hashes(), len(w.start)
+        number = _flags(digit, start, end) == end - start
         upper = (raw >= 65) & (raw < 91)
-        opens = np.zeros(n, bool)
+        opens, unit, name = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
         if n:
             stop = np.isin(raw, np.frombuffer(b".!?:\n", np.uint8))
-            opens[1:] = _flags(stop, w.end[:-1], w.start[1:]) > 0
+            opens[1:] = _flags(stop, end[:-1], start[1:]) > 0
             opens[w.first[:-1][w.first[:-1] < n]] = True
-        name = ~opens & (size > 1) & upper[w.start] & (_flags(upper, w.start, w.end) == 1) if n else opens
-        unit = np.zeros(n, bool)
+            unit[1:] = np.isin(plain[1:], _unit_hashes()[0]) & number[:-1] & ~opens[1:]
+            n_upper = _flags(upper, start, end)
+            shouted = (n_upper == end - start) & (end - start > 1)
+            beside = np.zeros(n, bool)
+            beside[1:] |= shouted[:-1]
+            beside[:-1] |= shouted[1:]
+            # Words in capitals among others like them are shouted text, not names.
+            name = _capital(raw, start) & (_letters(raw, start, end) > 1) & ~(shouted & beside)
+            name &= ~(opens & np.isin(plain, _opener_hashes())) & ~unit
+        kind = np.select([number, unit, name], [1, 2, 3], 0).astype(np.int8)
         if n:
-            unit[1:] = np.isin(self.plain[1:], _unit_hashes()) & number[:-1] & ~opens[1:]
-        self.kind = np.select([number, unit, name], [1, 2, 3], 0).astype(np.int8)
-        self.hash = np.select([number, unit, name], [_NUM, _UNIT, _NAME], self.plain).astype(U)
-
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of windows with enough literal words, the word each begins at, and its text."""
+            same = np.zeros(n, bool)
+            close = start[1:] - end[:-1] == 1
+            gap = raw[end[:-1]]
+            same[1:] = close & (kind[1:] == kind[:-1]) & ((kind[1:] == 1) & np.isin(gap, np.frombuffer(b".,:/", np.uint8)) | (kind[1:] == 3) & (gap == 32))
+            same[w.first[:-1][w.first[:-1] < n]] = False
+            head = np.flatnonzero(~same)
+            self.parts = np.diff(np.append(head, n))
+            w.start, w.end = start[head], end[head + self.parts - 1]
+            w.first = np.searchsorted(head, w.first)
+            kind = kind[head]
+        else:
+            self.parts = np.zeros(0, np.int64)
+        self.first, self.kind, self.plain = w.first, kind, w.hashes()
+        self.hash = np.select([kind == 1, kind == 2, kind == 3], [_NUM, _UNIT, _NAME], self.plain).astype(U)
+        self.value = self.plain.copy()
+        units, measures = _unit_hashes()
+        at = np.flatnonzero(kind == 2)
+        self.value[at] = measures[np.searchsorted(units, self.plain[at])]
+
+    def windows(self, width: int, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of windows, of templates with enough literal words or of plain words, the word each begins at, and its text."""
         n = len(self.hash) - width + 1
         none = np.zeros(0, np.int64)
         if n <= 0:
             return np.zeros(0, U), none, none
-        factor = seeds(width, 41) | U(1)
+        factor = seeds(width, 43 if plain else 41) | U(1)
+        words = self.plain if plain else self.hash
         h = np.zeros(n, U)
         for k in range(width):
-            h += self.hash[k : k + n] * factor[k]
+            h += words[k : k + n] * factor[k]
         h = mix(h + U(width))
         text = np.searchsorted(self.first, np.arange(n), "right") - 1
         upto = np.concatenate(([0], np.cumsum(self.kind == 0)))
-        good = (np.arange(n) + width <= self.first[text + 1]) & (upto[width:] - upto[:n] >= min(LITERAL, width))
+        good = (np.arange(n) + width <= self.first[text + 1]) & (plain | (upto[width:] - upto[:n] >= min(LITERAL, width)))
         at = np.flatnonzero(good)
         return h[at], at, text[at]
 
 
-_units: np.ndarray | None = None
+def _capital(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the UTF-8 character that begins at each place is an upper-case letter."""
+    a, b, c = (raw[np.minimum(at + k, len(raw) - 1)].astype(np.int64) for k in range(3))
+    code = np.where(a < 0x80, a, np.where(a < 0xE0, (a & 0x1F) << 6 | b & 0x3F, (a & 0xF) << 12 | (b & 0x3F) << 6 | c & 0x3F))
+    return _UPPER[code] & (a < 0xF0)
+
+
+def _letters(raw: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return _flags((raw & 0xC0) != 0x80, at, end)
+
 
+def _detach(w: Words, digit: np.ndarray) -> None:
+    """Cut a number from the unit attached to it."""
+    other = np.append(np.flatnonzero(~digit), len(digit))
+    at = other[np.searchsorted(other, w.start)] if len(w.start) else w.start
+    some = np.flatnonzero((at > w.start) & (at < w.end))
+    if not len(some):
+        return
+    start, end, first = w.start, w.end, w.first
+    w.start, w.end = at[some], end[some]
+    some = some[np.isin(w.hashes(), _unit_hashes()[0])]
+    w.start, w.end = np.insert(start, some + 1, at[some]), np.insert(end, some, at[some])
+    w.first = first + np.searchsorted(some, first)
 
-def _unit_hashes() -> np.ndarray:
+
+_units: tuple[np.ndarray, np.ndarray] | None = None
+_openers: np.ndarray | None = None
+
+
+def _unit_hashes() -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all units, sorted, and the hash of each one's measure."""
     global _units
     if _units is None:
-        _units = Words([x.encode() for x in _UNITS], space=_BREAK).hashes()
+        each, of = (Words([x.encode() for x in xs], space=_BREAK).hashes() for xs in ([x for u in _UNITS for x in u], [u[0] for u in _UNITS for _ in u]))
+        order = np.argsort(each)
+        _units = each[order], of[order]
     return _units
 
 
+def _opener_hashes() -> np.ndarray:
+    global _openers
+    if _openers is None:
+        _openers = Words([x.encode() for x in _OPENERS], space=_BREAK).hashes()
+    return _openers
+
+
 class Items:
-    """The windows of some benchmark items, to look up."""
+    """The windows of some benchmark items, to look up: item k's templates under k, its plain words under k + n."""
 
     def __init__(self, ids: list[int], texts: list[bytes]):
         t = Template(texts)
-        self.ids, self.kind, self.plain, self.first = np.array(ids, np.int64), t.kind, t.plain, t.first
+        self.ids, self.template, self.first = np.array(ids, np.int64), t, t.first
         sizes = np.diff(t.first)
         hashes, items, places = [], [], []
         self.widths = sorted({WIDTH, *sizes[(sizes > 0) & (sizes < WIDTH)].tolist()})
         for width in self.widths:
-            h, at, text = t.windows(width)
-            # An item shorter than a window is one window, whole.
-            keep = sizes[text] >= WIDTH if width == WIDTH else sizes[text] == width
-            hashes.append(h[keep])
-            items.append(text[keep])
-            places.append((at - t.first[text])[keep])
+            for plain in (False,):
+                h, at, text = t.windows(width, plain)
+                # An item shorter than a window is one window, whole.
+                keep = sizes[text] >= WIDTH if width == WIDTH else sizes[text] == width
+                hashes.append(h[keep])
+                items.append(text[keep] + plain * len(ids))
+                places.append((at - t.first[text])[keep])
         h, item, place = np.concatenate(hashes), np.concatenate(items), np.concatenate(places)
         order = np.lexsort((place, item, h))
         self.h, self.item, self.place = h[order], item[order], place[order]
         pairs = np.unique(np.stack((self.item.astype(U), self.h)), axis=1) if len(h) else np.zeros((2, 0), U)
-        self.total = np.bincount(pairs[0].astype(np.int64), minlength=len(ids))
+        self.total = np.bincount(pairs[0].astype(np.int64), minlength=2 * len(ids))
         self.bits = np.zeros(1 << _FILTER, bool)
         self.bits[(self.h >> U(64 - _FILTER)).astype(np.int64)] = True
 
@@ -116,8 +201,8 @@ class Items:
         """(text, item id, item's windows, found, share, slots, changed slots, kind) of each item found."""
         t = Template(texts)
         got = []
-        for width in self.widths:
-            h, at, text = t.windows(width)
+        for width, plain in ((w, p) for w in self.widths for p in (False,)):
+            h, at, text = t.windows(width, plain)
             some = np.flatnonzero(self.bits[(h >> U(64 - _FILTER)).astype(np.int64)])
             h, at, text = h[some], at[some], text[some]
             a, b = np.searchsorted(self.h, h), np.searchsorted(self.h, h, "right")
@@ -135,26 +220,43 @@ class Items:
         new[1:] |= got[2, 1:] != got[2, :-1]
         cut = np.append(np.flatnonzero(head), got.shape[1])
         found = np.add.reduceat(new.astype(np.int64), cut[:-1])
-        out = []
+        out, n = {}, len(self.ids)
         for k in np.flatnonzero(found >= SHARE * self.total[got[1, cut[:-1]]]).tolist():
-            text, item = got[0, cut[k]], got[1, cut[k]]
-            kind, slots, changed = self._slots(t, int(item), got[4, cut[k] : cut[k + 1]])
-            if kind:
-                total = int(self.total[item])
-                out.append((int(text), int(self.ids[item]), total, int(found[k]), found[k] / total, slots, changed, kind))
-        return out
-
-    def _slots(self, t: Template, item: int, begins: np.ndarray) -> tuple[str | None, int, int]:
-        """Holds the item's placeholders against the text's, at the place where most of its windows lie."""
-        begin = Counter(begins.tolist()).most_common(1)[0][0]
+            text, which = int(got[0, cut[k]]), int(got[1, cut[k]])
+            total, item = int(self.total[which]), which % n
+            kind, slots, changed = self._slots(t, text, item, total, got[2:5:2, cut[k] : cut[k + 1]])
+            # Plain words find copies only; templates, which come first, have the word where both find.
+            if (kind == "verbatim" if which >= n else kind) and out.get((text, item), ("",))[-1] != "verbatim":
+                out[text, item] = (text, int(self.ids[item]), total, int(found[k]), found[k] / total, slots, changed, kind)
+        return list(out.values())
+
+    def _slots(self, t: Template, text: int, item: int, total: int, met: np.ndarray) -> tuple[str | None, int, int]:
+        """Holds the item's placeholders against the text's, at the place where most of its windows lie and at
+        every other that has enough of them.  ``met``: each window's hash and where the item would begin."""
+        places = Counter(np.unique(met, axis=1)[1].tolist())
+        best = None
+        for begin, held in sorted(places.items(), key=lambda x: (-x[1], x[0])):
+            if best is not None:
+                break
+            now = self._held(t, text, item, begin)
+            if best is None or best[0] is None and now[0] or now[0] == "verbatim":
+                best = now
+            if best[0] == "verbatim":
+                break
+        return best
+
+    def _held(self, t: Template, text: int, item: int, begin: int) -> tuple[str | None, int, int]:
+        own = self.template
         a, b = self.first[item], self.first[item + 1]
-        slots = np.flatnonzero(self.kind[a:b])
+        slots = np.flatnonzero(own.kind[a:b])
         where = slots + begin
-        inside = (where >= 0) & (where < len(t.hash))
+        inside = (where >= t.first[text]) & (where < t.first[text + 1])
         slots, where = slots[inside], where[inside]
-        fits = t.kind[where] == self.kind[a + slots]
-        mine, theirs = self.plain[a + slots[fits]].tolist(), t.plain[where[fits]].tolist()
-        changed = sum(x != y for x, y in zip(mine, theirs, strict=True))
+        # A name at the item's edge can have grown together with one of the text around it.
+        grown = ((slots == 0) | (slots == b - a - 1)) & (own.kind[a + slots] == 3) & (t.parts[where] > own.parts[a + slots])
+        fits = (t.kind[where] == own.kind[a + slots]) & ~grown
+        changed = int((own.plain[a + slots[fits]] != t.plain[where[fits]]).sum())
+        mine, theirs = own.value[a + slots[fits]].tolist(), t.value[where[fits]].tolist()
         one_way, other_way = dict(zip(mine, theirs, strict=True)), dict(zip(theirs, mine, strict=True))
         steady = all(one_way[x] == y and other_way[y] == x for x, y in zip(mine, theirs, strict=True))
         return ("verbatim" if not changed else "reparameterised" if steady else None), len(slots), changed
@@ -185,7 +287,7 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[Items]:
     for i, t in rows.orderBy("i", "t").toLocalIterator():
         ids.append(i)
         texts.append(t.encode())
-        words += len(t.split()) + 1
+        words += 2 * (len(t.split()) + 1)  # templates and plain words
         if words >= WINDOWS:
             yield Items(ids, texts)
             ids, texts, words = [], [], 0
@@ -198,8 +300,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``kind`` is ``verbatim`` (no placeholder differs) or ``reparameterised`` (they
     differ, each value always in the same way).  An item of fewer words than a window is one
-    window; items without words, or whose windows have too few literal words, and null or
-    empty texts are in no row.  Rows of one id and text are one row here; equal items of several ids are found each.
+    window; an item whose windows have too few literal words is found as a verbatim copy only.  Items
+    without words and null or empty texts are in no row.  Rows of one id and text are one row here; equal items of several ids are found each.
     """
     rows = slim(docs)
     found = [_search(rows, items) for items in _item_blocks(benchmark)]

@@ -265,6 +265,23 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(docs.where("doc_id = 0"), ask).count() == 0  # one value cannot become three
 
 
+def test_items_with_other_values(spark):
+    tom = "Tom has 12 apples. Tom buys 7 more apples from Sara. How many apples does Tom have now?"
+    tank = "A large water tank holds 250 litres and a pump fills it at 3 litres every minute until the gauge on its side shows full"
+    trip = "The old bus that leaves Boston in the morning reaches the sea after a slow ride of 90 km and then returns to Boston empty"
+    walk = "The runner who trains at dawn covers a loop of 5 km and then another path of 8 km before the sun is above the hills"
+    whom = "The bright young lawyer named Anna told the quiet judge that nobody had seen the painting before the museum of art closed"
+    bench = {1: tom, 2: tank, 3: trip, 4: walk, 5: whom}
+    texts = [
+        (1, tom.replace("Tom", "Ann")), (2, tank.replace("250", "1,250").replace("at 3", "at 2.5")), (3, trip.replace("Boston", "New York")),
+        (4, walk.replace("5 km", "6km").replace("8 km", "9km")), (4, walk.replace("5 km", "6 miles").replace("8 km", "9 miles")),
+        (5, whom.replace("Anna", "McKay")), (5, whom.replace("Anna", "Élodie")),
+    ]
+    docs = spark.createDataFrame([(k, "Some text. " + t, "en", "s", 0, b"", 1, "") for k, (_, t) in enumerate(texts)], SCHEMA)
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.contaminated(docs, spark.createDataFrame(list(bench.items()), "item_id long, text string")).collect()}
+    assert got == {(k, i, "reparameterised") for k, (i, _) in enumerate(texts)}
+
+
 def test_paragraphs(docs, empty, spark):
     rng = random.Random(8)
     words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
