@@ -182,7 +182,7 @@ class Items:
         hashes, items, places = [], [], []
         self.widths = sorted({WIDTH, *sizes[(sizes > 0) & (sizes < WIDTH)].tolist()})
         for width in self.widths:
-            for plain in (False,):
+            for plain in (False, True):
                 h, at, text = t.windows(width, plain)
                 # An item shorter than a window is one window, whole.
                 keep = sizes[text] >= WIDTH if width == WIDTH else sizes[text] == width
@@ -201,7 +201,7 @@ class Items:
         """(text, item id, item's windows, found, share, slots, changed slots, kind) of each item found."""
         t = Template(texts)
         got = []
-        for width, plain in ((w, p) for w in self.widths for p in (False,)):
+        for width, plain in ((w, p) for w in self.widths for p in (False, True)):
             h, at, text = t.windows(width, plain)
             some = np.flatnonzero(self.bits[(h >> U(64 - _FILTER)).astype(np.int64)])
             h, at, text = h[some], at[some], text[some]
@@ -236,7 +236,7 @@ class Items:
         places = Counter(np.unique(met, axis=1)[1].tolist())
         best = None
         for begin, held in sorted(places.items(), key=lambda x: (-x[1], x[0])):
-            if best is not None:
+            if best is not None and held < SHARE * total:
                 break
             now = self._held(t, text, item, begin)
             if best is None or best[0] is None and now[0] or now[0] == "verbatim":

@@ -282,6 +282,17 @@ def test_items_with_other_values(spark):
     assert got == {(k, i, "reparameterised") for k, (i, _) in enumerate(texts)}
 
 
+def test_verbatim_items_without_literal_windows_and_beside_likenesses(spark):
+    sums = "Compute 12 + 7 * 3 - 4 and 9"
+    item = "a basket holds 5 red apples and a crate holds 5 red apples so count all of the fruit"
+    wrong = item.replace("holds 5", "holds 8", 1).replace("crate holds 5", "crate holds 6")
+    texts = [f"So: {sums} now", f"{wrong}. {wrong}. {item}. {wrong}", wrong, "Compute 12 + 8 * 3 - 4 and 9"]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0, b"", 1, "") for k, t in enumerate(texts)], SCHEMA)
+    bench = spark.createDataFrame([(1, sums), (2, item)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.kind) for r in decontaminate.contaminated(docs, bench).collect()} == {(0, 1, "verbatim"), (1, 2, "verbatim")}
+    assert {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()} == {2, 3}
+
+
 def test_paragraphs(docs, empty, spark):
     rng = random.Random(8)
     words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
