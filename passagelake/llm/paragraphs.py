@@ -19,7 +19,7 @@ from . import graph
 from .collide import colliding
 from .families import linked_within
 from .minhash import _linked
-from .scratch import Scratch, part_count, real_id, slim
+from .scratch import Scratch, part_count, real_id, slim, tidy, tidy_group
 from .textvec import U, Words, arrow_texts, blocks, minhashes, mix, seeds
 
 #: Bands and minhashes of a band: a pair of similarity s meets with probability 1 - (1 - s**ROWS)**BANDS, 0.987 at 0.8.
@@ -30,6 +30,8 @@ LEAST, CUT = 8, 2
 SIMILAR = (80, 100)
 #: Words that a document's neighbouring repeated paragraphs hold together, at least; shorter ones are stock lines.
 PASSAGE = 24
+#: Words of a seed, and seeds of which one is taken: a run of SEED + TAKE - 1 = PASSAGE equal words holds a taken seed, wherever it stands.
+SEED, TAKE = 12, 13
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 
@@ -44,7 +46,7 @@ class Paragraphs:
         none = np.zeros(0, np.int64)
         if not n:
             self.first = self.last = self.text = none
-            self.key = none
+            self.key = self.heads = none
             return
         newline = np.concatenate(([0], np.cumsum(w.raw == 10)))
         after = np.append(w.start[1:], len(w.raw))
@@ -55,6 +57,8 @@ class Paragraphs:
         cut[last_word[last_word >= 0]] = True
         end = np.flatnonzero(cut) + 1
         first = np.concatenate(([0], end[:-1]))
+        #: The first word of every paragraph, short ones too.
+        self.heads = first
         text = np.searchsorted(w.first, first, "right") - 1
         self.number = np.arange(len(first)) - np.searchsorted(text, text)
         long = end - first >= LEAST
@@ -140,6 +144,135 @@ def _similar(data: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarr
     return _linked([np.frombuffer(x, U) for x in data], left, right, *SIMILAR)
 
 
+def _runs_of(h: np.ndarray) -> np.ndarray:
+    """The hash of the ``SEED`` words from each word on."""
+    n = max(0, len(h) - SEED + 1)
+    factor, s = seeds(SEED, 55) | U(1), np.zeros(n, U)
+    for k in range(SEED):
+        s += h[k : k + n] * factor[k]
+    return mix(s)
+
+
+def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every ``TAKE`` seeds in a row the least: rows (key, id, place), the place in words."""
+    for batch in batches:
+        for ids, texts in blocks(batch.column("id").to_pylist(), arrow_texts(batch)):
+            w = Words(texts)
+            s = _runs_of(w.hashes())
+            if len(s) < TAKE:
+                continue
+            at = np.arange(len(s) - TAKE + 1)
+            text = np.searchsorted(w.first, at, "right") - 1
+            whole = at + SEED + TAKE - 1 <= w.first[text + 1]
+            at = np.unique((at + np.lib.stride_tricks.sliding_window_view(s, TAKE).argmin(axis=1))[whole])
+            text = np.searchsorted(w.first, at, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(s[at].view(np.int64)), pa.array(np.array(ids, np.int64)[text]), pa.array((at - w.first[text]).astype(np.int32))], names=["key", "id", "place"])
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words before (nearest first) and after wanted seeds, as far as a run can go without another seed."""
+    for batch in batches:
+        got, wanted = [], batch.column("wanted").to_pylist()
+        all_ids = batch.column("id").to_pylist()
+        for numbers, texts in blocks(list(range(batch.num_rows)), arrow_texts(batch)):
+            w = Words(texts)
+            h = w.hashes()
+            s = _runs_of(h).view(np.int64)
+            for t, number in enumerate(numbers):
+                a, b = int(w.first[t]), int(w.first[t + 1])
+                for x in wanted[number]:
+                    p = a + x["place"]
+                    if p + SEED <= b and s[p] == x["key"]:  # not another row of the same id
+                        got.append((x["key"], all_ids[number], x["place"], h[max(a, p - TAKE) : p][::-1].tobytes(), h[p + SEED : min(b, p + SEED + TAKE)].tobytes()))
+        columns = list(zip(*got, strict=True)) if got else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["key", "id", "place", "before", "after"])
+
+
+def _common(s: bytes, t: bytes) -> int:
+    n = min(len(s), len(t)) // 8
+    same = np.frombuffer(s, U, n) == np.frombuffer(t, U, n)
+    return n if same.all() else int(same.argmin())
+
+
+def _extended(table: pa.Table) -> pa.Table:
+    """How many words each seed can be extended by with one of the same key in another document.
+
+    In order of the words around them, the nearest row of another document on either side has most in common.
+    """
+    key, ids = table.column("key").to_numpy(), table.column("id").to_pylist()
+    most = []
+    for side in ("before", "after"):
+        text = table.column(side).to_pylist()
+        best = [0] * len(ids)
+        order = sorted(range(len(ids)), key=lambda k: (key[k], text[k]))
+        for way in (order, order[::-1]):
+            last = other = None  # the row before, and the nearest one of another document than that row's
+            for k in way:
+                if last is not None and key[last] != key[k]:
+                    last = other = None
+                if last is not None and ids[last] != ids[k]:
+                    other = last
+                if other is not None:
+                    best[k] = max(best[k], _common(text[k], text[other]))
+                last = k
+        most.append(pa.array(best, pa.int32()))
+    return pa.table({"key": table.column("key"), "id": table.column("id"), "place": table.column("place"), "left": most[0], "right": most[1]})
+
+
+_PIECE = "id long, number int, begin int, finish int, n_words int, component long, one long"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What common runs of at least ``PASSAGE`` words hold beside the rows there are: (id, text, seeds, rows)."""
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+    fields = [c.split() for c in _PIECE.split(", ")]
+    for batch in batches:
+        out = []
+        met, have, all_ids = (batch.column(c).to_pylist() for c in ("seeds", "rows", "id"))
+        for numbers, texts in blocks(list(range(batch.num_rows)), arrow_texts(batch)):
+            p = Paragraphs(texts)
+            w, s = p.words, _runs_of(p.hashes).view(np.int64)
+            for t, number in enumerate(numbers):
+                a, b = int(w.first[t]), int(w.first[t + 1])
+                start, end = w.start[a:b] - w.doc_start[t], w.end[a:b] - w.doc_start[t]
+                some = sorted((x for x in met[number] if a + x["place"] + SEED <= b and s[a + x["place"]] == x["key"]), key=lambda x: x["place"])
+                of = np.full(b - a + 1, -1)
+                for k, x in enumerate(some):
+                    of[x["place"] - x["left"] : x["place"] + SEED + x["right"]] = k
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], of >= 0)).astype(np.int8)))
+                for lo, hi in zip(edge[::2], edge[1::2], strict=True):
+                    if hi - lo < PASSAGE:
+                        of[lo:hi] = -1
+                for x in have[number] or ():
+                    of[np.searchsorted(end, x["begin"], "right") : np.searchsorted(start, x["finish"])] = -1
+                one = np.array([x["one"] for x in some] + [0], np.int64)[of]
+                new = np.flatnonzero((np.diff(of < 0, prepend=True) | np.diff(one, prepend=0).astype(bool)))
+                for lo, hi in zip(new, np.append(new[1:], len(of))[: len(new)], strict=True):
+                    if of[lo] >= 0:
+                        nth = int(np.searchsorted(p.heads, a + lo, "right") - np.searchsorted(p.heads, a, "left")) - 1
+                        out.append((all_ids[number], nth, int(start[lo]), int(end[hi - 1]), int(hi - lo), some[of[lo]]["key"], some[of[lo]]["one"]))
+        columns = list(zip(*out, strict=True)) if out else [()] * len(fields)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
+
+
+def _common_runs(texts: DataFrame, rows: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
+    """Pieces of runs of at least ``PASSAGE`` words that stand word for word in another document too, outside of ``rows``."""
+    taken = scratch.keep(texts.mapInArrow(tidy(_seeds), "key long, id long, place int"), "taken")
+    shared = taken.groupBy("key").agg(F.min("id").alias("one"), F.max("id").alias("high")).where("one <> high").select("key", "one")
+    met = scratch.keep(taken.join(shared, "key").select("key", "id", "place", "one"), "met")
+    # Seeds of a run are at most TAKE words apart; only where none follows can a run go on unseen.
+    ends = met.selectExpr("key", "place", "lag(place, 1, -99) over (partition by id order by place) as low", "lead(place, 1, 2147483647) over (partition by id order by place) as top")
+    ends = ends.where(f"place - low > {TAKE} or top - place > {TAKE}").select("key").distinct()
+    wanted = met.join(ends, "key", "left_semi").groupBy("id").agg(F.collect_list(F.struct("key", "place")).alias("wanted"))
+    around = texts.join(wanted, "id").mapInArrow(tidy(_around), "key long, id long, place int, before binary, after binary")
+    far = around.withColumn("task", F.pmod(F.col("key"), F.lit(8 * parts))).groupBy("task").applyInArrow(tidy_group(_extended), "key long, id long, place int, left int, right int")
+    far = scratch.keep(far.groupBy("key", "id", "place").agg(F.max("left").alias("left"), F.max("right").alias("right")), "far")
+    met = met.join(far, ["key", "id", "place"], "left").fillna(0, ["left", "right"])
+    met = met.groupBy("id").agg(F.collect_list(F.struct("place", "key", "one", "left", "right")).alias("seeds"))
+    have = rows.groupBy("id").agg(F.collect_list(F.struct("begin", "finish")).alias("rows"))
+    return texts.join(met, "id").join(have, "id", "left").select("id", "text", "seeds", "rows").mapInArrow(tidy(_pieces), _PIECE).distinct()
+
+
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """A row for each paragraph that another document's resembles: ``doc_id, paragraph, begin, finish, n_words, component_id, kept_doc_id, removed``.
 
@@ -148,7 +281,9 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     components whose paragraphs are all in one document are left out, and so are
     passages (neighbouring such paragraphs of a document) of under ``PASSAGE`` words.  Of a component the
     paragraph of the smallest (doc_id, paragraph) stays: ``removed`` is false there, and ``kept_doc_id`` names its document.
-    ``component_id`` is the least hash of its paragraphs.  Null and empty texts have no paragraphs, a null
+    ``component_id`` is the least hash of its paragraphs.  What runs of at least ``PASSAGE`` words that stand
+    word for word in two documents hold beside these, wherever they begin and end, makes rows of its own:
+    the smallest document stays, ``paragraph`` is the one the row begins in, ``component_id`` a hash of its words.  Null and empty texts have no paragraphs, a null
     id is the smallest, repeated rows of one id count as one document.
     """
     spark = docs.sparkSession
@@ -179,6 +314,10 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     out = out.withColumn("first", F.expr("number - lag(number, 1, -9) over (partition by id order by number) > 2"))
     out = out.withColumn("run", F.expr("sum(int(first)) over (partition by id order by number)"))
     out = out.withColumn("passage", F.expr("sum(n_words) over (partition by id, run)")).where(F.col("passage") >= PASSAGE)
+    out = out.select("id", "number", "begin", "finish", "n_words", "component", F.col("kept.id").alias("one"), (F.struct("id", "number") != F.col("kept")).alias("removed"))
+    out = scratch.keep(out, "out")
+    more = _common_runs(slimmed, out, scratch, parts)
+    out = out.unionByName(more.withColumn("removed", F.col("id") != F.col("one")))
     return out.select(
         real_id().alias("doc_id"),
         F.col("number").alias("paragraph"),
@@ -186,6 +325,6 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
         "finish",
         "n_words",
         F.col("component").alias("component_id"),
-        F.when(F.col("kept.id") != -(2**63), F.col("kept.id")).alias("kept_doc_id"),
-        (F.struct("id", "number") != F.col("kept")).alias("removed"),
+        real_id("one").alias("kept_doc_id"),
+        "removed",
     )

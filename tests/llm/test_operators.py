@@ -326,10 +326,35 @@ def test_paragraph_variants_are_compared_with_each_other(spark, monkeypatch):
         for a, b in near:
             up[a] = up[b] = min(up[a], up[b])
     want = {i: up[i] for i in up if list(up.values()).count(up[i]) > 1}
-    got = {r.doc_id: r.kept_doc_id for r in paragraphs.repeated_paragraphs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.doc_id: r.kept_doc_id for r in paragraphs.repeated_paragraphs(spark.createDataFrame(rows, SCHEMA)).collect() if r.n_words == 60}
     assert got == want
 
 
+def test_passages_within_lines(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows, want = [], {}
+    for k in range(60):
+        n = 23 if k % 6 == 5 else 24 if k % 6 == 4 else rng.randint(51, 60)
+        passage = [word() + ("." if rng.random() < 0.06 * (k % 3) else "") for _ in range(n)]
+        for i in (2 * k, 2 * k + 1):
+            a, b = ([word() for _ in range(rng.randint(30, 50))] for _ in range(2))
+            text = " ".join(a + passage + b)
+            rows.append((i, text, "en", "s", 0, b"", 1, ""))
+            at = len(" ".join(a)) + 1
+            if n >= 24:
+                want[i] = (at, at + len(" ".join(passage)), n, 2 * k, i > 2 * k)
+    rows.append((200, rows[8][1], "en", "s", 0, b"", 1, ""))
+    got = defaultdict(list)
+    for r in paragraphs.repeated_paragraphs(spark.createDataFrame(rows, SCHEMA)).collect():
+        got[r.doc_id].append(r)
+    del got[200], got[8], want[8]
+    assert set(want) <= set(got) and all(k in want or k // 2 % 6 == 5 for k in got)
+    for i, (a, b, n, one, removed) in want.items():
+        assert (min(r.begin for r in got[i]), max(r.finish for r in got[i]), sum(r.n_words for r in got[i])) == (a, b, n)
+        assert {(r.kept_doc_id, r.removed) for r in got[i]} == {(one, removed)}
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
