@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import graph
 from .collide import colliding
+from .families import linked_within
 from .scratch import Scratch, part_count, real_id, slim
 from .textvec import U, mix, seeds
 
@@ -228,27 +229,36 @@ def _bands(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield mix(key[:, k] + U((k + 1) << 32)), ids
 
 
+def _near(least: float):
+    def decide(data: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        fp = np.frombuffer(b"".join(data), np.uint8).reshape(-1, SAMPLES)
+        a, b = [], []
+        for k in left.tolist():
+            near = right[likeness(fp[k], fp[right]) >= least]
+            a.append(np.full(len(near), k))
+            b.append(near)
+        label = np.arange(len(data))
+        member, smallest = graph.forest(np.concatenate(a), np.concatenate(b)) if a else (label[:0], label[:0])
+        label[member] = smallest
+        return label
+
+    return decide
+
+
 def near_by_edits(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """``doc_id, component_id``: documents joined by bit-sampled bands whose fingerprints are verified to be ``least`` alike.
 
-    Equal fingerprints form one class; classes that share a band are joined to
-    a leader and compared with it, not with each other.  Empty texts stand alone.
+    Equal fingerprints form one class; classes connected by shared bands are one family, whose pairs
+    are all compared, in blocks.  Empty texts stand alone.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "edits")
+    scratch, parts = Scratch(spark, "edits"), part_count(spark)
     fp = scratch.keep(slim(docs).mapInArrow(_prints, "id long, fp binary"), "prints")
     none = F.col("fp") == F.lit(bytes(SAMPLES))
-    reps = fp.where(~none).groupBy("fp").agg(F.min("id").alias("id"))
-    pairs = colliding(reps.select("id", "fp"), _bands, part_count(spark))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            s, t = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(-1, SAMPLES) for c in ("fa", "fb"))
-            keep = pa.array(likeness(s, t) >= least)
-            yield pa.RecordBatch.from_arrays([x.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
-
-    near = pairs.join(reps.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(reps.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b")
-    found = graph.components(near.select("a", "b", "fa", "fb").mapInArrow(verify, "a long, b long"), scratch, "near")
+    reps = scratch.keep(fp.where(~none).groupBy("fp").agg(F.min("id").alias("id")), "reps")
+    family = graph.components(colliding(reps.select("id", "fp"), _bands, parts), scratch, "family")
+    links = linked_within(family, reps.select("id", F.col("fp").alias("data")), _near(least), parts)
+    found = graph.components(links, scratch, "near", contracted=True)
     label = reps.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
     out = fp.join(label, "fp", "left").select("id", F.coalesce("component", "id").alias("component"))
     return out.select(real_id().alias("doc_id"), real_id("component").alias("component_id"))

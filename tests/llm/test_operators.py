@@ -161,6 +161,26 @@ def test_edit_fingerprints(docs, empty, rows):
     assert comp[low(rows[0][0])] == comp[low(rows[6][0])] and comp[501] == 501
 
 
+def test_edited_versions_are_compared_with_each_other(spark, monkeypatch):
+    monkeypatch.setattr(families, "FAMILY_BLOCK", 64)
+    rng = random.Random(6)
+    base = rng.choices("abcdefghijklmnop ", k=3000)
+    rows = []
+    for k in range(250):
+        t = list(base)
+        for _ in range(14):
+            t[rng.randrange(len(t))] = rng.choice("qrstuvwxyz")
+        rows.append((k, "".join(t), "en", "s", 0, b"", 1, ""))
+    fp = editwalk.fingerprints([np.array(list(map(ord, r[1])), np.uint32) for r in rows])
+    least = float(np.median([np.sort(editwalk.likeness(x, fp))[-3] for x in fp]))  # few pairs are this near
+    up = np.arange(len(rows))
+    near = [np.flatnonzero(editwalk.likeness(x, fp) >= least) for x in fp]
+    for _ in rows:
+        up = np.array([up[x].min() for x in near])
+    got = {r.doc_id: r.component_id for r in editwalk.near_by_edits(spark.createDataFrame(rows, SCHEMA), least).collect()}
+    assert got == dict(enumerate(up.tolist()))
+
+
 def test_pretokens_and_edits_equal_the_pattern():
     rng = random.Random(1)
     alphabet = ["a", "b", "'", "s", "re", "ll", "t", " ", "  ", "\n", "\t", "1", "23", "!!", "é", " ", "中", "'s", "ve", " ", "😀"]
