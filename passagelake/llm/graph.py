@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, tidy
 
 _EDGE = "a long, b long"
+#: Edges that one task contracts whole; more take distributed rounds.
+SMALL = 16_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,7 +42,15 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str, most_rounds: int = 60, contracted: bool = False) -> DataFrame:
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a task as one star forest."""
+    got = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches]
+    if got:
+        a, b = forest(*(np.concatenate(c) for c in zip(*got, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str, most_rounds: int = 200, contracted: bool = False) -> DataFrame:
     """``(id, component)`` for every vertex that is not the smallest of its component.
 
     Alternates large-star and small-star steps, with one written table a round;
@@ -48,11 +58,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str, most_rounds: int =
     ``contracted`` and needs no second one beside it.  ``edges`` has long columns
     ``a`` and ``b`` without nulls; loops and repeats are allowed.  A hub is met
     only in aggregations and in joins whose other side is unique, which Spark
-    splits when skewed.
+    splits when skewed.  Rounds grow with the logarithm of a component's size;
+    ``most_rounds`` only ends a run that cannot settle.
     """
     e = edges.where("a <> b")
     e = scratch.keep(e if contracted else e.mapInArrow(tidy(_contract), _EDGE), f"{name}-0")
     seen = None
+    if e.count() <= SMALL:
+        e = scratch.keep(e.repartition(1).mapInArrow(tidy(_whole), _EDGE), f"{name}-all")
+        return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     for k in range(1, most_rounds):
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

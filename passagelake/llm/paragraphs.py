@@ -300,7 +300,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     sets = scratch.keep(sets, "sets")
     # A band's rows meet their leader only, so whatever meets is one family, and all pairs of a family are decided.
     family = graph.components(pairs, scratch, "family")
-    links = linked_within(family, sets.select(F.col("key").alias("id"), F.col("shingles").alias("data")), _similar, parts)
+    links = linked_within(family, sets.select(F.col("key").alias("id"), F.col("shingles").alias("data")), _similar, scratch, "pairs-of")
     found = graph.components(links, scratch, "linked", contracted=True)
 
     linked = found.union(found.select(F.col("component").alias("id"), "component").distinct()).select(F.col("id").alias("key"), "component")

@@ -15,20 +15,35 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
+    """The session's ``spark.checkpoint.dir``.
+
+    Where it is unset a session in one process (as in tests) gets a temporary folder; on a
+    cluster, whose executors would not see it, that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="passagelake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder for files that stay."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 class Scratch:
-    """A private folder below the shared one, for the tables of one operator call."""
+    """A private folder below the shared one, for the tables of one operator call; removed when the session ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(root)
+        fs.deleteOnExit(root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -49,14 +64,20 @@ class Scratch:
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``; smaller settings stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
+
+
 def slim(docs: DataFrame, *extra: str) -> DataFrame:
     """``(id, text)``: ids as long, a null id as the smallest long, a null text as the empty one.
 
-    Bounds the session's Arrow batches, which otherwise hold 10,000 whole texts.
+    Bounds the session's Arrow batches, which otherwise hold 10,000 whole texts (see :func:`bound_batches`).
     """
-    conf = docs.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    bound_batches(docs.sparkSession)
     return docs.select(
         F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("id"),
         F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"),
@@ -70,10 +91,15 @@ def real_id(name: str = "id"):
 
 
 def part_count(spark: SparkSession) -> int:
-    """Pieces that a table is dealt out to: the session's shuffle partitions, which scale with the input."""
+    """The session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def pieces_of(spark: SparkSession, n_bytes: int, each: int = 64 << 20) -> int:
+    """Pieces of at most about ``each`` bytes, which one Python task holds at a time; the session's shuffle partitions at least."""
+    return max(part_count(spark), -(-n_bytes // each))
+
+
 def parts_by_size(texts: DataFrame, part_bytes: int) -> int:
     """Pieces of about ``part_bytes`` that the texts of ``(id, text)`` make up: one number, counted over all rows."""
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
