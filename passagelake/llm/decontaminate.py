@@ -2,31 +2,33 @@
 
 Texts become templates: numbers, units after numbers, and names (capitalised words
 that are no common opening of a sentence) are replaced by typed placeholders.  Windows of ``WIDTH``
-template words, and of plain words, of all documents are looked up among those of the benchmark.  An
-item is found in a text if at least ``SHARE`` of its windows are; the values in
+template words, and of plain words, of all documents are hash-joined with those of the benchmark.  An
+item is found in a text if at least ``SHARE`` percent of its windows are; the values in
 its placeholders then must map one to one onto the text's, so that a question asked
 again with other numbers or names is caught and a chance likeness is not.
+
+Of the documents' windows only those that pass a filter of fixed size over the benchmark's hashes are
+written; the join looks up each item's rarest windows, which no text that holds the item can miss.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import NULL_ID, real_id, slim, tidy
+from .scratch import NULL_ID, Scratch, real_id, slim, tidy, tidy_group
 from .textvec import U, Words, arrow_texts, blocks, mix, seeds
 from .toxicity import _BREAK
 
-#: Template words of a window, literal words it has at least, and the share of an item's windows that a text must hold.
-WIDTH, LITERAL, SHARE = 5, 3, 0.8
-#: Benchmark windows that are sent to all tasks at once; a larger benchmark is searched for in several passes.
-WINDOWS = 1_000_000
+#: Template words of a window, literal words it has at least, and the percentage of an item's windows that a text must hold.
+WIDTH, LITERAL, SHARE = 5, 3, 80
+#: Bits of a cell's number in the filter, and parts that a window's texts are dealt to.
+FILTER, SALTS = 23, 8
 #: Units, those of one measure together: spelled otherwise a unit is still the same value.
 _UNITS = [
     x.split() for x in (
@@ -48,7 +50,6 @@ _OPENERS = (
 ).split()
 _UPPER = np.array([chr(c).isupper() for c in range(1 << 16)])
 _NUM, _UNIT, _NAME = (U(x) for x in (0x1111111111111111, 0x2222222222222222, 0x3333333333333333))
-_FILTER = 22
 
 
 def _flags(buf: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -172,127 +173,196 @@ def _opener_hashes() -> np.ndarray:
     return _openers
 
 
-class Items:
-    """The windows of some benchmark items, to look up: item k's templates under k, its plain words under k + n."""
-
-    def __init__(self, ids: list[int], texts: list[bytes]):
-        t = Template(texts)
-        self.ids, self.template, self.first = np.array(ids, np.int64), t, t.first
-        sizes = np.diff(t.first)
-        hashes, items, places = [], [], []
-        self.widths = sorted({WIDTH, *sizes[(sizes > 0) & (sizes < WIDTH)].tolist()})
-        for width in self.widths:
+def _item_windows(t: Template) -> Iterator[tuple[bool, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(plain, width, hash, first word, text)`` of the windows that texts are looked for by: ``WIDTH`` words, or a shorter text whole."""
+    sizes = np.diff(t.first)
+    for width in range(1, WIDTH + 1):
+        if width == WIDTH or (sizes == width).any():
             for plain in (False, True):
                 h, at, text = t.windows(width, plain)
-                # An item shorter than a window is one window, whole.
                 keep = sizes[text] >= WIDTH if width == WIDTH else sizes[text] == width
-                hashes.append(h[keep])
-                items.append(text[keep] + plain * len(ids))
-                places.append((at - t.first[text])[keep])
-        h, item, place = np.concatenate(hashes), np.concatenate(items), np.concatenate(places)
-        order = np.lexsort((place, item, h))
-        self.h, self.item, self.place = h[order], item[order], place[order]
-        pairs = np.unique(np.stack((self.item.astype(U), self.h)), axis=1) if len(h) else np.zeros((2, 0), U)
-        self.total = np.bincount(pairs[0].astype(np.int64), minlength=2 * len(ids))
-        self.bits = np.zeros(1 << _FILTER, bool)
-        self.bits[(self.h >> U(64 - _FILTER)).astype(np.int64)] = True
-
-    def find(self, texts: list[bytes]) -> list[tuple]:
-        """(text, item id, item's windows, found, share, slots, changed slots, kind) of each item found."""
-        t = Template(texts)
-        got = []
-        for width, plain in ((w, p) for w in self.widths for p in (False, True)):
-            h, at, text = t.windows(width, plain)
-            some = np.flatnonzero(self.bits[(h >> U(64 - _FILTER)).astype(np.int64)])
-            h, at, text = h[some], at[some], text[some]
-            a, b = np.searchsorted(self.h, h), np.searchsorted(self.h, h, "right")
-            n = b - a
-            which = np.repeat(np.arange(len(h)), n)
-            entry = a[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            got.append(np.stack((text[which], self.item[entry], h[which].astype(np.int64), at[which], at[which] - self.place[entry])))
-        got = np.concatenate(got, axis=1)
-        if not got.shape[1]:
-            return []
-        got = got[:, np.lexsort((got[3], got[2], got[1], got[0]))]
-        head = np.ones(got.shape[1], bool)
-        head[1:] = (got[:2, 1:] != got[:2, :-1]).any(axis=0)
-        new = head.copy()
-        new[1:] |= got[2, 1:] != got[2, :-1]
-        cut = np.append(np.flatnonzero(head), got.shape[1])
-        found = np.add.reduceat(new.astype(np.int64), cut[:-1])
-        out, n = {}, len(self.ids)
-        for k in np.flatnonzero(found >= SHARE * self.total[got[1, cut[:-1]]]).tolist():
-            text, which = int(got[0, cut[k]]), int(got[1, cut[k]])
-            total, item = int(self.total[which]), which % n
-            kind, slots, changed = self._slots(t, text, item, total, got[2:5:2, cut[k] : cut[k + 1]])
-            # Plain words find copies only; templates, which come first, have the word where both find.
-            if (kind == "verbatim" if which >= n else kind) and out.get((text, item), ("",))[-1] != "verbatim":
-                out[text, item] = (text, int(self.ids[item]), total, int(found[k]), found[k] / total, slots, changed, kind)
-        return list(out.values())
-
-    def _slots(self, t: Template, text: int, item: int, total: int, met: np.ndarray) -> tuple[str | None, int, int]:
-        """Holds the item's placeholders against the text's, at the place where most of its windows lie and at
-        every other that has enough of them.  ``met``: each window's hash and where the item would begin."""
-        places = Counter(np.unique(met, axis=1)[1].tolist())
-        best = None
-        for begin, held in sorted(places.items(), key=lambda x: (-x[1], x[0])):
-            if best is not None and held < SHARE * total:
-                break
-            now = self._held(t, text, item, begin)
-            if best is None or best[0] is None and now[0] or now[0] == "verbatim":
-                best = now
-            if best[0] == "verbatim":
-                break
-        return best
-
-    def _held(self, t: Template, text: int, item: int, begin: int) -> tuple[str | None, int, int]:
-        own = self.template
-        a, b = self.first[item], self.first[item + 1]
-        slots = np.flatnonzero(own.kind[a:b])
-        where = slots + begin
-        inside = (where >= t.first[text]) & (where < t.first[text + 1])
-        slots, where = slots[inside], where[inside]
-        # A name at the item's edge can have grown together with one of the text around it.
-        grown = ((slots == 0) | (slots == b - a - 1)) & (own.kind[a + slots] == 3) & (t.parts[where] > own.parts[a + slots])
-        fits = (t.kind[where] == own.kind[a + slots]) & ~grown
-        changed = int((own.plain[a + slots[fits]] != t.plain[where[fits]]).sum())
-        mine, theirs = own.value[a + slots[fits]].tolist(), t.value[where[fits]].tolist()
-        one_way, other_way = dict(zip(mine, theirs, strict=True)), dict(zip(theirs, mine, strict=True))
-        steady = all(one_way[x] == y and other_way[y] == x for x, y in zip(mine, theirs, strict=True))
-        return ("verbatim" if not changed else "reparameterised" if steady else None), len(slots), changed
-
-
-_OUT = "id long, item_id long, n_windows long, n_found long, share double, n_slots int, n_changed int, kind string"
-
-
-def _search(docs: DataFrame, items: Items) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(items)  # at most WINDOWS windows
+                yield plain, width, h[keep], at[keep], text[keep]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
-        fields = [c.split() for c in _OUT.split(", ")]
+
+def _needed(total):
+    """Windows of an item that a text must hold."""
+    return -(-SHARE * total // 100)
+
+
+def _benchmark_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(item, plain, width, total, h)``: each item's distinct windows, and how many there are."""
+    for batch in batches:
+        keys = batch.column("item").to_numpy()
+        for numbers, texts in blocks(list(range(batch.num_rows)), arrow_texts(batch)):
+            for plain, width, h, _, text in _item_windows(Template(texts)):
+                both = np.unique(np.stack((text.astype(U), h)), axis=1) if len(h) else np.zeros((2, 0), U)
+                text, h = both[0].astype(np.int64), both[1]
+                total = np.bincount(text, minlength=len(texts))[text]
+                n = len(h)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[np.array(numbers)[text]]), pa.array(np.full(n, plain)), pa.array(np.full(n, width, np.int32)), pa.array(total), pa.array(h.view(np.int64))],
+                    names=["item", "plain", "width", "total", "h"],
+                )
+
+
+def _place(h: np.ndarray) -> np.ndarray:
+    return (h.view(U) >> U(64 - FILTER)).astype(np.int64)
+
+
+def _filter(windows: DataFrame) -> np.ndarray:
+    """One bit for each of 2**FILTER cells, set where a window's hash falls: a size that no benchmark changes.  Built in pieces, by all tasks."""
+    piece = 1 << (FILTER - 6)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER, bool)
         for batch in batches:
-            rows = []
-            for ids, texts in blocks(batch.column("id").to_pylist(), arrow_texts(batch)):
-                rows += [(ids[x[0]], *x[1:]) for x in held.value.find(texts)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[f for f, _ in fields])
+            bits[_place(batch.column("h").to_numpy())] = True
+        some = [k for k in range(64) if bits[k * piece : (k + 1) * piece].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([np.packbits(bits[k * piece : (k + 1) * piece]).tobytes() for k in some], pa.binary())], names=["piece", "bits"])
+
+    def unite(table: pa.Table) -> pa.Table:
+        all_ = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])
+        return pa.table({"piece": table.column("piece")[:1], "bits": pa.array([all_.tobytes()], pa.binary())})
 
-    return docs.mapInArrow(tidy(run), _OUT)
+    out = np.zeros(1 << FILTER, bool)
+    for row in windows.select("h").mapInArrow(tidy(mark), "piece int, bits binary").groupBy("piece").applyInArrow(tidy_group(unite), "piece int, bits binary").collect():
+        out[row["piece"] * piece : (row["piece"] + 1) * piece] = np.unpackbits(np.frombuffer(row["bits"], np.uint8)).astype(bool)
+    return out
 
 
-def _item_blocks(benchmark: DataFrame) -> Iterator[Items]:
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NULL_ID)).alias("i"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).distinct()
-    ids, texts, words = [], [], 0
-    for i, t in rows.orderBy("i", "t").toLocalIterator():
-        ids.append(i)
-        texts.append(t.encode())
-        words += 2 * (len(t.split()) + 1)  # templates and plain words
-        if words >= WINDOWS:
-            yield Items(ids, texts)
-            ids, texts, words = [], [], 0
-    if ids:
-        yield Items(ids, texts)
+def _text_windows(held, widths: list[int]):
+    """``(id, th, h)``: each text's distinct windows that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(held.value, np.uint8)).astype(bool)
+        for batch in batches:
+            ids, ties = batch.column("id").to_numpy(), batch.column("th").to_numpy()
+            for numbers, texts in blocks(list(range(batch.num_rows)), arrow_texts(batch)):
+                t, got = Template(texts), [np.zeros((2, 0), U)]
+                for width in widths:
+                    for plain in (False, True):
+                        h, _, text = t.windows(width, plain)
+                        some = np.flatnonzero(bits[_place(h)])
+                        got.append(np.stack((text[some].astype(U), h[some])))
+                text, h = np.unique(np.concatenate(got, axis=1), axis=1)
+                row = np.array(numbers, np.int64)[text.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(ties[row]), pa.array(h.view(np.int64))], names=["id", "th", "h"])
+
+    return run
+
+
+def _matches(t: Template, of_text: dict[bool, tuple], text: int, own: Template, of_item: list[tuple], item: int) -> tuple | None:
+    """``(windows, found, slots, changed slots, kind)`` of an item that the text holds: by templates, or failing these by plain words as a copy."""
+    best = None
+    for plain in (False, True):
+        mine = [(h[x == item], (at - own.first[item])[x == item]) for p, _, h, at, x in of_item if p == plain]
+        h, place = (np.concatenate([m[k] for m in mine]) for k in (0, 1))
+        total = len(np.unique(h))
+        if not total:
+            continue
+        theirs, at, first = of_text[plain]
+        theirs, at = theirs[first[text] : first[text + 1]], at[first[text] : first[text + 1]]
+        a, b = np.searchsorted(theirs, h), np.searchsorted(theirs, h, "right")
+        found = len(np.unique(h[b > a]))
+        if found < _needed(total):
+            continue
+        n = b - a
+        which = np.repeat(np.arange(len(h)), n)
+        begin = at[a[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)] - place[which]
+        kind, slots, changed = _slots(t, text, own, item, total, np.stack((h[which].view(np.int64), begin)))
+        if kind == "verbatim" or kind and not plain:
+            now = (total, found, slots, changed, kind)
+            best = now if best is None or best[-1] != "verbatim" else best
+    return best
+
+
+def _slots(t: Template, text: int, own: Template, item: int, total: int, met: np.ndarray) -> tuple[str | None, int, int]:
+    """Holds the item's placeholders against the text's, at the place where most of its windows lie and at
+    every other that has enough of them.  ``met``: each window's hash and where the item would begin."""
+    places = Counter(np.unique(met, axis=1)[1].tolist())
+    best = None
+    for begin, held in sorted(places.items(), key=lambda x: (-x[1], x[0])):
+        if best is not None and held < _needed(total):
+            break
+        now = _held(t, text, own, item, begin)
+        if best is None or best[0] is None and now[0] or now[0] == "verbatim":
+            best = now
+        if best[0] == "verbatim":
+            break
+    return best
+
+
+def _held(t: Template, text: int, own: Template, item: int, begin: int) -> tuple[str | None, int, int]:
+    a, b = own.first[item], own.first[item + 1]
+    slots = np.flatnonzero(own.kind[a:b])
+    where = slots + begin
+    inside = (where >= t.first[text]) & (where < t.first[text + 1])
+    slots, where = slots[inside], where[inside]
+    # A name at the item's edge can have grown together with one of the text around it.
+    grown = ((slots == 0) | (slots == b - a - 1)) & (own.kind[a + slots] == 3) & (t.parts[where] > own.parts[a + slots])
+    fits = (t.kind[where] == own.kind[a + slots]) & ~grown
+    changed = int((own.plain[a + slots[fits]] != t.plain[where[fits]]).sum())
+    mine, theirs = own.value[a + slots[fits]].tolist(), t.value[where[fits]].tolist()
+    one_way, other_way = dict(zip(mine, theirs, strict=True)), dict(zip(theirs, mine, strict=True))
+    steady = all(one_way[x] == y and other_way[y] == x for x, y in zip(mine, theirs, strict=True))
+    return ("verbatim" if not changed else "reparameterised" if steady else None), len(slots), changed
+
+
+_OUT = "id long, th long, item_id long, n_windows long, n_found long, share double, n_slots int, n_changed int, kind string"
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Decides candidates: rows (id, th, text, items [(item_id, body)])."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    fields = [c.split() for c in _OUT.split(", ")]
+    for batch in batches:
+        ids, ties, items = (batch.column(c).to_pylist() for c in ("id", "th", "items"))
+        rows = []
+        for numbers, texts in blocks(list(range(batch.num_rows)), arrow_texts(batch)):
+            t = Template(texts)
+            asked = {(x["item_id"], x["body"]): None for k in numbers for x in items[k]}
+            own = Template([body.encode() for _, body in asked])
+            index = {x: k for k, x in enumerate(asked)}
+            of_item = list(_item_windows(own))
+            of_text = {}
+            for plain in (False, True):
+                got = [t.windows(w, plain) for w in sorted({w for _, w, *_ in of_item})]
+                h, at, text = (np.concatenate([g[k] for g in got]) for k in range(3))
+                order = np.lexsort((at, h, text))
+                of_text[plain] = h[order], at[order], np.searchsorted(text[order], np.arange(len(texts) + 1))
+            for k, number in enumerate(numbers):
+                for x in items[number]:
+                    got = _matches(t, of_text, k, own, of_item, index[x["item_id"], x["body"]])
+                    if got:
+                        total, found, slots, changed, kind = got
+                        rows.append((ids[number], ties[number], x["item_id"], total, found, found / total, slots, changed, kind))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``_OUT``, ``th`` a hash of the text that tells rows of one id apart."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "decontaminate")
+    texts = slim(docs).withColumn("th", F.xxhash64("text"))
+    items = benchmark.select(F.coalesce(benchmark["item_id"].cast("long"), F.lit(NULL_ID)).alias("item_id"), F.coalesce(benchmark["text"].cast("string"), F.lit("")).alias("text")).distinct()
+    items = scratch.keep(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    windows = scratch.keep(items.select("item", "text").mapInArrow(tidy(_benchmark_windows), "item long, plain boolean, width int, total long, h long"), "windows")
+    widths = [r[0] for r in windows.select("width").distinct().collect()]  # at most WIDTH numbers
+    if not widths:
+        return spark.createDataFrame([], _OUT)
+    held = spark.sparkContext.broadcast(np.packbits(_filter(windows)).tobytes())  # 2**FILTER bits
+    met = scratch.keep(texts.mapInArrow(tidy(_text_windows(held, sorted(widths))), "id long, th long, h long"), "met")
+
+    # A text that holds enough of an item's windows holds one of any that are more than it may miss: the rarest ones are looked up.
+    often = met.groupBy("h").agg(F.count("*").alias("n"))
+    rarest = F.row_number().over(Window.partitionBy("item", "plain").orderBy(F.coalesce("n", F.lit(0)), "h"))
+    probes = windows.join(often, "h", "left").withColumn("nth", rarest).where(F.col("nth") <= F.col("total") - F.expr(f"({SHARE} * total + 99) div 100") + 1)
+    probes = probes.where("n is not null").select("item", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    pairs = met.withColumn("salt", F.pmod(F.xxhash64("id", "th"), F.lit(SALTS)).cast("int")).join(probes, ["h", "salt"]).select("id", "th", "item").distinct()
+    asked = pairs.join(items.select("item", "item_id", F.col("text").alias("body")), "item")
+    asked = asked.groupBy("id", "th", F.pmod(F.xxhash64("item"), F.lit(64)).alias("lot")).agg(F.collect_list(F.struct("item_id", "body")).alias("items"))
+    return scratch.keep(texts.join(asked, ["id", "th"]).select("id", "th", "text", "items").mapInArrow(tidy(_verify), _OUT).distinct(), "found")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -301,28 +371,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``kind`` is ``verbatim`` (no placeholder differs) or ``reparameterised`` (they
     differ, each value always in the same way).  An item of fewer words than a window is one
     window; an item whose windows have too few literal words is found as a verbatim copy only.  Items
-    without words and null or empty texts are in no row.  Rows of one id and text are one row here; equal items of several ids are found each.
+    without words and null or empty texts are in no row.  Rows of one id and text are one row here, rows of one id and
+    several texts are judged each; equal items of several ids are found each.  Texts of any length are searched
+    whole; other columns are ignored, whatever their names; empty tables have no rows.
     """
-    rows = slim(docs)
-    found = [_search(rows, items) for items in _item_blocks(benchmark)]
-    out = reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], _OUT)
-    return out.distinct().select(real_id().alias("doc_id"), real_id("item_id").alias("item_id"), *[c.split()[0] for c in _OUT.split(", ")[2:]])
+    found = _found(docs, benchmark).drop("th").distinct()
+    return found.select(real_id().alias("doc_id"), real_id("item_id").alias("item_id"), *[c.split()[0] for c in _OUT.split(", ")[3:]])
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no benchmark item; judged text by text, without a shuffle of texts."""
-    found = list(_item_blocks(benchmark))
-    sc = docs.sparkSession.sparkContext
-    held = [sc.broadcast(x) for x in found]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in arrow_texts(batch)]
-            keep = np.ones(len(texts), bool)
-            for numbers, some in blocks(list(range(len(texts))), texts):
-                for h in held:
-                    for x in h.value.find(some):
-                        keep[numbers[x[0]]] = False
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(tidy(run), docs.schema) if held else docs
+    """The rows of ``docs``, all columns whatever their names, whose text holds no benchmark item."""
+    gone = _found(docs, benchmark).select("id", "th").distinct()
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    rows = docs.select(whole.alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("th"))
+    return rows.join(gone, ["id", "th"], "left_anti").select("row.*")
