@@ -15,17 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, part_count, slim, tidy
+from .scratch import Scratch, bound_batches, part_count, slim, tidy
 from .textvec import U, mix
 from .tokens import VOCABULARY, Coder, code_points, lots, pretoken_starts
 
 END = 50256
 ROUNDS = 6
 SEQUENCE = 1024
+#: Slots of a shard: files of 16 MB at 1,024 ids a sequence, sorted by one task each.
+PER_SHARD = 8192
 
 
 def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -47,8 +48,10 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def _encode(vocabulary: str):
+    """``(id, tie, n, tokens)`` of each text: its ids, closed by an end mark."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, total = Coder(vocabulary), TaskContext.get().partitionId(), 0
+        coder = Coder(vocabulary)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo, hi in lots(texts):
@@ -60,33 +63,33 @@ def _encode(vocabulary: str):
                 ids, n = coder.encoded(joined, flat, starts) if len(starts) else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
                 upto = np.concatenate(([0], np.cumsum(n)))
                 cut = upto[np.searchsorted(starts, np.append(first, len(flat)))]
-                end = cut[1:]
-                ids = np.insert(ids, end, END)
+                ids = np.insert(ids, cut[1:], END)
                 cut = cut + np.arange(len(cut))
-                # One row for each lot: the lot's documents stay in the order they were read in.
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([total], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([ids.tobytes()], pa.binary())],
-                    names=["part", "at", "n", "tokens"],
+                    [batch.column("id").slice(lo, hi - lo), batch.column("tie").slice(lo, hi - lo), pa.array(np.diff(cut)), pa.array([ids[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
+                    names=["id", "tie", "n", "tokens"],
                 )
-                total += len(ids)
 
     return run
 
 
 def _pieces(length: int, key: int, total: int):
+    """Each text's ids cut at the ends of sequences: ``(index, slot, at, tokens)``, ``at`` the place in the sequence."""
     n = -(-total // length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, tokens in zip(batch.column("at").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                ids = np.frombuffer(tokens, np.uint16)
-                index = np.arange(at // length, (at + len(ids) - 1) // length + 1)
-                cuts = np.clip(np.append(index, index[-1] + 1) * length - at, 0, len(ids))
-                slot = feistel(index, n, key)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(index), pa.array(slot), pa.array(((cuts[:-1] + at) % length).astype(np.int32)), pa.array([ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
-                    names=["index", "slot", "at", "tokens"],
-                )
+            at, data = batch.column("at").to_numpy(), batch.column("tokens").to_pylist()
+            size = np.fromiter(map(len, data), np.int64, len(data)) // 2
+            first = at // length
+            count = (at + size - 1) // length - first + 1
+            text = np.repeat(np.arange(len(data)), count)
+            index = first[text] + np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+            begin = np.maximum(index * length, at[text])
+            stop = np.minimum((index + 1) * length, (at + size)[text])
+            lo, hi = (2 * (x - at[text]) for x in (begin, stop))
+            tokens = [data[k][x:y] for k, x, y in zip(text.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(index), pa.array(feistel(index, n, key)), pa.array((begin - index * length).astype(np.int32)), pa.array(tokens, pa.binary())], names=["index", "slot", "at", "tokens"])
 
     return run
 
@@ -130,41 +133,50 @@ def _assemble(length: int, per_shard: int, digest: bool):
     return run
 
 
-def training_order(docs: DataFrame, key: int = 1, length: int = SEQUENCE, vocabulary: str = VOCABULARY, per_shard: int | None = None, digest: bool = False) -> DataFrame:
+def _starts(sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(row, at)``: where each text's ids begin in the corpus, in order of (id, hash of the text).
+
+    Rows of two numbers and a size are sorted by ranges; sums go over ranges first, then within each.
+    """
+    dealt = sizes.repartitionByRange(part_count(scratch.spark), "id", "tie", "row").withColumn("piece", F.spark_partition_id())
+    dealt = scratch.keep(dealt, "sizes")
+    base = dealt.groupBy("piece").agg(F.sum("n").alias("n")).selectExpr("piece", "sum(n) over (order by piece) - n as base")  # a row for each range
+    inner = dealt.selectExpr("row", "piece", "sum(n) over (partition by piece order by id, tie, row rows unbounded preceding) - n as inner")
+    return inner.join(base, "piece").select("row", (F.col("base") + F.col("inner")).alias("at"))
+
+
+def training_order(docs: DataFrame, key: int = 1, length: int = SEQUENCE, vocabulary: str = VOCABULARY, per_shard: int = PER_SHARD, digest: bool = False) -> DataFrame:
     """``slot, sequence, shard, n_tokens, record``: every sequence of the corpus, in order of slots within each partition.
 
-    A partition holds one shard of ``per_shard`` slots (by default as many shards
-    as the session has shuffle partitions).  ``record`` is ``2 * length`` bytes of
+    A partition holds one shard of ``per_shard`` slots, whatever the size of the corpus.  ``record`` is ``2 * length`` bytes of
     little-endian uint16; the last sequence is filled with end marks, which
     ``n_tokens`` does not count; with ``digest`` a column ``sha256`` of it takes its
-    place, made as records are assembled.  Sequences are numbered in the order the input is
-    read.  A null or empty text is one end mark; an empty table has no rows.
+    place, made as records are assembled.  The corpus is laid out in order of ids (null first), rows of
+    one id by a hash of their texts, so the result is the same for any partitioning of the input.
+    A null or empty text is one end mark, a text of any length spans as many sequences as it needs; other
+    columns are ignored, whatever their names; an empty table has no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "order")
-    tokens = scratch.keep(slim(docs).select("text").mapInArrow(tidy(_encode(vocabulary)), "part int, at long, n long, tokens binary"), "tokens")
-    sums = tokens.groupBy("part").agg(F.sum("n").alias("n"))
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    n = max(1, -(-total // length))
-    per_shard = per_shard or -(-n // part_count(spark))
-    # One row for each task that read the input, whatever the size of its rows.
-    base = sums.selectExpr("part", "sum(n) over (order by part) - n as base")
-    placed = tokens.join(F.broadcast(base), "part").select((F.col("base") + F.col("at")).alias("at"), "tokens")
-    pieces = placed.mapInArrow(tidy(_pieces(length, key, total)), "index long, slot long, at int, tokens binary")
-    shards = -(-n // per_shard)
+    texts = slim(docs).withColumn("tie", F.xxhash64("text"))
+    tokens = texts.mapInArrow(tidy(_encode(vocabulary)), "id long, tie long, n long, tokens binary")
+    tokens = scratch.keep(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
+    total = tokens.agg(F.sum("n")).first()[0] or 0
+    placed = tokens.select("row", "tokens").join(_starts(tokens.select("id", "tie", "row", "n"), scratch), "row")
+    pieces = placed.select("at", "tokens").mapInArrow(tidy(_pieces(length, key, total)), "index long, slot long, at int, tokens binary")
+    shards = max(1, -(-total // length // per_shard))
     dealt = pieces.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int")).repartitionById(shards, "shard").sortWithinPartitions("slot", "at")
     return dealt.select("slot", "index", "tokens").mapInArrow(tidy(_assemble(length, per_shard, digest)), _DIGEST if digest else _RECORD)
 
 
-def write_shards(records: DataFrame, path: str) -> int:
-    """Write each shard as one raw file of fixed-stride records; the stride in bytes.
+def write_shards(records: DataFrame, path: str, length: int = SEQUENCE) -> int:
+    """Write each shard as one raw file of fixed-stride records, in order of slots; the stride in bytes.
 
     A record is its ids and one line feed, so the text writer's commit protocol
     (a lost task leaves nothing behind) applies and any store Spark can write will do.
     """
-    size = records.select(F.length("record").alias("n")).limit(1).collect()
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
-    return size[0]["n"] + 1 if size else 0
+    return 2 * length + 1
 
 
 def read_shard(spark, file: str, stride: int, first: int = 0):
@@ -173,6 +185,33 @@ def read_shard(spark, file: str, stride: int, first: int = 0):
     return rdd.map(lambda x: (x[1], np.frombuffer(x[0][:-1], np.uint16)))
 
 
+def shard_records(spark, path: str, length: int = SEQUENCE, per_shard: int = PER_SHARD) -> DataFrame:
+    """``slot, shard, place, sha256`` of every record in the shard files below ``path``, read from the files.
+
+    The task that wrote shard s named its file ``part-<s>``; the place in the file gives the slot.
+    """
+    bound_batches(spark)
+    stride = 2 * length + 1
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
+    files = files.select(F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("long").alias("shard"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, shard in enumerate(batch.column("shard").to_pylist()):
+                data = memoryview(batch.column("content")[k].as_buffer())
+                place = np.arange(len(data) // stride)
+                sha = [hashlib.sha256(data[x : x + stride - 1]).hexdigest() for x in (place * stride).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(shard * per_shard + place), pa.array(np.full(len(place), shard)), pa.array(place), pa.array(sha, pa.string())], names=["slot", "shard", "place", "sha256"])
+
+    return files.mapInArrow(tidy(run), "slot long, shard long, place long, sha256 string")
+
+
+def shards_in_order(docs: DataFrame, path: str, length: int = SEQUENCE, per_shard: int = PER_SHARD, **options) -> DataFrame:
+    """Write the corpus as shards below ``path``; :func:`shard_records` of what was written."""
+    write_shards(training_order(docs, length=length, per_shard=per_shard, **options), path, length)
+    return shard_records(docs.sparkSession, path, length, per_shard)
+
+
 def order_digest(docs: DataFrame, **options) -> DataFrame:
-    """One row per sequence: ``slot, sequence, shard, n_tokens, sha256`` of its record."""
+    """One row per sequence: ``slot, sequence, shard, n_tokens, sha256`` of its record, without writing any."""
     return training_order(docs, digest=True, **options)
