@@ -1,15 +1,17 @@
 """Line dedup against levelled sorted runs of line hashes.
 
 Documents are taken in batches of ascending id.  A batch's distinct line keys
-are merge-joined with the runs of earlier batches; keys that no run holds
+are merge-anti-joined with the runs of earlier batches and calls; keys that no run holds
 become a new sorted run of level 0, and ``FANOUT`` runs of a level are merged
-into one of the next.  Runs are disjoint, so merging never compares values.
+into one of the next.  Runs are bucketed by hash: a join reads them as they lie, without an exchange.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -21,7 +23,7 @@ from .scratch import Scratch, part_count, real_id, slim
 from .textvec import arrow_texts
 
 #: Runs of a level that are merged into one of the next.
-FANOUT = 3
+FANOUT = 2
 _SPACE = b" \t\n\x0b\x0c\r"
 _HASH = np.dtype([("h1", np.int64), ("h2", np.int64)])
 
@@ -68,50 +70,106 @@ def _drop(least: int):
 
 
 class LineRuns:
-    """The line keys seen so far, ``(h1, h2, first)`` in disjoint runs sorted by hash, and their levels."""
+    """The line keys seen so far, ``(h1, h2)`` in runs bucketed and sorted by hash, below one folder.
 
-    SCHEMA = "h1 long, h2 long, first long"
-
-    def __init__(self, spark: SparkSession, scratch: Scratch):
-        self.spark, self.scratch = spark, scratch
-        self.levels: list[list[tuple[str, DataFrame]]] = []
-        self.made = 0
-
-    def all(self) -> DataFrame:
-        runs = [df for level in self.levels for _, df in level]
-        return reduce(DataFrame.unionAll, runs) if runs else self.spark.createDataFrame([], self.SCHEMA)
+    A run is a folder ``run-<level>-<number>``; it counts once its ``_SUCCESS`` file is there.  Opened on
+    a folder that has runs, it goes on from them: keys of earlier calls are known.  A merge writes the
+    new run before it removes the old ones; a key that is in two runs is as good as in one.
+    """
 
-    def _write(self, df: DataFrame) -> tuple[str, DataFrame]:
-        name = f"run-{self.made}"
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        jvm = spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(self.folder))
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._path(self.folder))]
+        old = [n for n in names if n.startswith("buckets-")]
+        #: Buckets of every run: as many as when the folder was new, so that runs and batches meet without an exchange of the runs.
+        self.buckets = int(old[0].rpartition("-")[2]) if old else buckets or part_count(spark)
+        if not old:
+            self._fs.mkdirs(self._path(f"{self.folder}/buckets-{self.buckets}"))
+        runs = [tuple(map(int, n.split("-")[1:])) for n in names if n.startswith("run-") and self._fs.exists(self._path(f"{self.folder}/{n}/_SUCCESS"))]
+        self.made = 1 + max((n for _, n in runs), default=-1)
+        self.levels: list[list[tuple[int, str]]] = [[] for _ in range(1 + max((level for level, _ in runs), default=-1))]
+        for level, n in sorted(runs):
+            table = self._table()
+            spark.sql(f"CREATE TABLE {table} (h1 BIGINT, h2 BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{self._place(level, n)}'")
+            self.levels[level].append((n, table))
+
+    def _table(self) -> str:
+        return f"line_run_{uuid.uuid4().hex}"
+
+    def _place(self, level: int, n: int) -> str:
+        return f"{self.folder}/run-{level}-{n}"
+
+    def all(self) -> list[DataFrame]:
+        return [self.spark.table(table) for level in self.levels for _, table in level]
+
+    def unknown(self, keys: DataFrame) -> DataFrame:
+        """The rows whose key no run holds: one merge anti join with each run."""
+        return reduce(lambda df, run: df.join(run.hint("merge"), ["h1", "h2"], "left_anti"), self.all(), keys)
+
+    def known(self, keys: DataFrame) -> DataFrame:
+        """The rows whose key a run holds."""
+        found = [keys.join(run.hint("merge"), ["h1", "h2"], "left_semi") for run in self.all()]
+        return reduce(DataFrame.unionAll, found) if found else keys.limit(0)
+
+    def _write(self, df: DataFrame, level: int) -> None:
+        n, table = self.made, self._table()
         self.made += 1
-        return name, self.scratch.keep(df.sortWithinPartitions("h1", "h2"), name)
+        dealt = df.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        dealt.option("path", self._place(level, n)).option("compression", "zstd").saveAsTable(table)
+        self.levels[level].append((n, table))
 
     def add(self, keys: DataFrame) -> None:
         """Add a run of new keys, then merge levels that are full."""
-        level, run = 0, self._write(keys)
-        while True:
+        level, full = 0, keys.select("h1", "h2")
+        old: list[tuple[int, str]] = []
+        while full is not None:
             if level == len(self.levels):
                 self.levels.append([])
-            self.levels[level].append(run)
-            if len(self.levels[level]) < FANOUT:
-                return
-            old, self.levels[level] = self.levels[level], []
-            merged = reduce(DataFrame.unionAll, [df for _, df in old]).repartitionByRange(part_count(self.spark), "h1", "h2")
-            run = self._write(merged)
-            for name, _ in old:
-                self.scratch.drop(name)
-            level += 1
-
-
-def drop_repeated_lines(docs: DataFrame, least: int = 10, batches: int = 4, digest: bool = False) -> DataFrame:
+            self._write(full, level)
+            for n, table in old:
+                self.spark.sql(f"DROP TABLE {table}")
+                self._fs.delete(self._path(self._place(level - 1, n)), True)
+            full = None
+            if len(self.levels[level]) == FANOUT:
+                old, self.levels[level] = self.levels[level], []
+                full = reduce(DataFrame.unionAll, [self.spark.table(t) for _, t in old]).distinct()
+                level += 1
+
+    def close(self) -> None:
+        """Forget the tables; the runs stay in their folder."""
+        for level in self.levels:
+            for _, table in level:
+                self.spark.sql(f"DROP TABLE {table}")
+        self.levels = []
+
+
+@contextmanager
+def _sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Lets plans made inside rely on the order of runs, which have one sorted file a bucket."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def drop_repeated_lines(docs: DataFrame, least: int = 10, batches: int = 4, digest: bool = False, runs: LineRuns | None = None) -> DataFrame:
     """Of each line found in several documents only the lines of the smallest document stay.
 
     A line's key is the line without ``[\\x20\\x09-\\x0D]`` at its ends, in
     lower case for A-Z; keys of under ``least`` code points never match.  Returns
     ``doc_id, n_lines, n_dropped, kept`` (with ``digest``: ``kept_sha256``), one
     row for each input row.  A null or empty text is one empty line; a null id
-    is smaller than all others; rows of one id count as one document.  The
-    result does not depend on ``batches``.
+    is smaller than all others; rows of one id count as one document; texts of any length are
+    split whole; other columns are ignored, whatever their names; an empty table has no rows.  The
+    result does not depend on ``batches``.  With ``runs`` lines known from earlier calls go from all documents, and
+    this call's lines are added to them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
@@ -119,23 +177,27 @@ def drop_repeated_lines(docs: DataFrame, least: int = 10, batches: int = 4, dige
     share = [k / batches for k in range(1, batches)]
     bounds = keys.agg(F.percentile_approx("id", share, 10_000)).first()[0] if share else []
     bounds = sorted(set(bounds or []))
-    runs, late = LineRuns(spark, scratch), []
+    keeps, runs, late = runs is not None, runs or LineRuns(spark, scratch.path("runs")), []
     for k, (lo, hi) in enumerate(zip([None, *bounds], [*bounds, None], strict=True)):
         mine = keys
         if lo is not None:
             mine = mine.where(F.col("id") > lo)
         if hi is not None:
             mine = mine.where(F.col("id") <= hi)
-        seen = mine.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-        seen = seen.join(runs.all().hint("merge"), ["h1", "h2"], "left").select("h1", "h2", "low", "high", "first")
-        # The only lines to drop in this batch: keys with a document after the first holder.
-        seen = scratch.keep(seen, f"seen-{k}")
-        late.append(seen.where(F.coalesce("first", "low") < F.col("high")).select("h1", "h2", F.coalesce("first", "low").alias("first"), "low", "high"))
-        if k < len(bounds):
-            runs.add(seen.where("first is null").select("h1", "h2", F.col("low").alias("first")))
+        with _sorted_scans(spark):
+            seen = mine.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+            seen = scratch.keep(seen, f"seen-{k}")
+            new = scratch.keep(runs.unknown(seen), f"new-{k}")
+            # Lines to drop in this batch: of new keys those after the first holder, of known ones all.
+            late.append(new.where("low < high").select("h1", "h2", F.col("low").alias("first"), F.lit(False).alias("each")))
+            late.append(scratch.keep(runs.known(seen).select("h1", "h2", F.lit(lo).cast("long").alias("first"), F.lit(lo is None).alias("each")), f"known-{k}"))
+            if k < len(bounds) or keeps:
+                runs.add(new)
+    if not keeps:
+        runs.close()
     # A key may be late in several batches: one row for each is left, with its first holder.
-    late = reduce(DataFrame.unionAll, late).groupBy("h1", "h2").agg(F.min("first").alias("first"))
-    gone = keys.join(late, ["h1", "h2"]).where("id > first").groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
+    late = reduce(DataFrame.unionAll, late).groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("each").alias("each"))
+    gone = keys.join(late, ["h1", "h2"]).where("each or id > first").groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
     text = slim(docs).join(gone, "id", "left").select("id", "text", "gone")
     out = text.mapInArrow(_drop(least), "id long, n_lines long, n_dropped long, kept binary")
     kept = F.sha2("kept", 256).alias("kept_sha256") if digest else F.col("kept")
