@@ -4,7 +4,8 @@ Texts are cut into content-defined chunks of 50-byte string starts.  A chunk
 whose bytes also occur in an earlier document is settled by its hash alone.
 What is left is cut into segments whose string starts share one minimiser, so
 equal strings always meet in one bucket; only segments whose minimiser occurs
-in other content travel.  A bucket sorts the suffixes of its segments, computes
+in other content travel, and those of a minimiser that many parts report go string by string, so that
+no minimiser makes a bucket that grows with the corpus.  A bucket sorts the suffixes of its segments, computes
 the common prefixes of neighbours and scans them with a stack: every interval
 of suffixes with a common prefix of at least ``length`` bytes that cannot be
 extended to the left by one common byte is a maximal repeat, and is put out
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +41,13 @@ CUT = 16
 SORT = 150_000
 #: Text bytes of a part, which one task holds at a time.
 PART_BYTES = 8 << 20
-CHUNKS, GRAMS, SPANS = 0, 1, 2
+#: Parts that report one minimiser from which its segments no longer go to one bucket: each of their string starts goes by its own hash.
+HOT = 64
+CHUNKS, GRAMS, SPANS, HOTS = 0, 1, 2, 3
 _CHUNK = np.dtype([("c1", U), ("c2", U), ("doc", np.int64)])
-_GRAM = np.dtype([("m", U), ("tag", np.uint32)])
+#: 48 bits of a minimiser, and 80 of the chunk it occurs in: the same 48 bits of two minimisers only send more segments on their way.
+_GRAM = np.dtype([("m", U), ("tag", U)])
+_LOW = U((1 << 16) - 1)
 _RECORD = np.dtype([("m", U), ("rid", np.int32), ("size", np.int32), ("low", np.int64), ("high", np.int64)])
 _SPAN = np.dtype([("rid", np.int32), ("at", np.int32), ("size", np.int32), ("doc", np.int64)])
 
@@ -136,17 +142,10 @@ class _Part:
 
     def gram_entries(self) -> np.ndarray:
         """Each minimiser with the least and greatest tag of the chunks it occurs in: two tags are two contents."""
-        tag = (self.chunk_hash["c1"] >> U(32)).astype(np.uint32)[self.chunk_of]
-        order = np.argsort(self.gram, kind="stable")
-        m, tag = self.gram[order], tag[order]
-        head = np.flatnonzero(np.concatenate((np.ones(min(len(m), 1), bool), m[1:] != m[:-1])))
-        if not len(head):
-            return np.empty(0, _GRAM)
-        lo, hi = np.minimum.reduceat(tag, head), np.maximum.reduceat(tag, head)
-        two = lo != hi
-        out = np.empty(len(head) + int(two.sum()), _GRAM)
-        out["m"], out["tag"] = np.concatenate((m[head], m[head][two])), np.concatenate((lo, hi[two]))
-        return out
+        x = np.empty(len(self.gram), _GRAM)
+        x["m"] = self.gram & ~_LOW | (self.chunk_hash["c2"] & _LOW)[self.chunk_of]
+        x["tag"] = self.chunk_hash["c1"][self.chunk_of]
+        return _ends(x)[0]
 
     def settled(self, back: np.ndarray) -> np.ndarray:
         """Chunks that an earlier document holds, given the smaller documents that other parts report."""
@@ -160,18 +159,48 @@ class _Part:
         low[order] = best["doc"][np.cumsum(change) - 1]
         return self.chunk_doc > low
 
-    def open_segments(self, settled: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-        """Segments left to decide, their distinct texts, and the number of each one's text."""
-        shared = np.unique(shared)
-        pos = np.searchsorted(shared, self.gram)
-        hit = np.zeros(len(self.gram), bool)
-        inside = pos < len(shared)
-        hit[inside] = shared[pos[inside]] == self.gram[inside]
-        seg = np.flatnonzero(hit & ~settled[self.chunk_of])
+    def open_segments(self, settled: np.ndarray, shared: np.ndarray, hot: np.ndarray) -> _Open:
+        """The segments left to decide; those of a hot minimiser start by start, each with the hash of its own string."""
+        m = self.gram >> U(16)
+        wanted = np.isin(m, shared >> U(16)) & ~settled[self.chunk_of]
+        many = wanted & np.isin(m, hot >> U(16))
+        seg, each = np.flatnonzero(wanted & ~many), np.flatnonzero(many)
+        n = self.size[each]
+        which = np.repeat(each, n)
+        start = np.concatenate((self.start[seg], self.start[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)))
+        size = np.concatenate((self.size[seg], np.ones(len(which), np.int64)))
         known: dict[bytes, int] = {}
-        a, b, view = self.start[seg].tolist(), (self.start[seg] + self.size[seg] + self.length - 1).tolist(), self.view
-        rid = np.fromiter((known.setdefault(bytes(view[x:y]), len(known)) for x, y in zip(a, b, strict=True)), np.int64, len(seg))
-        return seg, list(known), rid
+        view = self.view
+        rid = np.fromiter((known.setdefault(bytes(view[x:y]), len(known)) for x, y in zip(start.tolist(), (start + size + self.length - 1).tolist(), strict=True)), np.int64, len(start))
+        texts = list(known)
+        m = np.zeros(len(texts), U)
+        m[rid[: len(seg)]] = self.gram[seg]
+        for k in np.unique(rid[len(seg) :]).tolist():
+            m[k] = int.from_bytes(hashlib.blake2b(texts[k], digest_size=8).digest(), "little")
+        return _Open(start, size, np.concatenate((self.doc[seg], self.doc[which])), texts, rid, m)
+
+
+class _Open(NamedTuple):
+    """Segments by first byte, string starts and document, each one's distinct text, and what the texts are dealt by."""
+
+    start: np.ndarray
+    size: np.ndarray
+    doc: np.ndarray
+    texts: list[bytes]
+    rid: np.ndarray
+    m: np.ndarray
+
+
+def _ends(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the entries of each minimiser the least and, if it differs, the greatest; how many there were of each; and which have two."""
+    x = x[np.lexsort((x["tag"], x["m"]))]
+    m = x["m"] >> U(16)
+    head = np.ones(len(x), bool)
+    head[1:] = m[1:] != m[:-1]
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(x))[: len(first)] - 1
+    two = x[first] != x[last]
+    return np.concatenate((x[first], x[last[two]])), last - first + 1, two
 
 
 def _first_of(x: np.ndarray, keys: tuple[str, ...], value: str) -> np.ndarray:
@@ -201,7 +230,7 @@ def _emit(length: int, buckets: int):
         me = table.column("part")[0].as_py()
         chunks, grams = part.chunk_entries(), part.gram_entries()
         rows = [(b, me, CHUNKS, x.tobytes()) for b, _, x in _deal(mix(chunks["c1"]), chunks, buckets)]
-        rows += [(b, me, GRAMS, x.tobytes()) for b, _, x in _deal(mix(grams["m"]), grams, buckets)]
+        rows += [(b, me, GRAMS, x.tobytes()) for b, _, x in _deal(mix(grams["m"] >> U(16)), grams, buckets)]
         return _rows(rows, ("bucket", "part", "kind", "data"))
 
     return run
@@ -215,34 +244,34 @@ def _gathered(table: pa.Table, kind: int, dtype: np.dtype, owner: str = "part")
     return x, np.repeat(own[some], [len(data[k]) // dtype.itemsize for k in some]) if some else own[:0]
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """For a bucket: to each part the chunks that a smaller document of another part holds, and its shared minimisers."""
-    rows = []
-    x, own = _gathered(table, CHUNKS, _CHUNK)
-    order = np.lexsort((x["doc"], x["c2"], x["c1"]))
-    x, own = x[order], own[order]
-    head = np.ones(len(x), bool)
-    head[1:] = (x["c1"][1:] != x["c1"][:-1]) | (x["c2"][1:] != x["c2"][:-1])
-    low = x["doc"][head][np.cumsum(head) - 1] if len(x) else x["doc"]
-    later = x["doc"] > low
-    back = x[later]
-    back["doc"] = low[later]
-    rows += [(p, CHUNKS, y.tobytes()) for p, _, y in _deal(own[later].astype(U), back, 1 << 31)]
-    x, own = _gathered(table, GRAMS, _GRAM)
-    order = np.argsort(x["m"], kind="stable")
-    x, own = x[order], own[order]
-    if len(x):
+def _compare(hot: int):
+    def run(table: pa.Table) -> pa.Table:
+        """For a bucket: to each part the chunks that a smaller document of another part holds, and its shared minimisers."""
+        rows = []
+        x, own = _gathered(table, CHUNKS, _CHUNK)
+        order = np.lexsort((x["doc"], x["c2"], x["c1"]))
+        x, own = x[order], own[order]
         head = np.ones(len(x), bool)
-        head[1:] = x["m"][1:] != x["m"][:-1]
-        at = np.flatnonzero(head)
-        differs = np.minimum.reduceat(x["tag"], at) != np.maximum.reduceat(x["tag"], at)
-        shared = differs[np.cumsum(head) - 1]
-        rows += [(p, GRAMS, y.tobytes()) for p, _, y in _deal(own[shared].astype(U), x["m"][shared], 1 << 31)]
-    return _rows(rows, ("part", "kind", "data"))
+        head[1:] = (x["c1"][1:] != x["c1"][:-1]) | (x["c2"][1:] != x["c2"][:-1])
+        low = x["doc"][head][np.cumsum(head) - 1] if len(x) else x["doc"]
+        later = x["doc"] > low
+        back = x[later]
+        back["doc"] = low[later]
+        rows += [(p, CHUNKS, y.tobytes()) for p, _, y in _deal(own[later].astype(U), back, 1 << 31)]
+        x, own = _gathered(table, GRAMS, _GRAM)
+        order = np.argsort(x["m"] >> U(16), kind="stable")
+        x, own = x[order], own[order]
+        if len(x):
+            _, n, differs = _ends(x)
+            for kind, some in ((GRAMS, np.repeat(differs, n)), (HOTS, np.repeat(differs & (n > hot), n))):
+                rows += [(p, kind, y.tobytes()) for p, _, y in _deal(own[some].astype(U), x["m"][some], 1 << 31)]
+        return _rows(rows, ("part", "kind", "data"))
+
+    return run
 
 
-def _answers(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(_gathered(table, k, d)[0] for k, d in ((CHUNKS, _CHUNK), (GRAMS, np.dtype(U)), (SPANS, _SPAN)))
+def _answers(table: pa.Table) -> tuple[np.ndarray, ...]:
+    return tuple(_gathered(table, k, d)[0] for k, d in ((CHUNKS, _CHUNK), (GRAMS, np.dtype(U)), (HOTS, np.dtype(U)), (SPANS, _SPAN)))
 
 
 def _records(length: int, buckets: int):
@@ -251,17 +280,18 @@ def _records(length: int, buckets: int):
         if not docs.num_rows:
             return _rows([], names)
         part = _Part(docs, length)
-        chunks, shared, _ = _answers(back)
-        seg, texts, rid = part.open_segments(part.settled(chunks), shared)
-        if not len(seg):
+        chunks, shared, hot, _ = _answers(back)
+        seg = part.open_segments(part.settled(chunks), shared, hot)
+        texts = seg.texts
+        if not texts:
             return _rows([], names)
         me = docs.column("part")[0].as_py()
         rec = np.zeros(len(texts), _RECORD)
-        doc = part.ids[part.doc[seg]]
-        rec["m"][rid], rec["rid"], rec["size"] = part.gram[seg], np.arange(len(texts)), [len(t) for t in texts]
+        doc = part.ids[seg.doc]
+        rec["m"], rec["rid"], rec["size"] = seg.m, np.arange(len(texts)), [len(t) for t in texts]
         rec["low"], rec["high"] = np.iinfo(np.int64).max, np.iinfo(np.int64).min
-        np.minimum.at(rec["low"], rid, doc)
-        np.maximum.at(rec["high"], rid, doc)
+        np.minimum.at(rec["low"], seg.rid, doc)
+        np.maximum.at(rec["high"], seg.rid, doc)
         rows = []
         for b, which, x in _deal(mix(rec["m"]), rec, buckets):
             rows.append((b, me, 0, x.tobytes()))
@@ -399,19 +429,19 @@ def _remove(length: int):
         if not docs.num_rows:
             return schema.empty_table()
         part = _Part(docs, length)
-        chunks, shared, spans = _answers(back)
+        chunks, shared, hot, spans = _answers(back)
         settled = part.settled(chunks)
         edge = np.zeros(len(part.data) + 1, np.int32)
         np.add.at(edge, part.chunk_start[settled], 1)
         np.add.at(edge, part.chunk_end[settled], -1)
-        seg, texts, rid = part.open_segments(settled, shared)
-        if len(seg):
-            doc, start = part.ids[part.doc[seg]], part.start[seg]
-            low = np.full(len(texts), np.iinfo(np.int64).max)
+        seg = part.open_segments(settled, shared, hot)
+        if seg.texts:
+            doc, start, rid = part.ids[seg.doc], seg.start, seg.rid
+            low = np.full(len(seg.texts), np.iinfo(np.int64).max)
             np.minimum.at(low, rid, doc)
             again = doc > low[rid]
             np.add.at(edge, start[again], 1)
-            np.add.at(edge, start[again] + part.size[seg[again]] + length - 1, -1)
+            np.add.at(edge, start[again] + seg.size[again] + length - 1, -1)
             spans = spans[np.argsort(spans["rid"], kind="stable")]
             a, b = np.searchsorted(spans["rid"], rid), np.searchsorted(spans["rid"], rid, "right")
             n = b - a
@@ -434,21 +464,22 @@ def _remove(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False, part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts in a document of a smaller id.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes left; with
     ``digest`` instead ``kept_sha256``), one row for each input row.  Strings are
     judged on the input, never cross documents, and may overlap.  A null text
     is empty; a text shorter than ``length`` is kept whole; rows with one id
-    do not count as repeats of each other; a null id counts as the smallest.
+    do not count as repeats of each other; a null id counts as the smallest; other columns are ignored,
+    whatever their names; an empty table has no rows.
     """
     texts = slim(docs)
     parts = parts_by_size(texts, part_bytes)
     buckets = -(-parts // 2)
     dealt = texts.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).repartition(parts, "part")
     entries = dealt.groupBy("part").applyInArrow(_emit(length, buckets), "bucket int, part int, kind int, data binary")
-    answers = entries.groupBy("bucket").applyInArrow(_compare, "part int, kind int, data binary")
+    answers = entries.groupBy("bucket").applyInArrow(_compare(hot), "part int, kind int, data binary")
     records = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_records(length, parts), "bucket int, part int, kind int, data binary")
     spans = records.groupBy("bucket").applyInArrow(_suffixes(length), "part int, kind int, data binary")
     out = dealt.groupBy("part").cogroup(answers.unionByName(spans).groupBy("part")).applyInArrow(_remove(length), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
