@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import graph
 from .collide import colliding
 from .families import linked_within
-from .scratch import Scratch, part_count, real_id, slim
+from .scratch import Scratch, part_count, pieces_of, real_id, slim
 from .textvec import U, mix, seeds
 
 #: Characters of one walk.
@@ -199,7 +199,8 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     next document, after the last by those of the first.  Texts are dealt out
     by ranges of ids once; a partition's rows meet their successors there, and
     only the partitions' ends are joined across.  A null text is empty; an empty
-    text's fingerprint is all zero; a single document follows itself.
+    text's fingerprint is all zero; a single document follows itself; a text of any length is
+    walked whole.  Other columns are ignored, whatever their names; an empty table has no rows.
     """
     parts = part_count(docs.sparkSession)
     dealt = slim(docs).withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie", "text").select("id", "text")
@@ -248,17 +249,21 @@ def _near(least: float):
 def near_by_edits(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """``doc_id, component_id``: documents joined by bit-sampled bands whose fingerprints are verified to be ``least`` alike.
 
-    Equal fingerprints form one class; classes connected by shared bands are one family, whose pairs
-    are all compared, in blocks.  Empty texts stand alone.
+    One row for each row of ``docs``; ``component_id`` is the smallest id reachable.  Equal
+    fingerprints form one class; classes connected by shared bands are one family, whose pairs
+    are all decided, in blocks.  Null and empty texts stand alone; rows that repeat an id go by their
+    texts; a null id is the smallest; an empty table has no rows.
     """
     spark = docs.sparkSession
-    scratch, parts = Scratch(spark, "edits"), part_count(spark)
+    scratch = Scratch(spark, "edits")
     fp = scratch.keep(slim(docs).mapInArrow(_prints, "id long, fp binary"), "prints")
-    none = F.col("fp") == F.lit(bytes(SAMPLES))
-    reps = scratch.keep(fp.where(~none).groupBy("fp").agg(F.min("id").alias("id")), "reps")
-    family = graph.components(colliding(reps.select("id", "fp"), _bands, parts), scratch, "family")
-    links = linked_within(family, reps.select("id", F.col("fp").alias("data")), _near(least), parts)
+    classes = fp.where(F.col("fp") != F.lit(bytes(SAMPLES))).groupBy("fp").agg(F.min("id").alias("least"))
+    reps = scratch.keep(classes.select(F.monotonically_increasing_id().alias("id"), "fp", "least"), "reps")
+    buckets = pieces_of(spark, reps.count() * (SAMPLES // BAND) * 16)
+    family = graph.components(colliding(reps.select("id", "fp"), _bands, buckets), scratch, "family")
+    links = linked_within(family, reps.select("id", F.col("fp").alias("data")), _near(least), scratch, "pairs-of")
     found = graph.components(links, scratch, "near", contracted=True)
-    label = reps.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
-    out = fp.join(label, "fp", "left").select("id", F.coalesce("component", "id").alias("component"))
+    label = reps.join(found, "id", "left").select("fp", "least", F.coalesce("component", "id").alias("vertex"))
+    best = label.groupBy("vertex").agg(F.min("least").alias("component"))
+    out = fp.join(label.join(best, "vertex").select("fp", "component"), "fp", "left").select("id", F.coalesce("component", "id").alias("component"))
     return out.select(real_id().alias("doc_id"), real_id("component").alias("component_id"))
