@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import give_back, real_id, slim, tidy
+from .scratch import bound_batches, give_back, real_id, slim, tidy
 from .textvec import U, Words, arrow_texts, blocks, mix
 
 WINDOW, STRIDE = 32, 24
 #: Labelled rows to train on at most, of either label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 2500
+#: Bytes of a sampled text at most: longer ones are not learnt from, which bounds what the driver gathers at 128 MB.
+LONGEST = 32 << 10
 THRESHOLD = 0.7
 HIDDEN, EMBED, BITS = 8, 4, 17
 INPUT = 2 + 2 * EMBED
@@ -319,14 +321,16 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
     """A model from at most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled rows, drawn by a hash of their ids.
 
-    Labels other than 0 and 1, null ids and ids with both labels are left out.
+    Labels other than 0 and 1, null ids and ids with both labels are left out, and so are drawn texts of over
+    ``LONGEST`` bytes.  Of rows that repeat an id the smallest text counts.
     """
     rows = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(labels["doc_id"]))
     rows = rows.groupBy(rows["doc_id"].cast("long").alias("id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
     few = [rows.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((0, SAMPLE_CLEAN), (1, SAMPLE_TOXIC))]
     few = few[0].unionAll(few[1]).select("id", "toxic")
     # Bounded: at most the sampled rows, by their limit.
-    got = slim(docs).join(F.broadcast(few), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
+    short = slim(docs).where(F.octet_length("text") <= LONGEST)
+    got = short.join(F.broadcast(few), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
     got.sort(key=lambda r: r["id"])
     known = np.array([r["toxic"] for r in got], np.int64)
     handed = [[r["text"].encode() for r in got]]
@@ -337,26 +341,39 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
     return model
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
-    """``docs`` with a column ``score`` for every whole text, in one pass without a shuffle; a column of that name is replaced."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)  # a few MB, by BITS and EMBED
-    rest = docs.drop("score")
-    schema = T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType())])
+def score(docs: DataFrame, model: dict[str, np.ndarray] | None, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` for every whole text, in one pass without a shuffle; a column that has the name already is an error."""
+    if name in docs.columns:
+        raise ValueError(f"{name!r} is a column already")
+    return _scored(docs, model).select("row.*", F.col("score").alias(name))
+
+
+def clean_documents(docs: DataFrame, model: dict[str, np.ndarray] | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose whole text scores below ``threshold``; null and empty texts stay."""
+    return _scored(docs, model).where(F.col("score") < threshold).select("row.*")
+
+
+def _scored(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
+    """``(row, score)``: every row as a struct, whatever its columns are called."""
+    bound_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, by BITS and EMBED
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in arrow_texts(batch)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(held.value, texts))], names=[*batch.schema.names, "score"])
+            rows = batch.column("row")
+            texts = [t or b"" for t in rows.field("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows, pa.array(score_texts(held.value, texts))], names=["row", "score"])
 
-    return rest.mapInArrow(tidy(run), schema)
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row, with a model learnt from the labels of the other folds.
 
     A null or empty text scores 0, as do all texts where no labels of both kinds
-    are left to learn from.  A null id is not held out.
+    are left to learn from.  A null id is not held out.  Rows that repeat an id are scored each by its text; texts of any
+    length are read whole, window by window.  Other columns are ignored, whatever their names; an empty table has no rows.
     """
     rows = slim(docs)
     out = score(rows, fit(docs, labels))
