@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, editwalk, lines, minhash, mixing, order, paragraphs, repeats, tokens, toxicity
+from .scratch import new_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,7 +35,8 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order.order_digest(_read(spark, sf_dir, "documents"))
+    """Writes the shards to the shared folder; a row for each record in the files."""
+    return order.shards_in_order(_read(spark, sf_dir, "documents"), new_path(spark, "training-shards"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +51,11 @@ def op9_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editwalk.edit_fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def near_by_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of operator 9: classes of documents by banded and verified fingerprints."""
+    return editwalk.near_by_edits(_read(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -58,16 +65,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_token_counts, op2_repeat_removal, op3_minhash_near_duplicates, op4_benchmark_decontamination, op5_source_mixing,
-            op6_training_order, op7_line_dedup, op8_paragraph_dedup, op9_edit_fingerprints, op10_toxicity,
+            op6_training_order, op7_line_dedup, op8_paragraph_dedup, op9_edit_fingerprints, op10_toxicity, near_by_edits,
         )
     }
 
 
+# Targets by sorted limits; the schedule's points, a source's slots by rank, and the stream they read.
 _OP5 = r"""
 WITH rows AS (
   SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS is_null,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS draw
+         md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS draw
   FROM documents),
 s0 AS (SELECT src, is_null, sum(size)::BIGINT AS source_size FROM rows GROUP BY ALL),
 s1 AS (SELECT *, row_number() OVER (ORDER BY is_null, src) - 1 AS rank, sum(source_size) OVER () AS total FROM s0),
@@ -77,15 +85,21 @@ s3 AS (SELECT *, cap / w AS fill,
               sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left FROM s2),
 s4 AS (SELECT *, (1.5 * total - cap_before) / w_left AS level FROM s3),
 s5 AS (SELECT *, (SELECT struct_pack(fill, rank, level) FROM s4 WHERE fill >= level ORDER BY fill, rank LIMIT 1) AS stop FROM s4),
-s6 AS (SELECT src, is_null, source_size,
+s6 AS (SELECT src, is_null, rank, source_size, total, greatest(16, total // 1048576)::BIGINT AS block,
               (CASE WHEN stop IS NULL OR fill < stop.fill THEN cap ELSE least(cap, stop.level * w) END)::DOUBLE AS target FROM s5),
-p AS (SELECT r.*, source_size, target, round(target)::BIGINT AS aim,
+s7 AS (SELECT *, sum(round(target)::BIGINT) OVER (ORDER BY rank)::BIGINT AS upto, sum(round(target)::BIGINT) OVER ()::BIGINT AS aims FROM s6),
+s8 AS (SELECT *, floor((upto - round(target)::BIGINT) / greatest(aims, 1) * 4294967296)::BIGINT AS x0, floor(upto / greatest(aims, 1) * 4294967296)::BIGINT AS x1 FROM s7),
+points AS (SELECT slot, slot * 2654435769 % 4294967296 AS x FROM (SELECT unnest(range((aims + block - 1) // block)) AS slot FROM (SELECT DISTINCT aims, block FROM s7))),
+slots AS (SELECT rank, slot, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS nth FROM points JOIN s8 ON x >= x0 AND x < x1),
+s9 AS (SELECT s8.*, least(coalesce(n, 0) * block, 2 * source_size)::BIGINT AS give FROM s8 LEFT JOIN (SELECT rank, count(*) AS n FROM slots GROUP BY rank) USING (rank)),
+p AS (SELECT r.*, rank, block, source_size, target, give,
              sum(size) OVER (PARTITION BY r.src, r.is_null ORDER BY draw, size ROWS UNBOUNDED PRECEDING) - size AS begin
-      FROM rows r JOIN s6 USING (src, is_null))
+      FROM rows r JOIN s9 USING (src, is_null))
 SELECT doc_id, size, source_size, target,
        CASE WHEN size = 0 THEN 0
-            ELSE (aim // source_size) * size + greatest(0, least(size, aim % source_size - begin)) END::BIGINT AS taken
-FROM p
+            ELSE (give // source_size) * size + greatest(0, least(size, give % source_size - begin)) END::BIGINT AS taken,
+       slots.slot AS first_slot
+FROM p LEFT JOIN slots ON size > 0 AND begin < give AND slots.rank = p.rank AND nth = begin // block
 """
 
 # Lines of a text, their keys, and the smallest document that holds each key.

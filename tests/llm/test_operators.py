@@ -66,6 +66,8 @@ def test_repeats(docs, empty, rows):
         want[r[0], len(b), sum(gone), len(bytes(gone).replace(b"\0", b" ").split()), hashlib.sha256(kept).hexdigest()] += 1
     for part_bytes in (repeats.PART_BYTES, 3000):  # one part, and several that exchange chunks and segments
         assert Counter(map(tuple, repeats.remove_repeats(docs, digest=True, part_bytes=part_bytes).collect())) == want
+    for hot in (1, 3):  # minimisers that more parts report go string by string
+        assert Counter(map(tuple, repeats.remove_repeats(docs, digest=True, part_bytes=3000, hot=hot).collect())) == want
     assert repeats.remove_repeats(empty).count() == 0
 
 
@@ -94,10 +96,43 @@ def test_near_duplicates(docs, empty, rows):
             i = low(r.doc_id)
             assert (r.n_shingles, low(r.component_id), r.kept) == (len(sets[i]), up[i], up[i] == i)
     assert minhash.near_duplicates(empty).count() == 0
+    assert minhash.unique_documents(empty).count() == 0
+
+
+def test_rows_of_one_id_go_by_their_texts(spark):
+    x, y = " ".join(f"x{k}" for k in range(40)), " ".join(f"y{k}" for k in range(50))
+    rows = [(3, x, "a"), (5, y, "b"), (5, x + " more", "c"), (5, x + " more", "d"), (None, None, "e"), (None, None, "f"), (None, y, "g"), (5, "", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `_row.x` string").withColumnRenamed("_row.x", "row")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert got == {(3, 36, 3, True): 1, (5, 46, None, False): 1, (5, 37, 3, False): 2, (None, 0, None, True): 2, (None, 46, None, True): 1, (5, 0, 5, True): 1}
+    kept = minhash.unique_documents(docs)
+    assert kept.columns == docs.columns and {r.row for r in kept.collect()} == {"a", "e", "f", "g", "h"}
+    alone = minhash.unique_documents(docs.where("row in ('c', 'd', 'b')"))  # a copy goes, another text of the same id stays
+    assert {r.row for r in alone.collect()} in ({"b", "c"}, {"b", "d"})
+
+
+@pytest.mark.parametrize("shared", [34, 56])
+def test_twins_among_unlike_siblings(spark, shared):
+    """Documents that share ``shared`` of 120 words in a row; among them pairs that are near-duplicates."""
+    rng = random.Random(shared)
+    base, rows, twins = [f"w{k}" for k in range(shared)], [], []
+    for k in range(160):
+        t = base + [f"n{k}x{j}" for j in range(120 - shared)]
+        rows.append((2 * k, " ".join(t), "en", "s", 0, b"", 1, ""))
+        if k % 4 == 0:
+            t[rng.randrange(shared, 118)] = "other"
+            rows.append((2 * k + 1, " ".join(t), "en", "s", 0, b"", 1, ""))
+            twins.append(2 * k)
+    seen = []
+    for parts in (1, 7):
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()}
+        assert all(got[k + 1] == k for k in twins) and all(got[k] == k for k in got if k - 1 not in twins or k % 2 == 0)
+        seen.append(got)
+    assert seen[0] == seen[1]
 
 
 def test_large_families_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "FAMILY_BLOCK", 4)
+    monkeypatch.setattr(families, "FAMILY_BLOCK", 4)
     base = [f"w{k}" for k in range(80)]
     rows = []
     for k in range(25):
@@ -109,7 +144,7 @@ def test_large_families_are_compared_in_blocks(spark, monkeypatch):
     assert got == up
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 230), rng.randrange(200, 230)) for _ in range(15)] + [(7, 7)]
     up = {x: x for e in edges for x in e}
@@ -117,8 +152,10 @@ def test_components(spark):
         for a, b in edges:
             up[a] = up[b] = min(up[a], up[b])
     df = spark.createDataFrame(edges, "a long, b long").repartition(7)
-    got = {r.id: r.component for r in graph.components(df, Scratch(spark, "t"), "c").collect()}
-    assert got == {k: v for k, v in up.items() if k != v}
+    for small in (graph.SMALL, 0):
+        monkeypatch.setattr(graph, "SMALL", small)
+        got = {r.id: r.component for r in graph.components(df, Scratch(spark, "t"), "c").collect()}
+        assert got == {k: v for k, v in up.items() if k != v}
 
 
 def test_lines(docs, empty, rows):
@@ -133,11 +170,30 @@ def test_lines(docs, empty, rows):
         have = (r[1] or "").split("\n")
         kept = [x for x in have if len(k := x.strip(space).translate(lower)) < 10 or first[k] == low(r[0])]
         want[r[0], len(have), len(have) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()] += 1
-    for batches in (1, 5):
+    for batches in (1, 9):
         assert Counter(map(tuple, lines.drop_repeated_lines(docs, batches=batches, digest=True).collect())) == want
     assert lines.drop_repeated_lines(empty).count() == 0
 
 
+def test_line_runs_are_kept_between_calls(spark, tmp_path):
+    text = lambda k: f"line number {k} of all\nwhat every call says again\nline number {k + 1} of all"
+    df = lambda ids: spark.createDataFrame([(k, text(k)) for k in ids], "doc_id long, text string")
+    for call, ids in enumerate((range(0, 6), range(6, 12), range(12, 14))):
+        runs = lines.LineRuns(spark, str(tmp_path / "runs"))
+        assert runs.buckets == 4 and sum(map(len, runs.levels)) == (0, 1, 1)[call]
+        got = {r.doc_id: bytes(r.kept).decode() for r in lines.drop_repeated_lines(df(ids), batches=1, runs=runs).collect()}
+        assert got == {k: text(0) if k == 0 else f"line number {k + 1} of all" for k in ids}
+        runs.close()
+    runs = lines.LineRuns(spark, str(tmp_path / "runs"))
+    assert [len(x) for x in runs.levels] == [1, 1]  # two runs of the first level became one of the second
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    with lines._sorted_scans(spark):
+        plan = runs.unknown(spark.range(9).selectExpr("id as h1", "id as h2").repartition(4, "h1", "h2"))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    runs.close()
+    assert plan.count("LeftAnti") == 2 and plan.count("Exchange") == 1  # that of the batch alone
+
+
 def test_edit_fingerprints(docs, empty, rows):
     got = editwalk.edit_fingerprints(docs).collect()
     assert len(got) == len(rows)
@@ -225,13 +281,19 @@ def test_training_order_round_trip(docs, empty, rows, tmp_path, spark):
     enc = tokens.encoding()
     back = Counter(enc.decode([int(x) for x in stream[a:b]]) for a, b in zip(np.append(0, ends[:-1] + 1), ends))
     assert back == Counter(r[1] or "" for r in rows)
-    stride = order.write_shards(records, str(tmp_path / "shards"))
+    stride = order.write_shards(records, str(tmp_path / "shards"), 64)
     by = {r.slot: r.record for r in got}
     files = sorted((tmp_path / "shards").glob("part-*"))
     assert [f.stat().st_size // stride for f in files] == [40] * (len(got) // 40) + [len(got) % 40] * bool(len(got) % 40)
     for place, ids in order.read_shard(spark, str(files[1]), stride, 7).collect():
         assert place >= 7 and by[40 + place] == ids.tobytes()
     assert order.order_digest(empty).count() == 0
+    written = order.shards_in_order(docs.repartition(5), str(tmp_path / "again"), 64, 40, key=4).collect()
+    assert {(r.slot, r.sha256) for r in written} == {(r.slot, hashlib.sha256(r.record).hexdigest()) for r in got} and len(written) == len(got)
+    assert all(r.slot == 40 * r.shard + r.place for r in written)
+    assert order.shards_in_order(empty, str(tmp_path / "none")).count() == 0
+    few = order.order_digest(docs.repartition(3), length=64).collect()
+    assert {(r.slot, r.sha256) for r in few} == {(r.slot, r.sha256) for r in order.order_digest(docs.coalesce(1), length=64).collect()}
 
 
 def test_mixing(docs, empty, rows, spark):
@@ -256,14 +318,25 @@ def test_mixing(docs, empty, rows, spark):
         want |= {s: cap[s] for s in over}
         open_ -= over
     want |= {s: level * weight[s] for s in open_}
+    # The schedule by brute force: every slot's point falls to the source whose share holds it.
+    block, aim = max(16, sum(size.values()) >> 20), [round(want[s]) for s in names]
+    edge = [int(x / sum(aim) * 2**32) for x in np.cumsum([0, *aim])]
+    slots = defaultdict(list)
+    for k in range(-(-sum(aim) // block)):
+        slots[names[np.searchsorted(edge, k * 2654435769 % 2**32, "right") - 1]].append(k)
     for s in names:
-        assert target[s] == pytest.approx(want[s]) and abs(taken[s] - target[s]) <= 0.5
+        assert target[s] == pytest.approx(want[s]) and abs(taken[s] - target[s]) <= 4 * block
+        assert taken[s] == min(len(slots[s]) * block, 2 * size[s])
+        mine = [r for r in got if src[r.doc_id] == s and r.size]
+        assert {r.first_slot for r in mine} <= {*slots[s], None} and (not slots[s] or slots[s][0] in {r.first_slot for r in mine})
     again = mixing.mixed(docs.repartition(5)).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
     assert mixing.mixed(empty).count() == 0
     none = spark.createDataFrame([(1, None, "s"), (2, "  ", None)], "doc_id long, text string, source string")
     assert [(r.size, r.taken) for r in mixing.mixed(none).collect()] == [(0, 0), (0, 0)]
-    assert mixing.mixed_documents(docs).columns == docs.columns
+    odd = docs.select(*docs.columns, docs["n_chars"].alias("a.b"), docs["id"].alias("_row"))
+    kept = mixing.mixed_documents(odd)
+    assert kept.columns == odd.columns and max(Counter(r.doc_id for r in kept.collect() if r.doc_id != rows[3][0]).values()) <= 2
 
 
 def test_decontamination(spark, empty):
@@ -285,6 +358,37 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(docs.where("doc_id = 0"), ask).count() == 0  # one value cannot become three
 
 
+def test_decontamination_equals_brute_force(spark):
+    """Items in all their places, by a search of plain Python: verbatim ones, and shares of windows at the threshold."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(40)]
+    bench = [(k, " ".join(rng.choices(words, k=rng.choice((2, 4, 5, 9, 14, 30))))) for k in range(25)]
+    texts = []
+    for k in range(80):
+        t = rng.choices(words, k=60)
+        for _ in range(k % 3):
+            item = rng.choice(bench)[1].split()
+            if k % 2:
+                item[rng.randrange(len(item))] = "other"
+            t[rng.randrange(60) : 0] = item
+        texts.append((k // 2, " ".join(t)))  # two rows of each id
+    windows = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+    want = set()
+    for i, t in texts:
+        for j, b in bench:
+            w, v = b.split(), t.split()
+            n = min(len(w), 5)
+            held = {tuple(v[k : k + n]) for k in range(len(v) - n + 1)}
+            if 100 * len(windows(w) & held) >= 80 * len(windows(w)):
+                want.add((i, j))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    ask = spark.createDataFrame(bench, "item_id long, text string")
+    got = decontaminate.contaminated(docs, ask).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and all(r.kind == "verbatim" and 0.8 <= r.share <= 1 for r in got) and want
+    kept = Counter(tuple(r) for r in decontaminate.clean_documents(docs.withColumn("row", docs["doc_id"]), ask).select("doc_id", "text").collect())
+    assert kept == Counter((i, t) for i, t in texts if not any(100 * len(windows(b.split()) & {tuple(t.split()[k : k + min(5, len(b.split()))]) for k in range(len(t.split()))}) >= 80 * len(windows(b.split())) for _, b in bench))
+
+
 def test_items_with_other_values(spark):
     tom = "Tom has 12 apples. Tom buys 7 more apples from Sara. How many apples does Tom have now?"
     tank = "A large water tank holds 250 litres and a pump fills it at 3 litres every minute until the gauge on its side shows full"
@@ -400,3 +504,12 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxicity(docs.limit(0), lab).count() == 0
     scored = toxicity.score(docs, None)
     assert scored.columns == [*docs.columns, "score"]
+    odd = docs.withColumn("score", docs["doc_id"] * 1.0)
+    with pytest.raises(ValueError):
+        toxicity.score(odd, None)
+    model = toxicity.fit(odd, lab)
+    kept = toxicity.clean_documents(odd, model).collect()
+    assert {r.doc_id for r in kept} == {r.doc_id for r in got if r.score < 0.7} and all(r.score == r.doc_id for r in kept if r.doc_id is not None)
+    long = spark.createDataFrame([(k, ("x y z " * 9000) + ("grunk vilest zzmor " * 3 if k % 4 == 0 else "")) for k in range(0, 8)], "doc_id long, text string")
+    assert all((r.score >= 0.7) == (r.doc_id % 4 == 0) for r in toxicity.score(long, model).collect())  # the end of a long text counts
+    assert toxicity.fit(long, lab) is None  # none is short enough to learn from
