@@ -1,6 +1,9 @@
 """A training corpus from raw documents: five stages, each written before the next reads it.
 
-Part of the subpackage passagelake.llm, whose operators the stages apply.
+Part of the subpackage passagelake.llm, whose operators the stages apply.  Every stage takes any table that
+has the columns of ``documents`` and keeps all columns as they are, further ones too, whatever their names; null
+ids and texts, empty texts, rows that repeat an id, and empty tables are rows like others (each operator's
+docstring says what becomes of them).
 """
 
 from __future__ import annotations
@@ -8,26 +11,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from passagelake.llm import decontaminate, minhash, mixing, order, toxicity
-from passagelake.llm.scratch import NULL_ID, Scratch
+from passagelake.llm.scratch import Scratch, new_path
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that score below the threshold, all columns kept."""
+    """The documents that score below the threshold.  Texts without words score 0 and stay."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model)
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+    return toxicity.clean_documents(docs, model)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 0.8 of their five-word shingles: the one of the smallest id.
-
-    Rows that repeat an id and are near-duplicates of each other all carry the kept id; one of them stays.
-    """
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_gone"))
-    return docs.join(gone.distinct(), F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("_gone"), "left_anti")
+    """One row of each group linked by 0.8 of their five-word shingles, one of the smallest id; rows without words stay."""
+    return minhash.unique_documents(docs)
 
 
 def drop_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens_in_training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digest of every fixed-length token sequence at its slot."""
-    return order.order_digest(docs)
+    """Writes the token shards to the shared folder; a row for each record, read back from the shards' files."""
+    return order.shards_in_order(docs, new_path(spark, "training-shards"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -63,4 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = scratch.keep(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if k:
+            scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
