@@ -9,6 +9,7 @@ pairs of a family decide; of each component of linked paragraphs one stays.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -94,8 +95,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(p.first):
                 a, b = p.spans()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p.key), pa.array(np.array(ids, np.int64)[p.text]), pa.array(p.number.astype(np.int32)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array((p.last - p.first).astype(np.int32))],
-                    names=["key", "id", "number", "begin", "finish", "n_words"],
+                    [pa.array(p.key), pa.array(np.array(ids, np.int64)[p.text]), *[pa.array(x.astype(np.int32)) for x in (p.number, p.first - p.words.first[p.text], a, b, p.last - p.first)]],
+                    names=["key", "id", "number", "place", "begin", "finish", "n_words"],
                 )
 
 
@@ -169,90 +170,141 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(s[at].view(np.int64)), pa.array(np.array(ids, np.int64)[text]), pa.array((at - w.first[text]).astype(np.int32))], names=["key", "id", "place"])
 
 
+_AROUND = "key long, id long, place int, one long, number int, begin int, finish int, before binary, after binary, members binary"
+_MEMBER = np.dtype([("id", np.int64), ("place", np.int32), ("begin", np.int32), ("finish", np.int32)])
+#: A word beside a seed: 32 bits of its hash, and how far its other end is from the seed in bytes.
+_BESIDE = np.dtype([("word", np.uint32), ("far", np.int32)])
+#: Surroundings that a task gathers before it passes them on.
+GATHER = 100_000
+
+
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words before (nearest first) and after wanted seeds, as far as a run can go without another seed."""
+    """Where met seeds lie in bytes, a row each; and of those at a run's end the words before (nearest first) and after,
+    as far as a run can go without another seed, once for all members with the same ones."""
+    fields, kinds = [c.split() for c in _AROUND.split(", ")], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    beside: dict[tuple, list] = {}
+
+    def rows(got: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*got, strict=True)) if got else [()] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
+
+    def held() -> pa.RecordBatch:
+        out = rows([(key, None, None, None, None, None, None, x, y, np.array(m, _MEMBER).tobytes()) for (key, x, y), m in beside.items()])
+        beside.clear()
+        return out
+
     for batch in batches:
-        got, wanted = [], batch.column("wanted").to_pylist()
-        all_ids = batch.column("id").to_pylist()
+        got, wanted, all_ids = [], batch.column("wanted").to_pylist(), batch.column("id").to_pylist()
         for numbers, texts in blocks(list(range(batch.num_rows)), arrow_texts(batch)):
-            w = Words(texts)
-            h = w.hashes()
+            p = Paragraphs(texts)
+            w, h = p.words, p.hashes
             s = _runs_of(h).view(np.int64)
+            short = h.astype(np.uint32)
             for t, number in enumerate(numbers):
-                a, b = int(w.first[t]), int(w.first[t + 1])
+                a, b, base = int(w.first[t]), int(w.first[t + 1]), int(w.doc_start[t])
+                heads = p.heads[np.searchsorted(p.heads, a) : np.searchsorted(p.heads, b)]
                 for x in wanted[number]:
-                    p = a + x["place"]
-                    if p + SEED <= b and s[p] == x["key"]:  # not another row of the same id
-                        got.append((x["key"], all_ids[number], x["place"], h[max(a, p - TAKE) : p][::-1].tobytes(), h[p + SEED : min(b, p + SEED + TAKE)].tobytes()))
-        columns = list(zip(*got, strict=True)) if got else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["key", "id", "place", "before", "after"])
-
-
-def _common(s: bytes, t: bytes) -> int:
-    n = min(len(s), len(t)) // 8
-    same = np.frombuffer(s, U, n) == np.frombuffer(t, U, n)
+                    k = a + x["place"]
+                    if k + SEED > b or s[k] != x["key"]:  # another row of the same id
+                        continue
+                    begin, finish = int(w.start[k]), int(w.end[k + SEED - 1])
+                    nth = int(np.searchsorted(heads, k, "right")) - 1
+                    got.append((x["key"], all_ids[number], x["place"], x["one"], nth, begin - base, finish - base, None, None, None))
+                    if x["edge"]:
+                        lo, hi = max(a, k - TAKE), min(b, k + SEED + TAKE)
+                        sides = np.empty(k - lo, _BESIDE), np.empty(hi - k - SEED, _BESIDE)
+                        sides[0]["word"], sides[0]["far"] = short[lo:k][::-1], begin - w.start[lo:k][::-1]
+                        sides[1]["word"], sides[1]["far"] = short[k + SEED : hi], w.end[k + SEED : hi] - finish
+                        beside.setdefault((x["key"], *(y.tobytes() for y in sides)), []).append((all_ids[number], x["place"], begin - base, finish - base))
+        yield rows(got)
+        if len(beside) >= GATHER:
+            yield held()
+    if beside:
+        yield held()
+
+
+def _common(s: np.ndarray, t: np.ndarray) -> int:
+    n = min(len(s), len(t))
+    same = s["word"][:n] == t["word"][:n]
     return n if same.all() else int(same.argmin())
 
 
 def _extended(table: pa.Table) -> pa.Table:
-    """How many words each seed can be extended by with one of the same key in another document.
+    """How far each seed at a run's end can be extended by words that follow one of the same key in another document too.
 
     In order of the words around them, the nearest row of another document on either side has most in common.
     """
-    key, ids = table.column("key").to_numpy(), table.column("id").to_pylist()
-    most = []
+    key = table.column("key").to_numpy()
+    members = [np.frombuffer(x, _MEMBER) for x in table.column("members").to_pylist()]
+    own = [(m["id"].min(), m["id"].max()) for m in members]
+    reach = []
     for side in ("before", "after"):
-        text = table.column(side).to_pylist()
-        best = [0] * len(ids)
-        order = sorted(range(len(ids)), key=lambda k: (key[k], text[k]))
+        text = [np.frombuffer(x, _BESIDE) for x in table.column(side).to_pylist()]
+        # Members of several documents with the same words have all of them in common.
+        best = [len(x) if low != high else 0 for x, (low, high) in zip(text, own, strict=True)]
+        plain = [x["word"].astype(">u4").tobytes() for x in text]
+        order = sorted(range(len(key)), key=lambda k: (key[k], plain[k]))
         for way in (order, order[::-1]):
-            last = other = None  # the row before, and the nearest one of another document than that row's
+            near: list[int] = []  # the row before, and the nearest one of another document than that row's
             for k in way:
-                if last is not None and key[last] != key[k]:
-                    last = other = None
-                if last is not None and ids[last] != ids[k]:
-                    other = last
-                if other is not None:
-                    best[k] = max(best[k], _common(text[k], text[other]))
-                last = k
-        most.append(pa.array(best, pa.int32()))
-    return pa.table({"key": table.column("key"), "id": table.column("id"), "place": table.column("place"), "left": most[0], "right": most[1]})
+                if near and key[near[0]] != key[k]:
+                    near = []
+                for j in near:
+                    if own[j] != own[k] or own[k][0] != own[k][1]:
+                        best[k] = max(best[k], _common(text[k], text[j]))
+                        break
+                near = [k, *[j for j in near if own[j] != own[k] or own[k][0] != own[k][1]][:1]]
+        n = [len(m) for m in members]
+        reach.append((np.repeat(np.array(best, np.int32), n), np.repeat(np.array([x["far"][b - 1] if b else 0 for b, x in zip(best, text, strict=True)], np.int32), n)))
+    flat = np.concatenate(members)
+    (left, back), (right, on) = reach
+    return pa.table({"id": flat["id"], "place": flat["place"] - left, "n_words": SEED + left + right, "begin": flat["begin"] - back, "finish": flat["finish"] + on})
 
 
 _PIECE = "id long, number int, begin int, finish int, n_words int, component long, one long"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What common runs of at least ``PASSAGE`` words hold beside the rows there are: (id, text, seeds, rows)."""
+def _pieces(table: pa.Table) -> pa.Table:
+    """What common runs of at least ``PASSAGE`` words hold beside the rows there are, of many documents.
+
+    ``kind`` 0: met seeds; 1: the same ones with the words they are extended by; 2: rows, whose words are taken.
+    """
     kinds = {"long": pa.int64(), "int": pa.int32()}
     fields = [c.split() for c in _PIECE.split(", ")]
-    for batch in batches:
-        out = []
-        met, have, all_ids = (batch.column(c).to_pylist() for c in ("seeds", "rows", "id"))
-        for numbers, texts in blocks(list(range(batch.num_rows)), arrow_texts(batch)):
-            p = Paragraphs(texts)
-            w, s = p.words, _runs_of(p.hashes).view(np.int64)
-            for t, number in enumerate(numbers):
-                a, b = int(w.first[t]), int(w.first[t + 1])
-                start, end = w.start[a:b] - w.doc_start[t], w.end[a:b] - w.doc_start[t]
-                some = sorted((x for x in met[number] if a + x["place"] + SEED <= b and s[a + x["place"]] == x["key"]), key=lambda x: x["place"])
-                of = np.full(b - a + 1, -1)
-                for k, x in enumerate(some):
-                    of[x["place"] - x["left"] : x["place"] + SEED + x["right"]] = k
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], of >= 0)).astype(np.int8)))
-                for lo, hi in zip(edge[::2], edge[1::2], strict=True):
-                    if hi - lo < PASSAGE:
-                        of[lo:hi] = -1
-                for x in have[number] or ():
-                    of[np.searchsorted(end, x["begin"], "right") : np.searchsorted(start, x["finish"])] = -1
-                one = np.array([x["one"] for x in some] + [0], np.int64)[of]
-                new = np.flatnonzero((np.diff(of < 0, prepend=True) | np.diff(one, prepend=0).astype(bool)))
-                for lo, hi in zip(new, np.append(new[1:], len(of))[: len(new)], strict=True):
-                    if of[lo] >= 0:
-                        nth = int(np.searchsorted(p.heads, a + lo, "right") - np.searchsorted(p.heads, a, "left")) - 1
-                        out.append((all_ids[number], nth, int(start[lo]), int(end[hi - 1]), int(hi - lo), some[of[lo]]["key"], some[of[lo]]["one"]))
-        columns = list(zip(*out, strict=True)) if out else [()] * len(fields)
-        yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
+    ids, kind, place, size, begin, finish, key, one, number = (table.column(c).to_numpy() for c in ("id", "kind", "place", "n_words", "begin", "finish", "key", "one", "number"))
+    order = np.lexsort((place, kind, ids))
+    cut = np.append(np.flatnonzero(np.append(True, ids[order][1:] != ids[order][:-1])), len(order)) if len(order) else [0]
+    out = []
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        mine = order[lo:hi]
+        seeds, far, rows = (mine[kind[mine] == k] for k in (0, 1, 2))
+        if not len(seeds):
+            continue
+        of = np.full(int((place[mine] + size[mine]).max()) + 1, -1)
+        starts, stops = {}, {}
+        first_seed = seeds[np.searchsorted(place[seeds], place[far], "left").clip(max=len(seeds) - 1)] if len(far) else far
+        spans = np.concatenate((far, seeds))
+        which = np.concatenate((first_seed, seeds))
+        for k, seed in sorted(zip(spans.tolist(), which.tolist(), strict=True), key=lambda x: (place[x[1]], kind[x[0]] == 0)):
+            a, b = int(place[k]), int(place[k] + size[k])
+            of[a:b] = seed
+            starts[a], stops[b] = int(begin[k]), int(finish[k])
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], of >= 0)).astype(np.int8)))
+        for a, b in zip(edge[::2], edge[1::2], strict=True):
+            if b - a < PASSAGE:
+                of[a:b] = -1
+        for k in rows.tolist():
+            a, b = int(place[k]), int(place[k] + size[k])
+            of[a:b] = -1
+            starts.setdefault(b, int(finish[k]))
+            stops.setdefault(a, int(begin[k]))
+        who = np.where(of >= 0, one[of], 0)
+        new = np.flatnonzero(np.diff(of < 0, prepend=True) | np.diff(who, prepend=0).astype(bool))
+        for a, b in pairwise([*new.tolist(), len(of)] if len(new) else []):
+            if of[a] >= 0:
+                out.append((ids[mine[0]], number[of[a]], starts.get(a, stops.get(a)), stops.get(b, starts.get(b)), b - a, key[of[a]], who[a]))
+    columns = list(zip(*out, strict=True)) if out else [()] * len(fields)
+    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
 
 
 def _common_runs(texts: DataFrame, rows: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
@@ -262,15 +314,15 @@ def _common_runs(texts: DataFrame, rows: DataFrame, scratch: Scratch, parts: int
     met = scratch.keep(taken.join(shared, "key").select("key", "id", "place", "one"), "met")
     # Seeds of a run are at most TAKE words apart; only where none follows can a run go on unseen.
     ends = met.selectExpr("key", "place", "lag(place, 1, -99) over (partition by id order by place) as low", "lead(place, 1, 2147483647) over (partition by id order by place) as top")
-    ends = ends.where(f"place - low > {TAKE} or top - place > {TAKE}").select("key").distinct()
-    wanted = met.join(ends, "key", "left_semi").groupBy("id").agg(F.collect_list(F.struct("key", "place")).alias("wanted"))
-    around = texts.join(wanted, "id").mapInArrow(tidy(_around), "key long, id long, place int, before binary, after binary")
-    far = around.withColumn("task", F.pmod(F.col("key"), F.lit(8 * parts))).groupBy("task").applyInArrow(tidy_group(_extended), "key long, id long, place int, left int, right int")
-    far = scratch.keep(far.groupBy("key", "id", "place").agg(F.max("left").alias("left"), F.max("right").alias("right")), "far")
-    met = met.join(far, ["key", "id", "place"], "left").fillna(0, ["left", "right"])
-    met = met.groupBy("id").agg(F.collect_list(F.struct("place", "key", "one", "left", "right")).alias("seeds"))
-    have = rows.groupBy("id").agg(F.collect_list(F.struct("begin", "finish")).alias("rows"))
-    return texts.join(met, "id").join(have, "id", "left").select("id", "text", "seeds", "rows").mapInArrow(tidy(_pieces), _PIECE).distinct()
+    ends = ends.where(f"place - low > {TAKE} or top - place > {TAKE}").select("key").distinct().withColumn("edge", F.lit(True))
+    wanted = met.join(ends, "key", "left").groupBy("id").agg(F.collect_list(F.struct("place", "key", "one", F.coalesce("edge", F.lit(False)).alias("edge"))).alias("wanted"))
+    around = scratch.keep(texts.join(wanted, "id").mapInArrow(tidy(_around), _AROUND), "around")
+    far = around.where("members is not null").withColumn("task", F.pmod(F.xxhash64("key"), F.lit(8 * parts))).groupBy("task").applyInArrow(tidy_group(_extended), "id long, place int, n_words int, begin int, finish int")
+    none = [F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("one"), F.lit(0).alias("number")]
+    shape = ["id", "place", "n_words", "begin", "finish"]
+    seeds = around.where("members is null").withColumn("n_words", F.lit(SEED)).select(F.lit(0).alias("kind"), *shape, "key", "one", "number")
+    every = seeds.union(far.select(F.lit(1), *shape, *none)).union(rows.select(F.lit(2), *shape, *none))
+    return every.distinct().withColumn("task", F.pmod(F.xxhash64("id"), F.lit(8 * parts))).groupBy("task").applyInArrow(tidy_group(_pieces), _PIECE)
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
@@ -283,13 +335,13 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     paragraph of the smallest (doc_id, paragraph) stays: ``removed`` is false there, and ``kept_doc_id`` names its document.
     ``component_id`` is the least hash of its paragraphs.  What runs of at least ``PASSAGE`` words that stand
     word for word in two documents hold beside these, wherever they begin and end, makes rows of its own:
-    the smallest document stays, ``paragraph`` is the one the row begins in, ``component_id`` a hash of its words.  Null and empty texts have no paragraphs, a null
+    the smallest document stays, ``paragraph`` is the one that its first seed begins in, ``component_id`` a hash of its words.  Null and empty texts have no paragraphs, a null
     id is the smallest, repeated rows of one id count as one document.
     """
     spark = docs.sparkSession
     scratch, parts = Scratch(spark, "paragraphs"), part_count(spark)
     slimmed = slim(docs)
-    rows = scratch.keep(slimmed.mapInArrow(_rows, "key long, id long, number int, begin int, finish int, n_words int"), "rows")
+    rows = scratch.keep(slimmed.mapInArrow(_rows, "key long, id long, number int, place int, begin int, finish int, n_words int"), "rows")
     pairs = scratch.keep(colliding(slimmed, _bands, parts), "pairs")
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
 
@@ -314,10 +366,10 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     out = out.withColumn("first", F.expr("number - lag(number, 1, -9) over (partition by id order by number) > 2"))
     out = out.withColumn("run", F.expr("sum(int(first)) over (partition by id order by number)"))
     out = out.withColumn("passage", F.expr("sum(n_words) over (partition by id, run)")).where(F.col("passage") >= PASSAGE)
-    out = out.select("id", "number", "begin", "finish", "n_words", "component", F.col("kept.id").alias("one"), (F.struct("id", "number") != F.col("kept")).alias("removed"))
+    out = out.select("id", "number", "place", "begin", "finish", "n_words", "component", F.col("kept.id").alias("one"), (F.struct("id", "number") != F.col("kept")).alias("removed"))
     out = scratch.keep(out, "out")
     more = _common_runs(slimmed, out, scratch, parts)
-    out = out.unionByName(more.withColumn("removed", F.col("id") != F.col("one")))
+    out = out.drop("place").unionByName(more.withColumn("removed", F.col("id") != F.col("one")))
     return out.select(
         real_id().alias("doc_id"),
         F.col("number").alias("paragraph"),
