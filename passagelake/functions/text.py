@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words without retrieval value (fixed values).
-STOPWORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
-CJK_STOPWORDS = set("的 了 和 是 在 我 有 就 不 人 都 一 上 也 很 到 说 要 去 你 会 着 看 好".split())
+# Words without retrieval value, English and CJK (fixed values).
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or",
+    "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
+]
+CJK_STOPWORDS = ("的", "了", "和", "是", "在", "我", "有", "就", "不", "人", "都", "一", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "看", "好")
+# A word of a folded text (fixed value).
 WORD = r"[a-z0-9]+(?:['\-_][a-z0-9]+)*"
 # First and last code points of the scripts that are indexed by character (fixed values).
 CJK_RANGES = [(0x1100, 0x11FF), (0x3040, 0x30FF), (0x3130, 0x318F), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF), (0xA960, 0xA97F), (0xD7B0, 0xD7FF), (0xF900, 0xFAFF), (0x20000, 0x2A6DF)]
@@ -49,17 +54,30 @@ _CJK = "".join(f"{chr(a)}-{chr(b)}" for a, b in CJK_RANGES)
 _RUNS = re.compile(f"([{_CJK}]+)|({WORD})")
 
 
-def terms(text: str, remove_stopwords: bool = True) -> list[str]:
+def folded(text: str) -> str:
+    """Compatibility forms, lower case, no accents and no invisible characters; composed where a letter needs it."""
+    apart = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).casefold())
+    return unicodedata.normalize("NFC", apart.translate(_Dropped()))
+
+
+class _Dropped(dict):
+    """A translation that drops marks and format characters."""
+
+    def __missing__(self, code: int) -> int | None:
+        return None if unicodedata.category(chr(code)) in ("Mn", "Cf") else code
+
+
+def terms(text: str | None, remove_stopwords: bool = True) -> list[str]:
     """Terms of any text: words, and for each run of CJK characters these and then their pairs."""
     out: list[str] = []
-    wide = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text or "").casefold())
-    plain = unicodedata.normalize("NFC", "".join(c for c in wide if unicodedata.category(c) not in ("Mn", "Cf")))
-    for run, word in _RUNS.findall(plain):
-        if run:
-            out += [c for c in run if not (remove_stopwords and c in CJK_STOPWORDS)]
-            out += [run[k : k + 2] for k in range(len(run) - 1)]
-        elif not remove_stopwords or (word not in STOPWORDS and (len(word) > 1 or word.isdigit())):
-            out.append(word)
+    for found in _RUNS.finditer(folded(text or "")):
+        run, word = found.groups()
+        if word:
+            empty = remove_stopwords and (word in STOPWORDS or len(word) == 1 and not word.isdigit())
+            out += [] if empty else [word]
+        else:
+            out += [c for c in run if not remove_stopwords or c not in CJK_STOPWORDS]
+            out += map("".join, pairwise(run))
     return out
 
 
@@ -95,11 +113,13 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(text, F.lit(""))) / 4)).cast("long")
 
 
-def message_tokens(text: Column) -> Column:
-    """A message's rough token count: four other characters or one CJK character, and four for the frame."""
-    t = F.coalesce(text, F.lit(""))
-    cjk = F.regexp_count(t, F.lit("[\\u4E00-\\u9FFF\\u3040-\\u30FF\\uAC00-\\uD7AF\\u3400-\\u4DBF]"))
-    return (F.ceil((F.length(t) - cjk) / 4) + cjk + 4).cast("long")
+def message_tokens(text: Column, calls: Column | None = None) -> Column:
+    """A message's rough token count: its text and four for the frame; for each tool call (name, arguments) these and six."""
+    cost = text_tokens(text) + 4
+    if calls is not None:
+        each = F.transform(F.coalesce(calls, F.array().cast("array<struct<name:string,arguments:string>>")), lambda c: text_tokens(c["name"]) + text_tokens(c["arguments"]) + 6)
+        cost = cost + F.aggregate(each, F.lit(0).cast("long"), lambda s, x: s + x)
+    return cost.cast("long")
 
 
 def structural(line: Column) -> Column:
@@ -113,15 +133,50 @@ def content_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat(*joined), 256), 1, 32)
 
 
+# Names, beginnings and ends of names that credentials have (fixed values).
+SENSITIVE_NAMES = [".netrc", ".pgpass", ".npmrc", ".pypirc", ".git-credentials", "credentials", "token", "tokens", "env"]
+SENSITIVE_STARTS = [".env", "id_", "secret", "credential", "private_key", "keystore"]
+SENSITIVE_ENDS = [".pem", ".key", ".p12", ".pfx", ".jks", ".keystore", ".kdbx", ".gpg", ".asc", ".env"]
+
+
 def sensitive_name(name: Column) -> Column:
     """File names that look like credentials."""
     n = F.lower(name)
-    exact = [".netrc", ".pgpass", ".npmrc", ".pypirc", ".git-credentials", "credentials", "token", "tokens", "env"]
-    starts = (".env", "id_", "secret", "credential", "private_key", "keystore")
-    ends = (".pem", ".key", ".p12", ".pfx", ".jks", ".keystore", ".kdbx", ".gpg", ".asc", ".env")
-    found = n.isin(exact) | n.contains(".env")
-    for s in starts:
+    found = n.isin(SENSITIVE_NAMES) | n.contains(".env")
+    for s in SENSITIVE_STARTS:
         found = found | n.startswith(s)
-    for s in ends:
+    for s in SENSITIVE_ENDS:
         found = found | n.endswith(s)
     return found
+
+
+def clipped(text: Column, limit: int) -> Column:
+    """White space runs as one blank each, and at most ``limit`` characters, the last of them an ellipsis."""
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, limit - 1)), F.lit("…")))
+
+
+def first_clause(text: Column, limit: int) -> Column:
+    """A preview of at most ``limit`` characters, cut at a blank if there is one, with an ellipsis."""
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    head = F.substring(flat, 1, limit)
+    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.regexp_replace(head, " [^ ]*$", ""), F.lit("…")))
+
+
+def text_tokens(text: Column) -> Column:
+    """A text's rough token count: four other characters or one CJK character."""
+    t = F.coalesce(text, F.lit(""))
+    cjk = F.regexp_count(t, F.lit("[\\u4E00-\\u9FFF\\u3040-\\u30FF\\uAC00-\\uD7AF\\u3400-\\u4DBF]"))
+    return (F.ceil((F.length(t) - cjk) / 4) + cjk).cast("long")
+
+
+# Types of files by suffix (fixed values); others are plain text.
+MIME_TYPES = {
+    "md": "text/markdown", "markdown": "text/markdown", "py": "text/x-python", "js": "text/javascript", "ts": "text/typescript", "json": "application/json",
+    "yaml": "application/x-yaml", "yml": "application/x-yaml", "html": "text/html", "csv": "text/csv", "sql": "text/x-sql",
+}
+
+
+def mime_type(suffix: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in MIME_TYPES.items() for x in pair])
+    return F.coalesce(known[F.lower(F.ltrim(suffix, F.lit(".")))], F.lit("text/plain"))

@@ -1,10 +1,11 @@
-"""Feature-hashing embeddings of texts."""
+"""Feature-hashing embeddings of texts, and checks on vectors from elsewhere."""
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
-from itertools import pairwise
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -13,34 +14,102 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 
+#: What an embedder is here: texts to a matrix of one row each.
+Embedder = Callable[[Sequence[str]], np.ndarray]
 
-def _slot(feature: str, dim: int, pair: bool) -> int:
+
+@lru_cache(1 << 18)
+def slot(feature: str, dim: int, pair: bool = False) -> int:
+    """The bucket of a word (or, salted, of a pair of words): 64 bits of BLAKE2b, little end first, modulo ``dim``."""
     return int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8, salt=b"\x01" if pair else b"").digest(), "little") % dim
 
 
-def embed(words: list[str], dim: int = 512, pair_weight: float = 0.5) -> np.ndarray:
-    """Unit vector of ``1 + ln(weight)`` per slot; words weigh 1, neighbouring pairs ``pair_weight``; zero without words."""
+def embed_many(texts: Sequence[Sequence[str]], dim: int = 512, pair_weight: float = 0.5) -> np.ndarray:
+    """Unit vectors of ``1 + ln(weight)`` per slot; words weigh 1, neighbouring pairs ``pair_weight``; zero without words."""
     if dim <= 0 or pair_weight < 0:
         raise ValueError(f"dim must be positive and pair_weight not negative, got {dim} and {pair_weight}")
-    weight: Counter = Counter()
-    for w in words:
-        weight[_slot(w, dim, False)] += 1.0
-    if pair_weight:
-        for a, b in pairwise(words):
-            weight[_slot(f"{a}\x1f{b}", dim, True)] += pair_weight
-    out = np.zeros(dim, np.float32)
-    if weight:
-        out[list(weight)] = 1.0 + np.log(np.array(list(weight.values()), np.float32))
-        size = np.linalg.norm(out)
-        out = out / size if size > 0 else out
-    return out
-
-
-def hashed(docs: DataFrame, dim: int = 512, pair_weight: float = 0.5) -> DataFrame:
-    """``doc_id, embedding`` of documents (doc_id, text), in Arrow batches."""
+    row, column, weight = [], [], []
+    for k, words in enumerate(texts):
+        found = [(slot(w, dim), 1.0) for w in words]
+        if pair_weight:
+            found += [(slot(f"{a}\x1f{b}", dim, True), pair_weight) for a, b in pairwise(words)]
+        row += [k] * len(found)
+        column += [c for c, _ in found]
+        weight += [w for _, w in found]
+    out = np.zeros((len(texts), dim), np.float64)
+    np.add.at(out, (np.array(row, np.int64), np.array(column, np.int64)), np.array(weight))
+    out = np.where(out > 0, 1 + np.log(np.where(out > 0, out, 1)), 0).astype(np.float32)
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, size, out=out, where=size > 0)
+
+
+def embed(words: Sequence[str], dim: int = 512, pair_weight: float = 0.5) -> np.ndarray:
+    return embed_many([words], dim, pair_weight)[0]
+
+
+def hashing_embedder(dim: int = 512, pair_weight: float = 0.5) -> Embedder:
+    return lambda texts: embed_many([terms(t) for t in texts], dim, pair_weight)
+
+
+def checked(found, n: int, dim: int | None = None) -> np.ndarray:
+    """An embedder's answer as float32 rows; a wrong number of rows or columns, or a value that is no number, is an error."""
+    m = np.asarray(found, np.float32)
+    if m.ndim != 2 or len(m) != n or dim is not None and m.shape[1] != dim:
+        raise ValueError(f"expected {n} vectors{f' of {dim}' if dim else ''}, got {m.shape}")
+    if not np.isfinite(m).all():
+        raise ValueError("a vector holds a value that is not a finite number")
+    return m
+
+
+def in_order(answers: Sequence[dict], n: int) -> list:
+    """The vectors of a service that answers ``{"index": k, "embedding": [...]}`` in any order."""
+    by = {a["index"]: a["embedding"] for a in answers}
+    if sorted(by) != list(range(n)):
+        raise ValueError(f"answers for {sorted(by)}, not for all of {n} texts")
+    return [by[k] for k in range(n)]
+
+
+def batches(items: Iterator, size: int) -> Iterator[list]:
+    if size <= 0:
+        raise ValueError(f"size must be positive, got {size}")
+    items = iter(items)
+    return iter(lambda: list(islice(items, size)), [])
+
+
+def with_retries(call: Callable, tries: int = 3, wait: Callable[[float], None] | None = None) -> Callable:
+    """``call`` again after failures that say they may pass (``retryable``), waiting twice as long each time."""
+    import time
+
+    def run(*args):
+        for k in range(tries):
+            try:
+                return call(*args)
+            except Exception as e:
+                if k + 1 == tries or not getattr(e, "retryable", isinstance(e, (OSError, TimeoutError))):
+                    raise
+                (wait or time.sleep)(0.5 * 2**k)
+
+    return run
+
+
+def build_embedder(spec: str, services: dict[str, Callable[..., Embedder]] | None = None) -> tuple[Embedder, str]:
+    """An embedder by its name ``kind[:dim or model]`` and the identity that a store remembers; ``services`` adds kinds."""
+    kind, _, rest = (spec or "hashing").partition(":")
+    if kind.lower() == "hashing":
+        dim = int(rest or 512)
+        return hashing_embedder(dim), f"hashing:{dim}"
+    if kind in (services or {}):
+        return services[kind](rest), f"{kind}:{rest}"
+    raise ValueError(f"unknown embedder {spec!r}")
+
+
+def hashed(docs: DataFrame, dim: int = 512, pair_weight: float = 0.5, key: str = "doc_id", embedder: Embedder | None = None) -> DataFrame:
+    """``doc_id, embedding`` of documents (doc_id, text), in Arrow batches; ``embedder`` in place of the hashing one."""
+    run_on = embedder or hashing_embedder(dim, pair_weight)
 
     @F.arrow_udf("array<float>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([embed(terms(t), dim, pair_weight).tolist() for t in texts.to_pylist()], pa.list_(pa.float32()))
+        m = checked(run_on([t or "" for t in texts.to_pylist()]), len(texts))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1] or 1, dtype=np.int32)), pa.array(m.ravel()))
 
-    return docs.select("doc_id", run("text").alias("embedding"))
+    return docs.select(key, run("text").alias("embedding"))

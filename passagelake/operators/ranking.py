@@ -5,8 +5,15 @@ Sides are never broadcast by hint: Spark broadcasts those it finds small enough.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions import vectors as vec
@@ -22,7 +29,13 @@ def topk(df: DataFrame, k: int, by: str = "query_id", score: str = "score", key:
 
 
 def document_terms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(key).alias("key"), tx.words(F.col(text)).alias("terms"))
+    """``key, terms`` of each document, in any script."""
+    return docs.select(F.col(key).alias("key"), tx.any_words(F.col(text)).alias("terms"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """``query_id, term``: a query is the set of its terms."""
+    return queries.select("query_id", F.explode(F.array_distinct(tx.any_words(F.col("query")))).alias("term"))
 
 
 def inverse_frequencies(terms: DataFrame, epsilon: float = EPSILON) -> DataFrame:
@@ -30,7 +43,11 @@ def inverse_frequencies(terms: DataFrame, epsilon: float = EPSILON) -> DataFrame
     # Each document also counts under the empty term, which no text holds: N comes from the same
     # aggregation, whose exchange all three uses share, so the texts are read once.
     marked = terms.select(F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term")).where("term is not null")
-    df = marked.groupBy("term").agg(F.count("*").alias("df"))
+    return _weighed(marked.groupBy("term").agg(F.count("*").alias("df")), epsilon)
+
+
+def _weighed(df: DataFrame, epsilon: float) -> DataFrame:
+    """``term, df, idf`` from document counts, among which the empty term's is the number of documents."""
     n = df.agg(F.max(F.when(F.col("term") == "", F.col("df"))).alias("n"))
     value = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     raw = df.crossJoin(n).withColumn("raw", F.when(F.col("term") != "", value))  # one row
@@ -40,30 +57,107 @@ def inverse_frequencies(terms: DataFrame, epsilon: float = EPSILON) -> DataFrame
     return raw.crossJoin(mean).where("raw is not null").select("term", "df", idf.alias("idf"))
 
 
+def postings_of(terms: DataFrame) -> DataFrame:
+    """``term, key, tf, dl``: a row for each term of each document; one that has none is under the empty term."""
+    long = terms.select("key", F.size("terms").alias("dl"), F.explode(F.when(F.size("terms") > 0, F.col("terms")).otherwise(F.array(F.lit("")))).alias("term"))
+    return long.groupBy("key", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")).select("term", "key", "tf", "dl")
+
+
+@dataclass(frozen=True)
+class LexicalIndex:
+    """Postings and what follows from them alone, so that no query reads a text: tables as written once for a corpus."""
+
+    postings: DataFrame
+    idf: DataFrame
+    lengths: DataFrame
+
+    @staticmethod
+    def of(postings: DataFrame, epsilon: float = EPSILON, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> LexicalIndex:
+        """``keep(table, name)`` writes a table and reads it back; without it everything is counted anew for each query."""
+        p = keep(postings, "postings")
+        counts = p.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+        per = p.groupBy("key").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
+        lengths = keep(per, "lengths")
+        return LexicalIndex(p.where("term <> ''"), keep(_weighed(counts.union(lengths.select(F.lit(""), "n")), epsilon), "idf"), lengths)
+
+    def scores(self, wanted: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+        """``query_id, key, score`` of every document that holds one of a query's terms (query_id, term)."""
+        asked = wanted.join(self.idf, "term")
+        weighed = self.postings.join(asked, "term").crossJoin(self.lengths.select("avgdl"))  # one row
+        f, rel = F.col("tf"), F.col("dl") / F.col("avgdl")
+        parts = weighed.withColumn("part", F.col("idf") * f * (k1 + 1) / (f + k1 * (1 - b + b * rel)))
+        # Parts are added in the order of their terms: equal documents get equal sums.
+        total = F.aggregate(F.array_sort(F.collect_list(F.struct("term", "part"))), F.lit(0.0), lambda s, x: s + x["part"])
+        return parts.groupBy("query_id", "key").agg(F.round(total, DIGITS).alias("score"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """``query_id, key, score`` of every document that holds a term of the query.
+    """``query_id, key, score`` of every document that holds a term of the query, without a stored index."""
+    return LexicalIndex.of(postings_of(document_terms(docs))).scores(query_terms(queries), k1, b)
 
-    A query is the set of its terms.  The documents' terms are cut down to the queries' before
-    they are counted, so postings shuffled are those some query asks for.
+
+#: Query vectors that one pass over the vectors answers; more take further passes.
+QUERY_BLOCK = 1024
+
+
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``query_id, key, score, rank``: the ``k`` nearest vectors (key, embedding) of each query (query_id, query_vector).
+
+    Blocks of at most ``QUERY_BLOCK`` queries go to all tasks; a task multiplies its batches of vectors with a
+    block and passes on the best ``k`` of each query, so nothing but these is shuffled.  Vectors with values that
+    are no finite numbers, or of another length than the query, are never found.
     """
-    terms = document_terms(docs)
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tx.words(F.col("query")))).alias("term"))
-    stats = terms.agg(F.avg(F.size("terms").cast("double")).alias("avgdl"))
-    long = terms.select("key", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    long = long.join(wanted.select("term").distinct(), "term", "left_semi")
-    tf = long.groupBy("key", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    weighed = tf.join(inverse_frequencies(terms), "term").crossJoin(stats)  # one row
-    f, rel = F.col("tf"), F.col("dl") / F.col("avgdl")
-    part = F.col("idf") * f * (k1 + 1) / (f + k1 * (1 - b + b * rel))
-    parts = weighed.withColumn("part", part).join(wanted, "term")
-    # Parts are added in the order of their terms: equal documents get equal sums.
-    total = F.aggregate(F.array_sort(F.collect_list(F.struct("term", "part"))), F.lit(0.0), lambda s, x: s + x["part"])
-    return parts.groupBy("query_id", "key").agg(F.round(total, DIGITS).alias("score"))
-
-
-def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, key, score`` of every vector (key, embedding) against the stated query vectors (query_id, query_vector)."""
-    return vectors.join(queries).select("query_id", "key", F.round(vec.cosine(F.col("embedding"), F.col("query_vector")), DIGITS).alias("score"))
+    asked = queries.where(vec.finite(F.col("query_vector"))).select("query_id", "query_vector")
+    key = vectors.schema["key"].dataType.simpleString()
+    ident = asked.schema["query_id"].dataType.simpleString()
+    out = vectors.sparkSession.createDataFrame([], f"query_id {ident}, key {key}, score double")
+    rows = asked.orderBy("query_id").toLocalIterator()
+    while block := list(islice(rows, QUERY_BLOCK)):
+        for dim in sorted({len(r[1]) for r in block}):
+            some = [r for r in block if len(r[1]) == dim]
+            best = _best_of_block(vectors, [r[0] for r in some], np.array([r[1] for r in some], np.float64), k, asked.schema["query_id"], vectors.schema["key"])
+            out = out.unionAll(best)
+    return topk(out, k)
+
+
+def _best_of_block(vectors: DataFrame, ids: list, asked: np.ndarray, k: int, ident, key) -> DataFrame:
+    unit = lambda m: np.divide(m, n, out=np.zeros_like(m), where=n > 0) if len(n := np.linalg.norm(m, axis=1, keepdims=True)) else m
+    dim = asked.shape[1]
+    held = vectors.sparkSession.sparkContext.broadcast((ids, unit(asked)))  # at most QUERY_BLOCK vectors
+    schema = T.StructType([T.StructField("query_id", ident.dataType), T.StructField("key", key.dataType), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = held.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = unit(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
+            score = np.round(m @ q.T, DIGITS)
+            which, row = [], []
+            for j in range(len(ids)):
+                mine = np.flatnonzero(score[:, j] > 0)
+                if len(mine) > k:  # the best k, and all that tie with the last of them
+                    mine = mine[score[mine, j] >= np.partition(score[mine, j], -k)[-k]]
+                which += [j] * len(mine)
+                row.append(mine)
+            row = np.concatenate(row)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in which]), batch.column("key").take(pa.array(row)), pa.array(score[row, which])], schema=pa.schema([("query_id", pa.array(ids).type), ("key", batch.column("key").type), ("score", pa.float64())]))
+
+    some = vectors.where((F.size("embedding") == dim) & vec.finite(F.col("embedding"))).select("key", "embedding")
+    found = some.mapInArrow(run, schema)
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("key"))
+    return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+
+
+def validated_weights(weights: dict[str, float] | None, names: Sequence[str]) -> dict[str, float]:
+    """Weights of all lists ``names``, adding to 1: equal ones where none are given; negative or only zero ones are errors."""
+    w = {n: 1.0 for n in names} if weights is None else {n: float(weights.get(n, 0.0)) for n in names}
+    if any(x < 0 or x != x for x in w.values()):
+        raise ValueError(f"weights must not be negative: {w}")
+    total = sum(w.values())
+    if not total > 0:
+        raise ValueError("weights must not all be zero")
+    return {n: x / total for n, x in w.items()}
 
 
 def weights_present(ranked: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -81,8 +175,12 @@ def fused(ranked: DataFrame, weights: dict[str, float], how: str = "rrf", k: int
     their list (a list of one value: 1 if it is positive); ``weighted``: weighted scores.
     A key that a list repeats counts at its best rank.
     """
+    how = how.strip().lower()
     if how not in ("rrf", "dbsf", "weighted"):
         raise ValueError(f"unknown fusion {how!r}")
+    if k <= 0:
+        raise ValueError(f"k must be positive, got {k}")
+    weights = validated_weights(weights, sorted(weights))
     ranked = ranked.groupBy("query_id", "list", "key").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
     ranked = weights_present(ranked, weights)
     if how == "dbsf":
@@ -101,6 +199,18 @@ def fused(ranked: DataFrame, weights: dict[str, float], how: str = "rrf", k: int
     return out.withColumn("score", F.round(total, DIGITS))
 
 
+def provenance(ranked: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """``query_id, key, from_list``: of the lists that hold a key the one of the highest weight, then of the highest name."""
+    w = F.coalesce(*[F.when(F.col("list") == k, F.lit(v)) for k, v in weights.items()], F.lit(0.0))
+    return ranked.groupBy("query_id", "key").agg(F.max(F.struct(w.alias("w"), F.col("list"))).alias("m")).select("query_id", "key", F.col("m.list").alias("from_list"))
+
+
+def hybrid_wins(per_mode: DataFrame) -> DataFrame:
+    """One row, ``hybrid_wins``: whether hybrid has at least every other mode's recall and reciprocal rank (mode, recall, reciprocal_rank)."""
+    h = per_mode.where("mode = 'hybrid'").select(F.col("recall").alias("r"), F.col("reciprocal_rank").alias("m"))
+    return per_mode.crossJoin(h).agg(F.coalesce(F.bool_and((F.col("r") >= F.col("recall")) & (F.col("m") >= F.col("reciprocal_rank"))), F.lit(False)).alias("hybrid_wins"))  # one row
+
+
 def overlap_score(query_terms: Column, document_terms: Column, coverage: float = 2.0, density: float = 1.0) -> Column:
     """Distinct common terms over the query's terms and over the document's."""
     q, d = F.array_distinct(query_terms), F.array_distinct(document_terms)
@@ -108,6 +218,16 @@ def overlap_score(query_terms: Column, document_terms: Column, coverage: float =
     return F.when(F.size(q) > 0, coverage * common / F.size(q) + F.when(F.size(d) > 0, density * common / F.size(d)).otherwise(0.0)).otherwise(0.0)
 
 
+def overlap_scores(pool: DataFrame, asked: DataFrame, postings: DataFrame, coverage: float = 2.0, density: float = 1.0) -> DataFrame:
+    """``query_id, key, score`` of a pool (query_id, key) by :func:`overlap_score`, from stored postings; asked: (query_id, term)."""
+    sizes = postings.join(pool.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n_own"))
+    n_asked = asked.groupBy("query_id").agg(F.count("*").alias("n_asked"))
+    hits = pool.join(asked, "query_id").join(postings.select("key", "term"), ["key", "term"]).groupBy("query_id", "key").agg(F.count("*").alias("n"))
+    all_ = pool.join(hits, ["query_id", "key"], "left").join(n_asked, "query_id", "left").join(sizes, "key", "left").fillna(0, ["n", "n_asked", "n_own"])
+    part = lambda w, of: F.when(F.col(of) > 0, w * F.col("n") / F.col(of)).otherwise(0.0)
+    return all_.select("query_id", "key", F.round(part(coverage, "n_asked") + part(density, "n_own"), DIGITS).alias("score"))
+
+
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """Per query: recall, precision, hit at ``k`` and the reciprocal rank over all of ``ranked`` (query_id, key, rank)."""
     size = relevant.groupBy("query_id").agg(F.countDistinct("key").alias("n_relevant"))

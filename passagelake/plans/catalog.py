@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import chunking, conversation, embedding, ranking
+from ..sources.shared import shared_folder
 
 K = 10
 WEIGHTS = {"lexical": 0.7, "vector": 0.3}
@@ -69,14 +71,13 @@ def dedup_insert_if_absent(spark, d):
 
 @query("tokenize_counts", f"SELECT doc_id, len(t)::BIGINT AS n_terms, len(list_distinct(t))::BIGINT AS n_distinct, coalesce(t[1], '') AS first_term FROM (SELECT doc_id, {_sql_words('text')} AS t FROM documents)")
 def tokenize_counts(spark, d):
-    t = read(spark, d, "documents").select("doc_id", tx.words(F.col("text")).alias("t"))
+    t = read(spark, d, "documents").select("doc_id", tx.any_words(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.coalesce(F.get("t", 0), F.lit("")).alias("first_term"))
 
 
 @query("term_frequencies", f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_sql_words('text')}) AS term FROM documents) GROUP BY ALL")
 def term_frequencies(spark, d):
-    t = ranking.document_terms(read(spark, d, "documents"))
-    return t.select(F.col("key").alias("doc_id"), F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return _index(spark, d).postings.select(F.col("key").alias("doc_id"), "term", "tf")
 
 
 _TERMS = f"t AS (SELECT doc_id AS key, {_sql_words('text')} AS terms FROM documents)"
@@ -89,15 +90,14 @@ idf AS (SELECT term, df, CASE WHEN raw > 0 THEN raw WHEN f > 0 THEN f ELSE 0.25
 
 @query("doc_frequency_idf", f"WITH {_IDF} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def doc_frequency_idf(spark, d):
-    idf = ranking.inverse_frequencies(ranking.document_terms(read(spark, d, "documents")))
-    return idf.select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, d).idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("corpus_lexical_stats", f"WITH {_TERMS} SELECT count(*) AS n_passages, sum(len(terms))::BIGINT AS n_postings, round(avg(len(terms)), 6) AS average_length, (SELECT count(DISTINCT u) FROM (SELECT unnest(terms) AS u FROM t)) AS vocabulary FROM t")
 def corpus_lexical_stats(spark, d):
-    t = ranking.document_terms(read(spark, d, "documents"))
-    one = t.agg(F.count("*").alias("n_passages"), F.sum(F.size("terms")).alias("n_postings"), F.round(F.avg(F.size("terms")), 6).alias("average_length"))
-    return one.crossJoin(t.select(F.explode("terms").alias("u")).agg(F.countDistinct("u").alias("vocabulary")))
+    i = _index(spark, d)
+    one = i.lengths.select(F.col("n").alias("n_passages"), F.round("avgdl", 6).alias("average_length"))
+    return one.crossJoin(i.postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_postings"))).crossJoin(i.idf.agg(F.count("*").alias("vocabulary")))  # one row each
 
 
 @query("sentence_split_counts", r"SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?;\n])\s*', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_matches(s, '\S')))::BIGINT AS n_sentences FROM documents")
@@ -151,16 +151,35 @@ def hashing_embeddings(spark, d):
 # -- ranking -----------------------------------------------------------------------------------------------
 
 
+_INDEXES: dict[tuple[str, str], ranking.LexicalIndex] = {}
+
+
+def _index(spark, d) -> ranking.LexicalIndex:
+    """The lexical index of a folder's documents, written to the shared folder once in a session."""
+    name = (spark.sparkContext.applicationId, d)
+    if name not in _INDEXES:
+        root = f"{shared_folder(spark)}/lexical-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+        def keep(df: DataFrame, table: str) -> DataFrame:
+            df.write.parquet(f"{root}/{table}")
+            return spark.read.schema(df.schema).parquet(f"{root}/{table}")
+
+        _INDEXES[name] = ranking.LexicalIndex.of(ranking.postings_of(ranking.document_terms(read(spark, d, "documents"))), keep=keep)
+    return _INDEXES[name]
+
+
 def _lexical(spark, d, **kw) -> DataFrame:
     asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return ranking.bm25(read(spark, d, "documents"), asked, **kw)
+    return _index(spark, d).scores(ranking.query_terms(asked), **kw)
 
 
-def _vector(spark, d) -> DataFrame:
+def _vector(spark, d, k: int) -> DataFrame:
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
     asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
     asked = asked.join(v, asked["query_id"] == v["key"]).select("query_id", F.col("embedding").alias("query_vector"))
-    return ranking.cosine_scores(v, asked)
+    return ranking.cosine_topk(v, asked, k)
 
 
 def _bm25_sql(b: str = "0.75") -> str:
@@ -205,7 +224,7 @@ def bm25_b0(spark, d):
 
 @query("cosine_topk", f"WITH {_VECTOR_SQL} {_OUT} ({_top_sql('vector', K)})")
 def cosine_topk(spark, d):
-    return _shown(ranking.topk(_vector(spark, d), K))
+    return _shown(_vector(spark, d, K))
 
 
 @query("normalize_vectors", "SELECT vec_id, round(list_sum(list_transform(v, lambda x: x / n)), 6) AS total, round(v[1] / n, 6) AS first FROM (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(v, v)) AS n FROM embeddings)")
@@ -218,8 +237,8 @@ _POOL = 4 * K
 
 
 def _ranked(spark, d) -> DataFrame:
-    parts = [ranking.topk(s, _POOL).withColumn("list", F.lit(n)) for n, s in (("lexical", _lexical(spark, d)), ("vector", _vector(spark, d)))]
-    return parts[0].unionByName(parts[1])
+    lexical, vector = ranking.topk(_lexical(spark, d), _POOL), _vector(spark, d, _POOL)
+    return lexical.withColumn("list", F.lit("lexical")).unionByName(vector.withColumn("list", F.lit("vector")))
 
 
 _RANKED = f"""{_bm25_sql()}, {_VECTOR_SQL},
@@ -263,9 +282,8 @@ reranked AS (SELECT query_id, key, round(CASE WHEN len(q) = 0 THEN 0 ELSE 2.0 *
 @query("rerank_overlap", f"{_RERANK} {_OUT} ({_top_sql('reranked', K)})")
 def rerank_overlap(spark, d):
     pool = ranking.topk(_lexical(spark, d), _POOL).select("query_id", "key")
-    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tx.words(F.col("text")).alias("q"))
-    both = pool.join(asked, "query_id").join(ranking.document_terms(read(spark, d, "documents")), "key")
-    scored = both.select("query_id", "key", F.round(ranking.overlap_score(F.col("q"), F.col("terms")), ranking.DIGITS).alias("score"))
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    scored = ranking.overlap_scores(pool, ranking.query_terms(asked), _index(spark, d).postings)
     return _shown(ranking.topk(scored, K))
 
 
@@ -322,9 +340,9 @@ s5 AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY evidence) AS
 
 def _sentences(spark, d) -> DataFrame:
     top = ranking.topk(_lexical(spark, d), 3).select("query_id", "key", (F.col("rank") - 1).alias("evidence"))
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text", tx.words(F.col("text")).alias("terms"))
-    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(tx.words(F.col("text"))).alias("q"))
-    p = top.join(docs, "key").join(asked, "query_id").withColumn("coverage", F.size(F.array_intersect("q", "terms")) / F.size("q"))
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    cover = ranking.overlap_scores(top, ranking.query_terms(asked), _index(spark, d).postings, 1.0, 0.0).withColumnRenamed("score", "coverage")
+    p = top.join(cover, ["query_id", "key"]).join(read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"), "key")
     split = F.filter(F.transform(F.split("text", r"(?<=[.!?。！？;；\n])\s+"), tx.strip), lambda s: s != "")
     s = p.select("query_id", "evidence", "coverage", F.posexplode(split).alias("position", "sentence")).where((F.length("sentence") >= 20) & ~tx.structural(F.col("sentence")))
     s = s.withColumn("score", F.round(1.0 / (1 + F.col("evidence")) + F.col("coverage") - F.col("position") * 0.02, 9))

@@ -1,120 +1,268 @@
-"""A passage store of Parquet snapshots: writers add a version, readers hold the one they opened.
+"""A passage store of Parquet parts and published manifests: writers add a part, readers hold the version they opened.
 
-A version is a folder ``v<n>`` with the tables ``documents`` and ``chunks``.  It
-counts once a rename within the store has put it in place, whole: a writer that
-dies leaves only a ``_made-*`` folder behind.  Meant for one writer at a time: a
-version that is there is refused, but two renames at one moment are not told apart.
+An insert writes only what is new, as one part with the tables ``documents``, ``chunks``, ``postings`` and
+``vectors``; a deletion writes a list of ids.  A version is a small JSON manifest that names its parts in order; it
+counts once its file is there, whole.  A writer claims the next version's number first (creating a file
+that must not exist), so of two writers at one moment the second is refused.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_id
+from ..operators import embedding, ranking
 from ..operators.chunking import ChunkOptions, chunks
 
-DOCUMENTS = "id string, source string, title string, text string"
-CHUNKS = "id string, chunk_id string, ordinal long, text string"
+SCHEMAS = {
+    "documents": "id string, source string, title string, mime_type string, text string, metadata map<string,string>, added long",
+    "chunks": "id string, chunk_id string, ordinal long, text string, source string, title string, mime_type string",
+    "postings": "id string, chunk_id string, term string, tf long, dl int",
+    "vectors": "id string, chunk_id string, embedding array<float>",
+}
+FORMAT = 1
+
+
+class EmbedderMismatch(ValueError):
+    """The store's vectors come from another embedder."""
 
 
 class PassageStore:
-    """Documents by content id, and their passages."""
+    """Documents by content id, their passages, and these passages' postings and vectors."""
 
-    def __init__(self, spark: SparkSession, path: str, options: ChunkOptions = ChunkOptions()):
+    def __init__(self, spark: SparkSession, path: str, options: ChunkOptions = ChunkOptions(), embedder: str = "hashing:512", services: dict[str, Callable] | None = None):
         self.spark, self.path, self.options = spark, path.rstrip("/"), options
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._embed, self.embedder = embedding.build_embedder(embedder, services)
+
+    # -- versions ------------------------------------------------------------------------------------------------
 
     def version(self) -> int:
         """The last published version; 0 for a new store."""
-        if not self._fs.exists(self._path(self.path)):
+        folder = self._path(f"{self.path}/versions")
+        if not self._fs.exists(folder):
             return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        found = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and self._fs.exists(self._path(f"{self.path}/{n}/_PUBLISHED"))]
-        return max(found, default=0)
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
 
-    def _read(self, table: str, schema: str, version: int | None) -> DataFrame:
+    def manifest(self, version: int | None = None) -> dict:
+        """``parts``, ``structure`` and ``append`` revisions, ``embedder`` and free ``meta`` of a version."""
         v = self.version() if version is None else version
         if v == 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{v}/{table}")
+            return {"format": FORMAT, "parts": [], "structure": 0, "append": 0, "embedder": self.embedder, "meta": {}}
+        lines = self.spark.read.text(f"{self.path}/versions/v{v}.json", wholetext=True).first()
+        found = json.loads(lines["value"])
+        if found["format"] > FORMAT:
+            raise ValueError(f"the store has format {found['format']}, this library reads up to {FORMAT}")
+        return found
+
+    def _publish(self, base: int, manifest: dict) -> int:
+        """Put the manifest in place as version ``base + 1``."""
+        to, claim = (self._path(f"{self.path}/versions/v{base + 1}.{x}") for x in ("json", "claim"))
+        try:
+            self._fs.create(claim, False).close()
+        except Exception as e:
+            raise RuntimeError(f"version {base + 1} was published, or claimed, by another writer") from e
+        made = self._path(f"{self.path}/versions/_made-{uuid.uuid4().hex}")
+        out = self._fs.create(made, False)
+        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+        out.close()
+        if not self._fs.rename(made, to):
+            raise RuntimeError(f"version {base + 1} could not be put in place")
+        return base + 1
+
+    def release(self) -> bool:
+        """Give up the claim of a writer that died before it published; whether there was one."""
+        return bool(self._fs.delete(self._path(f"{self.path}/versions/v{self.version() + 1}.claim"), False))
+
+    def set_meta(self, key: str, value: str) -> int:
+        base = self.version()
+        m = self.manifest(base)
+        return self._publish(base, m | {"meta": m["meta"] | {key: value}})
+
+    def get_meta(self, key: str, version: int | None = None) -> str | None:
+        return self.manifest(version)["meta"].get(key)
+
+    # -- tables ---------------------------------------------------------------------------------------------------
+
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        """One of the tables of ``SCHEMAS`` as of a version, without what was deleted after it was written."""
+        out = self.spark.createDataFrame([], SCHEMAS[name])
+        for part in self.manifest(version)["parts"]:
+            if "gone" in part:
+                out = out.join(self.spark.read.parquet(f"{self.path}/parts/{part['gone']}"), "id", "left_anti")
+            elif name in part["tables"]:
+                out = out.unionByName(self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/parts/{part['name']}/{name}"))
+        return out
 
     def documents(self, version: int | None = None) -> DataFrame:
-        return self._read("documents", DOCUMENTS, version)
+        return self.table("documents", version)
 
     def chunks(self, version: int | None = None) -> DataFrame:
-        return self._read("chunks", CHUNKS, version)
-
-    def _publish(self, base: int, documents: DataFrame, passages: DataFrame) -> int:
-        made = f"{self.path}/_made-{uuid.uuid4().hex}"
-        documents.write.parquet(f"{made}/documents")
-        passages.write.parquet(f"{made}/chunks")
-        self._fs.create(self._path(f"{made}/_PUBLISHED")).close()
-        to = self._path(f"{self.path}/v{base + 1}")
-        # A rename onto a folder that is there would move into it.
-        if self._fs.exists(to) or not self._fs.rename(self._path(made), to):
-            self._fs.delete(self._path(made), True)
-            raise RuntimeError(f"version {base + 1} was published by another writer")
-        return base + 1
+        return self.table("chunks", version)
+
+    def rows(self, version: int | None = None) -> DataFrame:
+        """Every passage with its vector, null where it has none, in order of documents and passages."""
+        return self.chunks(version).join(self.table("vectors", version).drop("id"), "chunk_id", "left").orderBy("id", "ordinal")
 
-    def _passages(self, documents: DataFrame) -> DataFrame:
-        cut = chunks(documents.select(F.col("id").alias("doc_id"), "source", "text"), self.options)
+    # -- changes --------------------------------------------------------------------------------------------------
+
+    def _write(self, tables: dict[str, DataFrame]) -> dict:
+        name = uuid.uuid4().hex
+        for table, df in tables.items():
+            df.select(*[c.split()[0] for c in SCHEMAS[table].split(", ")]).write.parquet(f"{self.path}/parts/{name}/{table}")
+        return {"name": name, "tables": sorted(tables)}
+
+    def _indexed(self, documents: DataFrame) -> dict:
+        """Write documents as one part, with their passages, postings and vectors."""
+        docs = self._write({"documents": documents})
+        place = f"{self.path}/parts/{docs['name']}"
+        stored = self.spark.read.schema(SCHEMAS["documents"]).parquet(f"{place}/documents")
+        cut = chunks(stored.select(F.col("id").alias("doc_id"), "source", "text", "title", "mime_type"), self.options)
         # Passages are keyed by the stored id, which chunks() makes from the same parts.
-        return cut.select(F.col("doc_id").alias("id"), "chunk_id", "ordinal", "text")
+        cut.select(F.col("doc_id").alias("id"), "chunk_id", "ordinal", "text", "source", "title", "mime_type").write.parquet(f"{place}/chunks")
+        cut = self.spark.read.schema(SCHEMAS["chunks"]).parquet(f"{place}/chunks")
+        p = ranking.postings_of(ranking.document_terms(cut.select(F.struct("id", "chunk_id").alias("k"), "text"), "k"))
+        p.select("key.id", "key.chunk_id", "term", "tf", "dl").write.parquet(f"{place}/postings")
+        embedding.hashed(cut.select(F.struct("id", "chunk_id").alias("k"), "text"), key="k", embedder=self._embed).select("k.id", "k.chunk_id", "embedding").write.parquet(f"{place}/vectors")
+        return docs | {"tables": sorted(SCHEMAS)}
+
+    def _guard(self, manifest: dict) -> None:
+        if manifest["parts"] and manifest["embedder"] != self.embedder:
+            raise EmbedderMismatch(f"the store's vectors come from {manifest['embedder']}, not from {self.embedder}; rebuild(embedder=...) makes new ones")
 
     def add(self, documents: DataFrame) -> int:
-        """Insert documents (source, title, text) whose content is new, the first title of equal ones; returns the version.
+        """Insert documents (source, text; title, mime_type and metadata where there) whose content is new; returns the version.
 
-        Nulls in source and text count as empty.
+        Of equal ones the first title stays.  Nulls in source and text count as empty.  Only new documents are cut, counted
+        and embedded; a document without passages is stored too.
         """
         base = self.version()
-        empty = F.lit("")
-        rows = documents.select(F.coalesce("source", empty).alias("source"), "title", F.coalesce("text", empty).alias("text"))
-        rows = rows.select(content_id(F.col("source"), F.col("text")).alias("id"), "source", "title", "text")
-        rows = rows.groupBy("id").agg(F.first("source").alias("source"), F.min("title").alias("title"), F.first("text").alias("text"))
-        old = self.documents(base)
-        new = rows.join(old.select("id"), "id", "left_anti")
-        return self._publish(base, old.unionByName(new), self.chunks(base).unionByName(self._passages(new)))
+        m = self.manifest(base)
+        self._guard(m)
+        have = lambda c, kind: F.col(c) if c in documents.columns else F.lit(None).cast(kind)
+        rows = documents.select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"), have("title", "string").alias("title"), have("mime_type", "string").alias("mime_type"), have("metadata", "map<string,string>").alias("metadata"))
+        rows = rows.withColumn("id", content_id(F.col("source"), F.col("text")))
+        rows = rows.groupBy("id").agg(F.first("source").alias("source"), F.min("title").alias("title"), F.min("mime_type").alias("mime_type"), F.first("text").alias("text"), F.first("metadata").alias("metadata"))
+        new = rows.join(self.documents(base).select("id"), "id", "left_anti").withColumn("mime_type", F.coalesce("mime_type", F.lit("text/plain"))).withColumn("added", F.lit(base + 1).cast("long"))
+        part = self._indexed(new)
+        return self._publish(base, m | {"parts": [*m["parts"], part], "append": m["append"] + 1, "embedder": self.embedder})
+
+    def add_text(self, source: str, text: str, title: str | None = None, **metadata: str) -> str:
+        """Insert one text; its id."""
+        row = [(source, text, title, {k: str(v) for k, v in metadata.items()})]
+        df = self.spark.createDataFrame(row, "source string, text string, title string, metadata map<string,string>")
+        self.add(df)
+        return df.select(content_id(F.col("source"), F.col("text")).alias("id")).first()["id"]
+
+    def put_vectors(self, vectors: DataFrame) -> int:
+        """Insert or replace vectors (chunk_id, embedding) of stored passages; they must be finite and of the store's length."""
+        base = self.version()
+        m = self.manifest(base)
+        known = self.chunks(base).select("id", "chunk_id")
+        new = known.join(vectors.select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding")), "chunk_id")
+        dims = self.table("vectors", base).agg(F.max(F.size("embedding")).alias("d")).first()["d"]
+        if not new.where(~F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) | (F.size("embedding") != (dims or -1))).isEmpty():
+            raise ValueError(f"vectors must be finite and of {dims} numbers")
+        kept = self.table("vectors", base).join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new)
+        part = self._write({"vectors": kept})
+        parts = [x if "gone" in x else x | {"tables": [t for t in x["tables"] if t != "vectors"]} for x in m["parts"]]
+        return self._publish(base, m | {"parts": [*parts, part], "structure": m["structure"] + 1})
 
     def delete(self, ids: Sequence[str]) -> int:
-        """Remove documents and their passages; returns the number of passages removed.  Unknown ids publish nothing."""
+        """Remove documents, their passages, postings and vectors; returns the number of passages removed.  Unknown ids publish nothing."""
         base = self.version()
-        gone = self.spark.createDataFrame([(i,) for i in ids], "id string").distinct()
-        old, cut = self.documents(base), self.chunks(base)
-        if old.join(gone, "id", "left_semi").isEmpty():
+        m = self.manifest(base)
+        gone = self.documents(base).join(self.spark.createDataFrame([(i,) for i in ids], "id string").distinct(), "id", "left_semi").select("id")
+        if gone.isEmpty():
             return 0
-        n = cut.join(gone, "id", "left_semi").count()
-        self._publish(base, old.join(gone, "id", "left_anti"), cut.join(gone, "id", "left_anti"))
+        name = f"gone-{uuid.uuid4().hex}"
+        gone.write.parquet(f"{self.path}/parts/{name}")
+        n = self.chunks(base).join(gone, "id", "left_semi").count()
+        self._publish(base, m | {"parts": [*m["parts"], {"gone": name}], "structure": m["structure"] + (n > 0)})
         return n
 
     def clear(self, keep_documents: bool = False) -> int:
         base = self.version()
-        return self._publish(base, self.documents(base if keep_documents else 0), self.chunks(0))
+        m = self.manifest(base)
+        parts = [self._write({"documents": self.documents(base)})] if keep_documents else []
+        return self._publish(base, m | {"parts": parts, "structure": m["structure"] + 1})
 
-    def rebuild(self, options: ChunkOptions | None = None) -> int:
-        """Cut all stored documents again; readers see the old passages until the new ones are whole."""
+    def rebuild(self, options: ChunkOptions | None = None, embedder: str | None = None, services: dict[str, Callable] | None = None) -> int:
+        """Cut, count and embed all stored documents again, as one part; readers see the old version until the new one is whole."""
         self.options = options or self.options
+        if embedder:
+            self._embed, self.embedder = embedding.build_embedder(embedder, services)
         base = self.version()
-        docs = self.documents(base)
-        return self._publish(base, docs, self._passages(docs))
+        m = self.manifest(base)
+        part = self._indexed(self.documents(base))
+        return self._publish(base, m | {"parts": [part], "structure": m["structure"] + 1, "embedder": self.embedder})
+
+    # -- look-ups -------------------------------------------------------------------------------------------------
+
+    def document(self, id_: str, version: int | None = None) -> DataFrame:
+        return self.documents(version).where(F.col("id") == id_)
+
+    def by_source(self, source: str, version: int | None = None) -> DataFrame:
+        """The document that was added last under exactly this source."""
+        return self.documents(version).where(F.col("source") == source).orderBy(F.col("added").desc(), F.col("id").desc()).limit(1)
+
+    def chunk(self, chunk_id: str, version: int | None = None) -> DataFrame:
+        return self.chunks(version).where(F.col("chunk_id") == chunk_id)
+
+    def chunks_in_order(self, chunk_ids: Sequence[str], version: int | None = None) -> DataFrame:
+        """``pos`` and the passage for each id in the caller's order; unknown ids are missing, repeated ones repeat."""
+        asked = self.spark.createDataFrame(list(enumerate(chunk_ids)), "pos long, chunk_id string")
+        return asked.join(self.chunks(version), "chunk_id").orderBy("pos")
 
     def stats(self, version: int | None = None) -> DataFrame:
-        """One row: ``n_documents, n_sources, n_chunks``."""
-        d = self.documents(version).agg(F.count("*").alias("n_documents"), F.countDistinct("source").alias("n_sources"))
-        return d.crossJoin(self.chunks(version).agg(F.count("*").alias("n_chunks")))  # one row each
+        """One row: ``n_documents, n_sources, n_chunks, n_vectors, dim, embedder, chunk_size, chunk_overlap, version``."""
+        v = self.version() if version is None else version
+        d = self.documents(v).agg(F.count("*").alias("n_documents"), F.countDistinct("source").alias("n_sources"))
+        x = self.table("vectors", v).agg(F.count("*").alias("n_vectors"), F.max(F.size("embedding")).alias("dim"))
+        one = [self.chunks(v).agg(F.count("*").alias("n_chunks")), x]
+        fixed = {"embedder": self.manifest(v)["embedder"], "chunk_size": self.options.size, "chunk_overlap": self.options.overlap, "version": v}
+        return reduce(DataFrame.crossJoin, one, d).select("*", *[F.lit(x).alias(c) for c, x in fixed.items()])  # one row each
 
-    def sources(self, version: int | None = None) -> DataFrame:
-        """Each document with its number of passages, those without any included."""
-        n = self.chunks(version).groupBy("id").agg(F.count("*").alias("n_chunks"))
-        return self.documents(version).join(n, "id", "left").select("id", "source", "title", F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"))
+    def sources(self, version: int | None = None, limit: int | None = None) -> DataFrame:
+        """Each document with its number of passages, those without any included, the newest first."""
+        v = self.version() if version is None else version
+        n = self.chunks(v).groupBy("id").agg(F.count("*").alias("n_chunks"))
+        out = self.documents(v).join(n, "id", "left").select("id", "source", "title", F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"), "added")
+        out = out.orderBy(F.col("added").desc(), "source", "id")
+        return out if limit is None else out.limit(limit)
 
     def neighbours(self, chunk_ids: Sequence[str], reach: int = 1, version: int | None = None) -> DataFrame:
         """The passages within ``reach`` places of the given ones in their documents, each once."""
         cut = self.chunks(version)
         at = cut.where(F.col("chunk_id").isin(list(chunk_ids))).select("id", F.explode(F.sequence(F.col("ordinal") - reach, F.col("ordinal") + reach)).alias("ordinal")).distinct()
         return cut.join(at, ["id", "ordinal"])
+
+    def lexical(self, version: int | None = None) -> ranking.LexicalIndex:
+        """The stored postings as an index over passages, weights and lengths written once for each version.
+
+        Passages without terms count in the mean length.
+        """
+        v = self.version() if version is None else version
+        root = f"{self.path}/index/v{v}"
+
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            if name == "postings":
+                return df
+            if not self._fs.exists(self._path(f"{root}/{name}/_SUCCESS")):
+                df.write.mode("overwrite").parquet(f"{root}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+        postings = self.table("postings", v).select("term", F.col("chunk_id").alias("key"), "tf", "dl")
+        return ranking.LexicalIndex.of(postings, keep=keep)
+
+    def embed_queries(self, texts: Sequence[str]) -> list[list[float]]:
+        return embedding.checked(self._embed(list(texts)), len(texts)).tolist()
