@@ -114,7 +114,7 @@ class Engine:
     def ask(self, queries: DataFrame | str, top_k: int = 8, **options) -> DataFrame:
         """``query_id, answer``: sentences of the best passages with the numbers of their sources, and the sources."""
         asked = self.asked(queries)
-        hits = self.search(asked, top_k, **options)
+        hits = self.search(asked, top_k, **options).persist()  # a few rows for each query, read several times
         return answers.cited(asked, hits.select("query_id", "source", "ordinal", "text", "score"))
 
     def read_source(self, source: str, max_chars: int = 8000) -> dict:

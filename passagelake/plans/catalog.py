@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vec
-from ..operators import chunking, conversation, embedding, ranking
+from ..operators import answers, chunking, conversation, embedding, memory, ranking
 from ..sources.shared import shared_folder
 
 K = 10
@@ -449,3 +449,153 @@ def last_user_turn_results(spark, d):
 @query("render_transcript", "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
 def render_transcript(spark, d):
     return conversation.transcript(read(spark, d, "conversations"))
+
+
+# -- authored tables: scripts, code, headings and tool results that the driver's tables do not hold ----------------------
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    """The rows as SQL, texts and numbers written out."""
+
+    def one(x) -> str:
+        return "NULL" if x is None else f"'{x.replace(chr(39), chr(39) * 2)}'" if isinstance(x, str) else str(x)
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) t({columns})"
+
+
+_SCRIPTS = [(1, "数据库迁移"), (2, "ＦＵＬＬ width Ω"), (3, "我的 data_base isn't 7 x"), (4, "Zoë's naïve—café"), (5, "カメラ and 한국"), (6, None)]
+_SCRIPT_TERMS = [
+    *[(1, k, t) for k, t in enumerate(["数", "据", "库", "迁", "移", "数据", "据库", "库迁", "迁移"])],
+    *[(2, k, t) for k, t in enumerate(["full", "width"])],
+    *[(3, k, t) for k, t in enumerate(["我的", "data_base", "isn't", "7"])],
+    *[(4, k, t) for k, t in enumerate(["zoe's", "naive", "cafe"])],
+    *[(5, k, t) for k, t in enumerate(["カ", "メ", "ラ", "カメ", "メラ", "한", "국", "한국"])],
+]
+
+
+@query("terms_of_scripts", _values(_SCRIPT_TERMS, "id, n, term"))
+def terms_of_scripts(spark, d):
+    t = spark.createDataFrame(_SCRIPTS, "id int, t string").select("id", F.posexplode(tx.any_words(F.col("t"))).alias("n", "term"))
+    return t.select("id", "n", "term")
+
+
+_ZH = [(1, "数据库迁移需要备份"), (2, "索引提高查询速度"), (3, "mixed 数据 and words"), (4, "nothing of the kind")]
+
+
+@query("bm25_of_scripts", _values([("a", 1, 1), ("a", 2, 3), ("b", 1, 2)], "query_id, rank, key"))
+def bm25_of_scripts(spark, d):
+    """Which of authored documents hold a CJK query's characters and pairs, the most of them first."""
+    docs, asked = spark.createDataFrame(_ZH, "doc_id long, text string"), spark.createDataFrame([("a", "数据库"), ("b", "查询速度")], "query_id string, query string")
+    return ranking.topk(ranking.bm25(docs, asked), K).select("query_id", "rank", "key")
+
+
+_CUT = [
+    ("sentences", "One two three. Four five six. Seven eight nine. Ten."),
+    ("headings", "# A\ntext here\n# B\nmore of it"),
+    ("paragraphs", "para one is here\n\npara two is there\n\nend"),
+    ("uncut", "x" * 70),
+    ("fence", "```\ncode\n" + "y" * 40 + "\n```\nafter it"),
+    ("open fence", "before it\n```\nz = 1"),
+    ("clauses", "一二三四五六七八九十一二三，四五六七八九十一二三四五六七八，九十"),
+    ("short tail", "Twenty characters ok.\n# T\nabc"),
+    ("empty", "  \n"),
+]
+_CUT_ROWS = [
+    ("sentences", 0, "One two three. Four five six."), ("sentences", 1, "Four five six. Seven eight nine."), ("sentences", 2, "Seven eight nine. Ten."),
+    ("headings", 0, "# A\ntext here"), ("headings", 1, "# B\nmore of it"),
+    ("paragraphs", 0, "para one is here"), ("paragraphs", 1, "para two is there end"),
+    ("uncut", 0, "x" * 30), ("uncut", 1, "x" * 30), ("uncut", 2, "x" * 30), ("uncut", 3, "x" * 10),
+    ("fence", 0, "```\ncode\n" + "y" * 40 + "\n```"), ("fence", 1, "after it"),
+    ("open fence", 0, "before it"), ("open fence", 1, "```\nz = 1"),
+    ("clauses", 0, "一二三四五六七八九十一二三，"), ("clauses", 1, "四五六七八九十一二三四五六七八， 九十"),
+    ("short tail", 0, "Twenty characters ok."), ("short tail", 1, "# T\nabc"),
+]
+
+
+@query("chunk_cases", _values(_CUT_ROWS, "source, ordinal, text"))
+def chunk_cases(spark, d):
+    """Authored texts cut at 30 characters with 10 carried over, pieces under 5 joined; expected pieces made by hand."""
+    docs = spark.createDataFrame([(k, s, t) for k, (s, t) in enumerate(_CUT)], "doc_id long, source string, text string")
+    return chunking.chunks(docs, chunking.ChunkOptions(30, 10, 5)).select("source", "ordinal", "text")
+
+
+@query("document_previews", r"SELECT doc_id, CASE WHEN length(f) <= 120 THEN f ELSE regexp_replace(left(f, 120), ' [^ ]*$', '') || '…' END AS preview, CASE WHEN length(f) <= 80 THEN f ELSE rtrim(left(f, 79)) || '…' END AS clip FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS f FROM documents)")
+def document_previews(spark, d):
+    return read(spark, d, "documents").select("doc_id", tx.first_clause(F.col("text"), 120).alias("preview"), tx.clipped(F.col("text"), 80).alias("clip"))
+
+
+_SUFFIXES = [(".md", "text/markdown"), ("PY", "text/x-python"), (".yml", "application/x-yaml"), (".rs", "text/plain"), ("", "text/plain"), (".sql", "text/x-sql")]
+
+
+@query("mime_types", _values(_SUFFIXES, "suffix, mime"))
+def mime_types(spark, d):
+    return spark.createDataFrame([(s,) for s, _ in _SUFFIXES], "suffix string").select("suffix", tx.mime_type(F.col("suffix")).alias("mime"))
+
+
+_TOLD = [
+    (1, "search", '{"results": [{"source": "b", "ordinal": 2, "text": " two ", "score": 0.5}, {"source": "a", "ordinal": "1", "content": "one", "score": "0.5"}, {"source": "c", "text": "  ", "score": 9}]}'),
+    (1, "other", '{"results": [{"source": "x", "text": "not asked", "score": 1}]}'),
+    (1, "search", "no json"),
+    (2, "search", '{"results": [{"text": "bare"}, {"source": "n", "text": "bad", "score": "high"}, {"source": "i", "text": "far", "score": "1e999"}]}'),
+]
+
+
+@query("evidence_rows", _values([(1, 0, "a", 1, "one", 0.5), (1, 1, "b", 2, "two", 0.5), (2, 0, "unknown", 0, "bare", 0.0)], "query_id, rank, source, ordinal, text, score").replace("SELECT *", "SELECT query_id, rank, source, ordinal, text, score::DOUBLE AS score"))
+def evidence_rows(spark, d):
+    return answers.parsed_evidence(spark.createDataFrame(_TOLD, "query_id int, name string, content string")).select("query_id", "rank", "source", "ordinal", "text", "score")
+
+
+_TALK = [
+    (1, 0, "user", "Find the notes on tides please", None, None),
+    (1, 1, "assistant", "", None, [("search", '{"query": "tides"}')]),
+    (1, 2, "tool", "gates close two hours before high tide", "search", None),
+    (1, 3, "assistant", "They close two hours before", None, None),
+    (1, 4, "user", "And when do they open", None, None),
+    (2, 0, "user", "short", None, None),
+]
+_TALK_ROWS = [
+    (1, 3, "system", memory.HEAD + "- assistant requested tools: search({\"query\": \"tides\"})\n- tool search returned: gates close two hours before high tide\n- assistant: They close two hours…"),
+    (1, 4, "user", "And when do they open"),
+    (2, 0, "user", "short"),
+]
+
+
+@query("memory_windows", _values(_TALK_ROWS, "conv_id, turn, role, text"))
+def memory_windows(spark, d):
+    """The newest message within 58 tokens, and a digest in which findings and requests come before talk."""
+    m = spark.createDataFrame(_TALK, f"conv_id int, turn int, role string, text string, name string, calls {memory.CALLS}")
+    return memory.windows(m, 58, 0.2)
+
+
+@query("message_cost_with_calls", _values([(1, 0, 12), (1, 1, 17), (1, 2, 14), (1, 3, 11), (1, 4, 10), (2, 0, 6)], "conv_id, turn, cost"))
+def message_cost_with_calls(spark, d):
+    m = spark.createDataFrame(_TALK, f"conv_id int, turn int, role string, text string, name string, calls {memory.CALLS}")
+    return memory.with_costs(m).select("conv_id", "turn", "cost")
+
+
+@query("fusion_provenance", f"WITH {_RANKED} SELECT query_id, key, arg_max(list, w0) AS from_list FROM ranked GROUP BY query_id, key")
+def fusion_provenance(spark, d):
+    return ranking.provenance(_ranked(spark, d), WEIGHTS)
+
+
+@query("hybrid_verdict", "SELECT true AS hybrid_wins")
+def hybrid_verdict(spark, d):
+    m = spark.createDataFrame([("hybrid", 0.9, 0.8), ("lexical", 0.9, 0.7), ("vector", 0.5, 0.8)], "mode string, recall double, reciprocal_rank double")
+    return ranking.hybrid_wins(m)
+
+
+@query("newest_documents", "SELECT doc_id, source, n_chars FROM documents ORDER BY doc_id DESC LIMIT 100")
+def newest_documents(spark, d):
+    return read(spark, d, "documents").select("doc_id", "source", "n_chars").orderBy(F.col("doc_id").desc()).limit(100)
+
+
+@query("usage_totals", "SELECT role, count(*) AS n, sum(greatest(1, length(text) // 4))::BIGINT AS tokens FROM conversations GROUP BY role")
+def usage_totals(spark, d):
+    return read(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.sum(tx.token_estimate(F.col("text"))).alias("tokens"))
+
+
+@query("duplicate_ranks", _values([(1, "x", 0.5), (1, "y", round(0.5 * 61 / 63, 6))], "query_id, key, score").replace("SELECT *", "SELECT query_id, key, score::DOUBLE AS score"))
+def duplicate_ranks(spark, d):
+    """A key that a list repeats counts once, and yet takes up a rank."""
+    r = spark.createDataFrame([(1, "a", 1, "x", 3.0), (1, "a", 2, "x", 2.0), (1, "a", 3, "y", 1.0), (1, "b", 1, "z", 0.0)], "query_id int, list string, rank long, key string, score double")
+    return ranking.fused(r, {"a": 0.5, "b": 0.5}).where("key <> 'z'").select("query_id", "key", F.round("score", 6).alias("score"))

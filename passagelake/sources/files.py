@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import content_id, sensitive_name
+from ..functions.text import content_id, mime_type, sensitive_name
 
 # Encodings tried in this order (fixed values); the last one decodes anything.
 ENCODINGS = ("utf-8-sig", "gb18030", "big5", "shift_jis", "cp1252", "latin-1")
@@ -17,12 +18,19 @@ ENCODINGS = ("utf-8-sig", "gb18030", "big5", "shift_jis", "cp1252", "latin-1")
 HEAD = 8192
 #: Bytes of a file that are read as text; ``truncated`` marks files that have more.
 MOST = 8 << 20
-DEFAULT_EXCLUDE = (".git", ".hg", ".svn", "__pycache__", "node_modules", ".venv", "venv", "dist", "build", "*.egg-info")
+#: Folders and names that hold no prose: version control, caches of tools, installed or built things.
+DEFAULT_EXCLUDE = (".git", ".hg", ".svn", "__pycache__", "*_cache", ".cache", ".tox", ".nox", "node_modules", "*venv", "site-packages", "dist", "build", "target", ".next", "*.egg-info")
 
 
 def glob_pattern(glob: str) -> str:
     """A glob as a regular expression over a whole name, without regard to case."""
-    inside = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in glob)
+    inside, k = "", 0
+    while k < len(glob):
+        close = glob.find("]", k + 2) if glob[k] == "[" else -1
+        if close > 0:
+            members = glob[k + 1 : close].replace("\\", r"\\").replace("[", r"\[")
+            inside += "[" + ("^" + members[1:] if members.startswith("!") else members) + "]"
+        k, inside = (close + 1, inside) if close > 0 else (k + 1, inside + {"*": ".*", "?": "."}.get(glob[k], re.escape(glob[k])))
     return f"(?is)^{inside}$"
 
 
@@ -36,9 +44,9 @@ def matches_any(name: Column, globs: Sequence[str]) -> Column:
 
 def looks_binary(content: Column) -> Column:
     """A NUL byte in the head of the file, without the byte-order mark of a two-byte encoding."""
-    head = F.substring(F.hex(F.substring(content, 1, HEAD)), 1, 2 * HEAD)
-    wide = head.startswith("FFFE") | head.startswith("FEFF")
-    return ~wide & head.rlike("^(..)*?00")
+    head = F.substring(content, 1, HEAD)
+    mark = F.hex(F.substring(content, 1, 2))
+    return ~mark.isin("FFFE", "FEFF") & (F.instr(F.decode(head, "ISO-8859-1"), "\0") > 0)
 
 
 def decode(content: bytes) -> tuple[str, str]:
@@ -102,4 +110,14 @@ def read_files(spark: SparkSession, root: str, patterns: Sequence[str] = (), exc
         suffix.alias("suffix"),
         F.col("length").alias("size"),
         (F.col("length") > MOST).alias("truncated"),
+        mime_type(suffix).alias("mime_type"),
     )
+
+
+def documents_below(spark: SparkSession, roots: Sequence[str], patterns: Sequence[str] = (), exclude: Sequence[str] = DEFAULT_EXCLUDE, limit: int | None = None) -> DataFrame:
+    """Documents (source, title, text, mime_type, metadata) of the text files below several folders, each once; ``limit`` counts files that could be read."""
+    found = reduce(DataFrame.unionByName, [read_files(spark, r, patterns, exclude) for r in roots]).dropDuplicates(["source"])
+    if limit is not None:
+        found = found.orderBy("source").limit(limit)
+    about = F.create_map(F.lit("name"), "title", F.lit("suffix"), "suffix", F.lit("encoding"), "encoding", F.lit("size"), F.col("size").cast("string"))
+    return found.select("source", "title", "text", "mime_type", about.alias("metadata"))

@@ -2,7 +2,7 @@ import pytest
 
 from passagelake.operators.chunking import ChunkOptions
 from passagelake.sources import files
-from passagelake.sources.store import PassageStore
+from passagelake.sources.store import EmbedderMismatch, PassageStore
 from passagelake.streaming import ingest
 
 DOCS = "source string, title string, text string"
@@ -43,7 +43,8 @@ def test_store(spark, tmp_path):
     long = " ".join(f"Sentence number {k} is here." for k in range(6))
     rows = [("a", "A", long), ("a", "A again", long), ("b", None, ""), (None, None, None)]
     assert store.add(spark.createDataFrame(rows, DOCS)) == 1
-    assert store.stats().first().asDict() == {"n_documents": 3, "n_sources": 3, "n_chunks": 6}
+    had = store.stats().first().asDict()
+    assert {k: had[k] for k in ("n_documents", "n_sources", "n_chunks", "n_vectors", "dim", "version")} == {"n_documents": 3, "n_sources": 3, "n_chunks": 6, "n_vectors": 6, "dim": 512, "version": 1}
     assert store.add(spark.createDataFrame([("a", "A", long), ("c", "C", "Short text.")], DOCS)) == 2
     assert {r["source"]: r["n_chunks"] for r in store.sources().collect()} == {"a": 6, "b": 0, "": 0, "c": 1}
     first = store.chunks().where("ordinal = 2").first()["chunk_id"]
@@ -57,8 +58,21 @@ def test_store(spark, tmp_path):
     assert sorted(map(tuple, store.chunks().collect())) == before
     store.clear(keep_documents=True)
     assert store.chunks().count() == 0 and store.documents().count() == 3
-    with pytest.raises(RuntimeError):
-        store._publish(1, store.documents(), store.chunks())
+    with pytest.raises(RuntimeError):  # two writers on one version
+        store._publish(1, store.manifest(1))
+    store.set_meta("note", "x")
+    assert store.get_meta("note") == "x" and store.get_meta("note", 1) is None and not store.release()
+    other = PassageStore(spark, str(tmp_path / "store"), ChunkOptions(size=40, overlap=0, least=0), "hashing:64")
+    other.rebuild()
+    assert {len(r["embedding"]) for r in other.rows().collect()} == {64} and other.chunks().count() == 1
+    with pytest.raises(EmbedderMismatch):
+        store.add(spark.createDataFrame([("d", "D", "New text.")], DOCS))
+    one = other.chunks().first()["chunk_id"]
+    other.put_vectors(spark.createDataFrame([(one, [1.0] * 64)], "chunk_id string, embedding array<double>"))
+    assert other.rows().first()["embedding"] == [1.0] * 64
+    with pytest.raises(ValueError):
+        other.put_vectors(spark.createDataFrame([(one, [float("nan")] * 64)], "chunk_id string, embedding array<double>"))
+    assert [(r["pos"], r["chunk_id"]) for r in other.chunks_in_order([one, "no", one]).collect()] == [(0, one), (2, one)]
 
 
 def test_streaming_ingest(spark, tmp_path):
