@@ -142,7 +142,8 @@ def _starts(sizes: DataFrame, scratch: Scratch) -> DataFrame:
     dealt = scratch.keep(dealt, "sizes")
     base = dealt.groupBy("piece").agg(F.sum("n").alias("n")).selectExpr("piece", "sum(n) over (order by piece) - n as base")  # a row for each range
     inner = dealt.selectExpr("row", "piece", "sum(n) over (partition by piece order by id, tie, row rows unbounded preceding) - n as inner")
-    return inner.join(base, "piece").select("row", (F.col("base") + F.col("inner")).alias("at"))
+    # Written before the ids are joined with it: where it is small, Spark then leaves the ids where they lie.
+    return scratch.keep(inner.join(base, "piece").select("row", (F.col("base") + F.col("inner")).alias("at")), "starts")
 
 
 def training_order(docs: DataFrame, key: int = 1, length: int = SEQUENCE, vocabulary: str = VOCABULARY, per_shard: int = PER_SHARD, digest: bool = False) -> DataFrame:

@@ -29,11 +29,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder for files that stay."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 class Scratch:
     """A private folder below the shared one, for the tables of one operator call; removed when the session ends."""
 

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline as cp
 
 
@@ -25,6 +27,13 @@ def test_stages_and_run(spark, tmp_path):
     assert mixed.columns == docs.columns and set(times) <= left and max(times.values()) <= 2
     out = cp.run(spark, d).collect()
     assert out and sorted(r.slot for r in out) == list(range(len(out)))
+    # The records hold the ids of the mixed documents, each text as often as the mix has it.
+    from passagelake.llm import order, tokens
+
+    stream = np.frombuffer(b"".join(bytes(r.record[: 2 * r.n_tokens]) for r in sorted(out, key=lambda r: r.sequence)), np.uint16)
+    ends, enc, text = np.flatnonzero(stream == order.END), tokens.encoding(), {r[0]: r[1] or "" for r in rows}
+    back = Counter(enc.decode(stream[a:b].tolist()) for a, b in zip([0, *(ends[:-1] + 1)], ends, strict=True))
+    assert back == sum((Counter({text[k]: n}) for k, n in times.items()), Counter())
 
 
 def test_stages_on_odd_tables(spark, tmp_path):
