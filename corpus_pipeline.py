@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from passagelake.llm import decontaminate, minhash, mixing, order, toxicity
-from passagelake.llm.scratch import Scratch, new_path
+from passagelake.llm.scratch import Scratch
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens_in_training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token shards to the shared folder; a row for each record, read back from the shards' files."""
-    return order.shards_in_order(docs, new_path(spark, "training-shards"))
+    """Every fixed-length token sequence at its slot, in order of slots; ``order.write_shards`` makes raw files of such rows."""
+    return order.training_order(docs)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
