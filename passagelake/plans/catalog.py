@@ -151,23 +151,24 @@ def hashing_embeddings(spark, d):
 # -- ranking -----------------------------------------------------------------------------------------------
 
 
-_INDEXES: dict[tuple[str, str], ranking.LexicalIndex] = {}
+_INDEXES: dict[tuple[str, str], tuple[str, ranking.LexicalIndex]] = {}
 
 
 def _index(spark, d) -> ranking.LexicalIndex:
     """The lexical index of a folder's documents, written to the shared folder once in a session."""
     name = (spark.sparkContext.applicationId, d)
-    if name not in _INDEXES:
+    at = lambda root: spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = lambda root: at(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    if name not in _INDEXES or not fs(_INDEXES[name][0]).exists(at(f"{_INDEXES[name][0]}/idf/_SUCCESS")):
         root = f"{shared_folder(spark)}/lexical-{uuid.uuid4().hex}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        fs(root).deleteOnExit(at(root))
 
         def keep(df: DataFrame, table: str) -> DataFrame:
             df.write.parquet(f"{root}/{table}")
             return spark.read.schema(df.schema).parquet(f"{root}/{table}")
 
-        _INDEXES[name] = ranking.LexicalIndex.of(ranking.postings_of(ranking.document_terms(read(spark, d, "documents"))), keep=keep)
-    return _INDEXES[name]
+        _INDEXES[name] = root, ranking.LexicalIndex.of(ranking.postings_of(ranking.document_terms(read(spark, d, "documents"))), keep=keep)
+    return _INDEXES[name][1]
 
 
 def _lexical(spark, d, **kw) -> DataFrame:
