@@ -170,7 +170,9 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(s[at].view(np.int64)), pa.array(np.array(ids, np.int64)[text]), pa.array((at - w.first[text]).astype(np.int32))], names=["key", "id", "place"])
 
 
-_AROUND = "key long, id long, place int, one long, number int, begin int, finish int, before binary, after binary, members binary"
+_AROUND = "id long, seeds binary, key long, before binary, after binary, members binary"
+#: A met seed: the least id that holds it, the paragraph it begins in, its first word, first and past-the-last byte.
+_MET = (("key", np.int64), ("one", np.int64), ("number", np.int32), ("place", np.int32), ("begin", np.int32), ("finish", np.int32))
 _MEMBER = np.dtype([("id", np.int64), ("place", np.int32), ("begin", np.int32), ("finish", np.int32)])
 #: A word beside a seed: 32 bits of its hash, and how far its other end is from the seed in bytes.
 _BESIDE = np.dtype([("word", np.uint32), ("far", np.int32)])
@@ -178,10 +180,22 @@ _BESIDE = np.dtype([("word", np.uint32), ("far", np.int32)])
 GATHER = 100_000
 
 
+def _packed(columns: list[np.ndarray]) -> bytes:
+    return b"".join(x.astype(kind).tobytes() for x, (_, kind) in zip(columns, _MET, strict=True))
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    n, at, out = len(data) // sum(np.dtype(kind).itemsize for _, kind in _MET), 0, []
+    for _, kind in _MET:
+        out.append(np.frombuffer(data, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Where met seeds lie in bytes, a row each; and of those at a run's end the words before (nearest first) and after,
-    as far as a run can go without another seed, once for all members with the same ones."""
-    fields, kinds = [c.split() for c in _AROUND.split(", ")], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    """Where a text's met seeds lie in bytes, all in one row; and of those at a run's end the words before (nearest first)
+    and after, as far as a run can go without another seed, once for all members with the same ones."""
+    fields, kinds = [c.split() for c in _AROUND.split(", ")], {"long": pa.int64(), "binary": pa.binary()}
     beside: dict[tuple, list] = {}
 
     def rows(got: list[tuple]) -> pa.RecordBatch:
@@ -189,33 +203,44 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
 
     def held() -> pa.RecordBatch:
-        out = rows([(key, None, None, None, None, None, None, x, y, np.array(m, _MEMBER).tobytes()) for (key, x, y), m in beside.items()])
+        out = rows([(None, None, key, x, y, np.array(m, _MEMBER).tobytes()) for (key, x, y), m in beside.items()])
         beside.clear()
         return out
 
     for batch in batches:
-        got, wanted, all_ids = [], batch.column("wanted").to_pylist(), batch.column("id").to_pylist()
+        got, all_ids = [], batch.column("id").to_pylist()
+        lists = batch.column("wanted")
+        cut, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+        place, key, one, edge = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("place", "key", "one", "edge"))
         for numbers, texts in blocks(list(range(batch.num_rows)), arrow_texts(batch)):
             p = Paragraphs(texts)
             w, h = p.words, p.hashes
             s = _runs_of(h).view(np.int64)
-            short = h.astype(np.uint32)
-            for t, number in enumerate(numbers):
-                a, b, base = int(w.first[t]), int(w.first[t + 1]), int(w.doc_start[t])
-                heads = p.heads[np.searchsorted(p.heads, a) : np.searchsorted(p.heads, b)]
-                for x in wanted[number]:
-                    k = a + x["place"]
-                    if k + SEED > b or s[k] != x["key"]:  # another row of the same id
-                        continue
-                    begin, finish = int(w.start[k]), int(w.end[k + SEED - 1])
-                    nth = int(np.searchsorted(heads, k, "right")) - 1
-                    got.append((x["key"], all_ids[number], x["place"], x["one"], nth, begin - base, finish - base, None, None, None))
-                    if x["edge"]:
-                        lo, hi = max(a, k - TAKE), min(b, k + SEED + TAKE)
-                        sides = np.empty(k - lo, _BESIDE), np.empty(hi - k - SEED, _BESIDE)
-                        sides[0]["word"], sides[0]["far"] = short[lo:k][::-1], begin - w.start[lo:k][::-1]
-                        sides[1]["word"], sides[1]["far"] = short[k + SEED : hi], w.end[k + SEED : hi] - finish
-                        beside.setdefault((x["key"], *(y.tobytes() for y in sides)), []).append((all_ids[number], x["place"], begin - base, finish - base))
+            if not len(s):
+                continue
+            short, lo = h.astype(np.uint32), cut[numbers[0]]
+            mine = slice(lo, cut[numbers[-1] + 1])
+            text = np.repeat(np.arange(len(texts)), np.diff(cut[numbers[0] : numbers[-1] + 2]))
+            k = w.first[text] + place[mine]
+            # Others are seeds of another row of the same id.
+            own = np.flatnonzero((k + SEED <= w.first[text + 1]) & (s[np.minimum(k, len(s) - 1)] == key[mine]))
+            _, once = np.unique(k[own], return_index=True)
+            own = own[once]
+            k, text = k[own], text[own]
+            its_key, its_one, its_edge, its_place = key[mine][own], one[mine][own], edge[mine][own], place[mine][own]
+            begin, finish, base = w.start[k], w.end[k + SEED - 1], w.doc_start[text]
+            nth = np.searchsorted(p.heads, k, "right") - np.searchsorted(p.heads, w.first[text]) - 1
+            columns = [its_key, its_one, nth, its_place, begin - base, finish - base]
+            part = np.flatnonzero(np.diff(text, prepend=-1, append=len(texts)))
+            for a, b in pairwise(part.tolist()):
+                got.append((all_ids[numbers[text[a]]], _packed([x[a:b] for x in columns]), None, None, None, None))
+            for j in np.flatnonzero(its_edge).tolist():
+                at, t = int(k[j]), int(text[j])
+                lo, hi = max(int(w.first[t]), at - TAKE), min(int(w.first[t + 1]), at + SEED + TAKE)
+                sides = np.empty(at - lo, _BESIDE), np.empty(hi - at - SEED, _BESIDE)
+                sides[0]["word"], sides[0]["far"] = short[lo:at][::-1], begin[j] - w.start[lo:at][::-1]
+                sides[1]["word"], sides[1]["far"] = short[at + SEED : hi], w.end[at + SEED : hi] - finish[j]
+                beside.setdefault((int(its_key[j]), *(y.tobytes() for y in sides)), []).append((all_ids[numbers[t]], int(its_place[j]), int(begin[j] - base[j]), int(finish[j] - base[j])))
         yield rows(got)
         if len(beside) >= GATHER:
             yield held()
@@ -267,11 +292,20 @@ _PIECE = "id long, number int, begin int, finish int, n_words int, component lon
 def _pieces(table: pa.Table) -> pa.Table:
     """What common runs of at least ``PASSAGE`` words hold beside the rows there are, of many documents.
 
-    ``kind`` 0: met seeds; 1: the same ones with the words they are extended by; 2: rows, whose words are taken.
+    ``kind`` 0: the met seeds of a text; 1: one with the words it is extended by; 2: rows, whose words are taken.
+    A row may come more than once.
     """
     kinds = {"long": pa.int64(), "int": pa.int32()}
     fields = [c.split() for c in _PIECE.split(", ")]
-    ids, kind, place, size, begin, finish, key, one, number = (table.column(c).to_numpy() for c in ("id", "kind", "place", "n_words", "begin", "finish", "key", "one", "number"))
+    ids, kind, place, size, begin, finish = (table.column(c).to_numpy() for c in ("id", "kind", "place", "n_words", "begin", "finish"))
+    texts, rest = np.flatnonzero(kind == 0), np.flatnonzero(kind != 0)
+    seen = [_unpacked(x) for x in table.column("seeds").take(texts).to_pylist()]
+    key, one, number, *where = (np.concatenate([np.zeros(len(rest), kind_of), *[x[c] for x in seen]]) for c, (_, kind_of) in enumerate(_MET))
+    n_seen = [len(x[0]) for x in seen]
+    ids, kind = (np.concatenate((x[rest], np.repeat(x[texts], n_seen))) for x in (ids, kind))
+    size = np.concatenate((size[rest], np.full(sum(n_seen), SEED, np.int32)))
+    place, begin, finish = (np.concatenate((x[rest], y[len(rest) :])) for x, y in zip((place, begin, finish), where, strict=True))
+    del seen, where
     order = np.lexsort((place, kind, ids))
     cut = np.append(np.flatnonzero(np.append(True, ids[order][1:] != ids[order][:-1])), len(order)) if len(order) else [0]
     out = []
@@ -280,15 +314,18 @@ def _pieces(table: pa.Table) -> pa.Table:
         seeds, far, rows = (mine[kind[mine] == k] for k in (0, 1, 2))
         if not len(seeds):
             continue
-        of = np.full(int((place[mine] + size[mine]).max()) + 1, -1)
-        starts, stops = {}, {}
-        first_seed = seeds[np.searchsorted(place[seeds], place[far], "left").clip(max=len(seeds) - 1)] if len(far) else far
-        spans = np.concatenate((far, seeds))
-        which = np.concatenate((first_seed, seeds))
-        for k, seed in sorted(zip(spans.tolist(), which.tolist(), strict=True), key=lambda x: (place[x[1]], kind[x[0]] == 0)):
-            a, b = int(place[k]), int(place[k] + size[k])
-            of[a:b] = seed
-            starts[a], stops[b] = int(begin[k]), int(finish[k])
+        word = np.arange(int((place[mine] + size[mine]).max()) + 1)
+        # A word is of the last seed that holds it, or whose extension does: one extended counts as the first seed in it.
+        last = np.searchsorted(place[seeds], word, "right") - 1
+        last[word >= place[seeds][last] + SEED] = -1
+        first_seed = np.searchsorted(place[seeds], place[far], "left").clip(max=len(seeds) - 1)
+        for k, j in zip(far.tolist(), first_seed.tolist(), strict=True):
+            span = last[place[k] : place[k] + size[k]]
+            np.maximum(span, j, out=span)
+        of = np.where(last >= 0, seeds[last], -1)
+        starts, stops = np.full(len(word), -1), np.full(len(word), -1)
+        for k in (seeds, far):
+            starts[place[k]], stops[place[k] + size[k]] = begin[k], finish[k]
         edge = np.flatnonzero(np.diff(np.concatenate(([0], of >= 0)).astype(np.int8)))
         for a, b in zip(edge[::2], edge[1::2], strict=True):
             if b - a < PASSAGE:
@@ -296,13 +333,14 @@ def _pieces(table: pa.Table) -> pa.Table:
         for k in rows.tolist():
             a, b = int(place[k]), int(place[k] + size[k])
             of[a:b] = -1
-            starts.setdefault(b, int(finish[k]))
-            stops.setdefault(a, int(begin[k]))
+            starts[b] = finish[k] if starts[b] < 0 else starts[b]
+            stops[a] = begin[k] if stops[a] < 0 else stops[a]
         who = np.where(of >= 0, one[of], 0)
         new = np.flatnonzero(np.diff(of < 0, prepend=True) | np.diff(who, prepend=0).astype(bool))
         for a, b in pairwise([*new.tolist(), len(of)] if len(new) else []):
             if of[a] >= 0:
-                out.append((ids[mine[0]], number[of[a]], starts.get(a, stops.get(a)), stops.get(b, starts.get(b)), b - a, key[of[a]], who[a]))
+                begins, ends = (starts[a] if starts[a] >= 0 else stops[a]), (stops[b] if stops[b] >= 0 else starts[b])
+                out.append((ids[mine[0]], number[of[a]], begins, ends, b - a, key[of[a]], who[a]))
     columns = list(zip(*out, strict=True)) if out else [()] * len(fields)
     return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
 
@@ -312,17 +350,18 @@ def _common_runs(texts: DataFrame, rows: DataFrame, scratch: Scratch, parts: int
     taken = scratch.keep(texts.mapInArrow(tidy(_seeds), "key long, id long, place int"), "taken")
     shared = taken.groupBy("key").agg(F.min("id").alias("one"), F.max("id").alias("high")).where("one <> high").select("key", "one")
     met = scratch.keep(taken.join(shared, "key").select("key", "id", "place", "one"), "met")
+    scratch.drop("taken")
     # Seeds of a run are at most TAKE words apart; only where none follows can a run go on unseen.
     ends = met.selectExpr("key", "place", "lag(place, 1, -99) over (partition by id order by place) as low", "lead(place, 1, 2147483647) over (partition by id order by place) as top")
     ends = ends.where(f"place - low > {TAKE} or top - place > {TAKE}").select("key").distinct().withColumn("edge", F.lit(True))
     wanted = met.join(ends, "key", "left").groupBy("id").agg(F.collect_list(F.struct("place", "key", "one", F.coalesce("edge", F.lit(False)).alias("edge"))).alias("wanted"))
     around = scratch.keep(texts.join(wanted, "id").mapInArrow(tidy(_around), _AROUND), "around")
+    scratch.drop("met")
     far = around.where("members is not null").withColumn("task", F.pmod(F.xxhash64("key"), F.lit(8 * parts))).groupBy("task").applyInArrow(tidy_group(_extended), "id long, place int, n_words int, begin int, finish int")
-    none = [F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("one"), F.lit(0).alias("number")]
-    shape = ["id", "place", "n_words", "begin", "finish"]
-    seeds = around.where("members is null").withColumn("n_words", F.lit(SEED)).select(F.lit(0).alias("kind"), *shape, "key", "one", "number")
-    every = seeds.union(far.select(F.lit(1), *shape, *none)).union(rows.select(F.lit(2), *shape, *none))
-    return every.distinct().withColumn("task", F.pmod(F.xxhash64("id"), F.lit(8 * parts))).groupBy("task").applyInArrow(tidy_group(_pieces), _PIECE)
+    shape, zero, none = ["id", "place", "n_words", "begin", "finish"], F.lit(0), F.lit(None).cast("binary").alias("seeds")
+    seeds = around.where("seeds is not null").select(zero.alias("kind"), "id", *[zero.alias(c) for c in shape[1:]], "seeds")
+    every = seeds.union(far.select(F.lit(1), *shape, none)).union(rows.select(F.lit(2), *shape, none))
+    return every.withColumn("task", F.pmod(F.xxhash64("id"), F.lit(8 * parts))).groupBy("task").applyInArrow(tidy_group(_pieces), _PIECE)
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
@@ -354,6 +393,8 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     family = graph.components(pairs, scratch, "family")
     links = linked_within(family, sets.select(F.col("key").alias("id"), F.col("shingles").alias("data")), _similar, scratch, "pairs-of")
     found = graph.components(links, scratch, "linked", contracted=True)
+    scratch.drop("pairs")
+    scratch.drop("sets")
 
     linked = found.union(found.select(F.col("component").alias("id"), "component").distinct()).select(F.col("id").alias("key"), "component")
     # Keys of one document only that are linked with no other cannot be in a row of the result.
@@ -368,6 +409,8 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     out = out.withColumn("passage", F.expr("sum(n_words) over (partition by id, run)")).where(F.col("passage") >= PASSAGE)
     out = out.select("id", "number", "place", "begin", "finish", "n_words", "component", F.col("kept.id").alias("one"), (F.struct("id", "number") != F.col("kept")).alias("removed"))
     out = scratch.keep(out, "out")
+    scratch.drop("rows")
+    scratch.drop("keys")
     more = _common_runs(slimmed, out, scratch, parts)
     out = out.drop("place").unionByName(more.withColumn("removed", F.col("id") != F.col("one")))
     return out.select(
