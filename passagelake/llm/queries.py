@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codebooks, decontaminate, editwalk, lines, minhash, mixing, order, paragraphs, repeats, snapshots, tokens, toxicity
+from . import codebooks, decontaminate, editwalk, lines, minhash, mixing, ngramjoin, order, paragraphs, repeats, snapshots, tokens, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.vector_codes(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(_read(spark, sf_dir, "documents"), width=5, num=80, den=100)
+
+
 def op13_snapshot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return snapshots.snapshot_difference(docs, snapshots.changed_snapshot(docs))
@@ -72,7 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_token_counts, op2_repeat_removal, op3_minhash_near_duplicates, op4_benchmark_decontamination, op5_source_mixing,
-            op6_training_order, op7_line_dedup, op8_paragraph_dedup, op9_edit_fingerprints, op10_toxicity, near_by_edits, op11_vector_codes, op13_snapshot_difference,
+            op6_training_order, op7_line_dedup, op8_paragraph_dedup, op9_edit_fingerprints, op10_toxicity, near_by_edits, op11_vector_codes, op12_ngram_join,
+            op13_snapshot_difference,
         )
     }
 
