@@ -161,7 +161,11 @@ def _deal(num: int, den: int, buckets: int):
 
 
 def _pairs(row: np.ndarray, meta: np.ndarray, cut: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows within each run that this n-gram counts for, and the number of n-grams they need."""
+    """Pairs of rows within each run that this n-gram counts for, and the number of n-grams they need.
+
+    What two sets share lies in both prefixes, or behind the end of the one that ends first: of sizes n and k, ``least`` and
+    ``last`` the numbers that J >= num / den asks of each, they share at most as many as in the prefixes and max(least, last) - need more.
+    """
     size, a, b = np.diff(cut), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s in np.unique(size[size > 1]):
         i, j = np.triu_indices(s, 1)
@@ -173,8 +177,11 @@ def _pairs(row: np.ndarray, meta: np.ndarray, cut: np.ndarray, num: int, den: in
     n, k = m >> 10, o >> 10
     need = np.minimum(m & 31, o & 31)
     top = (1 << _SIZE_BITS) - 1
-    fits = (den * np.minimum(n, k) >= num * np.maximum(n, k)) | (n == top) | (k == top)
+    unsure = (n == top) | (k == top)
+    fits = (den * np.minimum(n, k) >= num * np.maximum(n, k)) | unsure
     keep = fits & (np.maximum((m >> 5) & 31, (o >> 5) & 31) <= need) & (row[a] != row[b])
+    more = np.maximum(0, -(-num * (n + k) // (den + num)) + (-num * np.maximum(n, k) // den))
+    need = need + np.where(unsure, 0, more)
     return np.minimum(row[a], row[b])[keep], np.maximum(row[a], row[b])[keep], need[keep]
 
 
