@@ -63,6 +63,12 @@ def postings_of(terms: DataFrame) -> DataFrame:
     return long.groupBy("key", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")).select("term", "key", "tf", "dl")
 
 
+def part(k1: float, b: float) -> Column:
+    """What a posting adds to its document's score: from ``idf, tf, dl`` and the mean length ``avgdl``."""
+    f, rel = F.col("tf"), F.col("dl") / F.col("avgdl")
+    return F.col("idf") * f * (k1 + 1) / (f + k1 * (1 - b + b * rel))
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
     """Postings and what follows from them alone, so that no query reads a text: tables as written once for a corpus."""
@@ -84,8 +90,7 @@ class LexicalIndex:
         """``query_id, key, score`` of every document that holds one of a query's terms (query_id, term)."""
         asked = wanted.join(self.idf, "term")
         weighed = self.postings.join(asked, "term").crossJoin(self.lengths.select("avgdl"))  # one row
-        f, rel = F.col("tf"), F.col("dl") / F.col("avgdl")
-        parts = weighed.withColumn("part", F.col("idf") * f * (k1 + 1) / (f + k1 * (1 - b + b * rel)))
+        parts = weighed.withColumn("part", part(k1, b))
         # Parts are added in the order of their terms: equal documents get equal sums.
         total = F.aggregate(F.array_sort(F.collect_list(F.struct("term", "part"))), F.lit(0.0), lambda s, x: s + x["part"])
         return parts.groupBy("query_id", "key").agg(F.round(total, DIGITS).alias("score"))

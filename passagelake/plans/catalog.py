@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -11,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vec
-from ..operators import answers, chunking, conversation, embedding, memory, ranking
-from ..sources.shared import shared_folder
+from ..operators import answers, chunking, conversation, embedding, impacts, memory, ranking
+from ..sources.shared import Folder, state_of
 
 K = 10
 WEIGHTS = {"lexical": 0.7, "vector": 0.3}
@@ -151,24 +150,26 @@ def hashing_embeddings(spark, d):
 # -- ranking -----------------------------------------------------------------------------------------------
 
 
-_INDEXES: dict[tuple[str, str], tuple[str, ranking.LexicalIndex]] = {}
+_INDEXES: dict[tuple[str, str], tuple[str, Folder, ranking.LexicalIndex]] = {}
+_IMPACTS: dict[str, impacts.ImpactIndex] = {}
 
 
 def _index(spark, d) -> ranking.LexicalIndex:
-    """The lexical index of a folder's documents, written to the shared folder once in a session."""
-    name = (spark.sparkContext.applicationId, d)
-    at = lambda root: spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = lambda root: at(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    if name not in _INDEXES or not fs(_INDEXES[name][0]).exists(at(f"{_INDEXES[name][0]}/idf/_SUCCESS")):
-        root = f"{shared_folder(spark)}/lexical-{uuid.uuid4().hex}"
-        fs(root).deleteOnExit(at(root))
+    """The lexical index of a folder's documents, written to the shared folder once for each state of their files."""
+    name, now = (spark.sparkContext.applicationId, d), state_of(spark, f"{d}/documents.parquet")
+    state, folder, _ = _INDEXES.get(name, (None, None, None))
+    if state != now or not folder.holds("idf"):
+        folder = Folder(spark, "lexical")
+        _INDEXES[name] = now, folder, ranking.LexicalIndex.of(ranking.postings_of(ranking.document_terms(read(spark, d, "documents"))), keep=folder.keep)
+    return _INDEXES[name][2]
 
-        def keep(df: DataFrame, table: str) -> DataFrame:
-            df.write.parquet(f"{root}/{table}")
-            return spark.read.schema(df.schema).parquet(f"{root}/{table}")
 
-        _INDEXES[name] = root, ranking.LexicalIndex.of(ranking.postings_of(ranking.document_terms(read(spark, d, "documents"))), keep=keep)
-    return _INDEXES[name][1]
+def _impacts(spark, d) -> impacts.ImpactIndex:
+    """The same postings by impact, beside the index they come from."""
+    index, folder = _index(spark, d), _INDEXES[spark.sparkContext.applicationId, d][1]
+    if folder.root not in _IMPACTS or not folder.holds("impacts/blocks"):
+        _IMPACTS[folder.root] = impacts.ImpactIndex.build(index, f"{folder.root}/impacts")
+    return _IMPACTS[folder.root]
 
 
 def _lexical(spark, d, **kw) -> DataFrame:
@@ -213,6 +214,18 @@ def bm25_topk(spark, d):
     return _shown(ranking.topk(_lexical(spark, d), K))
 
 
+_SHORT = r"array_to_string(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: length(w) > 6)[1:4], ' ')"
+_SHORT_SQL = _bm25_sql().replace("FROM benchmark)", f"FROM (SELECT item_id, {_SHORT} AS text FROM benchmark))")
+
+
+@query("bm25_topk_pruned", f"WITH {_SHORT_SQL} {_OUT} ({_top_sql('lexical', K)})")
+def bm25_topk_pruned(spark, d):
+    """Each item's first four long words as a query, answered from postings by impact."""
+    words = F.filter(F.split(F.trim("text"), r"\s+"), lambda x: F.length(x) > 6)
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 1, 4), " ").alias("query"))
+    return _shown(_impacts(spark, d).topk(ranking.query_terms(asked), K, Folder(spark, "pruned").keep))
+
+
 @query("bm25_score_all", f"WITH {_bm25_sql()} SELECT query_id, key, round(score, 4) AS score FROM lexical")
 def bm25_score_all(spark, d):
     return _lexical(spark, d).select("query_id", "key", F.round("score", 4).alias("score"))

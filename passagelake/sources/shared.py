@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,3 +18,32 @@ def shared_folder(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="passagelake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+class Folder:
+    """A private folder below the shared one; its tables go when the session ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table once and read it back."""
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def holds(self, name: str) -> bool:
+        """Whether a table is there, whole."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def state_of(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files below ``path``: another one once any of them is written anew."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, files = [], root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
