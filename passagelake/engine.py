@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import answers, ranking
-from .sources.store import PassageStore
+from .sources.store import NoVectors, PassageStore
 
 log = logging.getLogger(__name__)
 MODES = ("hybrid", "lexical", "vector")
@@ -79,7 +79,7 @@ class Engine:
         if mode != "lexical":
             try:
                 lists["vector"] = self._nearest(asked, pool)
-            except Exception as e:
+            except NoVectors as e:
                 if mode == "vector":
                     raise
                 log.warning("no vectors for the queries, lexical ranking only: %s", e)
@@ -104,11 +104,14 @@ class Engine:
         return top.select("query_id", "rank", F.col("key").alias("chunk_id"), "id", "source", "ordinal", F.round("score", 8).alias("score"), "contributions", "text")
 
     def _nearest(self, asked: DataFrame, k: int) -> DataFrame:
-        """The stated queries are embedded on the driver in blocks, as a service would be asked, not on the executors."""
-        rows = [r for r in asked.orderBy("query_id").toLocalIterator()]
+        """Up to ``ranking.QUERY_BLOCK`` queries are embedded at once, as a service would be asked; more on the executors."""
+        vectors = self.store.table("vectors", self.version).select(F.col("chunk_id").alias("key"), "embedding")
+        rows = asked.limit(ranking.QUERY_BLOCK + 1).collect()
+        if len(rows) > ranking.QUERY_BLOCK:
+            many = self.store.embedded(asked.select("query_id", F.col("query").alias("text")), "query_id")
+            return ranking.cosine_topk(vectors, many.select("query_id", F.col("embedding").cast("array<double>").alias("query_vector")), k)
         found = list(zip([r["query_id"] for r in rows], self.store.embed_queries([r["query"] for r in rows]) if rows else [], strict=True))
         kind = asked.schema["query_id"].dataType.simpleString()
-        vectors = self.store.table("vectors", self.version).select(F.col("chunk_id").alias("key"), "embedding")
         return ranking.cosine_topk(vectors, self.spark.createDataFrame(found, f"query_id {kind}, query_vector array<double>"), k)
 
     def ask(self, queries: DataFrame | str, top_k: int = 8, **options) -> DataFrame:

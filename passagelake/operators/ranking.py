@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +16,8 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions import vectors as vec
+from ..sources.shared import Folder
+from . import dense
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 61
 DIGITS = 9
@@ -101,34 +102,34 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> D
     return LexicalIndex.of(postings_of(document_terms(docs))).scores(query_terms(queries), k1, b)
 
 
-#: Query vectors that one pass over the vectors answers; more take further passes.
+#: Query vectors that one pass over the vectors answers; more meet the vectors in blocks of both (see ``dense``).
 QUERY_BLOCK = 1024
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query_id, key, score, rank``: the ``k`` nearest vectors (key, embedding) of each query (query_id, query_vector).
 
-    Blocks of at most ``QUERY_BLOCK`` queries go to all tasks; a task multiplies its batches of vectors with a
-    block and passes on the best ``k`` of each query, so nothing but these is shuffled.  Vectors with values that
+    At most ``QUERY_BLOCK`` queries go to all tasks; a task multiplies its batches of vectors with them and passes on the best ``k``
+    of each query, so nothing but these is shuffled.  More queries stay distributed.  Vectors with values that
     are no finite numbers, or of another length than the query, are never found.
     """
     asked = queries.where(vec.finite(F.col("query_vector"))).select("query_id", "query_vector")
+    block = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(block) > QUERY_BLOCK:
+        return dense.nearest(vectors, asked, k, Folder(vectors.sparkSession, "nearest").keep)
     key = vectors.schema["key"].dataType.simpleString()
     ident = asked.schema["query_id"].dataType.simpleString()
     out = vectors.sparkSession.createDataFrame([], f"query_id {ident}, key {key}, score double")
-    rows = asked.orderBy("query_id").toLocalIterator()
-    while block := list(islice(rows, QUERY_BLOCK)):
-        for dim in sorted({len(r[1]) for r in block}):
-            some = [r for r in block if len(r[1]) == dim]
-            best = _best_of_block(vectors, [r[0] for r in some], np.array([r[1] for r in some], np.float64), k, asked.schema["query_id"], vectors.schema["key"])
-            out = out.unionAll(best)
+    for dim in sorted({len(r[1]) for r in block}):
+        some = [r for r in block if len(r[1]) == dim]
+        best = _best_of_block(vectors, [r[0] for r in some], np.array([r[1] for r in some], np.float64), k, asked.schema["query_id"], vectors.schema["key"])
+        out = out.unionAll(best)
     return topk(out, k)
 
 
 def _best_of_block(vectors: DataFrame, ids: list, asked: np.ndarray, k: int, ident, key) -> DataFrame:
-    unit = lambda m: np.divide(m, n, out=np.zeros_like(m), where=n > 0) if len(n := np.linalg.norm(m, axis=1, keepdims=True)) else m
     dim = asked.shape[1]
-    held = vectors.sparkSession.sparkContext.broadcast((ids, unit(asked)))  # at most QUERY_BLOCK vectors
+    held = vectors.sparkSession.sparkContext.broadcast((ids, dense.unit_rows(asked)))  # at most QUERY_BLOCK vectors
     schema = T.StructType([T.StructField("query_id", ident.dataType), T.StructField("key", key.dataType), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,16 +137,8 @@ def _best_of_block(vectors: DataFrame, ids: list, asked: np.ndarray, k: int, ide
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m = unit(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
-            score = np.round(m @ q.T, DIGITS)
-            which, row = [], []
-            for j in range(len(ids)):
-                mine = np.flatnonzero(score[:, j] > 0)
-                if len(mine) > k:  # the best k, and all that tie with the last of them
-                    mine = mine[score[mine, j] >= np.partition(score[mine, j], -k)[-k]]
-                which += [j] * len(mine)
-                row.append(mine)
-            row = np.concatenate(row)
+            score = np.round(dense.unit_rows(dense.matrix(batch.column("embedding"), dim)) @ q.T, DIGITS)
+            which, row = dense.best_rows(score, k)
             yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in which]), batch.column("key").take(pa.array(row)), pa.array(score[row, which])], schema=pa.schema([("query_id", pa.array(ids).type), ("key", batch.column("key").type), ("score", pa.float64())]))
 
     some = vectors.where((F.size("embedding") == dim) & vec.finite(F.col("embedding"))).select("key", "embedding")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vec
-from ..operators import answers, chunking, conversation, embedding, impacts, memory, ranking
+from ..operators import answers, chunking, conversation, dense, embedding, impacts, memory, ranking
 from ..sources.shared import Folder, state_of
 
 K = 10
@@ -241,6 +241,18 @@ def cosine_topk(spark, d):
     return _shown(_vector(spark, d, K))
 
 
+_NEAREST_SQL = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+near AS (SELECT a.vec_id AS query_id, b.vec_id AS key, round(coalesce(list_dot_product(a.v, b.v) / nullif(sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)), 0), 0), 9) AS score FROM e a, e b)"""
+
+
+@query("nearest_vectors", f"{_NEAREST_SQL} {_OUT} ({_top_sql('near', K)})")
+def nearest_vectors(spark, d):
+    """Every vector as a query against all vectors, neither side on the driver."""
+    v = read(spark, d, "embeddings")
+    asked = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return _shown(dense.nearest(v.select(F.col("vec_id").alias("key"), "embedding"), asked, K, Folder(spark, "nearest").keep))
+
+
 @query("normalize_vectors", "SELECT vec_id, round(list_sum(list_transform(v, lambda x: x / n)), 6) AS total, round(v[1] / n, 6) AS first FROM (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(v, v)) AS n FROM embeddings)")
 def normalize_vectors(spark, d):
     v = read(spark, d, "embeddings").where(vec.finite(F.col("embedding"))).select("vec_id", vec.normalised(F.col("embedding")).alias("u"))

@@ -33,6 +33,10 @@ class EmbedderMismatch(ValueError):
     """The store's vectors come from another embedder."""
 
 
+class NoVectors(ValueError):
+    """The embedder could not answer."""
+
+
 class PassageStore:
     """Documents by content id, their passages, and these passages' postings and vectors."""
 
@@ -265,4 +269,12 @@ class PassageStore:
         return ranking.LexicalIndex.of(postings, keep=keep)
 
     def embed_queries(self, texts: Sequence[str]) -> list[list[float]]:
-        return embedding.checked(self._embed(list(texts)), len(texts)).tolist()
+        """Vectors of a few texts, made here."""
+        try:
+            return embedding.checked(self._embed(list(texts)), len(texts)).tolist()
+        except Exception as e:
+            raise NoVectors(str(e)) from e
+
+    def embedded(self, texts: DataFrame, key: str) -> DataFrame:
+        """``key, embedding`` of texts (key, text), made on the executors."""
+        return embedding.hashed(texts, key=key, embedder=self._embed)
