@@ -12,6 +12,7 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import answers, chunking, conversation, dense, embedding, impacts, memory, ranking
 from ..sources.shared import Folder, state_of
+from ..sources.store import PassageStore
 
 K = 10
 WEIGHTS = {"lexical": 0.7, "vector": 0.3}
@@ -423,6 +424,19 @@ def delete_anti_join(spark, d):
     return read(spark, d, "documents").join(gone, "source", "left_anti").select("doc_id", "lang")
 
 
+@query("store_after_changes", f"""WITH d AS (SELECT {_ID} AS id, source, text, min(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END)::BIGINT AS added, min(doc_id) % 5 = 0 AS gone FROM documents GROUP BY ALL)
+SELECT id, source, added, length(text)::BIGINT AS n_chars FROM d WHERE NOT gone""")
+def store_after_changes(spark, d):
+    """A passage store's documents after an insert, a second one that knows half of its rows, and a deletion."""
+    docs = read(spark, d, "documents")
+    store = PassageStore(spark, f"{Folder(spark, 'store').root}/passages", embedder="hashing:16")
+    store.add(docs.where("doc_id % 2 = 0").select("source", "text"))
+    store.add(docs.select("source", "text"))
+    ids = docs.groupBy(tx.content_id(F.col("source"), F.col("text")).alias("id")).agg(F.min("doc_id").alias("m"))
+    store.delete(ids.where("m % 5 = 0"))
+    return store.documents().select("id", "source", "added", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("upsert_vectors", "SELECT vec_id, label + (CASE WHEN vec_id % 4 = 0 THEN 100 ELSE 0 END)::INT AS label FROM embeddings")
 def upsert_vectors(spark, d):
     old = read(spark, d, "embeddings").select("vec_id", "label")

@@ -1,16 +1,22 @@
 """A passage store of Parquet parts and published manifests: writers add a part, readers hold the version they opened.
 
-An insert writes only what is new, as one part with the tables ``documents``, ``chunks``, ``postings`` and
-``vectors``; a deletion writes a list of ids.  A version is a small JSON manifest that names its parts in order; it
-counts once its file is there, whole.  A writer claims the next version's number first (creating a file
-that must not exist), so of two writers at one moment the second is refused.
+Every change writes only what is new, as a part: documents with their passages, postings, vectors and the statistics of their
+terms; vectors that replace others; or ids that are gone, with what their passages take from the statistics.  A version
+is a small JSON manifest that names its parts in order.  Reading merges them: a row counts unless a later part removed its
+document, and of a passage's vectors the latest counts, in one scan a table whatever the number of parts; ``compact`` makes them one.
+
+A version counts once its manifest is there, whole.  A writer claims the next number first (creating a file that must not
+exist).  One that finds its base overtaken looks at what came between: changes of other documents stay and its own parts go on
+top; a change of the same documents is a conflict.  ``transaction`` publishes several changes as one version.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,14 +31,23 @@ SCHEMAS = {
     "chunks": "id string, chunk_id string, ordinal long, text string, source string, title string, mime_type string",
     "postings": "id string, chunk_id string, term string, tf long, dl int",
     "vectors": "id string, chunk_id string, embedding array<float>",
+    "stats": "term string, df long, length long",
 }
-FORMAT = 1
+FORMAT = 2
+#: Seconds after which a claim without a manifest, or a part that no version names, is a dead writer's.
+LEASE = 600
+#: Parts from which ``compact`` makes one.
+MOST_PARTS = 16
 
 
 class EmbedderMismatch(ValueError):
     """The store's vectors come from another embedder."""
 
 
+class Conflict(RuntimeError):
+    """Another writer changed the same documents, or all of them, in between."""
+
+
 class NoVectors(ValueError):
     """The embedder could not answer."""
 
@@ -46,6 +61,7 @@ class PassageStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._embed, self.embedder = embedding.build_embedder(embedder, services)
+        self._open: tuple[int, dict] | None = None  # of a transaction: its base, and the manifest so far
 
     # -- versions ------------------------------------------------------------------------------------------------
 
@@ -59,6 +75,8 @@ class PassageStore:
 
     def manifest(self, version: int | None = None) -> dict:
         """``parts``, ``structure`` and ``append`` revisions, ``embedder`` and free ``meta`` of a version."""
+        if version is None and self._open:
+            return self._open[1]
         v = self.version() if version is None else version
         if v == 0:
             return {"format": FORMAT, "parts": [], "structure": 0, "append": 0, "embedder": self.embedder, "meta": {}}
@@ -66,31 +84,109 @@ class PassageStore:
         found = json.loads(lines["value"])
         if found["format"] > FORMAT:
             raise ValueError(f"the store has format {found['format']}, this library reads up to {FORMAT}")
+        if found["format"] < FORMAT and found["parts"]:
+            raise ValueError(f"the store has format {found['format']}, whose parts hold no statistics; add its documents to a new store")
         return found
 
     def _publish(self, base: int, manifest: dict) -> int:
-        """Put the manifest in place as version ``base + 1``."""
+        """Put the manifest in place as version ``base + 1``; a claim that outlived ``LEASE`` is taken over."""
         to, claim = (self._path(f"{self.path}/versions/v{base + 1}.{x}") for x in ("json", "claim"))
+        if not self._fs.exists(to) and self._fs.exists(claim) and time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 > LEASE:
+            self._fs.delete(claim, False)
         try:
             self._fs.create(claim, False).close()
         except Exception as e:
-            raise RuntimeError(f"version {base + 1} was published, or claimed, by another writer") from e
+            raise Conflict(f"version {base + 1} was published, or claimed, by another writer") from e
         made = self._path(f"{self.path}/versions/_made-{uuid.uuid4().hex}")
         out = self._fs.create(made, False)
-        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+        out.write(bytearray(json.dumps(manifest | {"format": FORMAT}, sort_keys=True).encode()))
         out.close()
         if not self._fs.rename(made, to):
             raise RuntimeError(f"version {base + 1} could not be put in place")
         return base + 1
 
+    def _start(self) -> tuple[int, dict]:
+        """The base of a change: the last version, or what a transaction has made of it."""
+        if self._open:
+            return self._open
+        base = self.version()
+        return base, self.manifest(base)
+
+    def _commit(self, base: int, old: dict, new: dict, tries: int = 20) -> int:
+        """Publish ``new``, made from ``old``, or, in a transaction, keep it until the end."""
+        if self._open:
+            self._open = (base, new)
+            return base
+        for k in range(tries):
+            try:
+                return self._publish(base, new)
+            except Conflict:
+                if k + 1 == tries:
+                    raise
+            if self.version() == base:  # claimed, and not yet there
+                time.sleep(0.2)
+                continue
+            base, now = self.version(), self.manifest()
+            new, old = self._rebased(old, new, now), now
+        raise AssertionError
+
+    def _rebased(self, old: dict, new: dict, now: dict) -> dict:
+        """``new`` on top of ``now``, where ``now`` added to ``old`` (or merged its parts) what touches other documents only."""
+        names = lambda m: [x["name"] for x in m["parts"]]
+        had = names(old)
+
+        def since(m: dict) -> list[dict] | None:
+            """The parts that came after ``old``, if what ``old`` had still stands in front, as it was or merged."""
+            merged = m["parts"][0].get("of", []) if m["parts"] else []
+            n = 1 if merged and merged == had else len(had)
+            return m["parts"][n:] if n == 1 and merged == had or names(m)[: len(had)] == had else None
+
+        theirs, mine = since(now), since(new)
+        if theirs is None or mine is None or old["embedder"] != now["embedder"] or new["embedder"] not in (old["embedder"], now["embedder"]):
+            raise Conflict("the store was rebuilt or cleared in between")
+        if theirs and mine and not self._touched(theirs).join(self._touched(mine), "id", "left_semi").isEmpty():
+            raise Conflict("another writer changed the same documents in between")
+        front = new["parts"][: len(new["parts"]) - len(mine)] if names(new)[: len(had)] != had else now["parts"][: len(now["parts"]) - len(theirs)]
+        return now | {"parts": [*front, *theirs, *mine], "meta": now["meta"] | new["meta"]} | {c: now[c] + new[c] - old[c] for c in ("append", "structure")}
+
+    def _touched(self, parts: list[dict]) -> DataFrame:
+        ids = [self.spark.read.parquet(f"{self.path}/parts/{x['name']}/{x['touches']}").select("id") for x in parts]
+        return reduce(DataFrame.union, ids).distinct()
+
+    @contextmanager
+    def transaction(self) -> Iterator[PassageStore]:
+        """Changes made within are seen here only, and published as one version at the end; after an error, none of them is."""
+        if self._open:  # the outermost one publishes
+            yield self
+            return
+        base = self.version()
+        old = self.manifest(base)
+        self._open = (base, old)
+        try:
+            yield self
+            new = self._open[1]
+        finally:
+            self._open = None
+        if new != old:
+            self._commit(base, old, new)
+
+    def sweep(self, lease: float = LEASE) -> int:
+        """Remove parts that no version names and claims without a version, if older than ``lease`` seconds; how many."""
+        versions, old = range(1, self.version() + 1), time.time() - lease
+        named = {x["name"] for v in versions for x in self.manifest(v)["parts"]}
+        dead = [f"{self.path}/versions/v{self.version() + 1}.claim"]
+        parts = self._path(f"{self.path}/parts")
+        dead += [f"{self.path}/parts/{f.getPath().getName()}" for f in (self._fs.listStatus(parts) if self._fs.exists(parts) else []) if f.getPath().getName() not in named]
+        gone = [p for p in map(self._path, dead) if self._fs.exists(p) and self._fs.getFileStatus(p).getModificationTime() / 1000 <= old]
+        return sum(bool(self._fs.delete(p, True)) for p in gone)
+
     def release(self) -> bool:
         """Give up the claim of a writer that died before it published; whether there was one."""
         return bool(self._fs.delete(self._path(f"{self.path}/versions/v{self.version() + 1}.claim"), False))
 
     def set_meta(self, key: str, value: str) -> int:
-        base = self.version()
-        m = self.manifest(base)
-        return self._publish(base, m | {"meta": m["meta"] | {key: value}})
+        base, m = self._start()
+        return self._commit(base, m, m | {"meta": m["meta"] | {key: value}})
 
     def get_meta(self, key: str, version: int | None = None) -> str | None:
         return self.manifest(version)["meta"].get(key)
@@ -98,14 +194,37 @@ class PassageStore:
     # -- tables ---------------------------------------------------------------------------------------------------
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
-        """One of the tables of ``SCHEMAS`` as of a version, without what was deleted after it was written."""
-        out = self.spark.createDataFrame([], SCHEMAS[name])
-        for part in self.manifest(version)["parts"]:
-            if "gone" in part:
-                out = out.join(self.spark.read.parquet(f"{self.path}/parts/{part['gone']}"), "id", "left_anti")
-            elif name in part["tables"]:
-                out = out.unionByName(self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/parts/{part['name']}/{name}"))
-        return out
+        """One of the tables of ``SCHEMAS`` as of a version: without what was deleted after it was written, vectors as last put."""
+        parts = [x | {"place": k} for k, x in enumerate(self.manifest(version)["parts"])]
+        inserted = [x for x in parts if name in x["tables"] and x["kind"] == "insert"]
+        put = [x for x in parts if name == "vectors" and x["kind"] == "vectors"]
+        gone = [x for x in parts if x["kind"] == "gone"]
+        if name == "stats":
+            return self._scan("stats", [x for x in parts if "stats" in x["tables"]]).drop("place")
+        rows = self._scan(name, inserted)
+        if gone:
+            last = self._scan("gone", gone, "id string").groupBy("id").agg(F.max("place").alias("gone"))
+            alive = lambda df: df.join(last, "id", "left").where("gone is null or gone < place").drop("gone")
+        else:
+            alive = lambda df: df
+        rows = alive(rows)
+        if put:
+            of = F.struct("place", "embedding", "id")
+            new = alive(self._scan(name, put)).groupBy("chunk_id").agg(F.max(of).alias("x")).select("x.id", "chunk_id", "x.embedding", "x.place")
+            rows = rows.join(new.select("chunk_id"), "chunk_id", "left_anti").select(*new.columns).unionAll(new)
+        return rows.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")])
+
+    def _scan(self, table: str, parts: list[dict], schema: str | None = None) -> DataFrame:
+        """A table's rows in these parts, with the part's ``place``, by one scan."""
+        kind = schema or SCHEMAS[table]
+        if not parts:
+            return self.spark.createDataFrame([], f"{kind}, place int")
+        rows = self.spark.read.schema(kind).parquet(*[f"{self.path}/parts/{x['name']}/{table}" for x in parts])
+        if len(parts) == 1:
+            return rows.withColumn("place", F.lit(parts[0]["place"]))
+        places = self.spark.createDataFrame([(x["name"], x["place"]) for x in parts], "part string, place int")
+        part = F.element_at(F.split("_metadata.file_path", "/"), -3)
+        return rows.withColumn("part", part).join(F.broadcast(places), "part").drop("part")  # a row for each part
 
     def documents(self, version: int | None = None) -> DataFrame:
         return self.table("documents", version)
@@ -119,16 +238,24 @@ class PassageStore:
 
     # -- changes --------------------------------------------------------------------------------------------------
 
-    def _write(self, tables: dict[str, DataFrame]) -> dict:
+    def _write(self, kind: str, touches: str, tables: dict[str, DataFrame]) -> dict:
         name = uuid.uuid4().hex
         for table, df in tables.items():
-            df.select(*[c.split()[0] for c in SCHEMAS[table].split(", ")]).write.parquet(f"{self.path}/parts/{name}/{table}")
-        return {"name": name, "tables": sorted(tables)}
+            columns = [c.split()[0] for c in SCHEMAS.get(table, "id string").split(", ")]
+            df.select(*columns).write.parquet(f"{self.path}/parts/{name}/{table}")
+        return {"name": name, "kind": kind, "touches": touches, "tables": sorted(tables)}
+
+    @staticmethod
+    def _statistics(postings: DataFrame, sign: int = 1) -> DataFrame:
+        """``term, df, length`` of these postings; under the empty term the number of passages and their length together."""
+        terms = postings.where("term <> ''").groupBy("term").agg((sign * F.count("*")).alias("df"), F.lit(0).cast("long").alias("length"))
+        each = postings.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
+        return terms.union(each.agg(F.lit(""), sign * F.count("*"), sign * F.coalesce(F.sum("dl"), F.lit(0)).cast("long")))
 
     def _indexed(self, documents: DataFrame) -> dict:
-        """Write documents as one part, with their passages, postings and vectors."""
-        docs = self._write({"documents": documents})
-        place = f"{self.path}/parts/{docs['name']}"
+        """Write documents as one part, with their passages, postings, vectors and statistics."""
+        part = self._write("insert", "documents", {"documents": documents})
+        place = f"{self.path}/parts/{part['name']}"
         stored = self.spark.read.schema(SCHEMAS["documents"]).parquet(f"{place}/documents")
         cut = chunks(stored.select(F.col("id").alias("doc_id"), "source", "text", "title", "mime_type"), self.options)
         # Passages are keyed by the stored id, which chunks() makes from the same parts.
@@ -136,8 +263,9 @@ class PassageStore:
         cut = self.spark.read.schema(SCHEMAS["chunks"]).parquet(f"{place}/chunks")
         p = ranking.postings_of(ranking.document_terms(cut.select(F.struct("id", "chunk_id").alias("k"), "text"), "k"))
         p.select("key.id", "key.chunk_id", "term", "tf", "dl").write.parquet(f"{place}/postings")
+        self._statistics(self.spark.read.schema(SCHEMAS["postings"]).parquet(f"{place}/postings")).write.parquet(f"{place}/stats")
         embedding.hashed(cut.select(F.struct("id", "chunk_id").alias("k"), "text"), key="k", embedder=self._embed).select("k.id", "k.chunk_id", "embedding").write.parquet(f"{place}/vectors")
-        return docs | {"tables": sorted(SCHEMAS)}
+        return part | {"tables": sorted(SCHEMAS)}
 
     def _guard(self, manifest: dict) -> None:
         if manifest["parts"] and manifest["embedder"] != self.embedder:
@@ -149,16 +277,19 @@ class PassageStore:
         Of equal ones the first title stays.  Nulls in source and text count as empty.  Only new documents are cut, counted
         and embedded; a document without passages is stored too.
         """
-        base = self.version()
-        m = self.manifest(base)
+        base, m = self._start()
         self._guard(m)
         have = lambda c, kind: F.col(c) if c in documents.columns else F.lit(None).cast(kind)
         rows = documents.select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"), have("title", "string").alias("title"), have("mime_type", "string").alias("mime_type"), have("metadata", "map<string,string>").alias("metadata"))
         rows = rows.withColumn("id", content_id(F.col("source"), F.col("text")))
         rows = rows.groupBy("id").agg(F.first("source").alias("source"), F.min("title").alias("title"), F.min("mime_type").alias("mime_type"), F.first("text").alias("text"), F.first("metadata").alias("metadata"))
-        new = rows.join(self.documents(base).select("id"), "id", "left_anti").withColumn("mime_type", F.coalesce("mime_type", F.lit("text/plain"))).withColumn("added", F.lit(base + 1).cast("long"))
+        new = rows.join(self.documents(self._seen(base)).select("id"), "id", "left_anti").withColumn("mime_type", F.coalesce("mime_type", F.lit("text/plain"))).withColumn("added", F.lit(base + 1).cast("long"))
         part = self._indexed(new)
-        return self._publish(base, m | {"parts": [*m["parts"], part], "append": m["append"] + 1, "embedder": self.embedder})
+        return self._commit(base, m, m | {"parts": [*m["parts"], part], "append": m["append"] + 1, "embedder": self.embedder})
+
+    def _seen(self, base: int) -> int | None:
+        """The version a change reads: its base, or the open transaction."""
+        return None if self._open else base
 
     def add_text(self, source: str, text: str, title: str | None = None, **metadata: str) -> str:
         """Insert one text; its id."""
@@ -168,47 +299,64 @@ class PassageStore:
         return df.select(content_id(F.col("source"), F.col("text")).alias("id")).first()["id"]
 
     def put_vectors(self, vectors: DataFrame) -> int:
-        """Insert or replace vectors (chunk_id, embedding) of stored passages; they must be finite and of the store's length."""
-        base = self.version()
-        m = self.manifest(base)
-        known = self.chunks(base).select("id", "chunk_id")
-        new = known.join(vectors.select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding")), "chunk_id")
-        dims = self.table("vectors", base).agg(F.max(F.size("embedding")).alias("d")).first()["d"]
-        if not new.where(~F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) | (F.size("embedding") != (dims or -1))).isEmpty():
+        """Insert or replace vectors (chunk_id, embedding) of stored passages; they must be finite and of the store's length.
+
+        Only these are written.  Of several vectors for one passage in a call the greatest counts, in the order of arrays.
+        """
+        base, m = self._start()
+        at = self._seen(base)
+        one = vectors.groupBy("chunk_id").agg(F.max(F.col("embedding").cast("array<float>")).alias("embedding"))
+        new = self.chunks(at).select("id", "chunk_id").join(one, "chunk_id")
+        dims = self.table("vectors", at).agg(F.max(F.size("embedding")).alias("d")).first()["d"]
+        part = self._write("vectors", "vectors", {"vectors": new})
+        put = self._scan("vectors", [part | {"place": 0}])
+        if not put.where(~F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) | (F.size("embedding") != (dims or -1))).isEmpty():
+            self._fs.delete(self._path(f"{self.path}/parts/{part['name']}"), True)
             raise ValueError(f"vectors must be finite and of {dims} numbers")
-        kept = self.table("vectors", base).join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new)
-        part = self._write({"vectors": kept})
-        parts = [x if "gone" in x else x | {"tables": [t for t in x["tables"] if t != "vectors"]} for x in m["parts"]]
-        return self._publish(base, m | {"parts": [*parts, part], "structure": m["structure"] + 1})
+        return self._commit(base, m, m | {"parts": [*m["parts"], part], "structure": m["structure"] + 1})
 
-    def delete(self, ids: Sequence[str]) -> int:
+    def delete(self, ids: Sequence[str] | DataFrame) -> int:
         """Remove documents, their passages, postings and vectors; returns the number of passages removed.  Unknown ids publish nothing."""
-        base = self.version()
-        m = self.manifest(base)
-        gone = self.documents(base).join(self.spark.createDataFrame([(i,) for i in ids], "id string").distinct(), "id", "left_semi").select("id")
+        base, m = self._start()
+        at = self._seen(base)
+        asked = ids.select("id") if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "id string")
+        gone = self.documents(at).join(asked.distinct(), "id", "left_semi").select("id")
+        part = self._write("gone", "gone", {"gone": gone})
+        gone = self.spark.read.schema("id string").parquet(f"{self.path}/parts/{part['name']}/gone")
         if gone.isEmpty():
+            self._fs.delete(self._path(f"{self.path}/parts/{part['name']}"), True)
             return 0
-        name = f"gone-{uuid.uuid4().hex}"
-        gone.write.parquet(f"{self.path}/parts/{name}")
-        n = self.chunks(base).join(gone, "id", "left_semi").count()
-        self._publish(base, m | {"parts": [*m["parts"], {"gone": name}], "structure": m["structure"] + (n > 0)})
+        self._statistics(self.table("postings", at).join(gone, "id", "left_semi"), -1).write.parquet(f"{self.path}/parts/{part['name']}/stats")
+        n = self.chunks(at).join(gone, "id", "left_semi").count()
+        part["tables"] = ["gone", "stats"]
+        self._commit(base, m, m | {"parts": [*m["parts"], part], "structure": m["structure"] + (n > 0)})
         return n
 
     def clear(self, keep_documents: bool = False) -> int:
-        base = self.version()
-        m = self.manifest(base)
-        parts = [self._write({"documents": self.documents(base)})] if keep_documents else []
-        return self._publish(base, m | {"parts": parts, "structure": m["structure"] + 1})
+        base, m = self._start()
+        parts = [self._write("insert", "documents", {"documents": self.documents(self._seen(base))})] if keep_documents else []
+        return self._commit(base, m, m | {"parts": parts, "structure": m["structure"] + 1})
 
     def rebuild(self, options: ChunkOptions | None = None, embedder: str | None = None, services: dict[str, Callable] | None = None) -> int:
         """Cut, count and embed all stored documents again, as one part; readers see the old version until the new one is whole."""
         self.options = options or self.options
         if embedder:
             self._embed, self.embedder = embedding.build_embedder(embedder, services)
-        base = self.version()
-        m = self.manifest(base)
-        part = self._indexed(self.documents(base))
-        return self._publish(base, m | {"parts": [part], "structure": m["structure"] + 1, "embedder": self.embedder})
+        base, m = self._start()
+        part = self._indexed(self.documents(self._seen(base)))
+        return self._commit(base, m, m | {"parts": [part], "structure": m["structure"] + 1, "embedder": self.embedder})
+
+    def compact(self, most_parts: int = MOST_PARTS) -> int:
+        """Merge the parts into one where there are more than ``most_parts``: the same rows, without what later parts replaced or
+        removed.  Changes that other writers publish meanwhile stay on top."""
+        base, m = self._start()
+        if len(m["parts"]) <= most_parts:
+            return base
+        at = self._seen(base)
+        tables = {name: self.table(name, at) for name in SCHEMAS}
+        tables["stats"] = tables["stats"].groupBy("term").agg(F.sum("df").alias("df"), F.sum("length").alias("length")).where("df <> 0 or term = ''")
+        part = self._write("insert", "documents", tables) | {"of": [x["name"] for x in m["parts"]]}
+        return self._commit(base, m, m | {"parts": [part]})
 
     # -- look-ups -------------------------------------------------------------------------------------------------
 
@@ -251,7 +399,8 @@ class PassageStore:
         return cut.join(at, ["id", "ordinal"])
 
     def lexical(self, version: int | None = None) -> ranking.LexicalIndex:
-        """The stored postings as an index over passages, weights and lengths written once for each version.
+        """The stored postings as an index over passages, weights and lengths written once for each version from the parts' statistics:
+        no posting is read for them.
 
         Passages without terms count in the mean length.
         """
@@ -259,14 +408,12 @@ class PassageStore:
         root = f"{self.path}/index/v{v}"
 
         def keep(df: DataFrame, name: str) -> DataFrame:
-            if name == "postings":
-                return df
             if not self._fs.exists(self._path(f"{root}/{name}/_SUCCESS")):
                 df.write.mode("overwrite").parquet(f"{root}/{name}")
             return self.spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
         postings = self.table("postings", v).select("term", F.col("chunk_id").alias("key"), "tf", "dl")
-        return ranking.LexicalIndex.of(postings, keep=keep)
+        return ranking.LexicalIndex.merged(postings, self.table("stats", v), keep=keep)
 
     def embed_queries(self, texts: Sequence[str]) -> list[list[float]]:
         """Vectors of a few texts, made here."""

@@ -16,11 +16,12 @@ def arriving(spark: SparkSession, path: str, schema: str = ARRIVING, files_per_b
 
 
 def ingest(documents: DataFrame, store: PassageStore, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Add each batch of a stream to the store.  A batch that is run again adds nothing: ids go by content."""
+    """Add each batch of a stream to the store, and merge its parts when they have become many.  A batch that is run again adds nothing: ids go by content."""
 
     def add(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
             store.add(batch)
+            store.compact()
 
     writer = documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
