@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import answers, chunking, conversation, dense, embedding, impacts, memory, ranking
@@ -125,7 +126,10 @@ def structural_filter(spark, d):
 _NAMES = ["readme.md", ".env.local", "config.env", "environment.md", "id_rsa", "server.PEM", "secrets.yaml", "notes.txt", "Token", "key.asc", "envoy.yaml"]
 
 
-@query("sensitive_paths", "SELECT name, (lower(name) IN ('.netrc','.pgpass','.npmrc','.pypirc','.git-credentials','credentials','token','tokens','env') OR contains(lower(name), '.env') OR regexp_matches(lower(name), '^(id_|secret|credential|private_key|keystore)') OR regexp_matches(lower(name), '\\.(pem|key|p12|pfx|jks|keystore|kdbx|gpg|asc)$')) AS sensitive FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in _NAMES) + "]) AS name)")
+_SENSITIVE_SQL = "(lower(name) IN ('.netrc','.pgpass','.npmrc','.pypirc','.git-credentials','credentials','token','tokens','env') OR contains(lower(name), '.env') OR regexp_matches(lower(name), '^(id_|secret|credential|private_key|keystore)') OR regexp_matches(lower(name), '\\.(pem|key|p12|pfx|jks|keystore|kdbx|gpg|asc)$'))"
+
+
+@query("sensitive_paths", f"SELECT name, {_SENSITIVE_SQL} AS sensitive FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in _NAMES) + "]) AS name)")
 def sensitive_paths(spark, d):
     return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", tx.sensitive_name(F.col("name")).alias("sensitive"))
 
@@ -327,7 +331,7 @@ def search_min_score(spark, d):
     return _shown(ranking.topk(_lexical(spark, d), K).where("score >= 12"))
 
 
-_RELEVANT = "relevant AS (SELECT b.item_id AS query_id, l.doc_id AS key FROM benchmark b JOIN labels l ON l.quality = 1 AND l.doc_id % 5 = b.item_id % 5)"
+_RELEVANT = "relevant AS (SELECT b.item_id AS query_id, l.doc_id AS key FROM benchmark b JOIN labels l ON l.quality = 1 AND l.doc_id // 5 = b.item_id)"
 _METRICS = f"""top AS ({_top_sql('lexical', 2 * K)}), {_RELEVANT},
 hits AS (SELECT top.*, r.key IS NOT NULL AS hit FROM top LEFT JOIN relevant r USING (query_id, key)),
 per AS (SELECT query_id, count(DISTINCT key) FILTER (WHERE hit AND rank <= {K}) AS found, min(rank) FILTER (WHERE hit) AS best FROM hits GROUP BY 1),
@@ -336,9 +340,9 @@ metrics AS (SELECT query_id, coalesce(found, 0) / n AS recall, coalesce(found, 0
 
 
 def _relevant(spark, d) -> DataFrame:
-    good = read(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("key"), (F.col("doc_id") % 5).alias("g"))
-    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 5).alias("g"))
-    return asked.join(good, "g").select("query_id", "key")
+    """Stated relevance: of each item the good ones among five documents."""
+    good = read(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("key"), F.floor(F.col("doc_id") / 5).alias("query_id"))
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(good, "query_id")
 
 
 @query("eval_metrics", f"WITH {_bm25_sql()}, {_METRICS} SELECT query_id, " + ", ".join(f"round({c}, 6)::DOUBLE AS {c}" for c in ("recall", "precision", "reciprocal_rank", "hit")) + " FROM metrics")
@@ -353,6 +357,38 @@ def eval_summary(spark, d):
     return m.agg(F.count("*").alias("n_queries"), *[F.round(F.avg(c), 6).alias(c) for c in ("recall", "precision", "reciprocal_rank", "hit")])
 
 
+_MODES = f"""WITH {_RANKED}, {_RELEVANT},
+parts AS (SELECT query_id, key, list, w * ({_VALUE['rrf']}) AS value FROM weighed),
+hybrid AS (SELECT query_id, key, round(coalesce(max(value) FILTER (WHERE list = 'lexical'), 0) + coalesce(max(value) FILTER (WHERE list = 'vector'), 0), 9)::DOUBLE AS score FROM parts GROUP BY ALL),
+tops AS (SELECT 'lexical' AS mode, * FROM ({_top_sql('lexical', 2 * K)}) UNION ALL SELECT 'vector', * FROM ({_top_sql('vector', 2 * K)}) UNION ALL SELECT 'hybrid', * FROM ({_top_sql('hybrid', 2 * K)})),
+asked AS (SELECT mode, query_id, count(DISTINCT key) AS n FROM relevant, (SELECT unnest(['hybrid', 'lexical', 'vector']) AS mode) GROUP BY ALL),
+per AS (SELECT mode, query_id, count(DISTINCT key) FILTER (WHERE rank <= {K}) AS found, min(rank) AS best FROM tops JOIN relevant USING (query_id, key) GROUP BY ALL),
+modes AS (SELECT mode, round(avg(coalesce(found, 0) / n), 6)::DOUBLE AS recall, round(avg(coalesce(1.0 / best, 0)), 6)::DOUBLE AS reciprocal_rank FROM asked LEFT JOIN per USING (mode, query_id) GROUP BY mode)"""
+
+
+@query("mode_verdict", f"{_MODES} SELECT m.mode, m.recall, m.reciprocal_rank, (SELECT coalesce(bool_and(h.recall >= o.recall AND h.reciprocal_rank >= o.reciprocal_rank), false) FROM modes h, modes o WHERE h.mode = 'hybrid') AS hybrid_wins FROM modes m")
+def mode_verdict(spark, d):
+    """Recall and reciprocal rank of each mode, and whether hybrid has at least every other one's."""
+    ranked, relevant = _ranked(spark, d), _relevant(spark, d)
+    tops = {n: ranked.where(F.col("list") == n).where(F.col("rank") <= 2 * K) for n in ("lexical", "vector")}
+    tops["hybrid"] = ranking.topk(ranking.fused(ranked, WEIGHTS, "rrf"), 2 * K)
+    each = [ranking.retrieval_metrics(t.select("query_id", "key", "rank"), relevant, K).agg(F.lit(n).alias("mode"), *[F.round(F.avg(c), 6).alias(c) for c in ("recall", "reciprocal_rank")]) for n, t in sorted(tops.items())]
+    modes = Folder(spark, "modes").keep(each[0].unionAll(each[1]).unionAll(each[2]).where("recall is not null"), "modes")
+    return modes.crossJoin(ranking.hybrid_wins(modes))  # three rows and one
+
+
+@query("engine_search", f"""WITH docs AS (SELECT DISTINCT {_ID} AS id, source, text FROM documents WHERE regexp_matches(text, '\\S')),
+passages AS (SELECT sha256(id || chr(0) || '0' || chr(0) || text)[1:32] AS doc_id, source, text FROM docs),
+{_bm25_sql().replace('FROM documents)', 'FROM passages)')}
+SELECT query_id, rank, key AS chunk_id, source, round(round(score, 8), 6) AS score FROM ({_top_sql('lexical', K)}) JOIN passages ON doc_id = key""")
+def engine_search(spark, d):
+    """The engine's lexical search over a store of whole documents, all items of the benchmark asked at once."""
+    store = PassageStore(spark, f"{Folder(spark, 'engine').root}/passages", chunking.ChunkOptions(size=1 << 30, overlap=0, least=0), "hashing:16")
+    store.add(read(spark, d, "documents").select("source", "text"))
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return Engine(store).search(asked, K, "lexical").select("query_id", "rank", "chunk_id", "source", F.round("score", 6).alias("score"))
+
+
 # -- answers ---------------------------------------------------------------------------------------------------
 
 _SENT = f"""WITH {_bm25_sql()}, top AS ({_top_sql('lexical', 3)}),
@@ -491,6 +527,26 @@ def render_transcript(spark, d):
     return conversation.transcript(read(spark, d, "conversations"))
 
 
+def _tokens_sql(x: str) -> str:
+    cjk = rf"len(regexp_extract_all({x}, '[\x{{4E00}}-\x{{9FFF}}\x{{3040}}-\x{{30FF}}\x{{AC00}}-\x{{D7AF}}\x{{3400}}-\x{{4DBF}}]'))"
+    return f"(ceil((length({x}) - {cjk}) / 4) + {cjk})::BIGINT"
+
+
+@query("conversation_windows", rf"""WITH m AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id) AS total, sum(cost) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS so_far, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM (SELECT *, {_COST} AS cost FROM conversations)),
+k AS (SELECT *, total <= 120 OR so_far <= 84 OR n = 1 AS kept FROM m),
+room AS (SELECT conv_id, 120 - sum(cost) FILTER (WHERE kept) - 9 AS room, min(turn) FILTER (WHERE kept) AS first FROM k GROUP BY conv_id),
+flat AS (SELECT conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS f FROM k WHERE NOT kept AND role <> 'system'),
+lines AS (SELECT *, {_tokens_sql("('- ' || line)")} AS cost FROM (SELECT conv_id, turn, role || ': ' || CASE WHEN length(f) <= 120 THEN f ELSE regexp_replace(left(f, 120), ' [^ ]*$', '') || '…' END AS line FROM flat WHERE f <> '')),
+summed AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS upto FROM lines JOIN room USING (conv_id) WHERE room >= 1),
+judged AS (SELECT *, count(*) FILTER (WHERE upto > room) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS misfits, room - (upto - cost) AS rest FROM summed),
+cut AS (SELECT *, CASE WHEN misfits = 0 THEN line ELSE regexp_replace(left(line, greatest(1, 4 * rest)::INT), ' [^ ]*$', '') || '…' END AS said FROM judged WHERE misfits <= 1)
+SELECT conv_id, turn, role, text FROM k WHERE kept
+UNION ALL SELECT conv_id, first - 1, 'system', 'Summary of earlier conversation:' || chr(10) || string_agg('- ' || said, chr(10) ORDER BY turn) FROM cut WHERE misfits = 0 OR {_tokens_sql("('- ' || said)")} <= rest GROUP BY conv_id, first""")
+def conversation_windows(spark, d):
+    """The newest messages within 120 tokens, and a digest of what went before within the rest."""
+    return memory.windows(read(spark, d, "conversations").select("conv_id", "turn", "role", "text"), 120, 0.7)
+
+
 # -- authored tables: scripts, code, headings and tool results that the driver's tables do not hold ----------------------
 
 
@@ -572,6 +628,17 @@ def mime_types(spark, d):
     return spark.createDataFrame([(s,) for s, _ in _SUFFIXES], "suffix string").select("suffix", tx.mime_type(F.col("suffix")).alias("mime"))
 
 
+_BASE = "string_split(url, '/')[-1]"
+_MIME = "CASE lower(regexp_extract(url, '\\.([^./]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tx.MIME_TYPES.items()) + " ELSE 'text/plain' END"
+
+
+@query("page_names", f"SELECT page_id, {_BASE} AS name, {_MIME} AS mime, {_SENSITIVE_SQL.replace('name', _BASE)} AS sensitive FROM pages")
+def page_names(spark, d):
+    """Types and credential-like names of the pages' files."""
+    name = F.element_at(F.split("url", "/"), -1)
+    return read(spark, d, "pages").select("page_id", name.alias("name"), tx.mime_type(F.regexp_extract("url", r"\.([^./]+)$", 1)).alias("mime"), tx.sensitive_name(name).alias("sensitive"))
+
+
 _TOLD = [
     (1, "search", '{"results": [{"source": "b", "ordinal": 2, "text": " two ", "score": 0.5}, {"source": "a", "ordinal": "1", "content": "one", "score": "0.5"}, {"source": "c", "text": "  ", "score": 9}]}'),
     (1, "other", '{"results": [{"source": "x", "text": "not asked", "score": 1}]}'),
