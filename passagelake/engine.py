@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import answers, ranking
+from .operators import answers, ranking, rerank
 from .sources.store import NoVectors, PassageStore
 
 log = logging.getLogger(__name__)
@@ -28,17 +29,18 @@ class SearchOptions:
 
     def __post_init__(self):
         ranking.validated_weights(self.weights, sorted(self.weights))
-        if self.fusion.strip().lower() not in ("rrf", "dbsf", "weighted") or self.rerank not in (None, "overlap"):
-            raise ValueError(f"unknown fusion or re-ranking in {self}")
+        if self.fusion.strip().lower() not in ("rrf", "dbsf", "weighted"):
+            raise ValueError(f"unknown fusion in {self}")
         if self.multiplier < 1 or self.rrf_k <= 0 or self.min_score < 0:
             raise ValueError(f"multiplier and rrf_k must be positive, min_score not negative: {self}")
 
 
 class Engine:
-    """A store's passages as one version holds them; ``refresh`` takes up the newest."""
+    """A store's passages as one version holds them; ``refresh`` takes up the newest.  ``rerankers`` adds models by name."""
 
-    def __init__(self, store: PassageStore, options: SearchOptions = SearchOptions()):
-        self.store, self.options = store, options
+    def __init__(self, store: PassageStore, options: SearchOptions = SearchOptions(), rerankers: dict[str, Callable[[str], rerank.Build]] | None = None):
+        self.store, self.rerankers = store, rerankers
+        self.options, self._model = options, rerank.build_reranker(options.rerank, rerankers)
         self.refresh()
 
     def refresh(self) -> int:
@@ -48,8 +50,10 @@ class Engine:
 
     def configure(self, **changes) -> SearchOptions:
         """Change search options; nothing is indexed anew, as scores are made when a query is asked."""
-        self.options = replace(self.options, **changes)
-        return self.options
+        options = replace(self.options, **changes)
+        self._model = rerank.build_reranker(options.rerank, self.rerankers)
+        self.options = options
+        return options
 
     @property
     def spark(self) -> SparkSession:
@@ -91,10 +95,13 @@ class Engine:
             top = ranking.fused(ranked[0].unionByName(ranked[1]), o.weights, o.fusion, o.rrf_k)
             parts = F.map_from_arrays(F.array(*[F.lit(n) for n in sorted(lists)]), F.array(*[F.col(f"{n}_part") for n in sorted(lists)]))
             top = top.select("query_id", "key", "score", F.map_filter(parts, lambda _, v: v > 0).alias("contributions"))
-        if o.rerank == "overlap":
+        if o.rerank and o.rerank != "none":
             window = ranking.topk(top, pool)
-            again = ranking.overlap_scores(window.select("query_id", "key"), ranking.query_terms(asked), self._lexical.postings)
-            top = window.drop("rank", "score").join(again, ["query_id", "key"]).withColumn("contributions", F.map_concat("contributions", F.create_map(F.lit("rerank:overlap"), "score")))
+            if self._model:
+                again = rerank.model_scores(window.select("query_id", "key"), asked, self._chunks.withColumnRenamed("chunk_id", "key"), self._model)
+            else:
+                again = ranking.overlap_scores(window.select("query_id", "key"), ranking.query_terms(asked), self._lexical.postings)
+            top = window.drop("rank", "score").join(again, ["query_id", "key"]).withColumn("contributions", F.map_concat("contributions", F.create_map(F.lit(f"rerank:{o.rerank}"), "score")))
         top = ranking.topk(top, pool).join(self._chunks.withColumnRenamed("chunk_id", "key"), "key")
         if source_filter:
             top = top.where(F.col("source").contains(source_filter))
