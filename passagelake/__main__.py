@@ -19,11 +19,14 @@ from .sources import files
 from .sources.sessions import Sessions
 from .sources.store import PassageStore
 
+#: Settings that every command takes as options.
+GIVEN = ("store", "embedder", "provider", "mode", "fusion", "rerank", "lexical_weight", "vector_weight", "rrf_k", "k1", "b", "multiplier", "min_score")
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("passagelake")
     p.add_argument("--config")
-    for name in ("store", "embedder", "provider", "mode", "fusion", "rerank"):
+    for name in GIVEN:
         p.add_argument(f"--{name}")
     p.add_argument("--top-k", type=int)
     sub = p.add_subparsers(dest="command", required=True)
@@ -47,7 +50,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=sys.stdout) -> int:
     a = parser().parse_args(argv)
-    c = settings.load(a.config, store=a.store, embedder=a.embedder, provider=a.provider, mode=a.mode, fusion=a.fusion, rerank=a.rerank, top_k=a.top_k)
+    c = settings.load(a.config, top_k=a.top_k, **{n: getattr(a, n) for n in GIVEN})
     say = lambda x: print(x if isinstance(x, str) else json.dumps(x, ensure_ascii=False, default=str), file=out)
     if a.command == "config":
         say({k: v for k, v in vars(c).items() if k != "token"})

@@ -10,6 +10,7 @@ from pathlib import Path
 
 from .engine import SearchOptions
 from .operators.chunking import ChunkOptions
+from .operators.ranking import B, K1, RRF_K
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,11 @@ class Config:
     top_k: int = 5
     mode: str = "hybrid"
     fusion: str = "rrf"
+    lexical_weight: float = 0.7
+    vector_weight: float = 0.3
+    rrf_k: int = RRF_K
+    k1: float = K1
+    b: float = B
     rerank: str | None = None
     multiplier: int = 4
     min_score: float = 0.0
@@ -36,7 +42,8 @@ class Config:
         return ChunkOptions(self.chunk_size, self.chunk_overlap)
 
     def search(self) -> SearchOptions:
-        return SearchOptions(fusion=self.fusion, rerank=self.rerank, multiplier=self.multiplier, min_score=self.min_score)
+        weights = {"lexical": self.lexical_weight, "vector": self.vector_weight}
+        return SearchOptions(fusion=self.fusion, rrf_k=self.rrf_k, weights=weights, k1=self.k1, b=self.b, rerank=self.rerank, multiplier=self.multiplier, min_score=self.min_score)
 
 
 def _typed(name: str, value):

@@ -26,8 +26,11 @@ class SearchOptions:
     multiplier: int = 4
     min_score: float = 0.0
     rerank: str | None = None
+    #: Further models for ``rerank``, by name.
+    rerankers: dict[str, Callable[[str], rerank.Build]] | None = None
 
     def __post_init__(self):
+        rerank.build_reranker(self.rerank, self.rerankers)
         ranking.validated_weights(self.weights, sorted(self.weights))
         if self.fusion.strip().lower() not in ("rrf", "dbsf", "weighted"):
             raise ValueError(f"unknown fusion in {self}")
@@ -36,11 +39,10 @@ class SearchOptions:
 
 
 class Engine:
-    """A store's passages as one version holds them; ``refresh`` takes up the newest.  ``rerankers`` adds models by name."""
+    """A store's passages as one version holds them; ``refresh`` takes up the newest."""
 
-    def __init__(self, store: PassageStore, options: SearchOptions = SearchOptions(), rerankers: dict[str, Callable[[str], rerank.Build]] | None = None):
-        self.store, self.rerankers = store, rerankers
-        self.options, self._model = options, rerank.build_reranker(options.rerank, rerankers)
+    def __init__(self, store: PassageStore, options: SearchOptions = SearchOptions()):
+        self.store, self.options = store, options
         self.refresh()
 
     def refresh(self) -> int:
@@ -50,10 +52,8 @@ class Engine:
 
     def configure(self, **changes) -> SearchOptions:
         """Change search options; nothing is indexed anew, as scores are made when a query is asked."""
-        options = replace(self.options, **changes)
-        self._model = rerank.build_reranker(options.rerank, self.rerankers)
-        self.options = options
-        return options
+        self.options = replace(self.options, **changes)
+        return self.options
 
     @property
     def spark(self) -> SparkSession:
@@ -97,8 +97,8 @@ class Engine:
             top = top.select("query_id", "key", "score", F.map_filter(parts, lambda _, v: v > 0).alias("contributions"))
         if o.rerank and o.rerank != "none":
             window = ranking.topk(top, pool)
-            if self._model:
-                again = rerank.model_scores(window.select("query_id", "key"), asked, self._chunks.withColumnRenamed("chunk_id", "key"), self._model)
+            if model := rerank.build_reranker(o.rerank, o.rerankers):
+                again = rerank.model_scores(window.select("query_id", "key"), asked, self._chunks.withColumnRenamed("chunk_id", "key"), model)
             else:
                 again = ranking.overlap_scores(window.select("query_id", "key"), ranking.query_terms(asked), self._lexical.postings)
             top = window.drop("rank", "score").join(again, ["query_id", "key"]).withColumn("contributions", F.map_concat("contributions", F.create_map(F.lit(f"rerank:{o.rerank}"), "score")))

@@ -131,8 +131,9 @@ def test_tools():
             arguments_for(drop.parameters, bad)
     with pytest.raises(ToolError):
         tool(lambda x: x)
-    assert as_text(list(range(3000))).startswith("[showing the first 2000 of 3000 items] [0, 1")
-    assert as_text("x" * 30, 10) == "x" * 10 + "\n... [truncated 20 characters; narrow the query]"
+    assert as_text(list(range(3000))).startswith('{"left_out": {"members": 1000}, "result": [0, 1')
+    assert as_text({"a": "y" * 2500}) == '{"left_out": {"characters": 500}, "result": {"a": "' + "y" * 2000 + '"}}' and as_text({"a": [1]}) == '{"a": [1]}'
+    assert as_text("x" * 100, 60) == "x" * 22 + "\n(100 characters in all; ask for less)" and len(as_text("x" * 100, 60)) == 60 and as_text("x" * 30, 30) == "x" * 30
     slow = Registry([tool(lambda: threading.Event().wait(5), name="slow")])
     assert json.loads(slow.execute(Call("1", "slow", {}), timeout=0.05).content)["error"] == "timeout"
 
@@ -195,6 +196,8 @@ def test_sessions_and_config(spark, tmp_path):
     c = config.load(None, {"PASSAGELAKE_TOP_K": "7", "PASSAGELAKE_MODE": "vector"}, mode="lexical", token="secret")
     assert (c.top_k, c.mode) == (7, "lexical")
     config.save(c, tmp_path / "c.json")
+    tuned = config.load(None, {"PASSAGELAKE_K1": "1.2", "PASSAGELAKE_LEXICAL_WEIGHT": "0.5"}, rrf_k=10, b="0.5").search()
+    assert (tuned.k1, tuned.b, tuned.rrf_k, tuned.weights) == (1.2, 0.5, 10, {"lexical": 0.5, "vector": 0.3})
     assert config.load(tmp_path / "c.json", {}).top_k == 7 and "secret" not in (tmp_path / "c.json").read_text()
     for bad in ({"chunk_overlap": 2000}, {"no_such": 1}, {"mode": "other"}):
         with pytest.raises(ValueError):

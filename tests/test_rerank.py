@@ -41,12 +41,21 @@ def test_engine_ranks_by_model(spark, tmp_path):
         mine = sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])
         assert mine and [r["source"] for r in mine] == sorted((r["source"] for r in mine), key=lambda s: -plain(q, texts[s]))
         assert all(abs(r["contributions"]["rerank:attention:16"] - plain(q, r["text"])) < 1e-6 for r in mine)
-    built = Engine(store, SearchOptions(rerank="length:x"), {"length": lambda _: lambda: lambda pairs: np.array([1.0 + len(t) for _, t in pairs])})
+    built = Engine(store, SearchOptions(rerank="length:x", rerankers={"length": lambda _: lambda: lambda pairs: np.array([1.0 + len(t) for _, t in pairs])}))
     lengths = [len(r["text"]) for r in sorted(built.search("tide gates", 5, "lexical").collect(), key=lambda r: r["rank"])]
     assert lengths == sorted(lengths, reverse=True)
     with pytest.raises(ValueError):
         engine.configure(rerank="unknown")
     assert engine.options.rerank == "attention:16"
-    bad = Engine(store, SearchOptions(rerank="bad"), {"bad": lambda _: lambda: lambda pairs: [float("nan")] * len(pairs)})
+    bad = Engine(store, SearchOptions(rerank="bad", rerankers={"bad": lambda _: lambda: lambda pairs: [float("nan")] * len(pairs)}))
     with pytest.raises(Exception, match="finite scores"):
         bad.search("tide", 3, "lexical").collect()
+
+
+def test_module_helpers(spark, tmp_path):
+    import passagelake
+
+    store = PassageStore(spark, str(tmp_path / "s"), embedder="hashing:8")
+    store.add(spark.createDataFrame([("d", "Gates close two hours before the high tide comes in.")], "source string, text string"))
+    assert [r["source"] for r in passagelake.search("gates", store=store.path, spark=spark, mode="lexical").collect()] == ["d"]
+    assert "Gates close" in passagelake.ask("When do gates close?", store=store.path, spark=spark).answer
