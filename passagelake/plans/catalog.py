@@ -12,7 +12,7 @@ from ..engine import Engine
 from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import answers, chunking, conversation, dense, embedding, impacts, memory, ranking
-from ..sources.shared import Folder, state_of
+from ..sources.shared import Folder, spread, state_of
 from ..sources.store import PassageStore
 
 K = 10
@@ -142,13 +142,13 @@ def sample_queries(spark, d):
 
 @query("chunk_documents")
 def chunk_documents(spark, d):
-    c = chunking.chunks(read(spark, d, "documents"))
+    c = chunking.chunks(spread(read(spark, d, "documents")))
     return c.select("doc_id", "chunk_id", "ordinal", F.length("text").cast("long").alias("n_chars"))
 
 
 @query("hashing_embeddings")
 def hashing_embeddings(spark, d):
-    e = embedding.hashed(read(spark, d, "documents"))
+    e = embedding.hashed(spread(read(spark, d, "documents")))
     return e.select("doc_id", F.size("embedding").cast("long").alias("dim"), F.round(vec.norm(F.col("embedding")), 3).alias("norm"))
 
 
@@ -165,7 +165,7 @@ def _index(spark, d) -> ranking.LexicalIndex:
     state, folder, _ = _INDEXES.get(name, (None, None, None))
     if state != now or not folder.holds("idf"):
         folder = Folder(spark, "lexical")
-        _INDEXES[name] = now, folder, ranking.LexicalIndex.of(ranking.postings_of(ranking.document_terms(read(spark, d, "documents"))), keep=folder.keep)
+        _INDEXES[name] = now, folder, ranking.LexicalIndex.of(ranking.postings_of(ranking.document_terms(spread(read(spark, d, "documents")))), keep=folder.keep)
     return _INDEXES[name][2]
 
 

@@ -39,6 +39,12 @@ class Folder:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table whose files make fewer tasks than there are cores, dealt over these; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def state_of(spark: SparkSession, path: str) -> str:
     """A digest of the names, sizes and times of the files below ``path``: another one once any of them is written anew."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
