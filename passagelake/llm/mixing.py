@@ -4,8 +4,9 @@ Each source's documents are shuffled by a keyed hash and laid end to end as one
 stream of words, cut into blocks of equal size.  The schedule's slots are the
 points of the golden-ratio sequence, mapped through the cumulative target
 shares to sources; a slot's rank within its source names the block it reads, and
-ranks past the stream's end read it again.  What a source gives is what its slots read, so
-targets are met to within the sequence's discrepancy, a few blocks.
+ranks past the stream's end read it again.  By then a source is within the sequence's discrepancy of its
+target, a few blocks: slots after the last point make up what is missing, and a source's last slots
+read no further than its target, so every source, however small, gives its target to the word.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ def mixed(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, budget: float
     """``doc_id, size, source_size, target, taken, first_slot`` for each row; further columns of ``docs`` are not kept.
 
     ``size``: words of the text (null: 0).  ``taken``: words that the mix takes,
-    repeats counted; a source's sum is what its slots read, and no document has more
+    repeats counted; a source's sum is its target, rounded, and no document has more
     than ``repeat`` times its size.  ``first_slot`` is the slot that first reads the document's beginning, null
     if none does.  Rows of one id are rows of their own, in the order of their texts' hashes; a null
     source is a source; texts without words and a corpus without words are not read; an empty table
@@ -117,12 +118,16 @@ def _read(docs: DataFrame, keep: list[str], weights, budget, repeat, key: str) -
     sources = scratch.keep(source_targets(sums.drop("n"), scratch, weights, budget, repeat), "sources")
     schedule = _schedule(sources, block, scratch)
 
-    # What a source's slots read: whole rounds of its stream, and a rest.
+    # What a source's slots read, to the target's last word: whole rounds of its stream, and a rest.
     slots = schedule.groupBy("number").agg(F.count("*").alias("slots"))
-    give = F.least(F.coalesce("slots", F.lit(0)) * block, F.floor(F.lit(repeat) * F.col("source_size")))
-    read = sources.join(slots, "number", "left").withColumn("give", F.when(F.col("source_size") > 0, give).otherwise(0))
+    give = F.least(F.round("target").cast("long"), F.floor(F.lit(repeat) * F.col("source_size")))
+    read = sources.join(slots, "number", "left").withColumn("give", F.when(F.col("source_size") > 0, give).otherwise(0)).withColumn("slots", F.coalesce("slots", F.lit(0)))
+    # Slots that the points leave missing follow the last one, source by source.
+    end = schedule.agg(F.max("slot")).first()[0]
+    read = read.withColumn("more", F.greatest(F.lit(0), F.ceil(F.col("give") / block) - F.col("slots")))
+    read = _pass_over(read, ["every"], "piece", ["number"], "more", "later").withColumn("later", F.col("later") + (0 if end is None else end + 1) - F.col("slots"))
     read = read.withColumn("rounds", F.when(F.col("source_size") > 0, F.floor(F.col("give") / F.col("source_size"))).otherwise(0)).withColumn("rest", F.col("give") - F.col("rounds") * F.col("source_size"))
-    placed = rows.join(read.select("src", "is_null", "number", "source_size", "target", "give", "rounds", "rest"), ["src", "is_null"])
+    placed = rows.join(read.select("src", "is_null", "number", "source_size", "target", "give", "rounds", "rest", "slots", "later"), ["src", "is_null"])
     none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("first_slot", F.lit(None).cast("long"))
 
     # The shuffled streams: where each document begins.
@@ -131,7 +136,8 @@ def _read(docs: DataFrame, keep: list[str], weights, budget, repeat, key: str) -
     again = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start")))
     placed = placed.withColumn("taken", (F.col("rounds") * F.col("size") + again).cast("long"))
     placed = placed.withColumn("rank", F.when(F.col("start") < F.col("give"), F.floor(F.col("start") / block)))
-    placed = placed.join(schedule.withColumnRenamed("slot", "first_slot"), ["number", "rank"], "left")
+    placed = placed.join(schedule, ["number", "rank"], "left")
+    placed = placed.withColumn("first_slot", F.when(F.col("rank") >= F.col("slots"), F.col("later") + F.col("rank")).otherwise(F.col("slot")))
     out = ["doc_id", "size", "source_size", "target", "taken", "first_slot", *keep]
     return placed.select(*out).unionAll(none.select(*out))
 

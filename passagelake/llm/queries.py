@@ -82,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-# Targets by sorted limits; the schedule's points, a source's slots by rank, and the stream they read.
+# Targets by sorted limits; the schedule's points, a source's slots by rank, those that make up what is missing, and the stream they read.
 _OP5 = r"""
 WITH rows AS (
   SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS is_null,
@@ -103,14 +103,16 @@ s7 AS (SELECT *, sum(round(target)::BIGINT) OVER (ORDER BY rank)::BIGINT AS upto
 s8 AS (SELECT *, floor((upto - round(target)::BIGINT) / greatest(aims, 1) * 4294967296)::BIGINT AS x0, floor(upto / greatest(aims, 1) * 4294967296)::BIGINT AS x1 FROM s7),
 points AS (SELECT slot, slot * 2654435769 % 4294967296 AS x FROM (SELECT unnest(range((aims + block - 1) // block)) AS slot FROM (SELECT DISTINCT aims, block FROM s7))),
 slots AS (SELECT rank, slot, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS nth FROM points JOIN s8 ON x >= x0 AND x < x1),
-s9 AS (SELECT s8.*, least(coalesce(n, 0) * block, 2 * source_size)::BIGINT AS give FROM s8 LEFT JOIN (SELECT rank, count(*) AS n FROM slots GROUP BY rank) USING (rank)),
-p AS (SELECT r.*, rank, block, source_size, target, give,
+s9 AS (SELECT s8.*, least(round(target)::BIGINT, 2 * source_size)::BIGINT AS give, coalesce(n, 0) AS n FROM s8 LEFT JOIN (SELECT rank, count(*) AS n FROM slots GROUP BY rank) USING (rank)),
+s10 AS (SELECT *, greatest(0, (give + block - 1) // block - n) AS more FROM s9),
+s11 AS (SELECT *, coalesce((SELECT max(slot) + 1 FROM slots), 0) - n + sum(more) OVER (ORDER BY rank) - more AS later FROM s10),
+p AS (SELECT r.*, rank, block, source_size, target, give, n, later,
              sum(size) OVER (PARTITION BY r.src, r.is_null ORDER BY draw, size ROWS UNBOUNDED PRECEDING) - size AS begin
-      FROM rows r JOIN s9 USING (src, is_null))
+      FROM rows r JOIN s11 USING (src, is_null))
 SELECT doc_id, size, source_size, target,
        CASE WHEN size = 0 THEN 0
             ELSE (give // source_size) * size + greatest(0, least(size, give % source_size - begin)) END::BIGINT AS taken,
-       slots.slot AS first_slot
+       CASE WHEN size > 0 AND begin < give AND begin // block >= n THEN (later + begin // block)::BIGINT ELSE slots.slot END AS first_slot
 FROM p LEFT JOIN slots ON size > 0 AND begin < give AND slots.rank = p.rank AND nth = begin // block
 """
 
