@@ -10,7 +10,7 @@ import json
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -50,20 +50,30 @@ def split_by_budget(messages: DataFrame, budget: int, keep_ratio: float = 0.7) -
     return m.withColumn("used", F.sum(F.when(F.col("kept"), F.col("cost"))).over(conv)).drop("total", "so_far")
 
 
-def digest_lines(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, part, kind, line, cost`` of what a digest can say about messages; system messages say nothing."""
-    m = with_costs(messages).where("role <> 'system'")
+def lines_of_message() -> Column:
+    """What a digest can say about a message, as an array of (part, kind, line, cost): of a row with ``role, text, name, calls``."""
     calls = F.array_join(F.transform("calls", lambda c: F.concat(c["name"], F.lit("("), tx.clipped(c["arguments"], 80), F.lit(")"))), ", ")
     tool = F.col("role") == "tool"
     said = tx.first_clause(F.col("text"), 120)
     found = tx.first_clause(F.col("text"), 240)
-    asked = m.where(F.size("calls") > 0).select("conv_id", "turn", F.lit(0).alias("part"), F.lit(ASKED).alias("kind"), F.concat(F.lit("assistant requested tools: "), calls).alias("line"))
+    asked = F.when(F.size("calls") > 0, F.concat(F.lit("assistant requested tools: "), calls))
     told = F.when(tool, F.concat(F.lit("tool "), F.coalesce("name", F.lit("?")), F.lit(" returned: "), found)).otherwise(F.concat("role", F.lit(": "), said))
-    plain = m.where(said != "").select("conv_id", "turn", F.lit(1).alias("part"), F.when(tool, FOUND).otherwise(SAID).alias("kind"), told.alias("line"))
-    return asked.unionByName(plain).withColumn("cost", tx.text_tokens(F.concat(F.lit("- "), F.col("line"))))
+    told = F.when(said != "", told)
+
+    def line(part: int, kind: Column, text: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), kind.alias("kind"), text.alias("line"), tx.text_tokens(F.concat(F.lit("- "), text)).alias("cost"))
+
+    both = F.array(line(0, F.lit(ASKED), asked), line(1, F.when(tool, FOUND).otherwise(SAID), told))
+    return F.filter(both, lambda x: x["line"].isNotNull() & F.coalesce(F.col("role") != "system", F.lit(False)))
+
+
+def digest_lines(messages: DataFrame) -> DataFrame:
+    """``conv_id, turn, part, kind, line, cost`` of what a digest can say about messages; system messages say nothing."""
+    return with_costs(messages).select("conv_id", "turn", F.inline(lines_of_message()))
 
 
-def _shortened(line: str, room: int) -> str | None:
+def shortened(line: str, room: int) -> str | None:
+    """A line cut at a blank to fit ``room`` tokens, with an ellipsis; none if it cannot."""
     cut = line[: max(1, room * 4)].rsplit(" ", 1)[0] + "…"
     return cut if tokens_of(f"- {cut}") <= room else None
 
@@ -80,11 +90,11 @@ def digests(messages: DataFrame, budgets: DataFrame) -> DataFrame:
     lines = lines.withColumn("fits", F.col("upto") <= F.col("room")).withColumn("misfits", F.sum(F.when(F.col("fits"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
 
     @F.arrow_udf("string")
-    def shortened(line: pa.Array, left: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else _shortened(x, n) for x, n in zip(line.to_pylist(), left.to_pylist(), strict=True)], pa.string())
+    def cut_short(line: pa.Array, left: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else shortened(x, n) for x, n in zip(line.to_pylist(), left.to_pylist(), strict=True)], pa.string())
 
     edge = F.col("misfits") == 1
-    lines = lines.where("misfits <= 1").withColumn("line", F.when(edge, shortened(F.when(edge, F.col("line")), F.col("room") - (F.col("upto") - F.col("cost")))).otherwise(F.col("line"))).where("line is not null")
+    lines = lines.where("misfits <= 1").withColumn("line", F.when(edge, cut_short(F.when(edge, F.col("line")), F.col("room") - (F.col("upto") - F.col("cost")))).otherwise(F.col("line"))).where("line is not null")
     told = F.array_sort(F.collect_list(F.struct("turn", "part", "line")))
     return lines.groupBy("conv_id").agg(F.concat(F.lit(HEAD), F.array_join(F.transform(told, lambda x: F.concat(F.lit("- "), x["line"])), "\n")).alias("text"))
 

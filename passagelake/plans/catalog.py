@@ -14,6 +14,7 @@ from ..functions import vectors as vec
 from ..operators import answers, chunking, conversation, dense, embedding, impacts, memory, ranking
 from ..sources.shared import Folder, spread, state_of
 from ..sources.store import PassageStore
+from ..streaming import windows
 
 K = 10
 WEIGHTS = {"lexical": 0.7, "vector": 0.3}
@@ -547,6 +548,16 @@ def conversation_windows(spark, d):
     return memory.windows(read(spark, d, "conversations").select("conv_id", "turn", "role", "text"), 120, 0.7)
 
 
+@query("conversation_windows_stream", _SQL["conversation_windows"])
+def conversation_windows_stream(spark, d):
+    """The same windows from a stream of the table's files: keyed state, a window for each conversation that a batch changes."""
+    table = read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    arriving = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1000).parquet(f"{d}/conversations.parque[t]")
+    at = Folder(spark, "windows").root
+    windows.remember(arriving, f"{at}/windows", f"{at}/checkpoint", 120, 0.7).awaitTermination()
+    return windows.latest(spark, f"{at}/windows", table.schema["conv_id"].dataType.simpleString())
+
+
 # -- authored tables: scripts, code, headings and tool results that the driver's tables do not hold ----------------------
 
 
