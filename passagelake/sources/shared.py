@@ -3,11 +3,49 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds after which a claim without a published file, or data that none names, is a dead writer's.
+LEASE = 600
+
+
+class Conflict(RuntimeError):
+    """Another writer was faster."""
+
+
+def _claim(fs, path) -> None:
+    """Create a file that must not exist.  Hadoop's local file system looks first and creates then, so there the system's own call is made."""
+    if fs.getScheme() != "file":
+        fs.create(path, False).close()
+        return
+    fs.mkdirs(path.getParent())
+    os.close(os.open(path.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+
+
+def publish(fs, path_of, name: str, body: dict) -> None:
+    """Put a JSON file in place, whole, if no other writer has published or claimed ``name``; a claim that outlived ``LEASE`` is taken over."""
+    to, claim = path_of(f"{name}.json"), path_of(f"{name}.claim")
+    if not fs.exists(to) and fs.exists(claim) and time.time() - fs.getFileStatus(claim).getModificationTime() / 1000 > LEASE:
+        fs.delete(claim, False)
+    try:
+        _claim(fs, claim)
+    except Exception as e:
+        raise Conflict(f"{name} was published, or claimed, by another writer") from e
+    made = path_of(f"{name.rpartition('/')[0]}/_made-{uuid.uuid4().hex}")
+    out = fs.create(made, False)
+    out.write(bytearray(json.dumps(body, sort_keys=True).encode()))
+    out.close()
+    if not fs.rename(made, to):
+        if fs.exists(to):  # a writer that took this one's claim over
+            raise Conflict(f"{name} was published by another writer")
+        raise RuntimeError(f"{name} could not be put in place")
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder only for a session in one process that has none."""

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_id
 from ..operators import embedding, ranking
 from ..operators.chunking import ChunkOptions, chunks
+from .shared import LEASE, Conflict, publish
 
 SCHEMAS = {
     "documents": "id string, source string, title string, mime_type string, text string, metadata map<string,string>, added long",
@@ -34,8 +35,6 @@ SCHEMAS = {
     "stats": "term string, df long, length long",
 }
 FORMAT = 2
-#: Seconds after which a claim without a manifest, or a part that no version names, is a dead writer's.
-LEASE = 600
 #: Parts from which ``compact`` makes one.
 MOST_PARTS = 16
 
@@ -44,10 +43,6 @@ class EmbedderMismatch(ValueError):
     """The store's vectors come from another embedder."""
 
 
-class Conflict(RuntimeError):
-    """Another writer changed the same documents, or all of them, in between."""
-
-
 class NoVectors(ValueError):
     """The embedder could not answer."""
 
@@ -90,19 +85,7 @@ class PassageStore:
 
     def _publish(self, base: int, manifest: dict) -> int:
         """Put the manifest in place as version ``base + 1``; a claim that outlived ``LEASE`` is taken over."""
-        to, claim = (self._path(f"{self.path}/versions/v{base + 1}.{x}") for x in ("json", "claim"))
-        if not self._fs.exists(to) and self._fs.exists(claim) and time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 > LEASE:
-            self._fs.delete(claim, False)
-        try:
-            self._fs.create(claim, False).close()
-        except Exception as e:
-            raise Conflict(f"version {base + 1} was published, or claimed, by another writer") from e
-        made = self._path(f"{self.path}/versions/_made-{uuid.uuid4().hex}")
-        out = self._fs.create(made, False)
-        out.write(bytearray(json.dumps(manifest | {"format": FORMAT}, sort_keys=True).encode()))
-        out.close()
-        if not self._fs.rename(made, to):
-            raise RuntimeError(f"version {base + 1} could not be put in place")
+        publish(self._fs, self._path, f"{self.path}/versions/v{base + 1}", manifest | {"format": FORMAT})
         return base + 1
 
     def _start(self) -> tuple[int, dict]:
