@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
+#: Whether Spark removes a query's shuffle files as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,10 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A private folder below the shared one, for the tables of one operator call; removed when the session ends."""
+    """A private folder below the shared one, for the tables of one operator call; removed when the session ends.
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    With ``free`` a table that is written lets go of the shuffle files it was made from, which nothing reads again.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, free: bool = False):
+        self.spark, self.free = spark, free
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         root = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -45,7 +50,12 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and read it back: what follows no longer depends on how it was made."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true" if self.free else before)
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

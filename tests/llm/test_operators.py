@@ -461,23 +461,67 @@ def test_paragraph_variants_are_compared_with_each_other(spark, monkeypatch):
     assert got == want
 
 
-def test_passages_within_lines(spark):
+def test_short_repeated_paragraphs_by_parameters(spark):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    stock = {n: " ".join(word() for _ in range(n)) for n in (1, 3, 4, 5, 7, 8, 20)}
+    rows = []
+    for k in range(28):
+        lines = [" ".join(word() for _ in range(9)) for _ in range(4)]
+        lines.insert(rng.randrange(5), list(stock.values())[k % 7])
+        rows.append((k, "\n".join(lines), "en", "s", 0, b"", 1, ""))
+    rows += [(40, None, "", "", 0, b"", 1, ""), (41, "", "", "", 0, b"", 1, ""), (None, stock[20] + "\nx", "", "", 0, b"", 1, ""), (0, rows[0][1], "", "", 0, b"", 1, "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for least, passage in ((1, 1), (4, 1), (8, 9), (8, 24)):
+        want = set()
+        for k in range(28):
+            n = list(stock)[k % 7]
+            if n >= least and n >= passage:
+                at = rows[k][1].encode().index(stock[n].encode())
+                want.add((k, at, at + len(stock[n]), n, None if n == 20 else k % 7, n == 20 or k >= 7))
+        if passage <= 20:
+            want.add((None, 0, len(stock[20]), 20, None, False))
+        got = paragraphs.repeated_paragraphs(docs, least, passage).collect()
+        assert {(r.doc_id, r.begin, r.finish, r.n_words, r.kept_doc_id, r.removed) for r in got} == want, (least, passage)
+    with pytest.raises(ValueError):
+        paragraphs.repeated_paragraphs(docs, 0)
+
+
+def test_hot_seeds_stay_where_they_are(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    line = " ".join(word() for _ in range(40))
+    rows = [(k, " ".join([word() for _ in range(9)] + ([line] if k % 2 else []) + [word() for _ in range(9)]), "en", "s", 0, b"", 1, "") for k in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    seen = []
+    for hot in (0, 1000):  # no key is hot, every shared one is
+        monkeypatch.setattr(paragraphs, "HOT", hot)
+        seen.append({tuple(r) for r in paragraphs.repeated_paragraphs(docs).collect()})
+    assert seen[0] == seen[1]
+    words = Counter()
+    for r in seen[0]:
+        words[r[0]] += r[4]
+    assert words == {k: 40 for k in range(1, 60, 2)} and {r[0] for r in seen[0] if not r[7] and r[6] == 1} == {1}
+
+
+@pytest.mark.parametrize("run", [24, 10, 3])
+def test_passages_within_lines(spark, run):
     rng = random.Random(12)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
     rows, want = [], {}
     for k in range(60):
-        n = 23 if k % 6 == 5 else 24 if k % 6 == 4 else rng.randint(51, 60)
+        n = run - 1 if k % 6 == 5 else run if k % 6 == 4 else rng.randint(51, 60)
         passage = [word() + ("." if rng.random() < 0.06 * (k % 3) else "") for _ in range(n)]
         for i in (2 * k, 2 * k + 1):
             a, b = ([word() for _ in range(rng.randint(30, 50))] for _ in range(2))
             text = " ".join(a + passage + b)
             rows.append((i, text, "en", "s", 0, b"", 1, ""))
             at = len(" ".join(a)) + 1
-            if n >= 24:
+            if n >= run:
                 want[i] = (at, at + len(" ".join(passage)), n, 2 * k, i > 2 * k)
     rows.append((200, rows[8][1], "en", "s", 0, b"", 1, ""))
     got = defaultdict(list)
-    for r in paragraphs.repeated_paragraphs(spark.createDataFrame(rows, SCHEMA)).collect():
+    for r in paragraphs.repeated_paragraphs(spark.createDataFrame(rows, SCHEMA), run=run).collect():
         got[r.doc_id].append(r)
     del got[200], got[8], want[8]
     assert set(want) <= set(got) and all(k in want or k // 2 % 6 == 5 for k in got)
