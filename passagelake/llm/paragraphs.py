@@ -379,9 +379,10 @@ def _pieces(lengths: Lengths, table: pa.Table) -> pa.Table:
 
 def _joined(rows: DataFrame, keys: DataFrame, held: DataFrame, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``keys`` by ``key``; rows of the keys in ``held``, at most ``HOT`` of them, stay where they are."""
-    few = F.broadcast(held)
-    hot = rows.join(few, "key", "left_semi").join(F.broadcast(keys.join(few, "key", "left_semi")), "key", how)
-    return hot.unionByName(rows.join(few, "key", "left_anti").join(keys, "key", how))
+    few = held.join(keys.join(F.broadcast(held), "key", "left_semi"), "key", "left")
+    marked = rows.join(F.broadcast(few.withColumn("held", F.lit(True))), "key", "left")
+    hot = marked.where("held").drop("held")
+    return hot.unionByName(marked.where("held is null").select(*rows.columns).join(keys, "key", how))
 
 
 def _common_runs(texts: DataFrame, rows: DataFrame, scratch: Scratch, lengths: Lengths) -> DataFrame:
