@@ -33,11 +33,6 @@ def _bucket():
     return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
 
 
-def _folded(parts):
-    """Parts added in the order of their terms, as the full scan adds them."""
-    return F.round(F.aggregate(F.array_sort(parts), F.lit(0.0), lambda s, x: s + x["part"]), ranking.DIGITS)
-
-
 @dataclass(frozen=True)
 class ImpactIndex:
     """``heads``: (term, cls, tier, bucket, top, n) for each class of each term; ``blocks``: the postings (term, cls, key, part) in
@@ -120,4 +115,4 @@ class ImpactIndex:
         wanted = pairs.join(asked.select("query_id", "term"), "query_id")
         rows = self.forward.where(F.col("shelf").isin(shelves)) if shelves else self.forward.where("false")
         met = rows.join(wanted, ["shelf", "key", "term"])
-        return met.groupBy("query_id", "key").agg(_folded(F.collect_list(F.struct("term", "part"))).alias("score"))
+        return met.groupBy("query_id", "key").agg(ranking.total(F.col("part")).alias("score"))

@@ -98,3 +98,17 @@ def test_metrics(spark):
     m = {r.query_id: r for r in ranking.retrieval_metrics(ranked, good, 2).collect()}
     assert (m[1].recall, m[1].precision, m[1].reciprocal_rank, m[1].hit) == (0.5, 0.5, 0.5, 1.0)
     assert (m[2].recall, m[2].reciprocal_rank, m[2].hit) == (0.0, 0.0, 0.0)
+
+
+def test_texts_are_judged_once_and_cut_alike(spark):
+    texts = ["Plain 'quoted-word' a 7 b_c-", "Größe ÀÉ straße", "数据库 x1", "ﬁne mixed İstanbul", None, "", "ß" * 50 + " end" + "-" * 50]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.any_words(F.col("t")).alias("w"), "t").collect()
+    assert all(r["w"] == tx.terms(r["t"]) for r in got)
+    long = ranking.postings_of(ranking.document_terms(spark.createDataFrame([(1, "a")], "doc_id long, text string")))
+    assert long._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1  # no second cut for a pushed filter
+
+
+def test_scores_add_up_in_any_order(spark):
+    rows = [(1, k, 0.1 * k + 1e-7) for k in range(200)]
+    one = [spark.createDataFrame(sorted(rows, key=lambda r: f(r[1])), "q long, k long, part double").repartition(n).groupBy("q").agg(F.sum(F.rint(F.col("part") * ranking.SCALE).cast("long")).alias("s"), ranking.total(F.col("part")).alias("t")).first() for f, n in ((abs, 1), (lambda x: -x, 7))]
+    assert one[0] == one[1] and abs(one[0]["t"] - sum(r[2] for r in rows)) < 1e-8
