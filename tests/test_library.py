@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from passagelake.functions import text as tx
 from passagelake.functions import vectors as vec
 from passagelake.operators import chunking, conversation, embedding, ranking
+from passagelake.plans import catalog
 
 
 def one(spark, column):
@@ -100,6 +101,22 @@ def test_metrics(spark):
     assert (m[2].recall, m[2].reciprocal_rank, m[2].hit) == (0.0, 0.0, 0.0)
 
 
+def test_metrics_of_groups_equal_those_of_pairs(spark):
+    ranked = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (2, 7, 1), (3, 5, 3), (4, 5, 1)], "query_id long, key long, rank long")
+    good = spark.createDataFrame([(0, 5), (0, 5), (0, 8), (1, 7)], "group long, key long")
+    groups = spark.createDataFrame([(1, 0), (2, 1), (2, 1), (3, 0), (4, 2), (5, 0)], "query_id long, group long")
+    got = ranking.retrieval_metrics(ranked, good, 2, groups).collect()
+    assert sorted(got) == sorted(ranking.retrieval_metrics(ranked, groups.join(good, "group"), 2).collect()) and {r[0] for r in got} == {1, 2, 3, 5}
+
+
+def test_evaluation_takes_every_good_document_of_a_remainder(spark, tmp_path):
+    spark.createDataFrame([(k, f"word{k}", "s") for k in range(20)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "word10 word15"), (6, "word11")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, 1) for k in range(20)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["query_id"]: (r["recall"], r["reciprocal_rank"]) for r in catalog.eval_metrics(spark, str(tmp_path)).collect()}
+    assert got == {0: (0.5, 1.0), 6: (0.25, 1.0)}  # of four documents each, 0 5 10 15 and 1 6 11 16
+
+
 def test_texts_are_judged_once_and_cut_alike(spark):
     texts = ["Plain 'quoted-word' a 7 b_c-", "Größe ÀÉ straße", "数据库 x1", "ﬁne mixed İstanbul", None, "", "ß" * 50 + " end" + "-" * 50]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.any_words(F.col("t")).alias("w"), "t").collect()
