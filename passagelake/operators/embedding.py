@@ -9,6 +9,7 @@ from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,13 +104,33 @@ def build_embedder(spec: str, services: dict[str, Callable[..., Embedder]] | Non
     raise ValueError(f"unknown embedder {spec!r}")
 
 
+#: Bytes of text that a task embeds at once, whatever the size of its batches.
+TEXT_BYTES = 1 << 20
+
+
+def runs(sizes: np.ndarray, most: int = TEXT_BYTES) -> Iterator[tuple[int, int]]:
+    """First and next-to-last place of each run of neighbours of at most ``most`` together, or of a single larger one."""
+    first, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            yield first, k
+            first, held = k, 0
+        held += n
+    if len(sizes):
+        yield first, len(sizes)
+
+
 def hashed(docs: DataFrame, dim: int = 512, pair_weight: float = 0.5, key: str = "doc_id", embedder: Embedder | None = None) -> DataFrame:
     """``doc_id, embedding`` of documents (doc_id, text), in Arrow batches; ``embedder`` in place of the hashing one."""
     run_on = embedder or hashing_embedder(dim, pair_weight)
 
+    def answer(texts: pa.Array) -> np.ndarray:
+        return checked(run_on([t or "" for t in texts.to_pylist()]), len(texts))
+
     @F.arrow_udf("array<float>")
     def run(texts: pa.Array) -> pa.Array:
-        m = checked(run_on([t or "" for t in texts.to_pylist()]), len(texts))
+        found = [answer(texts.slice(a, b - a)) for a, b in runs(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))]
+        m = checked(np.concatenate(found), len(texts)) if found else answer(texts)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1] or 1, dtype=np.int32)), pa.array(m.ravel()))
 
     return docs.select(key, run("text").alias("embedding"))

@@ -244,7 +244,8 @@ class PassageStore:
         # Passages are keyed by the stored id, which chunks() makes from the same parts.
         cut.select(F.col("doc_id").alias("id"), "chunk_id", "ordinal", "text", "source", "title", "mime_type").write.parquet(f"{place}/chunks")
         cut = self.spark.read.schema(SCHEMAS["chunks"]).parquet(f"{place}/chunks")
-        p = ranking.postings_of(ranking.document_terms(cut.select(F.struct("id", "chunk_id").alias("k"), "text"), "k"))
+        # Passages are dealt by their keys, so that the words of each are counted where they are cut.
+        p = ranking.postings_of(ranking.document_terms(cut.select(F.struct("id", "chunk_id").alias("k"), "text").repartition("k"), "k"))
         p.select("key.id", "key.chunk_id", "term", "tf", "dl").write.parquet(f"{place}/postings")
         self._statistics(self.spark.read.schema(SCHEMAS["postings"]).parquet(f"{place}/postings")).write.parquet(f"{place}/stats")
         embedding.hashed(cut.select(F.struct("id", "chunk_id").alias("k"), "text"), key="k", embedder=self._embed).select("k.id", "k.chunk_id", "embedding").write.parquet(f"{place}/vectors")
