@@ -1,6 +1,7 @@
 """Nearest vectors in blocks of both sides against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from passagelake.operators import dense, ranking
@@ -48,3 +49,12 @@ def test_no_vectors(spark):
     assert dense.nearest(none, asked, 3, Folder(spark, "test").keep).count() == 0
     one = spark.createDataFrame([("x", [2.0, 0.0]), ("y", [0.0, 1.0])], "key string, embedding array<float>")
     assert [tuple(r) for r in dense.nearest(one, asked, 3, Folder(spark, "test").keep).collect()] == [("a", "x", 1.0, 1)]
+
+
+def test_a_block_passes_on_k_of_many_equal_vectors(monkeypatch):
+    monkeypatch.setattr(dense, "CELLS", 64)
+    monkeypatch.setattr(dense, "HELD", 20)
+    left = pa.table({"query_id": [1, 2, 3], "query_vector": [[1.0, 0.0], [1.0, 1.0], [0.0, -1.0]], "theta": [0.0, 0.5, 0.0], "units": pa.array([[0, 1], [0], [0, 1]], pa.list_(pa.int32()))})
+    right = pa.table({"key": list(range(99, -1, -1)), "embedding": [[1.0, 0.0]] * 90 + [[3.0, 3.0]] * 10, "unit": pa.array([0] * 90 + [1] * 10, pa.int32())})
+    got = dense._met(2, 3)(left, right).to_pylist()
+    assert sorted((r["query_id"], r["key"], round(r["score"], 6)) for r in got) == [(q, k, s) for q, s in ((1, 1.0), (2, 0.707107)) for k in (10, 11, 12)]
