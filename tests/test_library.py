@@ -129,3 +129,13 @@ def test_scores_add_up_in_any_order(spark):
     rows = [(1, k, 0.1 * k + 1e-7) for k in range(200)]
     one = [spark.createDataFrame(sorted(rows, key=lambda r: f(r[1])), "q long, k long, part double").repartition(n).groupBy("q").agg(F.sum(F.rint(F.col("part") * ranking.SCALE).cast("long")).alias("s"), ranking.total(F.col("part")).alias("t")).first() for f, n in ((abs, 1), (lambda x: -x, 7))]
     assert one[0] == one[1] and abs(one[0]["t"] - sum(r[2] for r in rows)) < 1e-8
+
+
+def test_texts_are_embedded_in_bounded_runs(spark):
+    def few(texts):
+        assert sum(map(len, texts)) <= 1 << 20
+        return [[float(len(t))] for t in texts]
+
+    rows = [(k, "x" * n) for k, n in enumerate([600_000, 600_000, 0, 1 << 20, 5])] + [(5, None)]
+    got = embedding.hashed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), embedder=few).collect()
+    assert {r["doc_id"]: r["embedding"] for r in got} == {k: [float(len(t or ""))] for k, t in rows}
