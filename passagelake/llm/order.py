@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, bound_batches, part_count, slim, tidy
+from .scratch import Scratch, bound_batches, pieces_of, slim, tidy
 from .textvec import U, mix
 from .tokens import VOCABULARY, Coder, code_points, lots, pretoken_starts
 
@@ -48,10 +48,10 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def _encode(vocabulary: str):
-    """``(id, tie, n, tokens)`` of each text: its ids, closed by an end mark."""
+    """``(piece, inner, n, tokens)`` of each text: its ids, closed by an end mark, and where they start among those of its piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(vocabulary)
+        coder, upto_here = Coder(vocabulary), 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo, hi in lots(texts):
@@ -66,9 +66,10 @@ def _encode(vocabulary: str):
                 ids = np.insert(ids, cut[1:], END)
                 cut = cut + np.arange(len(cut))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(lo, hi - lo), batch.column("tie").slice(lo, hi - lo), pa.array(np.diff(cut)), pa.array([ids[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                    names=["id", "tie", "n", "tokens"],
+                    [batch.column("piece").slice(lo, hi - lo), pa.array(cut[:-1] + upto_here), pa.array(np.diff(cut)), pa.array([ids[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
+                    names=["piece", "inner", "n", "tokens"],
                 )
+                upto_here += int(cut[-1])
 
     return run
 
@@ -133,17 +134,17 @@ def _assemble(length: int, per_shard: int, digest: bool):
     return run
 
 
-def _starts(sizes: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(row, at)``: where each text's ids begin in the corpus, in order of (id, hash of the text).
+def _laid_out(texts: DataFrame, scratch: Scratch, vocabulary: str) -> DataFrame:
+    """``(piece, inner, n, tokens)``, written: texts in order of (id, hash of the text), a range of them for each task.
 
-    Rows of two numbers and a size are sorted by ranges; sums go over ranges first, then within each.
+    A task sums up its own sizes, so texts are dealt once and their ids stay where they lie.
     """
-    dealt = sizes.repartitionByRange(part_count(scratch.spark), "id", "tie", "row").withColumn("piece", F.spark_partition_id())
-    dealt = scratch.keep(dealt, "sizes")
-    base = dealt.groupBy("piece").agg(F.sum("n").alias("n")).selectExpr("piece", "sum(n) over (order by piece) - n as base")  # a row for each range
-    inner = dealt.selectExpr("row", "piece", "sum(n) over (partition by piece order by id, tie, row rows unbounded preceding) - n as inner")
-    # Written before the ids are joined with it: where it is small, Spark then leaves the ids where they lie.
-    return scratch.keep(inner.join(base, "piece").select("row", (F.col("base") + F.col("inner")).alias("at")), "starts")
+    total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    # Rows of one id and text may lie in several ranges, in any order.
+    ranges = texts.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    dealt = ranges.repartitionByRange(pieces_of(scratch.spark, total), "id", "tie", "row").sortWithinPartitions("id", "tie", "row")
+    tokens = dealt.select(F.spark_partition_id().alias("piece"), "text").mapInArrow(tidy(_encode(vocabulary)), "piece int, inner long, n long, tokens binary")
+    return scratch.keep(tokens, "tokens")
 
 
 def training_order(docs: DataFrame, key: int = 1, length: int = SEQUENCE, vocabulary: str = VOCABULARY, per_shard: int = PER_SHARD, digest: bool = False) -> DataFrame:
@@ -158,12 +159,11 @@ def training_order(docs: DataFrame, key: int = 1, length: int = SEQUENCE, vocabu
     columns are ignored, whatever their names; an empty table has no rows.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "order")
-    texts = slim(docs).withColumn("tie", F.xxhash64("text"))
-    tokens = texts.mapInArrow(tidy(_encode(vocabulary)), "id long, tie long, n long, tokens binary")
-    tokens = scratch.keep(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
-    total = tokens.agg(F.sum("n")).first()[0] or 0
-    placed = tokens.select("row", "tokens").join(_starts(tokens.select("id", "tie", "row", "n"), scratch), "row")
+    tokens = _laid_out(slim(docs), Scratch(spark, "order", free=True), vocabulary)
+    sizes = tokens.groupBy("piece").agg(F.sum("n").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    base = sizes.selectExpr("piece", "sum(n) over (order by piece) - n as base")  # a row for each range
+    placed = tokens.join(F.broadcast(base), "piece").select((F.col("base") + F.col("inner")).alias("at"), "tokens")
     pieces = placed.select("at", "tokens").mapInArrow(tidy(_pieces(length, key, total)), "index long, slot long, at int, tokens binary")
     shards = max(1, -(-total // length // per_shard))
     dealt = pieces.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int")).repartitionById(shards, "shard").sortWithinPartitions("slot", "at")

@@ -296,6 +296,19 @@ def test_training_order_round_trip(docs, empty, rows, tmp_path, spark):
     assert {(r.slot, r.sha256) for r in few} == {(r.slot, r.sha256) for r in order.order_digest(docs.coalesce(1), length=64).collect()}
 
 
+def test_ids_stay_where_they_lie_at_any_size(docs, spark):
+    """op6: a table of starts over the broadcast threshold had all ids shuffled once more."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = order.order_digest(docs, length=64)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        many = {(r.slot, r.sha256) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert many == {(r.slot, r.sha256) for r in order.order_digest(docs, length=64).collect()}
+
+
 def test_mixing(docs, empty, rows, spark):
     got = mixing.mixed(docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
