@@ -2,10 +2,11 @@
 
 Texts are cut into content-defined chunks of 50-byte string starts.  A chunk
 whose bytes also occur in an earlier document is settled by its hash alone.
-What is left is cut into segments whose string starts share one minimiser, so
-equal strings always meet in one bucket; only segments whose minimiser occurs
-in other content travel, and those of a minimiser that many parts report go string by string, so that
-no minimiser makes a bucket that grows with the corpus.  A bucket sorts the suffixes of its segments, computes
+What is left is cut into segments whose string starts share one minimiser and the same side of it, so
+equal strings always meet in one bucket: the key of a segment is its minimiser with the bytes on that side, about two thirds of a string,
+as short grams alone soon all occur twice where words repeat.  Only segments whose key occurs
+in other content travel, and those of a key that many parts report go string by string, so that
+no key makes a bucket that grows with the corpus.  A bucket sorts the suffixes of its segments, computes
 the common prefixes of neighbours and scans them with a stack: every interval
 of suffixes with a common prefix of at least ``length`` bytes that cannot be
 extended to the left by one common byte is a maximal repeat, and is put out
@@ -13,7 +14,7 @@ with all its occurrences and the smallest document that holds it.
 
 Documents are dealt to parts by a hash of their id; the number of parts and
 buckets follows the bytes of the texts, not the session's settings.  A task sees a whole part
-and passes on each chunk, minimiser or segment once, so content that a third of
+and passes on each chunk, key or segment once, so content that a third of
 all documents share reaches its bucket once for each part.
 """
 
@@ -28,26 +29,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import parts_by_size, real_id, slim
+from .scratch import Scratch, parts_by_size, real_id, slim
 from .textvec import U, arrow_texts, blocks, mix
 
 #: Bytes of a minimiser's gram.
 GRAM = 16
 #: String starts of a segment at most, and segments of a chunk.
-RUN, CHUNK = 35, 64
-#: A chunk ends with a segment whose minimiser is divisible by this.
-CUT = 16
+RUN, CHUNK = 35, 128
+#: A chunk ends with a segment whose key is divisible by this.
+CUT = 32
 #: Suffixes that are sorted together.
 SORT = 150_000
 #: Text bytes of a part, which one task holds at a time.
 PART_BYTES = 8 << 20
-#: Parts that report one minimiser from which its segments no longer go to one bucket: each of their string starts goes by its own hash.
+#: Parts that report one key from which its segments no longer go to one bucket: each of their string starts goes by its own hash.
 HOT = 64
 CHUNKS, GRAMS, SPANS, HOTS = 0, 1, 2, 3
 _CHUNK = np.dtype([("c1", U), ("c2", U), ("doc", np.int64)])
-#: 48 bits of a minimiser, and 80 of the chunk it occurs in: the same 48 bits of two minimisers only send more segments on their way.
-_GRAM = np.dtype([("m", U), ("tag", U)])
-_LOW = U((1 << 16) - 1)
+#: 40 bits of a key, and 56 of the chunk it occurs in, on their way in 12 bytes: the same 40 bits of two keys only send more segments.
+_GRAM, _SENT = np.dtype([("m", U), ("tag", U)]), np.dtype("V12")
+_LOW, _REST, _OCTET, _WORD = U(24), U(8), U(255), U((1 << 32) - 1)
 _RECORD = np.dtype([("m", U), ("rid", np.int32), ("size", np.int32), ("low", np.int64), ("high", np.int64)])
 _SPAN = np.dtype([("rid", np.int32), ("at", np.int32), ("size", np.int32), ("doc", np.int64)])
 
@@ -104,7 +105,9 @@ class _Part:
             into = word[o::8]
             into[: len(piece)] = piece[: len(into)]
         g = len(text) - GRAM + 1
-        h = mix(word[:g] * U(0x9E3779B97F4A7C15) + word[8 : g + 8] * U(0xC2B2AE3D27D4EB4F))
+        hashes = mix(word[:g] * U(0x9E3779B97F4A7C15) + word[8 : g + 8] * U(0xC2B2AE3D27D4EB4F))
+        # The least 32 bits, the first of equal ones, with their place.
+        h = hashes & ~_WORD | np.arange(g, dtype=U)
         reach = 1
         while reach < width:  # minima of windows of twice the width, up to the width asked for
             step = min(reach, width - reach)
@@ -117,7 +120,11 @@ class _Part:
         np.add.at(edge, last[there], -1)
         valid = np.cumsum(edge[:-1]) > 0
         new = np.zeros(n + 1, bool)
-        new[1:n] = h[1:] != h[:-1]
+        place = (h & _WORD).astype(np.int64)
+        # A string that holds a minimiser holds as much again of what is before it, or of what is after it.
+        side = min((length - GRAM) // 2, GRAM)
+        before = place - np.arange(n) >= side
+        new[1:n] = (place[1:] != place[:-1]) | (before[1:] != before[:-1])
         new[first[there]] = True
         new[last[there]] = True
         new[n] = True
@@ -125,14 +132,17 @@ class _Part:
         start, stop = at[:-1], at[1:]
         keep = valid[start]
         start, stop = start[keep], stop[keep]
+        before = before[start]
+        at = place[start] - side * before
+        key = mix(hashes[at] * U(0x9E3779B97F4A7C15) + hashes[at + side] * U(0xC2B2AE3D27D4EB4F) + before.astype(U))
         pieces = -(-(stop - start) // RUN)
         if (pieces > 1).any():
             which = np.repeat(np.arange(len(start)), pieces)
             nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             begin = start[which] + nth * RUN
-            stop, start = np.minimum(begin + RUN, stop[which]), begin
+            stop, start, key = np.minimum(begin + RUN, stop[which]), begin, key[which]
         doc = np.searchsorted(self.base, start + lo, "right") - 1
-        return start + lo, stop - start, h[start], doc
+        return start + lo, stop - start, key, doc
 
     def chunk_entries(self) -> np.ndarray:
         """Each chunk hash of the part with its smallest document."""
@@ -141,10 +151,10 @@ class _Part:
         return _first_of(out, ("c1", "c2"), "doc")
 
     def gram_entries(self) -> np.ndarray:
-        """Each minimiser with the least and greatest tag of the chunks it occurs in: two tags are two contents."""
+        """Each key with the least and greatest tag of the chunks it occurs in: two tags are two contents."""
         x = np.empty(len(self.gram), _GRAM)
-        x["m"] = self.gram & ~_LOW | (self.chunk_hash["c2"] & _LOW)[self.chunk_of]
-        x["tag"] = self.chunk_hash["c1"][self.chunk_of]
+        x["m"] = self.gram >> _LOW
+        x["tag"] = (self.chunk_hash["c1"] >> _REST)[self.chunk_of]
         return _ends(x)[0]
 
     def settled(self, back: np.ndarray) -> np.ndarray:
@@ -160,10 +170,10 @@ class _Part:
         return self.chunk_doc > low
 
     def open_segments(self, settled: np.ndarray, shared: np.ndarray, hot: np.ndarray) -> _Open:
-        """The segments left to decide; those of a hot minimiser start by start, each with the hash of its own string."""
-        m = self.gram >> U(16)
-        wanted = np.isin(m, shared >> U(16)) & ~settled[self.chunk_of]
-        many = wanted & np.isin(m, hot >> U(16))
+        """The segments left to decide; those of a hot key start by start, each with the hash of its own string."""
+        m = self.gram >> _LOW
+        wanted = np.isin(m, shared) & ~settled[self.chunk_of]
+        many = wanted & np.isin(m, hot)
         seg, each = np.flatnonzero(wanted & ~many), np.flatnonzero(many)
         n = self.size[each]
         which = np.repeat(each, n)
@@ -192,17 +202,29 @@ class _Open(NamedTuple):
 
 
 def _ends(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the entries of each minimiser the least and, if it differs, the greatest; how many there were of each; and which have two."""
+    """Of the entries of each key the least and, if it differs, the greatest; how many there were of each; and which have two."""
     x = x[np.lexsort((x["tag"], x["m"]))]
-    m = x["m"] >> U(16)
     head = np.ones(len(x), bool)
-    head[1:] = m[1:] != m[:-1]
+    head[1:] = x["m"][1:] != x["m"][:-1]
     first = np.flatnonzero(head)
     last = np.append(first[1:], len(x))[: len(first)] - 1
     two = x[first] != x[last]
     return np.concatenate((x[first], x[last[two]])), last - first + 1, two
 
 
+def _packed(x: np.ndarray) -> bytes:
+    out = np.empty((len(x), 3), "<u4")
+    out[:, 0], out[:, 1], out[:, 2] = x["m"] >> _REST, (x["m"] & _OCTET) << _LOW | x["tag"] >> U(32), x["tag"] & _WORD
+    return out.tobytes()
+
+
+def _unpacked(sent: np.ndarray) -> np.ndarray:
+    w = np.frombuffer(sent.tobytes(), "<u4").reshape(-1, 3).astype(U)
+    x = np.empty(len(w), _GRAM)
+    x["m"], x["tag"] = w[:, 0] << _REST | w[:, 1] >> _LOW, (w[:, 1] & U((1 << 24) - 1)) << U(32) | w[:, 2]
+    return x
+
+
 def _first_of(x: np.ndarray, keys: tuple[str, ...], value: str) -> np.ndarray:
     x = x[np.lexsort((x[value], *(x[k] for k in reversed(keys))))]
     head = np.ones(len(x), bool)
@@ -230,7 +252,7 @@ def _emit(length: int, buckets: int):
         me = table.column("part")[0].as_py()
         chunks, grams = part.chunk_entries(), part.gram_entries()
         rows = [(b, me, CHUNKS, x.tobytes()) for b, _, x in _deal(mix(chunks["c1"]), chunks, buckets)]
-        rows += [(b, me, GRAMS, x.tobytes()) for b, _, x in _deal(mix(grams["m"] >> U(16)), grams, buckets)]
+        rows += [(b, me, GRAMS, _packed(x)) for b, _, x in _deal(mix(grams["m"]), grams, buckets)]
         return _rows(rows, ("bucket", "part", "kind", "data"))
 
     return run
@@ -246,7 +268,7 @@ def _gathered(table: pa.Table, kind: int, dtype: np.dtype, owner: str = "part")
 
 def _compare(hot: int):
     def run(table: pa.Table) -> pa.Table:
-        """For a bucket: to each part the chunks that a smaller document of another part holds, and its shared minimisers."""
+        """For a bucket: to each part the chunks that a smaller document of another part holds, and its shared keys."""
         rows = []
         x, own = _gathered(table, CHUNKS, _CHUNK)
         order = np.lexsort((x["doc"], x["c2"], x["c1"]))
@@ -258,8 +280,9 @@ def _compare(hot: int):
         back = x[later]
         back["doc"] = low[later]
         rows += [(p, CHUNKS, y.tobytes()) for p, _, y in _deal(own[later].astype(U), back, 1 << 31)]
-        x, own = _gathered(table, GRAMS, _GRAM)
-        order = np.argsort(x["m"] >> U(16), kind="stable")
+        x, own = _gathered(table, GRAMS, _SENT)
+        x = _unpacked(x)
+        order = np.argsort(x["m"], kind="stable")
         x, own = x[order], own[order]
         if len(x):
             _, n, differs = _ends(x)
@@ -475,13 +498,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False, part
     whatever their names; an empty table has no rows.
     """
     texts = slim(docs)
+    # Texts are dealt again for each step, and each step's shuffle files go as its answers are written.
+    scratch = Scratch(docs.sparkSession, "repeats", free=True)
     parts = parts_by_size(texts, part_bytes)
     buckets = -(-parts // 2)
     dealt = texts.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).repartition(parts, "part")
     entries = dealt.groupBy("part").applyInArrow(_emit(length, buckets), "bucket int, part int, kind int, data binary")
-    answers = entries.groupBy("bucket").applyInArrow(_compare(hot), "part int, kind int, data binary")
+    answers = scratch.keep(entries.groupBy("bucket").applyInArrow(_compare(hot), "part int, kind int, data binary"), "answers")
     records = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_records(length, parts), "bucket int, part int, kind int, data binary")
-    spans = records.groupBy("bucket").applyInArrow(_suffixes(length), "part int, kind int, data binary")
+    spans = scratch.keep(records.groupBy("bucket").applyInArrow(_suffixes(length), "part int, kind int, data binary"), "spans")
     out = dealt.groupBy("part").cogroup(answers.unionByName(spans).groupBy("part")).applyInArrow(_remove(length), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     kept = F.sha2("kept", 256).alias("kept_sha256") if digest else F.col("kept")
     return out.select(real_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", kept)

@@ -309,6 +309,17 @@ def test_ids_stay_where_they_lie_at_any_size(docs, spark):
     assert many == {(r.slot, r.sha256) for r in order.order_digest(docs, length=64).collect()}
 
 
+def test_words_that_recur_send_no_segments():
+    """op2: among texts of few words nearly every short gram occurs twice, and nearly every segment travelled."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(200)]
+    texts = [" ".join(rng.choice(words, 30_000)) for _ in range(2)]
+    a, b = (repeats._Part(pa.table({"id": pa.array([k], pa.int64()), "text": [t]}), 50) for k, t in enumerate(texts))
+    assert np.isin(a.gram, b.gram).mean() < 0.05
+
+
 def test_mixing(docs, empty, rows, spark):
     got = mixing.mixed(docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
