@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 from itertools import islice, pairwise
 
 import numpy as np
@@ -13,43 +12,65 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
+from . import blocks as bl
 
 #: What an embedder is here: texts to a matrix of one row each.
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
 
-@lru_cache(1 << 18)
+#: Digests that are held one by one.
+SLOTS = 4096
+
+
+def _slots(features: pa.Array, dim: int, pair: bool = False) -> np.ndarray:
+    """The buckets of words (or, salted, of pairs of words): 64 bits of BLAKE2b, little end first, modulo ``dim``."""
+    copy, found = hashlib.blake2b(digest_size=8, salt=b"\x01" if pair else b"").copy, []
+    _, upto, data = features.buffers()
+    data, upto = data.to_pybytes() if data else b"", np.frombuffer(upto, np.int32)[features.offset :][: len(features) + 1].tolist() if len(features) else []
+    for lo in range(0, len(features), SLOTS):
+        out = []
+        for a, b in pairwise(upto[lo : lo + SLOTS + 1]):
+            h = copy()
+            h.update(data[a:b])
+            out.append(h.digest())
+        found.append(b"".join(out))
+    return (np.frombuffer(b"".join(found), "<u8") % np.uint64(dim)).astype(np.int64)
+
+
 def slot(feature: str, dim: int, pair: bool = False) -> int:
-    """The bucket of a word (or, salted, of a pair of words): 64 bits of BLAKE2b, little end first, modulo ``dim``."""
-    return int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8, salt=b"\x01" if pair else b"").digest(), "little") % dim
+    return int(_slots(pa.array([feature], pa.string()), dim, pair)[0])
 
 
-def embed_many(texts: Sequence[Sequence[str]], dim: int = 512, pair_weight: float = 0.5) -> np.ndarray:
-    """Unit vectors of ``1 + ln(weight)`` per slot; words weigh 1, neighbouring pairs ``pair_weight``; zero without words."""
+def _vectors(words: pa.Array, word: np.ndarray, text: np.ndarray, n: int, dim: int, pair_weight: float) -> np.ndarray:
+    """Vectors of ``n`` texts from distinct words, and the word and text of each occurrence, a text's words one after the other."""
     if dim <= 0 or pair_weight < 0:
         raise ValueError(f"dim must be positive and pair_weight not negative, got {dim} and {pair_weight}")
-    row, column, weight = [], [], []
-    for k, words in enumerate(texts):
-        found = [(slot(w, dim), 1.0) for w in words]
-        if pair_weight:
-            found += [(slot(f"{a}\x1f{b}", dim, True), pair_weight) for a, b in pairwise(words)]
-        row += [k] * len(found)
-        column += [c for c, _ in found]
-        weight += [w for _, w in found]
-    out = np.zeros((len(texts), dim), np.float64)
-    np.add.at(out, (np.array(row, np.int64), np.array(column, np.int64)), np.array(weight))
+    out = np.bincount(text * dim + _slots(words, dim)[word], minlength=n * dim).astype(np.float64)
+    if pair_weight and len(word):
+        next_to = np.flatnonzero(text[1:] == text[:-1])
+        pair, which = np.unique(word[next_to] * len(words) + word[next_to + 1], return_inverse=True)
+        a, b = np.divmod(pair, len(words))
+        met = _slots(pc.binary_join_element_wise(words.take(pa.array(a)), words.take(pa.array(b)), "\x1f"), dim, True)
+        out += pair_weight * np.bincount(text[next_to] * dim + met[which], minlength=n * dim)
+    out = out.reshape(n, dim)
     out = np.where(out > 0, 1 + np.log(np.where(out > 0, out, 1)), 0).astype(np.float32)
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, size, out=out, where=size > 0)
 
 
+def embed_many(texts: Sequence[Sequence[str]], dim: int = 512, pair_weight: float = 0.5) -> np.ndarray:
+    """Unit vectors of ``1 + ln(weight)`` per slot; words weigh 1, neighbouring pairs ``pair_weight``; zero without words."""
+    found = pa.array([w for words in texts for w in words], pa.string()).dictionary_encode()
+    text = np.repeat(np.arange(len(texts)), [len(words) for words in texts])
+    return _vectors(found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), text, len(texts), dim, pair_weight)
+
+
 def embed(words: Sequence[str], dim: int = 512, pair_weight: float = 0.5) -> np.ndarray:
     return embed_many([words], dim, pair_weight)[0]
 
 
 def hashing_embedder(dim: int = 512, pair_weight: float = 0.5) -> Embedder:
-    return lambda texts: embed_many([terms(t) for t in texts], dim, pair_weight)
+    return lambda texts: _vectors(*bl.cut(pa.array(texts, pa.string())), len(texts), dim, pair_weight)
 
 
 def checked(found, n: int, dim: int | None = None) -> np.ndarray:

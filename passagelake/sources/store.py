@@ -1,7 +1,7 @@
 """A passage store of Parquet parts and published manifests: writers add a part, readers hold the version they opened.
 
-Every change writes only what is new, as a part: documents with their passages, postings, vectors and the statistics of their
-terms; vectors that replace others; or ids that are gone, with what their passages take from the statistics.  A version
+Every change writes only what is new, as a part: documents with their passages, postings in blocks of whole passages (see
+``operators.blocks``), vectors and the statistics of their terms; vectors that replace others; or ids that are gone, with what their passages take from the statistics.  A version
 is a small JSON manifest that names its parts in order.  Reading merges them: a row counts unless a later part removed its
 document, and of a passage's vectors the latest counts, in one scan a table whatever the number of parts; ``compact`` makes them one.
 
@@ -23,18 +23,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_id
+from ..operators import blocks as bl
 from ..operators import embedding, ranking
 from ..operators.chunking import ChunkOptions, chunks
-from .shared import LEASE, Conflict, publish
+from .shared import LEASE, Conflict, Folder, freeing, publish
 
 SCHEMAS = {
     "documents": "id string, source string, title string, mime_type string, text string, metadata map<string,string>, added long",
     "chunks": "id string, chunk_id string, ordinal long, text string, source string, title string, mime_type string",
-    "postings": "id string, chunk_id string, term string, tf long, dl int",
+    "blocks": "keys array<struct<id:string,chunk_id:string>>, length long, words string, lengths binary, found binary, own binary, word binary, tf binary",
     "vectors": "id string, chunk_id string, embedding array<float>",
     "stats": "term string, df long, length long",
 }
-FORMAT = 2
+FORMAT = 3
+#: Bytes of a row group of a part, so that the files of few tasks can be read by many.
+GROUP = 8 << 20
 #: Parts from which ``compact`` makes one.
 MOST_PARTS = 16
 
@@ -80,7 +83,7 @@ class PassageStore:
         if found["format"] > FORMAT:
             raise ValueError(f"the store has format {found['format']}, this library reads up to {FORMAT}")
         if found["format"] < FORMAT and found["parts"]:
-            raise ValueError(f"the store has format {found['format']}, whose parts hold no statistics; add its documents to a new store")
+            raise ValueError(f"the store has format {found['format']}, whose parts hold postings as rows; add its documents to a new store")
         return found
 
     def _publish(self, base: int, manifest: dict) -> int:
@@ -176,8 +179,16 @@ class PassageStore:
 
     # -- tables ---------------------------------------------------------------------------------------------------
 
-    def table(self, name: str, version: int | None = None) -> DataFrame:
-        """One of the tables of ``SCHEMAS`` as of a version: without what was deleted after it was written, vectors as last put."""
+    def table(self, name: str, version: int | None = None, columns: Sequence | None = None) -> DataFrame:
+        """One of the tables of ``SCHEMAS``, or ``postings`` as rows, as of a version: without what was deleted after it was written,
+        vectors as last put.
+
+        ``columns`` (names and expressions, ``id`` among them) are made where the rows are read, so that a join with what was deleted
+        carries nothing else.
+        """
+        if name == "postings":
+            rows = bl.postings(self.table("blocks", version), empty=True)
+            return rows.select("key.id", "key.chunk_id", "term", "tf", "dl")
         parts = [x | {"place": k} for k, x in enumerate(self.manifest(version)["parts"])]
         inserted = [x for x in parts if name in x["tables"] and x["kind"] == "insert"]
         put = [x for x in parts if name == "vectors" and x["kind"] == "vectors"]
@@ -187,15 +198,30 @@ class PassageStore:
         rows = self._scan(name, inserted)
         if gone:
             last = self._scan("gone", gone, "id string").groupBy("id").agg(F.max("place").alias("gone"))
+        if name == "blocks":
+            return self._picked(rows, last, False) if gone else rows.drop("place")
+        if gone:
             alive = lambda df: df.join(last, "id", "left").where("gone is null or gone < place").drop("gone")
         else:
             alive = lambda df: df
-        rows = alive(rows)
+        wanted = [*(columns or [c.split()[0] for c in SCHEMAS[name].split(", ")])]
         if put:
             of = F.struct("place", "embedding", "id")
             new = alive(self._scan(name, put)).groupBy("chunk_id").agg(F.max(of).alias("x")).select("x.id", "chunk_id", "x.embedding", "x.place")
-            rows = rows.join(new.select("chunk_id"), "chunk_id", "left_anti").select(*new.columns).unionAll(new)
-        return rows.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")])
+            rows = alive(rows).join(new.select("chunk_id"), "chunk_id", "left_anti").select(*new.columns).unionAll(new)
+            return rows.select(*wanted)
+        return alive(rows.select(*wanted, "place")).drop("place")
+
+    def _picked(self, blocks: DataFrame, ids: DataFrame, keep: bool) -> DataFrame:
+        """Blocks (with their part's place) of the passages of these ids (id, gone: a later place), or of all others.
+
+        The ids meet the passages' keys alone; what goes to the blocks is a list of places for each.
+        """
+        blocks = blocks.withColumn("first", F.get("keys", 0)["chunk_id"])  # once in a part
+        each = blocks.select("place", "first", F.posexplode("keys.id").alias("position", "id"))
+        lists = each.join(ids, "id").where("gone > place").groupBy("place", "first").agg(F.collect_list("position").alias("picked"))
+        lists = Folder(self.spark, "picked").keep(lists, "picked")  # Spark knows how few they are
+        return bl.picked(blocks.join(lists, ["place", "first"], "inner" if keep else "left"), "picked", keep)
 
     def _scan(self, table: str, parts: list[dict], schema: str | None = None) -> DataFrame:
         """A table's rows in these parts, with the part's ``place``, by one scan."""
@@ -209,8 +235,8 @@ class PassageStore:
         part = F.element_at(F.split("_metadata.file_path", "/"), -3)
         return rows.withColumn("part", part).join(F.broadcast(places), "part").drop("part")  # a row for each part
 
-    def documents(self, version: int | None = None) -> DataFrame:
-        return self.table("documents", version)
+    def documents(self, version: int | None = None, columns: Sequence | None = None) -> DataFrame:
+        return self.table("documents", version, columns)
 
     def chunks(self, version: int | None = None) -> DataFrame:
         return self.table("chunks", version)
@@ -225,30 +251,34 @@ class PassageStore:
         name = uuid.uuid4().hex
         for table, df in tables.items():
             columns = [c.split()[0] for c in SCHEMAS.get(table, "id string").split(", ")]
-            df.select(*columns).write.parquet(f"{self.path}/parts/{name}/{table}")
+            self._put(df.select(*columns), f"{self.path}/parts/{name}/{table}")
         return {"name": name, "kind": kind, "touches": touches, "tables": sorted(tables)}
 
+    def _put(self, df: DataFrame, path: str) -> None:
+        few = 10  # rows that are written before their bytes are counted
+        with freeing(self.spark):
+            df.write.option("compression", "zstd").option("parquet.block.size", GROUP).option("parquet.page.size.row.check.min", few).parquet(path)
+
     @staticmethod
-    def _statistics(postings: DataFrame, sign: int = 1) -> DataFrame:
+    def _statistics(blocks: DataFrame, sign: int = 1) -> DataFrame:
         """``term, df, length`` of these postings; under the empty term the number of passages and their length together."""
-        terms = postings.where("term <> ''").groupBy("term").agg((sign * F.count("*")).alias("df"), F.lit(0).cast("long").alias("length"))
-        each = postings.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
-        return terms.union(each.agg(F.lit(""), sign * F.count("*"), sign * F.coalesce(F.sum("dl"), F.lit(0)).cast("long")))
+        terms = bl.frequencies(blocks).select("term", (sign * F.col("df")).alias("df"), F.lit(0).cast("long").alias("length"))
+        whole = [F.coalesce(F.sum(x), F.lit(0)).cast("long") * sign for x in (F.size("keys").cast("long"), F.col("length"))]
+        return terms.union(blocks.agg(F.lit(""), *whole))
 
     def _indexed(self, documents: DataFrame) -> dict:
         """Write documents as one part, with their passages, postings, vectors and statistics."""
         part = self._write("insert", "documents", {"documents": documents})
         place = f"{self.path}/parts/{part['name']}"
-        stored = self.spark.read.schema(SCHEMAS["documents"]).parquet(f"{place}/documents")
-        cut = chunks(stored.select(F.col("id").alias("doc_id"), "source", "text", "title", "mime_type"), self.options)
+        stored = lambda table: self.spark.read.schema(SCHEMAS[table]).parquet(f"{place}/{table}")
+        cut = chunks(stored("documents").select(F.col("id").alias("doc_id"), "source", "text", "title", "mime_type"), self.options)
         # Passages are keyed by the stored id, which chunks() makes from the same parts.
-        cut.select(F.col("doc_id").alias("id"), "chunk_id", "ordinal", "text", "source", "title", "mime_type").write.parquet(f"{place}/chunks")
-        cut = self.spark.read.schema(SCHEMAS["chunks"]).parquet(f"{place}/chunks")
-        # Passages are dealt by their keys, so that the words of each are counted where they are cut.
-        p = ranking.postings_of(ranking.document_terms(cut.select(F.struct("id", "chunk_id").alias("k"), "text").repartition("k"), "k"))
-        p.select("key.id", "key.chunk_id", "term", "tf", "dl").write.parquet(f"{place}/postings")
-        self._statistics(self.spark.read.schema(SCHEMAS["postings"]).parquet(f"{place}/postings")).write.parquet(f"{place}/stats")
-        embedding.hashed(cut.select(F.struct("id", "chunk_id").alias("k"), "text"), key="k", embedder=self._embed).select("k.id", "k.chunk_id", "embedding").write.parquet(f"{place}/vectors")
+        self._put(cut.select(F.col("doc_id").alias("id"), "chunk_id", "ordinal", "text", "source", "title", "mime_type"), f"{place}/chunks")
+        # Each passage is a key of its own: its words are counted, and it is embedded, where it is read.
+        self._put(bl.blocked(stored("chunks").select(F.struct("id", "chunk_id").alias("key"), "text")), f"{place}/blocks")
+        self._put(self._statistics(stored("blocks")), f"{place}/stats")
+        vectors = embedding.hashed(stored("chunks").select(F.struct("id", "chunk_id").alias("k"), "text"), key="k", embedder=self._embed)
+        self._put(vectors.select("k.id", "k.chunk_id", "embedding"), f"{place}/vectors")
         return part | {"tables": sorted(SCHEMAS)}
 
     def _guard(self, manifest: dict) -> None:
@@ -310,7 +340,8 @@ class PassageStore:
         if gone.isEmpty():
             self._fs.delete(self._path(f"{self.path}/parts/{part['name']}"), True)
             return 0
-        self._statistics(self.table("postings", at).join(gone, "id", "left_semi"), -1).write.parquet(f"{self.path}/parts/{part['name']}/stats")
+        those = self._picked(self.table("blocks", at).withColumn("place", F.lit(0)), gone.withColumn("gone", F.lit(1)), True)
+        self._put(self._statistics(those, -1), f"{self.path}/parts/{part['name']}/stats")
         n = self.chunks(at).join(gone, "id", "left_semi").count()
         part["tables"] = ["gone", "stats"]
         self._commit(base, m, m | {"parts": [*m["parts"], part], "structure": m["structure"] + (n > 0)})
@@ -393,11 +424,12 @@ class PassageStore:
 
         def keep(df: DataFrame, name: str) -> DataFrame:
             if not self._fs.exists(self._path(f"{root}/{name}/_SUCCESS")):
-                df.write.mode("overwrite").parquet(f"{root}/{name}")
+                with freeing(self.spark):
+                    df.write.mode("overwrite").parquet(f"{root}/{name}")
             return self.spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
-        postings = self.table("postings", v).select("term", F.col("chunk_id").alias("key"), "tf", "dl")
-        return ranking.LexicalIndex.merged(postings, self.table("stats", v), keep=keep)
+        blocks = self.table("blocks", v).withColumn("keys", F.col("keys.chunk_id"))
+        return ranking.LexicalIndex.merged(blocks, self.table("stats", v), keep=keep)
 
     def embed_queries(self, texts: Sequence[str]) -> list[list[float]]:
         """Vectors of a few texts, made here."""
