@@ -79,7 +79,7 @@ class Engine:
         pool = max(top_k, top_k * (multiplier or o.multiplier), 1)
         lists = {}
         if mode != "vector":
-            lists["lexical"] = ranking.topk(self._lexical.scores(ranking.query_terms(asked), o.k1, o.b), pool)
+            lists["lexical"] = ranking.topk(self._lexical.scores(ranking.query_terms(asked), o.k1, o.b, best=pool), pool)
         if mode != "lexical":
             try:
                 lists["vector"] = self._nearest(asked, pool)
